@@ -15,7 +15,6 @@ table gives an empty table. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import math
 import re
 from collections import Counter

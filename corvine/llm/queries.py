@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_secrets, op02_spotsigs, op03_mixing, op04_pii, op05_quality, op06_language, op08_minhash, op09_gif, op10_ctw
+from . import op01_secrets, op02_spotsigs, op03_mixing, op04_pii, op05_quality, op06_language, op07_pieces, op08_minhash, op09_gif, op10_ctw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_pii_bootstrap": op04_pii.op4_pii_bootstrap,
         "op5_quality": op05_quality.op5_quality,
         "op6_language_id": op06_language.op6_language_id,
+        "op7_piece_lattice": op07_pieces.op7_piece_lattice,
         "op8_minmax_neardup": op08_minhash.op8_minmax_neardup,
         "op9_gif_media": op09_gif.op9_gif_media,
         "op10_ctw_scores": op10_ctw.op10_ctw_scores,
