@@ -6,14 +6,16 @@ band are candidates. At a similarity of 0.85 a pair shares no band with probabil
 
 1. One pass over the texts makes, per document, the set size, a 128-bit digest of the set, signature and bands.
 2. Documents of equal sets are one class (partial minimum per task, then per digest); only class representatives go on.
-3. Each bucket (band, key) pairs its members with its smallest one: no more pairs than members. Pairs that the signatures
-   or sizes rule out are dropped, all others are confirmed on the full sets, recomputed from the whole texts.
-4. Components of the confirmed links, by minimum labels with pointer jumping, each round written to the shared folder.
-5. Buckets that still hold several components (and three or more members) get all their pairs across components tested, in blocks of at most
-   BLOCK members, so links that do not touch a bucket's smallest member are found as well; then step 4 once more.
+3. Buckets (band, key) are named by their smallest member; documents of one name form a group. In it, signatures and sizes are compared
+   and a spanning forest of the likely pairs comes out: no more rows than members. Its components are the clusters.
+4. Within a cluster the full sets, recomputed from the whole texts, are compared exactly, each set being sent there once. Out comes a
+   spanning forest of the confirmed links, whose components are the result.
 
-Between any two documents in a bucket the link is thus tested unless a chain of confirmed links joins them already. Step 5
-grows with the square of a group only where its members are alike and yet unlinked.
+Forests are grown by search: a member in turn is compared with all that no tree holds yet, so a group of m alike members
+takes about m comparisons and any two members are compared unless links join them already. No link between members is thus lost, and no
+list of pairs is ever made. Groups of more than BLOCK members are dealt into blocks, one task per pair of blocks.
+
+Components are found by minimum labels with pointer jumping, each round written to the shared folder.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; a null doc_id is linked with nothing, has a null
 component_id and is kept; rows are judged by their own text, so repeated rows share a component and are alike
@@ -22,8 +24,6 @@ kept or not; fewer words than a shingle count as one shingle; equal smallest ids
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +35,8 @@ from .common import append_columns, materialize, table
 
 PERMUTATIONS, ROWS = 60, 4
 BLOCK = 2000
-#: A pair goes on if its signatures agree in at least threshold - SLACK: about seven standard errors.
-SLACK = 0.25
+#: A pair is likely if its signatures agree in at least threshold - SLACK, about six standard errors.
+SLACK = 0.2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def text_bytes(t: pa.Scalar) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, low, high (set digest), bands, sig (16 bits of each signature value)."""
+    """doc_id, n_shingles, low, high (set digest), bands, sig (8 bits of each signature value)."""
     long = T.LongType()
     fields = [T.StructField("n_shingles", long), T.StructField("low", long), T.StructField("high", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sig", T.BinaryType())]
 
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 high.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 values = signature(s) if len(s) else np.zeros(0, np.uint64)
                 keys.append(bands(values).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                sigs.append((values >> np.uint64(24)).astype(np.uint16).tobytes())
+                sigs.append((values >> np.uint64(24)).astype(np.uint8).tobytes())
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             return [pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(keys))), pa.array(sigs, pa.binary())]
 
@@ -141,47 +141,82 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return append_columns(docs.select("doc_id", "text"), ["text"], fields, make).drop("text")
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its full set as binary."""
+def forest(rows: pd.DataFrame, alike) -> pd.DataFrame:
+    """Edges (a, b) of a spanning forest of the rows' ids. alike(i, rest) tells which of the rows ``rest`` row i meets;
+    the first row that is tried is row 0."""
+    ids = rows["doc_id"].to_numpy()
+    rest, edges = np.arange(len(ids)), []
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            met = alike(i, rest)
+            edges += [(ids[i], ids[j]) for j in rest[met]]
+            todo += rest[met].tolist()
+            rest = rest[~met]
+    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+
+def likely_forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """By sizes and signatures."""
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    sig = np.frombuffer(b"".join(map(bytes, rows["sig"])), np.uint8).reshape(len(rows), -1)
+    n = rows["n_shingles"].to_numpy()
+    least = (percent / 100 - SLACK) * sig.shape[1]
+    return forest(rows, lambda i, rest: (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent) & ((sig[rest] == sig[i]).sum(axis=1) >= least))
 
-    def make():
-        powers = Powers()
-        return lambda texts: [pa.array([shingle_set(text_bytes(t), words, powers).tobytes() for t in texts], pa.binary())]
 
-    return append_columns(docs.select("doc_id", "text"), ["text"], [T.StructField("members", T.BinaryType())], make).drop("text")
+def exact_forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """By 100 * |a & b| >= percent * |a | b| on the full sets, from the member that shares most with all others on."""
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    sets = [unpacked(x) for x in rows["members"]]
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    shared = np.add.reduceat(np.bincount(code)[code], ends - sizes) / sizes
+    order = np.argsort(-shared, kind="stable")
+    parts = [code[ends[i] - sizes[i] : ends[i]] for i in order]
+    rows, sizes = rows.iloc[order], sizes[order]
+    mark = np.zeros(code.max() + 1, bool)
+
+    def alike(i: int, rest: np.ndarray) -> np.ndarray:
+        mark[parts[i]] = True
+        near = np.minimum(sizes[rest], sizes[i]) * 100 >= np.maximum(sizes[rest], sizes[i]) * percent
+        both = np.array([np.count_nonzero(mark[parts[j]]) if good else 0 for j, good in zip(rest, near, strict=True)])
+        mark[parts[i]] = False
+        return near & (100 * both >= percent * (sizes[rest] + sizes[i] - both))
+
+    return forest(rows, alike)
+
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The hashes' upper 40 bits, five bytes each: two of a set's thousands of hashes are equal there one time in a million."""
+    return (shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-def alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures allow the similarity."""
-    one = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("__na"), F.col("sig").alias("__sa"))
-    two = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("__nb"), F.col("sig").alias("__sb"))
-    sized = pairs.join(two, "b").join(one, "a").where(F.least("__na", "__nb") * 100 >= F.greatest("__na", "__nb") * percent)
-    least = (percent / 100 - SLACK) * 2 * PERMUTATIONS
 
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in (2, 3))
-            good = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
-    return sized.select("a", "b", "__sa", "__sb").mapInArrow(run, pairs.schema)
 
+def set_rows(docs: DataFrame, words: int) -> DataFrame:
+    """docs with members, the full set of a text, instead of the text."""
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * |a & b| >= percent * |a | b|."""
-    sized = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "members": "__mb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "members": "__ma"}), "a")
+    def make():
+        powers = Powers()
+        return lambda texts: [pa.array([packed(shingle_set(text_bytes(t), words, powers)) for t in texts], pa.binary())]
 
-    def run(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            good = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
+    return append_columns(docs, ["text"], [T.StructField("members", T.BinaryType())], make).drop("text")
 
-    return sized.select("a", "b", "__ma", "__mb").mapInArrow(run, pairs.schema)
+
+def block_forests(rows: DataFrame, group: str, grow) -> DataFrame:
+    """Edges from grow() over each group of rows, or over each pair of blocks of a large one."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> block))")))
+    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("block", "with", "blocks")
+    return dealt.groupBy(group, "i", "j").applyInPandas(grow, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,59 +234,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs across components in one block (or between two) that sizes and signatures allow."""
-    rows = rows.drop_duplicates("doc_id").reset_index(drop=True)
-    sig = np.frombuffer(b"".join(map(bytes, rows["sig"])), np.uint16).reshape(len(rows), -1)
-    label, n, ids = rows["label"].to_numpy(), rows["n_shingles"].to_numpy(), rows["doc_id"].to_numpy()
-    main = rows["label"].mode()[0]
-    out = []
-    least = (percent / 100 - SLACK) * sig.shape[1]
-    for i in np.flatnonzero(label != main):
-        other = np.flatnonzero((label != label[i]) & ((label == main) | (np.arange(len(rows)) > i)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
-        good = other[(sig[other] == sig[i]).sum(axis=1) >= least]
-        out.append(np.stack([np.minimum(ids[good], ids[i]), np.maximum(ids[good], ids[i])], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
-
-
-def rest_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components that have not been tested. buckets: band, key, doc_id."""
-    named = buckets.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    counts = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"), F.min("doc_id").alias("first"))
-    open_ = counts.where("n > 2 and x < y").groupBy("n", "same", "first").agg(F.min(F.struct("band", "key")).alias("at"))  # buckets of equal members, once
-    open_ = open_.select("at.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(open_, ["band", "key"]).join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "label", "n_shingles", "sig")
-    found = rows.groupBy("band", "key", "i", "j").applyInPandas(lambda g: block_pairs(g, percent), "a long, b long")
-    return found.distinct().join(tested, ["a", "b"], "left_anti")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text). Links: 100 * |a & b| >= percent * |a | b|."""
     base = materialize(sketch(docs, words), "sketch")
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("low", "high").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("rep"))
     classes = materialize(classes.select("low", "high", "rep.*"), "classes")
-    reps = classes.dropDuplicates(["doc_id"])
     spread = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    buckets = materialize(spread.join(shared.select("band", "key", "a"), ["band", "key"]), "buckets")
-    stars = buckets.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    pairs = materialize(alike(stars, reps, percent), "pairs")
-
-    def test(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = set_rows(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi"), words)
-        return materialize(confirmed(pairs, sets.dropDuplicates(["doc_id"]), percent), "links")
-
-    links = test(pairs)
+    shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("name"), F.max("doc_id").alias("last")).where("name < last")
+    groups = spread.join(shared.select("band", "key", "name"), ["band", "key"]).select("name", "doc_id").distinct()
+    likely = groups.join(classes.select("doc_id", "n_shingles", "sig"), "doc_id")
+    clusters = components(block_forests(likely, "name", lambda g: likely_forest(g, percent)))
+    texts = docs.select("doc_id", "text").join(clusters, "doc_id")
+    links = block_forests(set_rows(texts, words), "label", lambda g: exact_forest(g, percent))
     labels = components(links)
-    more = materialize(rest_pairs(buckets.select("band", "key", "doc_id"), labels, reps, pairs, percent), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(test(more)))
     placed = classes.select("low", "high", F.col("doc_id").alias("__rep")).join(labels.withColumnRenamed("doc_id", "__rep"), "__rep", "left").select("low", "high", F.coalesce("label", "__rep").alias("label"))
     out = base.select("doc_id", "n_shingles", "low", "high").join(placed, ["low", "high"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
