@@ -184,6 +184,8 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
             control = (0, 0, None)
         else:
             raise ValueError(f"unknown block {data[at]:#x}")
+    if at >= len(data):
+        raise ValueError("the file ends early")
     compose(width, height, frames)
     return width, height, frames
 

@@ -66,7 +66,8 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
 def linked(base: list[tuple], weak: list[tuple], text: str, reach: int) -> list[tuple]:
     """The weak spans that a complementary part completes. An identifier needs a secret and a secret
     an identifier; an endpoint is told when an identifier and a secret both reach it."""
-    cuts = [m.start() for m in SECTION.finditer(text)]
+    gaps = [m.span() for m in SECTION.finditer(text)]
+    cuts = [s for s, _ in gaps]
     sides: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
     for s, e, k in sorted(base + weak):
         sides[SIDE[k]].append((s, e))
@@ -80,7 +81,7 @@ def linked(base: list[tuple], weak: list[tuple], text: str, reach: int) -> list[
     def meets(span: tuple, side: str) -> bool:
         s, e, _ = span
         k = bisect.bisect_right(cuts, s)
-        low, high = (cuts[k - 1] if k else 0), (cuts[k] if k < len(cuts) else len(text))
+        low, high = (gaps[k - 1][1] if k else 0), (cuts[k] if k < len(cuts) else len(text))
         starts, most = tops[side]
         last = bisect.bisect_right(starts, min(e + reach, high)) - 1
         first = bisect.bisect_left(most, max(s - reach, low))

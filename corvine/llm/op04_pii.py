@@ -86,7 +86,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     words = r"filter(split(lower(translate(substring(__text, greatest(1, x.s - 63), least(x.s, 64)), '123456789', '000000000')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
     pattern = rf"array_join(reverse(slice(reverse({words}), 1, 2)), ' ')"
     token = r"regexp_replace(x.t, '^[^A-Za-z0-9+@]+|[^A-Za-z0-9@]+$', '')"
-    return out.withColumn("__seen", F.expr(f"transform(__at, x -> struct(x.s as s, x.e as e, {token} as token, {pattern} as pattern, exists(__base, b -> b.s < x.e and b.e > x.s) as seed))")).drop("__f", "__p", "__at")
+    entity = "filter(__base, b -> b.s < x.e and b.e > x.s)"
+    seen = f"transform(__at, x -> struct(x.s as s, x.e as e, {token} as token, {pattern} as pattern, get({entity}, 0) as b))"
+    # an entity of several words is one instance, in the slot of its first word
+    each = "transform(filter(__seen, x -> x.b is null or x.b.s >= x.s), x -> struct(x.s, x.e, if(x.b is null, x.token, substring(__text, x.b.s + 1, x.b.e - x.b.s)) as token, x.pattern, x.b is not null as seed))"
+    return out.withColumn("__seen", F.expr(seen)).withColumn("__seen", F.expr(each)).drop("__f", "__p", "__at")
 
 
 def pattern_scores(edges: DataFrame) -> DataFrame:
@@ -134,7 +138,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*docs.columns)
 
 
-def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, counts by kind and the digests of the spans for docs (doc_id, text)."""
+    found = find_pii(docs, ["doc_id"])
     counts = [f"cast(size(filter(base, x -> x.rank = {i})) as long) n_{k}" for i, k in enumerate(PATTERNS)]
     return found.selectExpr("doc_id", *counts, "cast(size(spans) - size(base) as long) n_context", f"sha2({span_text('base')}, 256) base_sha256", f"{span_text('spans')} spans")
+
+
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))

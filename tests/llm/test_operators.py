@@ -1,0 +1,476 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from corvine.llm import gif, queries
+from corvine.llm import op01_secrets as op1
+from corvine.llm import op02_spotsigs as op2
+from corvine.llm import op03_mixing as op3
+from corvine.llm import op04_pii as op4
+from corvine.llm import op05_quality as op5
+from corvine.llm import op06_language as op6
+from corvine.llm import op07_pieces as op7
+from corvine.llm import op08_minhash as op8
+from corvine.llm import op09_gif as op9
+from corvine.llm import op10_ctw as op10
+
+from .helpers import ODD, SCHEMA, lower, sha, spans, words
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(ODD, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (3, 1, 0), (5, 0, 1), (7, None, 0), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_odd_rows_and_empty_tables(spark, odd_dir, empty_dir, name):
+    run = queries.queries()[name]
+    rows = run(spark, odd_dir).collect()
+    assert len(rows) == len(ODD)
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in ODD)
+    none = run(spark, empty_dir)
+    assert none.count() == 0 and none.columns == list(rows[0].asDict())
+
+
+# 1 -------------------------------------------------------------------------------------------------------------------
+SECRETS = [("assign", r"(?ai:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+
+
+def secret_ok(kind, m):
+    return len(m[2]) >= 8 if kind == "assign" else len(m[0]) >= (16 if kind == "access" else 32)
+
+
+def test_secret_base_spans(spark, sf, docs, odd_dir):
+    for d in (sf, odd_dir):
+        got = op1.op1_secret_links(spark, d).toPandas()
+        texts = spark.read.parquet(f"{d}/documents.parquet").toPandas()
+        want = sorted((str(i), sha(spans(t, SECRETS, secret_ok))) for i, t in zip(texts.doc_id, texts.text))
+        assert sorted((str(i), h) for i, h in zip(got.doc_id, got.base_sha256)) == want
+
+
+def test_weak_parts_need_a_complement():
+    key = "Zq8rT1xYw2LmN4pVb7Kd9fHs"
+    alone, near, far = f"x {key} y", f"client_id: alice1 and {key}", "client_id: alice1" + " word" * 200 + f" {key}"
+    parted = f"client_id: alice1\n\n{key}"
+    kinds = lambda t: [k for _, _, k in op1.scan_text(t)[1]]
+    assert kinds(alone) == [] and kinds(far) == [] and kinds(parted) == []
+    assert kinds(near) == ["weak_id", "weak_secret"]
+    assert sorted(kinds(f"https://db.example.net/x user=bob99 {key}")) == ["endpoint", "weak_id", "weak_secret"]
+    assert kinds(f"https://db.example.net/x {key}") == []
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+def test_spotsigs_edited_text_and_likeness(spark, sf, docs):
+    got = op2.op2_spotsigs(spark, sf).toPandas().set_index("doc_id")
+    rows = docs.sort_values("doc_id", ascending=False)
+    ids, texts = rows.doc_id.tolist(), rows.text.tolist()
+    cut8 = lambda s: set(re.findall(".{8}", s))
+    for k, (i, t) in enumerate(zip(ids, texts)):
+        n, after = len(t) // 3, (k + 1) % len(ids)
+        r = got.loc[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == sha(t[: len(t) - n] + texts[after][:n])
+        for other, near in ((cut8(r.edited_fingerprint), r.near_edited), (cut8(got.loc[ids[after]].fingerprint), r.near_next)):
+            own = cut8(r.fingerprint)
+            assert near == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
+
+
+def test_spotsigs_join_is_complete(spark, docs):
+    rng = random.Random(3)
+    texts = [t for t in docs.text[:60]]
+    for t in docs.text[:20]:
+        w = t.split(" ")
+        for _ in range(max(1, len(w) // 60)):
+            w[rng.randrange(len(w))] = "changed"
+        texts += [" ".join(w), t]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, members = op2.near_duplicates(table, 0.8)
+    sets = {r["doc_id"]: set(r["s"]) for r in op2.fingerprint(table, "text", "s").collect()}
+    classes = dict(members.toPandas().values.tolist())
+    reps = sorted(set(classes.values()))
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
+    assert all(sets[i] == sets[c] for i, c in classes.items())
+
+
+# 3 -------------------------------------------------------------------------------------------------------------------
+def targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    left, free, out = float(sum(sizes.values())), set(names), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return out | share
+        out |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3.0 * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_mix_meets_its_targets(spark, sf, docs, odd_dir, tmp_path):
+    uneven = spark.createDataFrame([(k, "w " * (k % 7 + 1), "big" if k % 3 else ("mid", "small", None)[k % 5 % 3]) for k in range(400)] + [(1000, "w w", "tiny")], "doc_id long, text string, source string")
+    uneven.write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (sf, odd_dir, str(tmp_path)):
+        got = op3.op3_source_mix(spark, d).collect()
+        sizes, taken = defaultdict(int), defaultdict(int)
+        for r in got:
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+            assert 0 <= r["taken"] <= 3 * r["size"]
+        want = targets(sizes)
+        for r in got:
+            assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        for s in sizes:
+            assert abs(taken[s] - want[s]) <= 2, s
+        assert sorted(map(str, got)) == sorted(map(str, op3.op3_source_mix(spark, d).collect()))
+    texts = dict(zip(docs.doc_id, docs.text))
+    assert all(r["size"] == len(words(texts[r["doc_id"]])) for r in op3.op3_source_mix(spark, sf).collect())
+
+
+def test_mix_rows_keeps_columns_and_whole_documents(spark, odd_dir):
+    table = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    rows = op3.mix_rows(table)
+    assert rows.columns == table.columns
+    known = {r["text"] for r in table.collect()}
+    assert all(r["text"] in known for r in rows.collect())
+
+
+# 4 -------------------------------------------------------------------------------------------------------------------
+PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def pii_ok(kind, m):
+    d = re.sub("[^0-9]", "", m[0])
+    if kind == "card":
+        return 14 <= len(d) <= 19 and sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "phone": 10 <= len(d) <= 15}[kind]
+
+
+TRICKY = ["1.2.3.4.5.6.7.8 999.1.1.1.2.3.4", "a@b.c.d%x@y.z a@b a@@b.c x.@y.z.", "4111 1111 1111 1111 2 +1 (234) 567-8901+12345678901", "  4111111111111111--4111111111111111", "+1+22222222222 +1 (", "é😀x@y.zz 😀 1.2.3.4", "12 1.2.3.4 4111 1111 1111 1111@a.b", "000000000000000000001.2.3.4", "1 4111111111111111", "x" * 20000 + "@", "1 " * 9000]
+
+
+def test_pii_base_spans(spark, sf, odd_dir, tmp_path):
+    spark.createDataFrame([(k, t) for k, t in enumerate(TRICKY)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (sf, odd_dir, str(tmp_path)):
+        got = op4.op4_pii_bootstrap(spark, d).toPandas()
+        texts = spark.read.parquet(f"{d}/documents.parquet").toPandas()
+        want = sorted((str(i), sha(spans(t, PII, pii_ok))) for i, t in zip(texts.doc_id, texts.text))
+        assert sorted((str(i), h) for i, h in zip(got.doc_id, got.base_sha256)) == want
+
+
+def test_pii_patterns_find_unseen_identifiers(spark):
+    seeds = [(k, f"please call me on +1 (234) 567-{8000 + k} today") for k in range(12)]
+    new = [(100, "please call me on 0049-5551 today"), (101, "Apache License, version 20045 applies")]
+    licences = [(200 + k, f"under License, version {20000 + k} it is") for k in range(12)]
+    got = {r["doc_id"]: r["spans"] for r in op4.pii_digest(spark.createDataFrame(seeds + new + licences, "doc_id long, text string")).collect()}
+    assert got[100] == "context:18:27" and got[101] == "" and all(got[k] == "" for k, _ in licences)
+
+
+def test_redaction(spark):
+    table = spark.createDataFrame([(1, "mail a@b.cd now", "k"), (1, None, "k"), (2, "é 1.2.3.4", None)], "doc_id long, text string, other string")
+    got = sorted(map(tuple, op4.redact(table).collect()), key=str)
+    assert got == sorted([(1, "mail <EMAIL> now", "k"), (1, None, "k"), (2, "é <IP>", None)], key=str)
+
+
+# 5 -------------------------------------------------------------------------------------------------------------------
+def test_quality_learns_the_grades(spark, sf):
+    got = op5.op5_quality(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+    good = (got.quality == 1) & (got.toxic == 0)
+    assert got[good].kept.mean() > 0.97 and got[~good].kept.mean() < 0.15
+    assert ((got.p_grade_1 >= got.p_grade_2 - 1e-9) & got.expected_grade.between(0, 2)).all()
+    assert (got.expected_grade - got.p_grade_1 - got.p_grade_2).abs().max() < 1e-9
+
+
+def test_ordinal_thresholds_are_ordered():
+    rng = random.Random(5)
+    rows, grades = [], []
+    for _ in range(600):
+        level = rng.randrange(3)
+        rows.append(sorted({rng.randrange(100, 140), *([1] if level == 0 else []), *([2] if level == 2 else [])}))
+        grades.append(level)
+    model = op5.fit_ordinal(rows, grades)
+    assert model["theta"][0] <= model["theta"][1] and model["weights"][1] < 0 < model["weights"][2]
+    assert op5.fit_ordinal(rows, [1] * 600) is None and op5.fit_ordinal([], []) is None
+
+
+# 6 -------------------------------------------------------------------------------------------------------------------
+def test_language_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = op6.op6_language_id(spark, d).toPandas().merge(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    held = got[got.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_language_without_letters(spark):
+    table = spark.createDataFrame([(1, "123 ++"), (2, None), (3, "")], "doc_id long, text string")
+    for model in (None, op6.fit(*_two_languages(), 8, 1.0)):
+        assert {(r["lang_pred"], r["score"]) for r in op6.identify_language(table, model).collect()} == {("und", 0.0)}
+
+
+def _two_languages():
+    import numpy as np
+
+    texts = [("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4
+    x = np.zeros((len(texts), op6.DIM), np.uint8)
+    for row, (t, _) in zip(x, texts):
+        op6.presence(t, row)
+    return x, [n for _, n in texts]
+
+
+def test_presence_kernel_is_blended_spectrum():
+    import numpy as np
+
+    x = np.zeros((2, op6.DIM), np.float32)
+    op6.presence("abc", x[0])
+    op6.presence("abd", x[1])
+    assert x[0].sum() == 6 and op6.kernel(x[:1], x[1:])[0, 0] == pytest.approx(3 / 6)  # a, b, ab
+
+
+# 7 -------------------------------------------------------------------------------------------------------------------
+def test_pieces_round_trip_and_lattice(spark, sf, docs):
+    got = op7.op7_piece_lattice(spark, sf).toPandas()
+    assert got.round_trip.all() and {tuple(x) for x in zip(got.doc_id, got.decoded_sha256)} == {(i, sha(t)) for i, t in zip(docs.doc_id, docs.text)}
+    costs, _ = op7.load_pieces()
+    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
+    units = sorted({u for t in docs.text[:40] for u in op7.UNIT.findall(" " + t)} | {" ▁é😀", "\n", " "})[-800:]
+    pieces = spark.createDataFrame([(p, c, i) for p, (c, i) in costs.items()], "piece string, cost int, id int")
+    made = op7.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), pieces).collect()
+    assert len(made) == len(units) and all(r["ids"] == op7.fold(r["unit"], costs, prefixes) for r in made)
+
+
+def test_fold_is_cheapest_by_brute_force():
+    costs = {"a": (5, 1), "b": (6, 2), "ab": (9, 3), "ba": (4, 4), "aba": (13, 5), "bab": (9, 6)}
+    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
+
+    def ways(s):
+        if not s:
+            yield 0, ()
+        for p, (c, i) in costs.items():
+            if s.startswith(p):
+                yield from ((c + x, (i, *y)) for x, y in ways(s[len(p) :]))
+
+    price = {i: c for c, i in costs.values()}
+    for s in ("a", "ab", "abab", "babab", "aabba", "abababa"):
+        assert sum(price[i] for i in op7.fold(s, costs, prefixes)) == min(ways(s))[0]
+
+
+# 8 -------------------------------------------------------------------------------------------------------------------
+def brute_components(texts, k, percent):
+    sets = {}
+    for i, t in texts:
+        w = words(lower(t))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for p, a in enumerate(ids):
+        for b in ids[p + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_are_exact(spark, docs, k, percent):
+    rng = random.Random(8)
+    texts = list(docs.text[:80]) + [None, "", " \n", "one two", "One  two"]
+    for t in docs.text[:25]:
+        w = t.split(" ")
+        for change in (0, 1, 2, 4, 8):
+            x = list(w)
+            for _ in range(change):
+                x[rng.randrange(len(x))] = f"changed{rng.randrange(9)}"
+            texts.append(" ".join(x))
+    rows = list(enumerate(texts))
+    got = op8.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    want = brute_components(rows, k, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_links_between_members_that_are_not_smallest(spark, monkeypatch):
+    """A chain of edits: neighbours are linked, and the smallest id is far from most members of its buckets."""
+    monkeypatch.setattr(op8, "BLOCK", 4)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for step in range(24):
+        rows.append((100 - step if step % 2 else 200 + step, " ".join(base)))
+        for _ in range(4):
+            base[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+    got = op8.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
+    assert dict(op8.components(edges).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
+
+
+# 9 -------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 4000, 70000])
+def test_lzw_round_trip(n):
+    rng = random.Random(n)
+    for data in (rng.randbytes(n), b"a" * n, (b"the quick brown fox " * n)[:n]):
+        assert gif.lzw_decode(gif.lzw_encode(data), 8, n) == data
+
+
+def test_gif_payload(spark, sf, docs):
+    got = op9.op9_gif_media(spark, sf).toPandas().set_index("doc_id")
+    for i, t in zip(docs.doc_id, docs.text):
+        raw = t.encode()
+        raw += b" " * (-len(raw) % 192 if raw else 192)
+        r = got.loc[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t.encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))
+
+
+def test_gif_known_file_disposal_and_broken_files(spark):
+    # a published 3 x 5 sample stream: known code bytes of four colours
+    assert gif.lzw_decode(bytes([0x8C, 0x2D, 0x99, 0x87, 0x2A, 0x1C, 0xDC, 0x33, 0xA0, 0x02, 0x75, 0xEC, 0x95, 0xFA, 0xA8, 0xDE, 0x60, 0x8C, 0x04, 0x91, 0x4C, 0x01]), 2, 100)[:10] == bytes([1, 1, 1, 1, 1, 2, 2, 2, 2, 2])
+    import numpy as np
+
+    one = lambda v, w=2, h=2: np.full((h, w), v, np.uint8)
+    frames = [gif.Frame(0, 0, 2, 2, one(10), None, 5, 1), gif.Frame(0, 0, 1, 1, one(20, 1, 1), None, 6, 2), gif.Frame(1, 1, 1, 1, one(30, 1, 1), None, 7, 3), gif.Frame(0, 0, 2, 2, one(0), None, 8, 0, 0)]
+    data = gif.encode(frames, 2, 2)
+    w, h, got = gif.decode(data)
+    red = [f.canvas[..., 0].ravel().tolist() for f in got]
+    assert red == [[10, 10, 10, 10], [20, 10, 10, 10], [0, 10, 10, 30], [0, 10, 10, 10]] and got[2].canvas[0, 0, 3] == 0
+    table = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"GIF89a")), (4, bytearray(data[:-20])), (5, bytearray(b"no"))], "id long, content binary")
+    rows = {r["id"]: r["gif"] for r in op9.gif_frames(table).collect()}
+    assert rows[1]["duration_cs"] == 26 and [f["delay_cs"] for f in rows[1]["frames"]] == [5, 6, 7, 8] and sum(rows[1]["frames"][0]["histogram"]) == 12
+    assert rows[2] is None and all(rows[k]["error"] and rows[k]["frames"] is None for k in (3, 4, 5))
+
+
+# 10 ------------------------------------------------------------------------------------------------------------------
+def test_ctw_base_scores(spark, sf, docs):
+    got = op10.op10_ctw_scores(spark, sf).toPandas()
+    learn = [t for i, t in zip(docs.doc_id, docs.text) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in learn for w in [*words(lower(t)), "\n"])
+    n, v = sum(c.values()), len(c)
+    texts = dict(zip(docs.doc_id, docs.text))
+    for r in got.itertuples():
+        w = [*words(lower(texts[r.doc_id])), "\n"]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and r.score < 0
+    assert got[got.held_out].bits_per_byte.mean() < 3.5
+
+
+def brute_ctw(words_, depth):
+    """P(bit | context) by the recursion of the definition, over dictionaries of bit sequences."""
+    seqs = defaultdict(lambda: [0, 0])
+    for w, n in words_:
+        s = b" " * depth + w + b" "
+        for k in range(depth, len(s)):
+            for i in range(8):
+                for d in range(depth + 1):
+                    seqs[(s[k - d : k], 1 << i | s[k] >> (8 - i))][s[k] >> (7 - i) & 1] += n
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    children = defaultdict(list)
+    for c, node in seqs:
+        if c:
+            children[(c[1:], node)].append((c, node))
+
+    def log_pw(s):
+        own = kt(*seqs[s])
+        return own if len(s[0]) == depth else math.log(0.5) + math.log(math.exp(own - m) + math.exp(x - m)) + m if (m := max(own, x := sum(map(log_pw, children[s])))) or True else 0
+
+    def prob(context, node):
+        p = None
+        for d in range(depth, -1, -1):
+            s = (context[len(context) - d :], node)
+            if s not in seqs:
+                p = 0.5 if p is None else p
+                continue
+            a, b = seqs[s]
+            own = (b + 0.5) / (a + b + 1)
+            stop = 1.0 if d == depth else math.exp(kt(a, b) + math.log(0.5) - log_pw(s))
+            p = stop * own + (1 - stop) * (0.5 if p is None else p)
+        return p
+
+    return prob
+
+
+def test_ctw_matches_the_definition():
+    import numpy as np
+
+    depth, corpus = 2, [(b"abab", 3), (b"abba", 2), (b"b", 4)]
+    code, of = op10.grams([w for w, _ in corpus], depth)
+    weight = np.array([n for _, n in corpus])[of]
+    kept = []
+    for d in range(depth + 1):
+        kinds, back = np.unique(code & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        kept.append((kinds, np.bincount(back, weights=weight).astype(np.int64)))
+    levels = op10.grow(kept)
+    prob = brute_ctw(corpus, depth)
+    for w in (b"ab", b"bab", b"xa", b"a"):
+        s, want = b" " * depth + w + b" ", 0.0
+        for k in range(depth, len(s)):
+            for i in range(8):
+                p = prob(s[k - depth : k], 1 << i | s[k] >> (8 - i))
+                want += math.log10(p if s[k] >> (7 - i) & 1 else 1 - p)
+        assert op10.score_words(levels, [w], depth)[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_ctw_is_a_distribution():
+    import numpy as np
+
+    code, of = op10.grams([b"hello", b"help"], 3)
+    kept = [np.unique(code & ((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(4)]
+    levels = op10.grow(kept)
+    for context in (b"   ", b" he", b"xyz"):
+        c = int.from_bytes(context, "big") << 8
+        assert sum(10 ** op10.gram_log10(levels, c | np.arange(256))) == pytest.approx(1, abs=1e-6)
+
+
+# pipeline ------------------------------------------------------------------------------------------------------------
+def test_pipeline_stages(spark, sf, odd_dir, empty_dir):
+    import corpus_pipeline as pipeline
+    from corvine.llm.common import materialize
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, []
+    for name, stage in pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "test")
+        kept.append((name, docs))
+    assert [n for n, _ in kept] == ["quality", "near_duplicates", "personal_data", "mix", "pieces"]
+    assert all(d.columns == columns for _, d in kept[:-1]) and kept[-1][1].columns[: len(columns)] == columns
+    first, second, third, fourth, last = (d.toPandas() for _, d in kept)
+    want = brute_components(list(zip(first.doc_id, first.text)), 5, 80)
+    assert set(second.doc_id) == {i for i, (_, c) in want.items() if c == i}
+    assert set(third.doc_id) == set(second.doc_id) and not any(re.search(PII[0][1], t) for t in third.text)
+    assert (third.n_chars == third.text.str.len()).all()
+    copies = Counter(fourth.doc_id)
+    assert set(copies) <= set(third.doc_id) and max(copies.values()) <= 3 and len(last) == len(fourth)
+    for d in (odd_dir, empty_dir):
+        assert pipeline.run(spark, d).columns[:5] == columns
