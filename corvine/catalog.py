@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import plans  # noqa: F401  the import registers
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
