@@ -1,3 +1,3 @@
 """Plans of the registered queries, by family. Importing this package registers them."""
 
-from . import joins, relational, windows  # noqa: F401
+from . import aggregates, iterative, joins, relational, windows  # noqa: F401
