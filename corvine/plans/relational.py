@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import scalar as fn
+from ..operators.iterate import global_rank
 from ..registry import query, table
 
 
@@ -168,9 +169,9 @@ def o05(spark, d):
 @query("o06_natural_order", """SELECT page_id, row_number() OVER (ORDER BY lpad(regexp_extract(url, '(\\d+)$', 1), 20, '0'), length(url), url, page_id) AS place
 FROM (SELECT page_id, 'page' || page_id AS url FROM pages)""")
 def o06(spark, d):
-    """Numbers inside names compare as numbers. A total order over rows asks for one range-sorted pass; the rank is its index."""
+    """Numbers inside names compare as numbers; the rank comes from a range sort, not from one task."""
     pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("page"), F.col("page_id")).alias("url"))
-    return pages.select("page_id", F.row_number().over(Window.orderBy(fn.natural_key(F.col("url")), "page_id")).cast("long").alias("place"))
+    return global_rank(pages, [fn.natural_key(F.col("url")), "page_id"], "place").select("page_id", F.col("place").cast("long").alias("place"))
 
 
 # Set operations ---------------------------------------------------------------------------------------------------------

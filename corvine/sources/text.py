@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import natural_key
+from ..operators.iterate import global_rank
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
@@ -26,12 +27,10 @@ def sidecar_rows(lines: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = False, natural: bool = False) -> DataFrame:
     """path, name, n: in order of name without case, or of numbers in names."""
-    from pyspark.sql import Window
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path")
     named = files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     key = natural_key(F.col("name")) if natural else F.lower("name")
-    return named.withColumn("n", F.row_number().over(Window.orderBy(key, "path")))
+    return global_rank(named, [key, "path"], "n")
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
