@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as bytes, for split() on encoded text.
 SPACE_BYTES = bytes([32, 9, 10, 11, 12, 13])
 
+#: Rows whose values are in Python's memory at once, whatever the size of Arrow's batches.
+ROWS_AT_ONCE = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,9 +79,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             made = fn(*[b.column(b.schema.get_field_index(c)) for c in reads])
             old = [b.column(b.schema.get_field_index(c)) for c in names]
             made = [a if isinstance(a, pa.Array) else pa.array(a, type=arrow.field(len(old) + i).type) for i, a in enumerate(made)]

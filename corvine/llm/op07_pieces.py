@@ -1,7 +1,7 @@
 """Operator 7, SentencePiece encoding and decoding by a relational lattice.
 
 The piece table is a public SentencePiece model (a parameter; never trained or copied here). A text with one blank before it is cut
-into units, a blank with the word after it, or a line feed. For the units, substrings up to the longest piece
+into units: a blank with the word or the signs after it, those alone, a blank, or a line feed. For the units, substrings up to the longest piece
 are exploded and equi-joined to the piece table, the edges are grouped by unit, and a Spark higher-order aggregate folds
 Viterbi over the end positions: least cost, then fewest pieces, then the longest last piece. A character
 without a piece costs FALLBACK and becomes its UTF-8 bytes, so decoding gives back every text exactly.
@@ -39,7 +39,7 @@ UNIT_SHARE = 2.0**-20
 FALLBACK = 60_000
 SHIFT = 300
 LONGEST_UNIT = 48
-UNIT = re.compile(r" ?[^ \n]+| |\n")
+UNIT = re.compile(r" ?\w+| ?[^\w \n]+| |\n")
 MARK = "▁"
 
 
@@ -72,31 +72,35 @@ def byte_ids(texts: list[bytes]) -> list[int]:
     return [found[bytes([b])] for b in range(256)]
 
 
-def fold(unit: str, costs: dict[str, tuple[int, int]], prefixes: set[str]) -> list[int]:
-    """The ids of a unit; a negative one is a character, as its code point, for the fallback to bytes."""
-    n = len(unit)
-    best: list = [None] * (n + 1)
-    best[0] = (0, 0, 0, 0)
+def trie(costs: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """Every prefix of a piece; pieces with (cost << 20 | 1, id), where sums compare by cost, then number of pieces."""
+    out: dict = {p[:k]: () for p in costs for k in range(1, len(p))}
+    return out | {p: (cost << 20 | 1, i) for p, (cost, i) in costs.items()}
+
+
+def fold(unit: str, pieces: dict[str, tuple[int, int]]) -> list[int]:
+    """The ids of a unit by the trie of pieces; a negative one is a character, as its code point, for the fallback to bytes.
+    Starts ascend, so of equal sums the first one found has the longest last piece."""
+    n, get = len(unit), pieces.get
+    best, back = [1 << 62] * (n + 1), [(0, 0)] * (n + 1)
+    best[0] = 0
     for s in range(n):
-        cost, k = best[s][:2]
-        single = True
-        for e in range(s + 1, n + 1):
-            part = unit[s:e]
-            if part not in prefixes:
+        base = best[s]
+        hit = get(unit[s])
+        if not hit and (new := base + (FALLBACK << 20 | 1)) < best[s + 1]:
+            best[s + 1], back[s + 1] = new, (s, -ord(unit[s]))
+        e = s + 1
+        while hit is not None:
+            if hit and (new := base + hit[0]) < best[e]:
+                best[e], back[e] = new, (s, hit[1])
+            if e == n:
                 break
-            if hit := costs.get(part):
-                new = (cost + hit[0], k + 1, s, hit[1])
-                if best[e] is None or new < best[e]:
-                    best[e] = new
-                single = single and e > s + 1
-        if single:
-            new = (cost + FALLBACK, k + 1, s, -ord(unit[s]))
-            if best[s + 1] is None or new < best[s + 1]:
-                best[s + 1] = new
+            e += 1
+            hit = get(unit[s:e])
     ids = []
     while n:
-        ids.append(best[n][3])
-        n = best[n][2]
+        n, i = back[n]
+        ids.append(i)
     return ids[::-1]
 
 
@@ -124,7 +128,7 @@ def common_units(docs: DataFrame, text: str) -> DataFrame:
             for t in b.column(0):
                 if t.is_valid:
                     seen.update(UNIT.findall(" " + t.as_py()))
-            if len(seen) > 1_000_000:  # a long task goes by pieces, each told for itself
+            if len(seen) > 400_000:  # a long task goes by pieces, each told for itself
                 total = sum(seen.values())
                 kept = {u: n for u, n in seen.items() if n >= UNIT_SHARE * total}
                 yield pa.RecordBatch.from_arrays([pa.array([*kept, ""]), pa.array([*kept.values(), total], pa.int64())], names=["unit", "n"])
@@ -146,7 +150,6 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
     bytes_ = byte_ids(texts)
     pieces = spark.createDataFrame([(p, c, i) for p, (c, i) in costs.items()], "piece string, cost int, id int")
     rows = lattice(common_units(docs, text), pieces).toPandas()
-    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
 
     def packed(ids) -> bytes:
         flat = []
@@ -154,10 +157,10 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             flat += [i] if i > 0 else [bytes_[b] for b in chr(-i).encode()]
         return np.array(flat, np.int32).tobytes()
 
-    held = spark.sparkContext.broadcast((dict(zip(rows["unit"], map(packed, rows["ids"]), strict=True)), costs, prefixes))
+    held = spark.sparkContext.broadcast((dict(zip(rows["unit"], map(packed, rows["ids"]), strict=True)), trie(costs)))
 
     def make():
-        known, costs, prefixes = held.value
+        known, pieces = held.value
         rare: dict[str, bytes] = {}
 
         def code(unit: str) -> bytes:
@@ -165,7 +168,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             if ids is None:
                 if len(rare) > 200_000:
                     rare.clear()
-                ids = rare[unit] = packed(fold(unit, costs, prefixes))
+                ids = rare[unit] = packed(fold(unit, pieces))
             return ids
 
         def run(column):
@@ -188,11 +191,17 @@ def decode_pieces(coded: DataFrame, ids: str = "piece_ids", model: str = MODEL)
     held = coded.sparkSession.sparkContext.broadcast(load_pieces(model)[1])
 
     def make():
-        texts = held.value
+        table_ = np.frombuffer(b"".join(held.value), np.uint8)
+        size = np.array([len(t) for t in held.value])
+        start = np.cumsum(size) - size
 
         def run(column):
-            values, at = column.flatten().to_pylist(), np.cumsum([0, *[len(x) if x.is_valid else 0 for x in column]])
-            return [[b"".join([texts[i] for i in values[a:b]])[1:].decode(errors="replace") if x.is_valid else None for x, a, b in zip(column, at, at[1:], strict=False)]]
+            ids = column.flatten().to_numpy()
+            of = size[ids]
+            ends = np.concatenate([[0], np.cumsum(of)])
+            data = table_[np.repeat(start[ids] - ends[:-1], of) + np.arange(ends[-1])].tobytes()
+            at = ends[np.cumsum([0, *[len(x) if x.is_valid else 0 for x in column]])]
+            return [[data[a + 1 : b].decode(errors="replace") if x.is_valid else None for x, a, b in zip(column, at, at[1:], strict=False)]]
 
         return run
 

@@ -254,16 +254,16 @@ def test_pieces_round_trip_and_lattice(spark, sf, docs):
     got = op7.op7_piece_lattice(spark, sf).toPandas()
     assert got.round_trip.all() and {tuple(x) for x in zip(got.doc_id, got.decoded_sha256)} == {(i, sha(t)) for i, t in zip(docs.doc_id, docs.text)}
     costs, _ = op7.load_pieces()
-    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
+    known = op7.trie(costs)
     units = sorted({u for t in docs.text[:40] for u in op7.UNIT.findall(" " + t)} | {" ▁é😀", "\n", " "})[-800:]
     pieces = spark.createDataFrame([(p, c, i) for p, (c, i) in costs.items()], "piece string, cost int, id int")
     made = op7.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), pieces).collect()
-    assert len(made) == len(units) and all(r["ids"] == op7.fold(r["unit"], costs, prefixes) for r in made)
+    assert len(made) == len(units) and all(r["ids"] == op7.fold(r["unit"], known) for r in made)
 
 
 def test_fold_is_cheapest_by_brute_force():
     costs = {"a": (5, 1), "b": (6, 2), "ab": (9, 3), "ba": (4, 4), "aba": (13, 5), "bab": (9, 6)}
-    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
+    known = op7.trie(costs)
 
     def ways(s):
         if not s:
@@ -274,7 +274,7 @@ def test_fold_is_cheapest_by_brute_force():
 
     price = {i: c for c, i in costs.values()}
     for s in ("a", "ab", "abab", "babab", "aabba", "abababa"):
-        assert sum(price[i] for i in op7.fold(s, costs, prefixes)) == min(ways(s))[0]
+        assert sum(price[i] for i in op7.fold(s, known)) == min(ways(s))[0]
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
