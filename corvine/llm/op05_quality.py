@@ -62,14 +62,15 @@ def slot(word: str) -> int:
     return zlib.crc32(word.encode()) >> (32 - BITS)
 
 
-def features(text: str | None) -> list[int]:
+def features(text: str | None) -> bytes:
+    """Slots in ascending order, four bytes each."""
     text = text or ""
     words = TOKEN.findall(text.lower())
     distinct = set(words)
-    return sorted({slot(w) for w in distinct} | {slot(w) for w in form(text, words, len(distinct))})
+    return np.array(sorted({slot(w) for w in distinct} | {slot(w) for w in form(text, words, len(distinct))}), np.int32).tobytes()
 
 
-def fit_ordinal(rows: list[list[int]], grades: list[int], n_grades: int = GRADES, l1: float = 1.0, rounds: int = 300) -> dict | None:
+def fit_ordinal(rows: list, grades: list[int], n_grades: int = GRADES, l1: float = 1.0, rounds: int = 300) -> dict | None:
     """Accelerated proximal gradient descent on the cumulative-link likelihood plus l1 * |w|."""
     y = np.array(grades)
     levels = [k for k in range(1, n_grades) if 0 < (y >= k).sum() < len(y)] if len(y) else []
@@ -118,11 +119,11 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, max_labelled: int =
     graded = graded.select("doc_id", F.when(toxic == 1, 0).when(quality == 0, 1).otherwise(2).alias("grade"))
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id")
-    made = append_columns(texts, ["text"], [T.StructField("slots", T.ArrayType(T.IntegerType()))], lambda: lambda t: [[features(x) for x in t.to_pylist()]])
+    made = append_columns(texts, ["text"], [T.StructField("slots", T.BinaryType())], lambda: lambda t: [[features(x) for x in t.to_pylist()]])
     one = made.groupBy("doc_id").agg(F.min("slots").alias("slots"))  # of texts that share an id, one
     rows = one.join(some, "doc_id").select("slots", "grade").collect()
     rows.sort(key=lambda r: (r["grade"], r["slots"]))
-    return fit_ordinal([r["slots"] for r in rows], [r["grade"] for r in rows])
+    return fit_ordinal([np.frombuffer(r["slots"], np.int32) for r in rows], [r["grade"] for r in rows])
 
 
 def score_quality(docs: DataFrame, model: dict | None, keep_grade: int = 2, keep_probability: float = 0.5) -> DataFrame:
