@@ -78,7 +78,15 @@ def rank_match(left: DataFrame, right: DataFrame, keys: list, left_order: list,
         n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.select(*keys, n.alias("n"), *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in keys], F.lit(True).alias(f"in_{mark}"))
 
-    return ranked(left, left_order, "l").join(ranked(right, right_order, "r"), [*keys, "n"], "full_outer")
+    return full_outer(ranked(left, left_order, "l"), ranked(right, right_order, "r"), [*keys, "n"], "in_l")
+
+
+def full_outer(left: DataFrame, right: DataFrame, keys: list, mark: str) -> DataFrame:
+    """Full outer join in which null keys meet; mark is a column of left that is never null."""
+    r = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = left.join(r, on, "full_outer")
+    return both.withColumns({k: F.when(F.col(mark).isNotNull(), F.col(k)).otherwise(F.col(f"__{k}")) for k in keys}).drop(*[f"__{k}" for k in keys])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list, a: tuple[str, str], b: tuple[str, str], width: float) -> DataFrame:

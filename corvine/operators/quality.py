@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..sources.musicxml import tree_diff
 from .aggregates import precision_recall
 from .grouped import match_by_tolerance
-from .joins import rank_match
+from .joins import full_outer, rank_match
 
 
 def set_diff(expected: DataFrame, actual: DataFrame, keys: list) -> DataFrame:
     """keys, verdict: matched, missing or extra, each key once."""
     e, a = expected.select(*keys, F.lit(1).alias("e")).distinct(), actual.select(*keys, F.lit(1).alias("a")).distinct()
-    both = e.join(a, keys, "full_outer")
+    both = full_outer(e, a, keys, "e")
     return both.select(*keys, F.when(F.col("e").isNull(), "extra").when(F.col("a").isNull(), "missing").otherwise("matched").alias("verdict"))
 
 
