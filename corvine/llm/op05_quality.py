@@ -33,6 +33,8 @@ from .common import append_columns, table
 BITS = 18
 TOKEN = re.compile(r"\w+")
 GRADES = 3
+#: Entries of the sample that the fit has in work at once.
+CHUNK = 250_000
 
 
 def steps(value: float, edges: tuple) -> int:
@@ -76,9 +78,11 @@ def fit_ordinal(rows: list, grades: list[int], n_grades: int = GRADES, l1: float
     levels = [k for k in range(1, n_grades) if 0 < (y >= k).sum() < len(y)] if len(y) else []
     if not levels:
         return None
-    cols = np.concatenate([np.array(r, np.int64) for r in rows])
+    cols = np.concatenate([np.array(r, np.int32) for r in rows])
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen, cols = np.unique(cols, return_inverse=True)
+    cols, at = cols.astype(np.int32), at.astype(np.int32)
+    spans = [slice(i, i + CHUNK) for i in range(0, len(cols), CHUNK)]
     often = np.bincount(cols)
     scale = 1 / np.sqrt(np.maximum(1, often / len(rows) * 50))  # common features step less
     theta = np.array([-np.log((y >= k).mean() / (1 - (y >= k).mean())) for k in levels])
@@ -89,9 +93,14 @@ def fit_ordinal(rows: list, grades: list[int], n_grades: int = GRADES, l1: float
     weight = np.sqrt(weight)  # rare grades count more, yet calibration is kept near
 
     def slope(w, theta):
-        eta = np.bincount(at, weights=(w * scale)[cols], minlength=len(rows))
+        v, eta, along = w * scale, np.zeros(len(rows)), np.zeros(len(seen))
+        for s in spans:
+            eta += np.bincount(at[s], weights=v[cols[s]], minlength=len(rows))
         off = (1 / (1 + np.exp(-np.clip(eta - theta[:, None], -30, 30))) - target) * weight
-        return np.bincount(cols, weights=off.sum(axis=0)[at], minlength=len(seen)) * scale, -off.sum(axis=1)
+        each = off.sum(axis=0)
+        for s in spans:
+            along += np.bincount(cols[s], weights=each[at[s]], minlength=len(seen))
+        return along * scale, -off.sum(axis=1)
 
     step, last_w, last_t, speed = 4.0 / (len(rows) * len(levels)) / 2, w, theta, 1.0
     ahead_w, ahead_t = w, theta
