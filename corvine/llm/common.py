@@ -18,8 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as bytes, for split() on encoded text.
 SPACE_BYTES = bytes([32, 9, 10, 11, 12, 13])
 
-#: Rows whose values are in Python's memory at once, whatever the size of Arrow's batches.
-ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch between the JVM and Python at most, and rows whose values are Python objects at once.
+BATCH_ROWS, ROWS_AT_ONCE = 1000, 256
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session; both sides hold a few of them for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +68,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     """df and new columns made batch by batch from Arrow arrays: make() is called once per partition
     and returns the function from input arrays to output arrays. A column of df whose name
     one of the new ones takes (in any case) is replaced."""
+    bound_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     both = [c for c in df.columns if c.lower() in taken]
     work = df
