@@ -53,8 +53,15 @@ def page_symbols(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SYMBOLS)
 
 
+CHAINS: dict[str, dict[str, DataFrame]] = {}
+
+
 def resolved(spark: SparkSession) -> dict[str, DataFrame]:
-    return score.resolve(page_symbols(spark), page_blocks(spark), list(METERS))
+    """The chain's tables, made once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in CHAINS:
+        CHAINS[app] = score.resolve(page_symbols(spark), page_blocks(spark), list(METERS))
+    return CHAINS[app]
 
 
 def grid_of(spark: SparkSession) -> DataFrame:
@@ -62,12 +69,12 @@ def grid_of(spark: SparkSession) -> DataFrame:
     return score.logical_grid(page_blocks(spark), meters)
 
 
-@query("g01_staves", """SELECT * FROM (VALUES ('p1', 0, 0, 100.0, 140.0, 4, NULL), ('p1', 0, 1, 220.0, 260.0, 4, NULL), ('p2', NULL, NULL, NULL, NULL, NULL, 'no staff system')) t(page, system, staff, top, bottom, bars, error)""")
+@query("g01_staves", """SELECT * FROM (VALUES ('p1', 0, 0, 100.0, 140.0, 4, NULL), ('p1', 0, 1, 220.0, 260.0, 4, NULL), ('p2', NULL, NULL, NULL, NULL, NULL, 'no staff system')) t(page, system, staff, top, bottom, bars, error)""", top="DOUBLE", bottom="DOUBLE")
 def g01(spark, d):
     return score.detect_staves(page_lines(spark)).select("page", "system", "staff", "top", "bottom", F.when(F.size("bars") >= 0, F.size("bars")).alias("bars"), "error")
 
 
-@query("g02_blocks", """SELECT CAST(p AS INTEGER) AS part, CAST(m AS INTEGER) AS measure, m = 1 AS starts_new_system, 50.0 + 200 * (m - 1) AS "left", 50.0 + 200 * m AS "right" FROM generate_series(1, 2) a(p), generate_series(1, 3) b(m)""")
+@query("g02_blocks", """SELECT CAST(p AS INTEGER) AS part, CAST(m AS INTEGER) AS measure, m = 1 AS starts_new_system, 50.0 + 200 * (m - 1) AS "left", 50.0 + 200 * m AS "right" FROM generate_series(1, 2) a(p), generate_series(1, 3) b(m)""", left="DOUBLE", right="DOUBLE")
 def g02(spark, d):
     return page_blocks(spark).selectExpr("part", "measure", "starts_new_system", "`left`", "`right`")
 
@@ -274,7 +281,7 @@ def d0102(spark, d):
     return found.withColumn("d", gap("fourier", "rf")).groupBy("name").agg(F.min_by("ref", F.struct("d", "ref")).alias("nearest"))
 
 
-@query("d05_d06_numbers", "SELECT * FROM (VALUES (0, '12', 0.6), (1, '4', 0.5)) t(number, label, confidence)")
+@query("d05_d06_numbers", "SELECT * FROM (VALUES (0, '12', 0.6), (1, '4', 0.5)) t(number, label, confidence)", confidence="DOUBLE")
 def d0506(spark, d):
     rows = [("m", 1, 0.0, "1", 0.6, False), ("m", 2, 5.0, "2", 0.6, True), ("m", 3, 20.0, "4", 0.5, False)]
     p = spark.createDataFrame(rows, "m string, id int, left double, label string, confidence double, gap_after boolean")
@@ -300,7 +307,7 @@ def scores(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("a.musicxml", SCORE), ("b.musicxml", SCORE.replace("<step>D", "<step>A")), ("broken.musicxml", "<score-partwise><part>")], "path string, content string")
 
 
-@query("s08_s09_timed_notes", """SELECT * FROM (VALUES ('1', 'C', 0.0, 2.0), ('1', 'E', 0.0, 2.0), ('1', 'D', 2.0, 2.0), ('1', NULL, 0.0, 1.0), ('1', 'F', 2.0, 2.0), ('2', 'G', 0.0, 4.0)) t(measure, step, position, quarters)""")
+@query("s08_s09_timed_notes", """SELECT * FROM (VALUES ('1', 'C', 0.0, 2.0), ('1', 'E', 0.0, 2.0), ('1', 'D', 2.0, 2.0), ('1', NULL, 0.0, 1.0), ('1', 'F', 2.0, 2.0), ('2', 'G', 0.0, 4.0)) t(measure, step, position, quarters)""", position="DOUBLE", quarters="DOUBLE")
 def s08(spark, d):
     return musicxml.timed_events(musicxml.parse_column(scores(spark), "path", "content").where("path = 'a.musicxml'")).select("measure", "step", F.col("position").cast("double"), "quarters")
 
@@ -329,7 +336,7 @@ def q03(spark, d):
     return quality.multiset_diff(n.where("path = 'a.musicxml'"), n.where("path = 'b.musicxml'"), ["measure", "step", "octave"], ["pos"], ["type", "accidental", "dots"]).select("step", "verdict")
 
 
-@query("q04_event_match_f1", "SELECT 5 AS matched, 1 AS mismatched, 0 AS missing, 0 AS extra, 0.833333 AS f1")
+@query("q04_event_match_f1", "SELECT 5 AS matched, 1 AS mismatched, 0 AS missing, 0 AS extra, 0.833333 AS f1", f1="DOUBLE")
 def q04(spark, d):
     """The changed note is matched in time and wrong in pitch."""
     e = iterate.cut(musicxml.timed_events(musicxml.parse_column(scores(spark), "path", "content")).withColumn("id", (F.col("measure_pos") * 1000 + F.col("pos")).cast("long")))
@@ -361,7 +368,7 @@ def q02(spark, d):
 SVG = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink"><defs><path id="g" d="M0 0h2v2h-2z m1 1 q1 0 1 1"/></defs><g transform="translate(10,20)"><use xlink:href="#g" x="1" y="2"/><line x1="0" y1="0" x2="5" y2="0"/></g><rect x="1" y="1" width="3" height="4"/><path d="M1 1 C 1 2 3 2 3 1 S 5 0 5 1 Z"/></svg>'
 
 
-@query("s04_s05_svg_contours", """SELECT * FROM (VALUES (0, 'path', true, 11.0, 22.0, 13.0, 24.0), (1, 'path', true, 12.0, 23.0, 13.0, 24.0), (2, 'line', false, 10.0, 20.0, 15.0, 20.0), (3, 'rect', false, 1.0, 1.0, 4.0, 5.0), (4, 'path', false, 1.0, 0.25, 5.0, 1.75)) t(id, element, is_use, "left", top, "right", bottom)""")
+@query("s04_s05_svg_contours", """SELECT * FROM (VALUES (0, 'path', true, 11.0, 22.0, 13.0, 24.0), (1, 'path', true, 12.0, 23.0, 13.0, 24.0), (2, 'line', false, 10.0, 20.0, 15.0, 20.0), (3, 'rect', false, 1.0, 1.0, 4.0, 5.0), (4, 'path', false, 1.0, 0.25, 5.0, 1.75)) t(id, element, is_use, "left", top, "right", bottom)""", left="DOUBLE", top="DOUBLE", right="DOUBLE", bottom="DOUBLE")
 def s04(spark, d):
     pages = spark.createDataFrame([("p.svg", SVG)], "path string, content string")
     return svg.parse_column(pages, "path", "content").selectExpr("id", "element", "is_use", *[f"round(`{c}`, 3) `{c}`" for c in ("left", "top", "right", "bottom")])
@@ -397,7 +404,7 @@ def s17(spark, d):
     return sidecar_rows(lines).drop("path")
 
 
-@query("s18_json_rows", "SELECT json_object('oOrderkey', o_orderkey, 'oOrderstatus', o_orderstatus) AS value FROM orders WHERE o_orderkey <= 100")
+@query("s18_json_rows", "SELECT json_object('oOrderkey', o_orderkey, 'oOrderstatus', o_orderstatus) AS value FROM orders WHERE o_orderkey <= 100", value="VARCHAR")
 def s18(spark, d):
     from ..sources.text import to_json_rows
 

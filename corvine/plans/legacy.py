@@ -44,7 +44,7 @@ def l10(spark, d):
     return op.recover_clefs(staves(spark), events, c).select("staff", "id", "kind")
 
 
-@query("l11_painted_positions", "SELECT * FROM (VALUES (1, 12.0), (2, 90.0)) t(id, x)")
+@query("l11_painted_positions", "SELECT * FROM (VALUES (1, 12.0), (2, 90.0)) t(id, x)", x="DOUBLE")
 def l11(spark, d):
     e = rows(spark, "page string, id int, source string, x double, y double", ("p", 1, "g", 10.0, 10.0), ("p", 2, "g", 90.0, 10.0))
     i = rows(spark, "page string, id int, source string, x double, y double", ("p", 5, "g", 12.0, 11.0), ("p", 6, "g", 15.0, 10.0), ("p", 7, "h", 90.5, 10.0), ("p", 8, "g", 107.0, 10.0))
@@ -82,7 +82,7 @@ def l16(spark, d):
     return op.drop_stemless_hollow(h, staves(spark), l).select("id")
 
 
-@query("l17_copy_stems", "SELECT * FROM (VALUES (2, 15.0, 'up'), (3, 15.0, 'up')) t(id, stem_x, direction)")
+@query("l17_copy_stems", "SELECT * FROM (VALUES (2, 15.0, 'up'), (3, 15.0, 'up')) t(id, stem_x, direction)", stem_x="DOUBLE")
 def l17(spark, d):
     h = rows(spark, "page string, staff int, id int, kind string, x double, y double, stem_x double, direction string", ("p", 1, 1, "half", 10.0, 100.0, 15.0, "up"), ("p", 1, 2, "half", 11.0, 110.0, None, None), ("p", 1, 3, "half", 9.0, 120.0, None, None), ("p", 1, 4, "half", 90.0, 100.0, 95.0, "up"), ("p", 1, 5, "half", 91.0, 110.0, None, None))
     return op.copy_stems(h, 10.0).select("id", "stem_x", "direction")
@@ -220,7 +220,7 @@ def l46v(spark, d):
     return op.lane_validity(n, F.lit(4.0)).select("lane", "valid")
 
 
-@query("l46_predicted_onsets", "SELECT * FROM (VALUES (1, 0.0), (2, 2.0), (3, 2.0), (4, 2.0)) t(pos, predicted)")
+@query("l46_predicted_onsets", "SELECT * FROM (VALUES (1, 0.0), (2, 2.0), (3, 2.0), (4, 2.0)) t(pos, predicted)", predicted="DOUBLE")
 def l46p(spark, d):
     return op.predicted_onsets(lane_notes(spark).withColumn("valid", F.col("lane") == 1), 0.5).select("pos", "predicted")
 
@@ -231,13 +231,13 @@ def l47(spark, d):
     return op.full_measure_rests(l).select("from", "to")
 
 
-@query("l48_delayed_onsets", "SELECT 2 AS lane, 2.0 AS forward")
+@query("l48_delayed_onsets", "SELECT 2 AS lane, 2.0 AS forward", forward="DOUBLE")
 def l48(spark, d):
     """A bass lane that starts late takes the onset of the note above it."""
     return op.delayed_onsets(lane_notes(spark)).select("lane", "forward")
 
 
-@query("l49_lane_offsets", "SELECT 2 AS lane, 4.0 AS \"offset\"")
+@query("l49_lane_offsets", "SELECT 2 AS lane, 4.0 AS \"offset\"", offset="DOUBLE")
 def l49(spark, d):
     return op.lane_offsets(lane_notes(spark)).select("lane", "offset")
 
@@ -312,7 +312,7 @@ def l61(spark, d):
     return op.place_text(t, rows(spark, "page string, measure_pos int, number int", ("p", 1, 1), ("p", 4, 34))).select("measure_pos", "text", "kind")
 
 
-@query("l64_recover_meter", "SELECT 'P1' AS part, 4.0 AS length")
+@query("l64_recover_meter", "SELECT 'P1' AS part, 4.0 AS length", length="DOUBLE")
 def l64(spark, d):
     m = rows(spark, "page string, part string, filled double", *[("p", "P1", x) for x in (4.0, 4.0, 4.0, 3.0, 2.0)], *[("p", "P2", x) for x in (4.0,)])
     return op.recover_meter(m).where("part = 'P1'").select("part", "length")

@@ -162,7 +162,7 @@ def d14(spark, d):
     return near.groupBy("dims").agg(F.round(F.count_if(F.col("top") == F.col("label")) / F.count("*"), 6).alias("top1"))
 
 
-@query("d15_model_export", "SELECT label, json_object('class', label, 'count', count(*)) AS model FROM embeddings GROUP BY 1")
+@query("d15_model_export", "SELECT label, json_object('class', label, 'count', count(*)) AS model FROM embeddings GROUP BY 1", model="VARCHAR")
 def d15(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("count")).select("label", F.to_json(F.struct(F.col("label").alias("class"), "count")).alias("model"))
 
@@ -205,14 +205,14 @@ def l28(spark, d):
     return legacy.strip_members(s, b, 10.0, groups=1).select("strip", "id")
 
 
-@query("l31_run_ends", """SELECT user_id, run, min(event_id) AS start, max(event_id) AS stop FROM (SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("l31_run_ends", """SELECT user_id, run, min(event_id) AS start, max(event_id) AS stop FROM (SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) GROUP BY 1, 2 HAVING count(*) >= 2""", run="BIGINT")
 def l31(spark, d):
     """First and last of a run, for what hangs on its ends."""
     e = win.number_runs(table(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type") == "signup", "run")
     return e.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("start"), F.max("event_id").alias("stop")).where("n >= 2").drop("n")
 
 
-@query("l35_barline_chains", "SELECT * FROM (VALUES (50, 1, 100.0, 260.0), (90, 1, 100.0, 140.0), (90, 2, 220.0, 260.0)) t(x, chain, top, bottom)")
+@query("l35_barline_chains", "SELECT * FROM (VALUES (50, 1, 100.0, 260.0), (90, 1, 100.0, 140.0), (90, 2, 220.0, 260.0)) t(x, chain, top, bottom)", top="DOUBLE", bottom="DOUBLE")
 def l35(spark, d):
     """Pieces at one x that touch within half a space are one bar."""
     p = rows(spark, "page string, x int, top double, bottom double", ("p", 50, 100.0, 140.0), ("p", 50, 143.0, 218.0), ("p", 50, 220.0, 260.0), ("p", 90, 100.0, 140.0), ("p", 90, 220.0, 260.0))
@@ -238,7 +238,7 @@ def q07(spark, d):
     return e.withColumn("n", n).where("n = 1 and state is not null").select("event_id", "state")
 
 
-@query("q08_quality_report", "SELECT * FROM (VALUES ('1', 4, 0, 1, 1, 0.8), ('2', 1, 0, 0, 0, 1.0)) t(measure, matched, mismatched, missing, extra, f1)")
+@query("q08_quality_report", "SELECT * FROM (VALUES ('1', 4, 0, 1, 1, 0.8), ('2', 1, 0, 0, 0, 1.0)) t(measure, matched, mismatched, missing, extra, f1)", f1="DOUBLE")
 def q08(spark, d):
     from ..operators.iterate import cut
     from ..sources import musicxml

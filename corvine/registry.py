@@ -11,8 +11,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register fn as ``name``; sql is the DuckDB statement with the same rows, None where SQL has none."""
+def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Register fn as ``name``; sql is the DuckDB statement with the same rows, None where SQL has none. types: columns that
+    DuckDB would give another type than Spark (decimal literals, sums), with the type they get."""
+    if types:
+        sql = "SELECT * REPLACE (" + ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items()) + f") FROM ({sql})"
 
     def add(fn: Query) -> Query:
         assert name not in QUERIES, name

@@ -9,6 +9,7 @@ from corvine import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
+TYPES = {"double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,9 @@ def test_query_equals_its_sql(spark, duck, name):
     cur = duck.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(names)
+    kinds = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {catalog.oracle_sql()[name]}").fetchall()}
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == kinds
+    cur = duck.execute(catalog.oracle_sql()[name])
     order = sorted(names)
     got = sorted(((tuple(plain(r[c]) for c in order)) for r in df.collect()), key=repr)
     want = sorted(((tuple(plain(r[names.index(c)]) for c in order)) for r in cur.fetchall()), key=repr)
