@@ -26,5 +26,13 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Links by shared shingles of whole texts, then the smallest id reachable.
+OP8_SQL = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS total FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (total - c)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept FROM s JOIN (SELECT a, min(b) AS m FROM r GROUP BY 1) c ON c.a = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minmax_neardup": OP8_SQL}

@@ -474,3 +474,13 @@ def test_pipeline_stages(spark, sf, odd_dir, empty_dir):
     assert set(copies) <= set(third.doc_id) and max(copies.values()) <= 3 and len(last) == len(fourth)
     for d in (odd_dir, empty_dir):
         assert pipeline.run(spark, d).columns[:5] == columns
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    for name, sql in queries.oracle_sql().items():
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        got = queries.queries()[name](spark, sf)
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
