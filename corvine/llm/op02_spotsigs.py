@@ -79,37 +79,44 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     return met.join(x, "a").join(y, "b").select("a", "b", likeness("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12), members
 
 
-def range_of(column: Column, edges: list) -> Column:
-    """Number of the descending range that a value falls in, by binary search; null in the last."""
+def range_of(column: Column, edges: list, parts: int) -> Column:
+    """Number of the descending range that a value falls in; null in the last. Ranges lie between the quantiles ``edges``
+    (descending, the least and greatest value among them), found by binary search, and are cut evenly into ``parts``."""
 
     def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
+        if high - low == 1:
+            top, foot = edges[low], edges[high]
+            share = F.floor((F.lit(top) - column) / F.lit(max(1, top - foot)) * parts)
+            return F.lit(low * parts) + F.least(share, F.lit(parts - 1))
         mid = (low + high) // 2
-        return F.when(column >= F.lit(edges[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
+        return F.when(column > F.lit(edges[mid]), pick(low, mid)).otherwise(pick(mid, high))
 
-    return F.when(column.isNull(), F.lit(len(edges) + 1)).otherwise(pick(0, len(edges)))
+    last = F.lit(len(edges) * parts).cast("long")
+    return F.when(column.isNull(), last).otherwise(pick(0, len(edges) - 1)) if len(edges) > 1 else F.when(column.isNull(), last).otherwise(F.lit(0).cast("long"))
+
+
+#: Quantiles at most, so that the search stays a small expression; further ranges come from cutting evenly between them.
+QUANTILES = 200
 
 
 def with_next(docs: DataFrame, add) -> DataFrame:
     """docs (doc_id, text without nulls) with what ``add`` computes per row, and a struct __next of the next row's
     columns in descending order of doc_id, after the last the first."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * parts
-    edges = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    edges = sorted(set(edges), reverse=True)
-    ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(QUANTILES, 4 * shuffled)
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    edges = sorted({*(found["q"] or []), *[x for x in (found["a"], found["b"]) if x is not None]}, reverse=True)
+    ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges, -(-4 * shuffled // n)))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("head")).collect()  # one row per range
-    ids = [r["head"] for r in heads if r["head"] is not None]
-    first = ranged.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
-    first = first.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__k = 1").drop("__k")
-    present = sorted(r["__range"] for r in heads)
-    before = dict(zip(present, present[-1:] + present[:-1], strict=True))
-    move = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__range")) if before else F.col("__range")
-    ghosts = first.withColumn("__range", move).withColumn("__ghost", F.lit(True))
-    both = ranged.withColumn("__ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "__range")
+    # one row per range: its greatest id, and the range before it, for the first one the last
+    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head"))
+    to = F.coalesce(F.lag("__range").over(Window.orderBy("__range")), F.max("__range").over(Window.partitionBy()))
+    heads = heads.select(F.col("__range").alias("__at"), "__head", to.alias("__to"))
+    first = ranged.join(heads, (F.col("__range") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__head")))
+    first = first.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__k = 1")
+    ghosts = first.select(*docs.columns, F.col("__to").alias("__range"), F.lit(True).alias("__ghost"))
+    both = ranged.withColumn("__ghost", F.lit(False)).unionByName(ghosts).repartition(shuffled, "__range")
     made = add(both)
     within = Window.partitionBy("__range").orderBy("__ghost", *order)
     names = [c for c in made.columns if c not in ("__range", "__ghost")]

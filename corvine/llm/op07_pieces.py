@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import append_columns, bound_batches, materialize, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT_SHARE = 2.0**-20
@@ -138,7 +138,7 @@ def common_units(docs: DataFrame, text: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([*kept, ""], pa.string()), pa.array([*kept.values(), total], pa.int64())], names=["unit", "n"])
 
     told = docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    told = told.persist()  # small: at most 1 / UNIT_SHARE rows from each task
+    told = materialize(told, "units")  # at most 1 / UNIT_SHARE rows from each task
     total = told.where("unit = ''").agg(F.sum("n")).first()[0] or 0
     return told.where((F.col("unit") != "") & (F.col("n") >= UNIT_SHARE * total) & (F.length("unit") <= LONGEST_UNIT)).select("unit")
 
@@ -146,6 +146,7 @@ def common_units(docs: DataFrame, text: str) -> DataFrame:
 def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """docs with piece_ids (array of int) and n_pieces."""
     spark = docs.sparkSession
+    bound_batches(spark)
     costs, texts = load_pieces(model)
     bytes_ = byte_ids(texts)
     pieces = spark.createDataFrame([(p, c, i) for p, (c, i) in costs.items()], "piece string, cost int, id int")
