@@ -15,7 +15,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, with its lineage ended by a reliable checkpoint."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/corvine-checkpoints")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/corvine-checkpoints")
     return df.checkpoint()
 
 
