@@ -259,3 +259,115 @@ def shapes(spark, d):
 @query("a03_first_by", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n = 1")
 def first_by(spark, d):
     return aggregates.first_by(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey")
+
+
+@query("s12_model_bundle", "SELECT * FROM (VALUES ('clefs', 'G'), ('rests', 'Q')) t(family, class)")
+def s12(spark, d):
+    import io
+    import json
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for family, name in (("clefs", "G"), ("rests", "Q")):
+            z.writestr(f"{family}.json", json.dumps({"family": family, "grid_size": 32, "mean": [0.0], "components": [[1.0]], "ratio_threshold": 0.9, "class_thresholds": {name: 1.0}, "references": [{"class": name, "source": "s", "fingerprint": [0.5]}]}))
+    return text.parse_bundle(spark, held.getvalue())["references"].select("family", "class")
+
+
+@query("j31_unused_pairs", "SELECT * FROM (VALUES (1, '1:2'), (2, '3:4')) t(arc, pair)")
+def j31(spark, d):
+    """Scored start and end pairs, each arc and each pair once, best first."""
+    from ..operators.iterate import greedy_match
+
+    p = rows(spark, "page string, arc int, pair string, score double", ("p", 1, "1:2", 1.0), ("p", 2, "1:2", 0.5 + 1.0), ("p", 2, "3:4", 2.0), ("p", 1, "3:4", 0.5 + 2.0))
+    return greedy_match(p, ["page"], "arc", "pair", F.col("score")).select("arc", "pair")
+
+
+@query("d08_mask_and_area", "SELECT * FROM (VALUES ('bar', 1.0, 1.0), ('ell', 1.0, 1.0), ('ellipse', 1.0, 1.0), ('ring', 1.0, 1.0)) t(name, mask, area)", mask="DOUBLE", area="DOUBLE")
+def d08(spark, d):
+    """Cheap overlap of bit masks and overlap of areas by scan conversion; a moved and scaled shape has the same mask, a shape covers itself."""
+    a = glyph.describe(glyph_rows(spark, 0.0, 1.0), "rings", ["mask"]).select("name", "mask", "rings")
+    b = glyph.describe(glyph_rows(spark, 0.0, 3.0), "rings", ["mask"]).select("name", F.col("mask").alias("other"))
+    share = F.pandas_udf(lambda x: x.map(lambda r: glyph.common_share(r, r)), "double")
+    return a.join(b, "name").select("name", fn.mask_iou(F.col("mask"), F.col("other")).alias("mask"), share("rings").alias("area"))
+
+
+@query("d09_normalized_shapes", "SELECT 4 AS shapes")
+def d09(spark, d):
+    """An outline thinned within a tolerance changes its area by no more than the tolerance times its length."""
+    import numpy as np
+
+    @F.pandas_udf("boolean")
+    def same(rings):
+        def one(value):
+            r = glyph.rings_of(value)
+            length = lambda p: float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum())
+            return all(abs(abs(glyph.area(glyph.simplify(np.vstack([p, p[:1]]), 0.02)[:-1])) - abs(glyph.area(p))) <= 0.02 * length(p) for p in r)
+
+        return rings.map(one)
+
+    return glyph_rows(spark, 0.3, 1.0).where(same("rings")).agg(F.count("*").cast("int").alias("shapes"))
+
+
+@query("l01_pass_order", "SELECT * FROM (VALUES (1, 'meters'), (2, 'grid'), (3, 'clefs'), (4, 'ledgers'), (5, 'heads'), (6, 'stems'), (7, 'stem_heads'), (8, 'flags'), (9, 'accidentals'), (10, 'rests'), (11, 'dots')) t(n, pass)")
+def l01(spark, d):
+    """The passes in the order in which they claim."""
+    return spark.createDataFrame(list(enumerate(resolved(spark), 1)), "n int, pass string")
+
+
+@query("l03_path_descriptor", "SELECT * FROM (VALUES ('bar', 1, 0), ('ring', 2, 1)) t(name, rings, holes)")
+def l03(spark, d):
+    return glyph.describe(glyph_rows(spark, 0.0, 1.0).where("name in ('bar', 'ring')"), "rings", ["structure"]).select("name", "structure.rings", "structure.holes")
+
+
+@query("l04_page_geometry", "SELECT 'p.svg' AS path, 2 AS from_use, 3 AS direct")
+def l04(spark, d):
+    """Instances and direct shapes in one stream."""
+    from ..sources import svg
+    from .fixtures import SVG
+
+    c = svg.parse_column(spark.createDataFrame([("p.svg", SVG)], "path string, content string"), "path", "content")
+    return c.groupBy("path").agg(F.count_if("is_use").cast("int").alias("from_use"), F.count_if(~F.col("is_use")).cast("int").alias("direct"))
+
+
+@query("l14_relations", "SELECT * FROM (VALUES (1, 1, 21, 'up'), (2, 2, 22, 'down')) t(id, staff, line, direction)")
+def l14(spark, d):
+    """Heads get their staff and their stem, and the stem its direction."""
+    from .legacy import staves
+
+    h = rows(spark, "page string, id int, x double, y double, stem_x double", ("p", 1, 10.0, 100.0, None), ("p", 2, 60.0, 210.0, None))
+    l = rows(spark, "page string, id int, x double, top double, bottom double", ("p", 21, 15.0, 20.0, 98.0), ("p", 22, 55.0, 208.0, 300.0))  # noqa: E741
+    on = legacy.nearest_staff(h, staves(spark), 2.0, 5.0).select("page", "id", "staff")
+    return on.join(legacy.long_stems(h, l, 10.0), ["page", "id"]).select("id", "staff", "line", "direction")
+
+
+@query("l30_compact_arcs", "SELECT * FROM (VALUES (1, 'tie')) t(arc, kind)")
+def l30(spark, d):
+    n = rows(spark, "page string, staff int, id int, x double, y double, pitch string", ("p", 1, 1, 10.0, 100.0, "C4"), ("p", 1, 2, 24.0, 100.0, "C4"))
+    a = rows(spark, "page string, arc int, x0 double, y0 double, x1 double, y1 double, points_n int", ("p", 1, 12.0, 105.0, 23.0, 105.0, 20), ("p", 2, 12.0, 205.0, 23.0, 205.0, 20))
+    dense = a.where((F.col("points_n") >= 16) & ((F.col("x1") - F.col("x0")) / 10).between(1.10, 1.55))
+    return legacy.pair_arcs(dense, n, 10.0, dx=1.0, most=7.5).select("arc", "kind")
+
+
+@query("l38_default_x", "SELECT * FROM (VALUES (1, 65.0), (3, 90.0)) t(pos, default_x)", default_x="DOUBLE")
+def l38(spark, d):
+    x = rows(spark, "page string, staff int, pos int", ("p", 1, 1), ("p", 1, 3))
+    e = rows(spark, "page string, staff int, id int, x double, y double, direction string", ("p", 1, 12, 40.0, 1.0, None), ("p", 1, 11, 15.0, 1.0, None))
+    return legacy.zip_by_order(x, e, ["page", "staff"]).select("pos", (60 + 10 * (F.col("x") - 10.0) / 10).alias("default_x"))
+
+
+@query("l39_rest_y", "SELECT * FROM (VALUES (2, -20.0)) t(pos, default_y)", default_y="DOUBLE")
+def l39(spark, d):
+    x = rows(spark, "page string, staff int, pos int", ("p", 1, 2))
+    e = rows(spark, "page string, staff int, id int, x double, y double, direction string", ("p", 1, 12, 40.0, 120.0, None))
+    return legacy.zip_by_order(x, e, ["page", "staff"]).select("pos", (-(F.col("y") - 100.0)).alias("default_y"))
+
+
+@query("l45_free_lane", "SELECT * FROM (VALUES (9, 2)) t(pos, lane)")
+def l45(spark, d):
+    """A rest goes to the lane that does not sound at its onset."""
+    n = rows(spark, "page string, part string, measure_pos int, lane int, onset double, quarters double", ("p", "P1", 1, 1, 0.0, 4.0), ("p", "P1", 1, 2, 0.0, 1.0))
+    r = rows(spark, "page string, part string, measure_pos int, pos int, at double", ("p", "P1", 1, 9, 2.0))
+    met = r.join(n, ["page", "part", "measure_pos"]).withColumn("busy", (F.col("onset") <= F.col("at")) & (F.col("at") < F.col("onset") + F.col("quarters")))
+    free = met.groupBy("pos", "lane").agg(F.bool_or("busy").alias("busy")).where("not busy")
+    return free.groupBy("pos").agg(F.min("lane").alias("lane"))

@@ -46,7 +46,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a ZIP of JSON models: ``manifest.json`` names the files, else every other .json is one.
     models: family, grid_size, mean, components, thresholds; references: family, class, source, fingerprint."""
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    return parse_bundle(spark, bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
+
+
+def parse_bundle(spark: SparkSession, data: bytes) -> dict[str, DataFrame]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         listed = json.loads(z.read("manifest.json"))["models"] if "manifest.json" in names else [n for n in names if n.endswith(".json")]
