@@ -72,36 +72,45 @@ def byte_ids(texts: list[bytes]) -> list[int]:
     return [found[bytes([b])] for b in range(256)]
 
 
-def trie(costs: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
-    """Every prefix of a piece; pieces with (cost << 20 | 1, id), where sums compare by cost, then number of pieces."""
-    out: dict = {p[:k]: () for p in costs for k in range(1, len(p))}
-    return out | {p: (cost << 20 | 1, i) for p, (cost, i) in costs.items()}
+def trie(costs: dict[str, tuple[int, int]]) -> tuple:
+    """The pieces as a tree of (weight, id, children by character), weight 0 where no piece ends. A weight is cost << 20 | 1, so
+    that sums compare by cost, then by number of pieces."""
+    root: list = [0, 0, {}]
+    for piece, (cost, i) in costs.items():
+        node = root
+        for c in piece:
+            node = node[2].setdefault(c, [0, 0, {}])
+        node[:2] = cost << 20 | 1, i
 
+    def frozen(node: list) -> tuple:
+        return node[0], node[1], {c: frozen(x) for c, x in node[2].items()}
 
-def fold(unit: str, pieces: dict[str, tuple[int, int]]) -> list[int]:
+    return frozen(root)
+
+
+def fold(unit: str, pieces: tuple) -> list[int]:
     """The ids of a unit by the trie of pieces; a negative one is a character, as its code point, for the fallback to bytes.
     Starts ascend, so of equal sums the first one found has the longest last piece."""
-    n, get = len(unit), pieces.get
-    best, back = [1 << 62] * (n + 1), [(0, 0)] * (n + 1)
+    n, begin = len(unit), pieces[2].get
+    best, start, ids = [1 << 62] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     best[0] = 0
     for s in range(n):
-        base = best[s]
-        hit = get(unit[s])
-        if not hit and (new := base + (FALLBACK << 20 | 1)) < best[s + 1]:
-            best[s + 1], back[s + 1] = new, (s, -ord(unit[s]))
-        e = s + 1
-        while hit is not None:
-            if hit and (new := base + hit[0]) < best[e]:
-                best[e], back[e] = new, (s, hit[1])
+        base, e = best[s], s + 1
+        node = begin(unit[s])
+        if (node is None or not node[0]) and (new := base + (FALLBACK << 20 | 1)) < best[e]:
+            best[e], start[e], ids[e] = new, s, -ord(unit[s])
+        while node is not None:
+            if node[0] and (new := base + node[0]) < best[e]:
+                best[e], start[e], ids[e] = new, s, node[1]
             if e == n:
                 break
+            node = node[2].get(unit[e])
             e += 1
-            hit = get(unit[s:e])
-    ids = []
+    out = []
     while n:
-        n, i = back[n]
-        ids.append(i)
-    return ids[::-1]
+        out.append(ids[n])
+        n = start[n]
+    return out[::-1]
 
 
 def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
