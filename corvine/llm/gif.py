@@ -73,12 +73,13 @@ def lzw_encode(data: bytes, code_bits: int = 8) -> bytes:
 
 
 def pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    at = np.concatenate([[0], np.cumsum(widths)])
-    bits = np.zeros(int(at[-1]), dtype=np.uint8)
-    for i in range(12):
-        on = widths > i
-        bits[at[:-1][on] + i] = (codes[on] >> i) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Codes of their widths one after the other. Their bits do not overlap, so bytes are sums."""
+    ends = np.cumsum(widths)
+    at = ends - widths
+    first, bits = at >> 3, codes << (at & 7)
+    size = int(ends[-1] + 7) // 8
+    out = sum(np.bincount(first + k, weights=bits >> 8 * k & 255, minlength=size + 3) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_decode(stream: bytes, code_bits: int, pixels: int) -> bytes:
@@ -89,52 +90,56 @@ def lzw_decode(stream: bytes, code_bits: int, pixels: int) -> bytes:
     words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
     total = len(stream) * 8
     out, have, bit = [], 0, 0
+    put = out.append
     while have < pixels:
         # from one clear to the next, the width of each code follows from its place alone
-        entries, prev, width, done, table = end + 1, None, code_bits + 1, False, base.copy()
-        add, put = table.append, out.append
+        table, prev, width, done = base.copy(), None, code_bits + 1, False
+        add = table.append
         while not done:
-            room = (1 << width) - entries if width < 12 else 1 << 30
-            room = max(1, room + (prev is None))
-            n = min(room, (total - bit) // width, 4096)
+            full = width == 12 and len(table) >= 4096
+            room = 4096 if full else max(1, (1 << width) - len(table) + (prev is None))
+            n = min(room, (total - bit) // width)
             if n <= 0:
                 raise ValueError("the code stream ends early")
             at = bit + width * np.arange(n, dtype=np.int64)
-            codes = ((words[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << width) - 1)).tolist()
-            used = 0
-            for c in codes:
-                used += 1
-                if c == clear:
-                    done = True
-                    break
-                if c == end:
-                    if have < pixels:
-                        raise ValueError("the image ends early")
-                    done = True
-                    break
+            codes = (words[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << width) - 1)
+            stops = np.flatnonzero((codes == clear) | (codes == end))
+            if len(stops):
+                done, n = True, int(stops[0])
+                last = int(codes[n]) == end
+                bit += width
+                codes = codes[:n]
+            bit += width * n
+            mark = len(out)
+            todo = iter(codes.tolist())
+            try:
                 if prev is None:
-                    if c > end:
-                        raise ValueError("a code without an entry")
-                    word = table[c]
-                elif c < len(table):
-                    word = table[c]
-                    if entries < 4096:
-                        add(prev + word[:1])
-                        entries += 1
-                elif c == entries < 4096:
-                    word = prev + prev[:1]
-                    add(word)
-                    entries += 1
+                    for c in todo:
+                        if c > end:
+                            raise ValueError("a code without an entry")
+                        put(prev := table[c])
+                        break
+                if full:
+                    for c in todo:
+                        put(prev := table[c])
                 else:
-                    raise ValueError("a code without an entry")
-                put(word)
-                have += len(word)
-                prev = word
-                if have >= pixels:
-                    done = True
-                    break
-            bit += used * width
-            if entries >= 1 << width and width < 12:
+                    for c in todo:
+                        if c == len(table):
+                            word = prev + prev[:1]
+                            add(word)
+                        else:
+                            word = table[c]
+                            add(prev + word[:1])
+                        put(word)
+                        prev = word
+            except IndexError:
+                raise ValueError("a code without an entry") from None
+            have += sum(map(len, out[mark:]))
+            if have >= pixels:
+                done = True
+            elif done and last:
+                raise ValueError("the image ends early")
+            if len(table) >= 1 << width and width < 12:
                 width += 1
     return b"".join(out)[:pixels]
 

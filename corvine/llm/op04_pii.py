@@ -28,7 +28,7 @@ ROUNDS, PRIOR, MIN_INSTANCES, MIN_CONFIDENCE = 3, 1.0, 4, 0.75
 #: The base patterns. A match starts where no match could have started one character
 #: earlier, or where the last one ended, so failing runs are read once; that leaves the matches as they are.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",

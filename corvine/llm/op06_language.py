@@ -99,7 +99,7 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
 
         return run
 
-    drawn = append_columns(good.where(pick).orderBy("h").limit(2 * max_train), ["text"], [T.StructField("bits", T.BinaryType())], make).select("lang", "h", "bits").collect()
+    drawn = append_columns(good.where(pick), ["text"], [T.StructField("bits", T.BinaryType())], make).select("lang", "h", "bits").orderBy("h").limit(2 * max_train).collect()
     taken, rows = dict.fromkeys(counts, 0), []
     for r in sorted(drawn, key=lambda r: (r["h"], r["lang"], bytes(r["bits"]))):
         if taken[r["lang"]] < share:
