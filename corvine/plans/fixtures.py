@@ -396,11 +396,11 @@ def s07(spark, d):
     return spark.createDataFrame([(x,) for x in ("M0,0L1 0 1 1", "m1 1h2v-1z", "M0 0 L", "M0 0 5 5 M1 1")], "d string").select("d", points("d").alias("points"))
 
 
-@query("s17_sidecar", """SELECT * FROM (VALUES ('Title', 'Yellow: leaves', NULL, NULL, NULL), ('Tempo', '96', NULL, NULL, NULL), ('34-1-L', 'dolce', 34, 1, 'L')) t(key, value, measure, staff, align)""")
+@query("s17_sidecar", """SELECT * FROM (VALUES ('Title', 'Two: parts', NULL, NULL, NULL), ('Tempo', '96', NULL, NULL, NULL), ('34-1-L', 'dolce', 34, 1, 'L')) t(key, value, measure, staff, align)""")
 def s17(spark, d):
     from ..sources.text import sidecar_rows
 
-    lines = spark.createDataFrame([("score.txt", x) for x in ("Title: Yellow: leaves", "", "no pair", " Tempo :96 ", "34-1-L: dolce")], "path string, value string")
+    lines = spark.createDataFrame([("score.txt", x) for x in ("Title: Two: parts", "", "no pair", " Tempo :96 ", "34-1-L: dolce")], "path string, value string")
     return sidecar_rows(lines).drop("path")
 
 
