@@ -109,11 +109,11 @@ def with_next(docs: DataFrame, add) -> DataFrame:
     edges = sorted({*(found["q"] or []), *[x for x in (found["a"], found["b"]) if x is not None]}, reverse=True)
     ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges, -(-4 * shuffled // n)))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    # one row per range: its greatest id, and the range before it, for the first one the last
+    # one row per range, so their number is bounded: its greatest id, and the range before it, for the first one the last
     heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head"))
     to = F.coalesce(F.lag("__range").over(Window.orderBy("__range")), F.max("__range").over(Window.partitionBy()))
     heads = heads.select(F.col("__range").alias("__at"), "__head", to.alias("__to"))
-    first = ranged.join(heads, (F.col("__range") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__head")))
+    first = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__head")))
     first = first.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__k = 1")
     ghosts = first.select(*docs.columns, F.col("__to").alias("__range"), F.lit(True).alias("__ghost"))
     both = ranged.withColumn("__ghost", F.lit(False)).unionByName(ghosts).repartition(shuffled, "__range")
