@@ -8,14 +8,13 @@ Krichevsky-Trofimov estimate, and P_w(s) = 1/2 P_e(s) + 1/2 prod P_w(children of
 trees as learned: at each bit the estimates along the context path are mixed by the posterior of stopping there. The
 score is the sum of log10 probabilities; per byte it is a code length (``bits_per_byte``).
 
-Since contexts end at the token, a text's score is a sum over its words: counts are gathered once per distinct word of the whole
-corpus, and every distinct word is scored once.
-
-Scale: counts of words and of context n-grams are shuffled sums with partial sums per task. The tree keeps the n-grams that
-hold a share of at least MODEL_SHARE of all positions - at most 1 / MODEL_SHARE at each depth, so the
-model that is broadcast has a fixed bound; the counts of all others stay in the tree, pooled in one further child of their
-context. Words with a share of at least WORD_SHARE (at most 1 / WORD_SHARE of them) are looked up in a
-broadcast table; all other words of a document go through a join on the word, which spreads, as no word in it is frequent.
+Scale: every n-gram of the corpus is counted and kept. Texts are dealt into blocks of about BLOCK bytes by their place in
+the input. Each task packs the distinct n-grams of a block with their counts into one row for each bucket; a bucket
+has whole subtrees (all n-grams whose last ROOT context bytes are the same), so it grows them alone. What
+the trees above need, sums for at most 256^(ROOT - 1) contexts, goes to the driver and is broadcast. Then the buckets score all
+n-grams that any block has asked for, and the answers meet the texts block by block. A task holds a block, or a bucket and at least one subtree.
+Words with a share of at least WORD_SHARE (at most 1 / WORD_SHARE of them) are looked up in a
+broadcast table for the base score; all other words of a document go through a join on the word, which spreads, as no word in it is frequent.
 
 Defined results: a null text is an empty one (its end alone); a null doc_id is neither held out nor learned from; rows
 repeat as they repeat; without training rows N = 0 and V = 0 and every bit costs one bit.
@@ -24,6 +23,7 @@ repeat as they repeat; without training rows N = 0 and V = 0 and every bit costs
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,10 +37,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import bound_batches, id_bucket, materialize, table
 
 DEPTH = 6
-MODEL_SHARE = 2.0**-18
+ROOT = 3
 WORD_SHARE = 2.0**-20
 END = b"\n"
 FLUSH = 200_000
+BLOCK = 64 << 20
+AT_ONCE = 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,45 +73,95 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "learn").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def grams(words: list[bytes] | pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each coded byte with its context as one number (last byte lowest), and the word it is of."""
-    data = b"".join([b" " * depth + w + (b"" if w == END else b" ") for w in words])
+def streams_of(text: str | None) -> list[bytes]:
+    """What is coded of a text; each stream begins after blanks."""
+    return [*[w + b" " for w in words_of(text)], END]
+
+
+def coded(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with its context as one number (last byte lowest), and the stream it is of."""
+    data = b"".join([b" " * depth + x for x in streams])
     a = np.frombuffer(data, np.uint8).astype(np.int64)
-    coded = np.array([len(w) + (w != END) for w in words])
-    starts = np.cumsum(coded + depth) - coded
-    at = np.repeat(starts - np.cumsum(coded) + coded, coded) + np.arange(coded.sum())
+    sizes = np.array([len(x) for x in streams], np.int64)
+    starts = np.cumsum(sizes + depth) - sizes
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     code = np.zeros(len(at), np.int64)
     for k in range(depth, -1, -1):
         code = code << 8 | a[at - k]
-    return code, np.repeat(np.arange(len(words)), coded)
+    return code, np.repeat(np.arange(len(streams)), sizes)
+
+
+def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    return coded([w if w == END else w + b" " for w in words], depth)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of their differences."""
+    return zlib.compress(np.diff(x, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, sorted, with the sums of their counts."""
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
-def gathered(batches, rows: int = 50_000):
-    """Batches of words put together: the more at once, the fewer n-grams are looked up again."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
+def bucket_of(code: np.ndarray, buckets: int, root: int) -> np.ndarray:
+    context = (code >> 8 & ((1 << 8 * root) - 1)).astype(np.uint64)
+    return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
-def count_grams(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """gram, n: how often each byte follows each context of ``depth`` bytes in the words learned from."""
+
+def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """bucket, block, grams, n (packed): the n-grams in the texts of a block, and how often they are in those learned from. docs: text, learn, block."""
+    root = min(ROOT, depth)
 
     def run(batches):
-        for b in gathered(batches):
-            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for i in range(0, len(words), 50_000):
-                code, of = grams(words[i : i + 50_000], depth)
-                kinds, back = np.unique(code, return_inverse=True)
-                total = np.bincount(back, weights=n[i : i + 50_000][of].astype(float), minlength=len(kinds))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total.astype(np.int64))], names=["gram", "n"])
+        block, parts, texts, size = None, [], ([], []), 0
+
+        def count():
+            for learn in (0, 1):
+                if texts[learn]:
+                    kinds, n = np.unique(coded(texts[learn], depth)[0], return_counts=True)
+                    parts.append((kinds, n * learn))
+                    texts[learn].clear()
+            if sum(len(x) for x, _ in parts) > 2 * AT_ONCE:
+                parts[:] = [added(parts)]
+
+        def out():
+            count()
+            if not parts:
+                return
+            code, n = added(parts)
+            parts.clear()
+            where = bucket_of(code, buckets, root)
+            order = np.argsort(where, kind="stable")
+            code, n, where = code[order], n[order], where[order]
+            cuts = [*np.flatnonzero(np.diff(where, prepend=-1.0)), len(where)]
+            for i in range(0, len(cuts) - 1, 50):
+                some = list(zip(cuts[i : i + 50], cuts[i + 1 : i + 51], strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array([int(where[x]) for x, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(code[x:y]) for x, y in some], pa.binary()), pa.array([pack(n[x:y]) for x, y in some], pa.binary())], names=["bucket", "block", "grams", "n"])
+
+        for b in batches:
+            for t, learn, at in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if at != block or sum(len(x) for x, _ in parts) > 2 * AT_ONCE:
+                    yield from out()
+                    block = at
+                for x in streams_of(t.as_py()):
+                    texts[bool(learn)].append(x)
+                    size += len(x)
+                if size > AT_ONCE:
+                    count()
+                    size = 0
+        yield from out()
 
-    return vocabulary.where("n > 0").select("word", "n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "learn", "block").mapInArrow(run, "bucket int, block long, grams binary, n binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -124,40 +176,59 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
 
 
+def closed(key: np.ndarray, a: np.ndarray, b: np.ndarray, split: np.ndarray | None) -> dict:
+    """Nodes with their counts, weighted with the sum of log P_w of their children (none at the full depth)."""
+    estimate = log_kt(a, b)
+    here = {"key": key, "a": a, "b": b, "p": (b + 0.5) / (a + b + 1)}
+    if split is None:
+        return here | {"stop": np.ones(len(key)), "log_pw": estimate}
+    log_pw = np.logaddexp(estimate, split) - math.log(2)
+    return here | {"stop": np.exp(estimate - math.log(2) - log_pw), "log_pw": log_pw}
+
+
+def above(below: dict, depth: int) -> list[np.ndarray]:
+    """key, a, b and the children's sum of log P_w of the nodes at ``depth`` over those one deeper."""
+    key, at = np.unique((below["key"] >> 8 & ((1 << 8 * depth) - 1)) << 8 | below["key"] & 255, return_inverse=True)
+    return [key, *[np.bincount(at, weights=below[k], minlength=len(key)).astype(float) for k in ("a", "b", "log_pw")]]
+
+
+def climb(code: np.ndarray, n: np.ndarray, depth: int, root: int) -> list[dict]:
+    """The weighted trees from depth ``root`` down to ``depth``. Keys are context << 8 | decision node."""
+    keys, ones, zeros = [], [], []
+    code, n = code[n > 0], n[n > 0]
+    for i in range(8):
+        byte = code & 255
+        keys.append(code >> 8 << 8 | (1 << i | byte >> (8 - i)))
+        bit = (byte >> (7 - i)) & 1
+        ones.append(n * bit)
+        zeros.append(n * (1 - bit))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    levels = [closed(key, *[np.bincount(at, weights=np.concatenate(x).astype(float), minlength=len(key)).astype(float) for x in (zeros, ones)], None)]
+    for d in range(depth - 1, root - 1, -1):
+        levels.insert(0, closed(*above(levels[0], d)))
+    return levels
+
+
+def slim(levels: list[dict]) -> list[dict]:
+    return [{"key": x["key"], "p": x["p"].astype(np.float32), "stop": x["stop"].astype(np.float32)} for x in levels]
+
+
 def grow(kept: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
-    """The weighted trees by depth from the n-grams kept at each. Keys are context << 8 | decision node."""
-    depth = len(kept) - 1
-    levels = []
-    for code, n in kept:
-        keys, ones, zeros = [], [], []
-        for i in range(8):
-            byte = code & 255
-            keys.append(code >> 8 << 8 | (1 << i | byte >> (8 - i)))
-            bit = (byte >> (7 - i)) & 1
-            ones.append(n * bit)
-            zeros.append(n * (1 - bit))
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        levels.append({"key": key, "b": np.bincount(back, weights=np.concatenate(ones).astype(float), minlength=len(key)), "a": np.bincount(back, weights=np.concatenate(zeros).astype(float), minlength=len(key))})
-    for d in range(depth, -1, -1):
-        here = levels[d]
-        estimate = log_kt(here["a"], here["b"])
-        if d == depth:
-            here["stop"], here["log_pw"] = np.ones(len(here["key"])), estimate
-        else:
-            below = levels[d + 1]
-            mask = (1 << 8 * d) - 1
-            parent = (below["key"] >> 8 & mask) << 8 | below["key"] & 255
-            # a kept n-gram's shorter form is kept as well: it holds at least as many positions
-            at = np.searchsorted(here["key"], parent)
-            size = len(here["key"])
-            a, b = (here[k] - np.bincount(at, weights=below[k], minlength=size) for k in ("a", "b"))
-            a, b = np.maximum(a, 0), np.maximum(b, 0)
-            here["rest"] = (b + 0.5) / (a + b + 1)
-            split = np.bincount(at, weights=below["log_pw"], minlength=size) + log_kt(a, b)
-            here["log_pw"] = np.logaddexp(estimate, split) - math.log(2)
-            here["stop"] = np.exp(estimate - math.log(2) - here["log_pw"])
-        here["p"] = (here["b"] + 0.5) / (here["a"] + here["b"] + 1)
-    return [{k: v if k == "key" else v.astype(np.float32) for k, v in x.items() if k in ("key", "p", "stop", "rest")} for x in levels]
+    """All trees in one place from the n-grams at each depth, of which the deepest have all counts."""
+    return slim(climb(*kept[-1], len(kept) - 1, 0))
+
+
+def subtrees(code: np.ndarray, n: np.ndarray, depth: int, root: int, most: int = 1 << 19):
+    """Some n-grams with their trees at a time: about ``most``, but all with the same last ``root`` context bytes together."""
+    context = code >> 8 & ((1 << 8 * root) - 1)
+    order = np.argsort(context, kind="stable")
+    cuts = [*np.flatnonzero(np.diff(context[order], prepend=-1)), len(order)]
+    start = 0
+    for x, y in zip(cuts, [*cuts[1:], cuts[-1]], strict=True):
+        if x > start and (y - start > most or x == len(order)):
+            some = order[start:x]
+            yield some, climb(code[some], n[some], depth, root)
+            start = x
 
 
 def gram_log10(levels: list[dict], code: np.ndarray) -> np.ndarray:
@@ -178,7 +249,7 @@ def gram_log10(levels: list[dict], code: np.ndarray) -> np.ndarray:
             if d == top:
                 p = np.where(found, level["p"][at], -1.0)
             else:
-                deeper = np.where(p >= 0, p, level["rest"][at])
+                deeper = np.where(p >= 0, p, 0.5)
                 stop = level["stop"][at]
                 p = np.where(found, stop * level["p"][at] + (1 - stop) * deeper, -1.0)
         p = np.where(p >= 0, p, 0.5)
@@ -192,46 +263,88 @@ def score_words(levels: list[dict], words: list[bytes], depth: int) -> np.ndarra
     return np.bincount(of, weights=gram_log10(levels, kinds)[back], minlength=len(words))
 
 
-def train(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, dict]:
-    """The table of all words (word, n, base, score) and the totals. docs: text, learn."""
+def top_trees(requests: DataFrame, depth: int) -> list[dict]:
+    """The trees above depth ROOT."""
+    root = min(ROOT, depth)
+
+    def run(t: pa.Table) -> pa.Table:
+        code, n = added([(unpack(x), unpack(y)) for x, y in zip(t["grams"].to_pylist(), t["n"].to_pylist(), strict=True)])
+        found = [above(levels[0], root - 1) for _, levels in subtrees(code, n, depth, root)]
+        return pa.table({k: np.concatenate(x) for k, x in zip(("key", "a", "b", "split"), zip(*found, strict=True), strict=True)})
+
+    sums = requests.groupBy("bucket").applyInArrow(run, "key long, a double, b double, split double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("split").alias("split")).toPandas().sort_values("key")
+    levels = [closed(*[sums[k].to_numpy(t) for k, t in (("key", np.int64), ("a", float), ("b", float), ("split", float))])]
+    for d in range(root - 2, -1, -1):
+        levels.insert(0, closed(*above(levels[0], d)))
+    return slim(levels)
+
+
+def answers(requests: DataFrame, depth: int) -> DataFrame:
+    """block, grams, scores (packed grams, 32-bit floats): log10 P(byte | context) of all n-grams of the blocks."""
+    root = min(ROOT, depth)
+    held = requests.sparkSession.sparkContext.broadcast(top_trees(requests, depth))
+
+    def run(t: pa.Table) -> pa.Table:
+        asked = [unpack(x) for x in t["grams"].to_pylist()]
+        code, n = added([(x, unpack(y)) for x, y in zip(asked, t["n"].to_pylist(), strict=True)])
+        score = np.zeros(len(code), np.float32)
+        for some, levels in subtrees(code, n, depth, root):
+            score[some] = gram_log10([*held.value, *slim(levels)], code[some])
+        return pa.table([t["block"], t["grams"], pa.array([score[np.searchsorted(code, x)].tobytes() for x in asked], pa.binary())], names=["block", "grams", "scores"])
+
+    return requests.select("bucket", "block", "grams", "n").groupBy("bucket").applyInArrow(run, "block long, grams binary, scores binary")
+
+
+def model_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """block, row, score. docs: block, row, text, learn."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    places = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    requests = materialize(count_grams(docs, depth, max(64, places >> 23)), "ctw-grams")
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        known = [(unpack(x), np.frombuffer(y, np.float32)) for x, y in zip(found["grams"].to_pylist(), found["scores"].to_pylist(), strict=True)]
+        code, score = (np.concatenate(x) for x in zip(*known, strict=True))
+        code, first = np.unique(code, return_index=True)
+        score = score[first].astype(float)
+        total, at, some, of, size = np.zeros(texts.num_rows), 0, [], [], 0
+        for i, t in enumerate(texts["text"]):
+            mine = streams_of(t.as_py())
+            some += mine
+            of += [i] * len(mine)
+            size += sum(map(len, mine))
+            if size > AT_ONCE or i == texts.num_rows - 1:
+                asked, stream = coded(some, depth)
+                kinds, back = np.unique(asked, return_inverse=True)
+                place = np.searchsorted(code, kinds)
+                assert (code[np.minimum(place, len(code) - 1)] == kinds).all(), "an n-gram has no answer"
+                total += np.bincount(np.array(of)[stream], weights=score[place][back], minlength=len(total))
+                some, of, size = [], [], 0
+        return pa.table([texts["block"], texts["row"], pa.array(total)], names=["block", "row", "score"])
+
+    return docs.select("block", "row", "text").groupBy("block").cogroup(answers(requests, depth).groupBy("block")).applyInArrow(run, "block long, row long, score double")
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """The table of all words (word, n, base) and the totals. docs: text, learn."""
     spark = docs.sparkSession
     bound_batches(spark)
     ends = docs.where("learn").count()
     vocabulary = materialize(count_words(docs), "ctw-words")
-    found = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum((F.length("word") + 1) * F.col("n")).alias("places")).first()
+    found = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = (found["n"] or 0) + ends, found["v"] + (ends > 0)
-    places = (found["places"] or 0) + ends
-    end_row = spark.createDataFrame([(bytearray(END), ends)], vocabulary.schema)
-    deepest = materialize(count_grams(vocabulary.unionByName(end_row), depth), "ctw-grams")
-    kept = []
-    for d in range(depth, -1, -1):
-        level = deepest.groupBy(F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        rows = level.where(F.col("n") >= places * MODEL_SHARE).toPandas().sort_values("gram")
-        kept.insert(0, (rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    levels = grow(kept)
-    held = spark.sparkContext.broadcast(levels)
-
-    def run(batches):
-        for b in gathered(batches):
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for i in range(0, len(words), 50_000):
-                some = words[i : i + 50_000]
-                base = np.log10((c[i : i + 50_000] + 0.5) / (n + 0.5 * (v + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(c[i : i + 50_000]), pa.array(base), pa.array(score_words(held.value, some, depth))], names=["word", "n", "base", "score"])
-
-    scored = materialize(vocabulary.select("word", "n").mapInArrow(run, "word binary, n long, base double, score double"), "ctw-scores")
-    end = (ends > 0, math.log10((ends + 0.5) / (n + 0.5 * (v + 1))), float(score_words(levels, [END], depth)[0]))
-    return scored, {"train_tokens": n, "end": end}
+    base = F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))
+    return vocabulary.select("word", "n", base.alias("base")), {"train_tokens": n, "end": (ends > 0, math.log10((ends + 0.5) / (n + 0.5 * (v + 1))))}
 
 
 def score_texts(docs: DataFrame, words: DataFrame, totals: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs with n_tokens, n_known, base_score, score and n_bytes (of the coded tokens)."""
+    """The columns ``keep`` of docs with n_tokens, n_known, base_score and n_bytes (of the coded tokens)."""
     spark = docs.sparkSession
     often = words.where(F.col("n") >= totals["train_tokens"] * WORD_SHARE).where("n > 0").toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(often["word"].map(bytes), zip(often["base"], often["score"], strict=True), strict=True)))
-    end_known, end_base, end_score = totals["end"]
+    known = spark.sparkContext.broadcast(dict(zip(often["word"].map(bytes), often["base"], strict=True)))
+    end_known, end_base = totals["end"]
     work = docs.select(*keep, F.col("text").alias("__text"))
-    fields = [*[T.StructField(f.name, f.dataType) for f in work.schema.fields[:-1]], *[T.StructField(x, T.LongType()) for x in ("__row", "__times", "n_tokens", "n_known", "n_bytes")], T.StructField("__word", T.BinaryType()), *[T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]]
+    fields = [*[T.StructField(f.name, f.dataType) for f in work.schema.fields[:-1]], *[T.StructField(x, T.LongType()) for x in ("__row", "__times", "n_tokens", "n_known", "n_bytes")], T.StructField("__word", T.BinaryType()), T.StructField("base_score", T.DoubleType())]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
 
@@ -240,41 +353,46 @@ def score_texts(docs: DataFrame, words: DataFrame, totals: dict, keep: list[str]
         for b in batches:
             kept = b.columns[:-1]
             for i in range(0, b.num_rows, 500):
-                at, ids, times, tokens, hits, sizes, names, base, score = ([] for _ in range(9))
+                at, ids, times, tokens, hits, sizes, names, base = ([] for _ in range(8))
                 for j in range(i, min(i + 500, b.num_rows)):
                     row += 1
                     parts = words_of(b.column(len(kept))[j].as_py())
-                    x, y, k = end_base, end_score, int(end_known)
+                    x, k = end_base, int(end_known)
                     for w, m in Counter(parts).items():
                         if hit := get(w):
-                            x += m * hit[0]
-                            y += m * hit[1]
+                            x += m * hit
                             k += m
                         else:
                             at.append(None)
                             ids.append(row)
                             times.append(m)
                             names.append(w)
-                            tokens.append(0), hits.append(0), sizes.append(0), base.append(0.0), score.append(0.0)
+                            tokens.append(0), hits.append(0), sizes.append(0), base.append(0.0)
                     at.append(j)
                     ids.append(row)
                     times.append(0)
                     names.append(b" %d" % row)  # no word has a blank: meets nothing, and these rows spread
-                    tokens.append(len(parts) + 1), hits.append(k), sizes.append(sum(map(len, parts)) + len(parts) + 1), base.append(x), score.append(y)
+                    tokens.append(len(parts) + 1), hits.append(k), sizes.append(sum(map(len, parts)) + len(parts) + 1), base.append(x)
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in kept], *[pa.array(x, pa.int64()) for x in (ids, times, tokens, hits, sizes)], pa.array(names, pa.binary()), pa.array(base), pa.array(score)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in kept], *[pa.array(x, pa.int64()) for x in (ids, times, tokens, hits, sizes)], pa.array(names, pa.binary()), pa.array(base)], schema=arrow)
 
     rows = work.mapInArrow(run, schema)
-    table_ = words.where(F.col("n") < totals["train_tokens"] * WORD_SHARE).select("word", "n", F.col("base").alias("__base"), F.col("score").alias("__score"))
+    table_ = words.where(F.col("n") < totals["train_tokens"] * WORD_SHARE).select("word", "n", F.col("base").alias("__base"))
     met = rows.join(table_, F.col("__word") == F.col("word"), "left")
     times = F.col("__times")
-    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, times).otherwise(0)).alias("n_known"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("base_score") + F.coalesce(times * F.col("__base"), F.lit(0.0))).alias("base_score"), F.sum(F.col("score") + F.coalesce(times * F.col("__score"), F.lit(0.0))).alias("score")]
+    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, times).otherwise(0)).alias("n_known"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("base_score") + F.coalesce(times * F.col("__base"), F.lit(0.0))).alias("base_score")]
     return met.groupBy("__row").agg(*[F.max(c).alias(c) for c in keep], *sums).drop("__row")
 
 
 def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = id_bucket("doc_id", 5)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.coalesce(rest != 1, F.lit(False)).alias("learn"))
+    read = table(spark, sf_dir, "documents")
+    found = read.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    rows = max(1, BLOCK * found["n"] // max(1, found["bytes"] or 0)) if found["n"] else 1
+    row = F.col("_metadata.row_index")
+    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(row / rows))
+    docs = read.select("doc_id", "text", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.coalesce(rest != 1, F.lit(False)).alias("learn"), block.alias("block"), row.alias("row"))
     words, totals = train(docs)
-    scored = score_texts(docs, words, totals, ["doc_id", "held_out"])
+    based = materialize(score_texts(docs, words, totals, ["doc_id", "held_out", "block", "row"]), "ctw-base")
+    scored = based.join(model_scores(docs), ["block", "row"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -453,6 +453,32 @@ def test_ctw_is_a_distribution():
         assert sum(10 ** op10.gram_log10(levels, c | np.arange(256))) == pytest.approx(1, abs=1e-6)
 
 
+def ctw_dir(spark, path, texts):
+    """texts by doc_id; ids that are held out are told from their crc32."""
+    spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path), [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+
+
+def ctw_scores(learned, text):
+    """All n-grams in one tree."""
+    import numpy as np
+
+    depth = op10.DEPTH
+    code, _ = op10.coded([x for t in learned for x in op10.streams_of(t)], depth)
+    levels = op10.grow([np.unique(code & ((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(depth + 1)])
+    return float(op10.gram_log10(levels, op10.coded(op10.streams_of(text), depth)[0]).sum())
+
+
+def test_ctw_keeps_rare_contexts_in_a_large_corpus(spark, tmp_path):
+    learn, held = ([i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    texts = {i: "ab " * 20_000 for i in learn[:20]} | {learn[20]: "zqxj", learn[21]: "zqxj", held[0]: "zqxj", held[1]: "zqjx"}
+    d, known = ctw_dir(spark, tmp_path, texts)
+    got = {r.doc_id: r.score for r in op10.op10_ctw_scores(spark, d).collect()}
+    assert got[held[0]] > got[held[1]] + 2
+    for i in (learn[0], held[0], held[1]):
+        assert got[i] == pytest.approx(ctw_scores(known, texts[i]), rel=1e-5)
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf, odd_dir, empty_dir):
     import corpus_pipeline as pipeline
