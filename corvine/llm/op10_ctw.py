@@ -2,8 +2,8 @@
 
 A text is read as tokens (words between ASCII white space, A-Z lower-cased, then one end), a token
 as its bytes and a closing blank (the end: one line feed). Each byte is eight binary
-decisions, most significant bit first; every decision node has a context tree over the up to DEPTH bytes before it in the
-token (before the token all bytes count as blanks). Each node of a tree holds a
+decisions, most significant bit first; every decision node has a context tree over the DEPTH bytes before it in the
+text so coded, over the borders of tokens (before the text all bytes count as blanks). Each node of a tree holds a
 Krichevsky-Trofimov estimate, and P_w(s) = 1/2 P_e(s) + 1/2 prod P_w(children of s) mixes all depths. Scoring uses the
 trees as learned: at each bit the estimates along the context path are mixed by the posterior of stopping there. The
 score is the sum of log10 probabilities; per byte it is a code length (``bits_per_byte``).
@@ -42,7 +42,7 @@ WORD_SHARE = 2.0**-20
 END = b"\n"
 FLUSH = 200_000
 BLOCK = 64 << 20
-AT_ONCE = 1 << 22
+AT_ONCE, HELD = 1 << 20, 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,7 +75,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def streams_of(text: str | None) -> list[bytes]:
     """What is coded of a text; each stream begins after blanks."""
-    return [*[w + b" " for w in words_of(text)], END]
+    return [b"".join(w + b" " for w in words_of(text)) + END]
 
 
 def coded(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                     kinds, n = np.unique(coded(texts[learn], depth)[0], return_counts=True)
                     parts.append((kinds, n * learn))
                     texts[learn].clear()
-            if sum(len(x) for x, _ in parts) > 2 * AT_ONCE:
+            if sum(len(x) for x, _ in parts) > HELD:
                 parts[:] = [added(parts)]
 
         def out():
@@ -150,7 +150,7 @@ def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
 
         for b in batches:
             for t, learn, at in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if at != block or sum(len(x) for x, _ in parts) > 2 * AT_ONCE:
+                if at != block or sum(len(x) for x, _ in parts) > HELD:
                     yield from out()
                     block = at
                 for x in streams_of(t.as_py()):

@@ -479,6 +479,17 @@ def test_ctw_keeps_rare_contexts_in_a_large_corpus(spark, tmp_path):
         assert got[i] == pytest.approx(ctw_scores(known, texts[i]), rel=1e-5)
 
 
+def test_ctw_contexts_run_over_the_border_of_words(spark, tmp_path):
+    learn, held = ([i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    texts = dict.fromkeys(learn[:30], "the cat sat on the mat") | {held[0]: "The cat\tsat on the mat", held[1]: "mat the on sat cat the", held[2]: None}
+    d, known = ctw_dir(spark, tmp_path, texts)
+    got = {r.doc_id: r.score for r in op10.op10_ctw_scores(spark, d).collect()}
+    assert got[held[0]] == pytest.approx(got[learn[0]]) and got[held[0]] > got[held[1]] + 1
+    for i in held[:3]:
+        assert got[i] == pytest.approx(ctw_scores(known, texts[i]), rel=1e-5)
+    assert [bytes(x) for x in op10.streams_of("A b")] == [b"a b \n"]
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf, odd_dir, empty_dir):
     import corpus_pipeline as pipeline
