@@ -56,7 +56,7 @@ def g12(spark, d):
 
 
 def boxes(spark, d):
-    return table(spark, d, "lineitem").where("l_suppkey <= 40").selectExpr("l_suppkey page", "l_orderkey * 10 + l_linenumber id", "l_quantity `left`", "l_quantity + 3 `right`", "l_discount * 100 top", "l_discount * 100 + 2 bottom", "l_extendedprice score").dropDuplicates(["id"])
+    return table(spark, d, "lineitem").selectExpr("l_suppkey page", "l_orderkey * 10 + l_linenumber id", "l_quantity `left`", "l_quantity + 3 `right`", "l_discount * 100 top", "l_discount * 100 + 2 bottom", "l_extendedprice score").dropDuplicates(["id"])
 
 
 @query("g07_anchor_groups")
@@ -99,6 +99,6 @@ def l46(spark, d):
 
 @query("j26_tolerance_match")
 def j26(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey <= 2000").selectExpr("l_orderkey k", "cast(l_linenumber as long) id", "l_quantity v", "l_returnflag f")  # noqa: E741
+    l = table(spark, d, "lineitem").selectExpr("l_orderkey k", "cast(l_linenumber as long) id", "l_quantity v", "l_returnflag f")  # noqa: E741
     l = l.dropDuplicates(["k", "id"])  # noqa: E741
     return grouped.match_by_tolerance(l.where("id % 2 = 0"), l.where("id % 2 = 1"), ["k"], "v", "id", 10.0, "f").select("k", "expected", "actual", F.round("distance", 4).alias("distance"))

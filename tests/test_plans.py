@@ -44,3 +44,10 @@ def test_aggregates_are_partial_before_the_shuffle(spark, name):
 @pytest.mark.parametrize("name", ["p01_project", "p14_array_shape_gate", "p22_first_rule_wins", "x_bankers_round", "w01_carry_forward", "j06_band_semi", "a14_folds"])
 def test_no_python_where_columns_do(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(spark, name))
+
+
+@pytest.mark.parametrize("name,key,want", [("g07_anchor_groups", "page", {1, 41, 5000}), ("g11_nms", "page", {1, 41, 5000}), ("j26_tolerance_match", "k", {3, 2001, 60000})])
+def test_no_rows_are_left_out_by_their_id(spark, tmp_path, name, key, want):
+    rows = [(o, s, n, 10.0 + n, 0.01 * n, 100.0 + n, "A") for o, s in ((3, 1), (2001, 41), (60000, 5000)) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r[key] for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want
