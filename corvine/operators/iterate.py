@@ -38,13 +38,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node, label or null) -> node, label, state. Each round, from a snapshot: a pending node whose labelled neighbours all agree
     takes their label; one that sees several is ambiguous for good. Stops when nothing changes."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = cut(both.unionByName(both.selectExpr("v u", "u v")).distinct())
     state = cut(nodes.select("node", "label", F.when(F.col("label").isNotNull(), "seed").otherwise("pending").alias("state")))
-    for _ in range(rounds):
+    while True:
         given = state.where("label is not null").select(F.col("node").alias("v"), F.col("label").alias("seen"))
         pending = state.where("state = 'pending'")
         told = pending.join(both, pending["node"] == both["u"]).join(given, "v").groupBy("node").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"))
@@ -53,8 +53,7 @@ def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
         new = cut(new.select("node", F.when(hit & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("label")).alias("label"), F.when(hit, F.when(F.col("lo") == F.col("hi"), "spread").otherwise("ambiguous")).otherwise(F.col("state")).alias("state"), hit.alias("changed")))
         state = new.drop("changed")
         if new.where("changed").isEmpty():
-            break
-    return state
+            return state
 
 
 def greedy_match(pairs: DataFrame, keys: list, left: str, right: str, score: Column) -> DataFrame:

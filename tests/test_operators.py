@@ -96,3 +96,11 @@ def test_global_rank(spark):
     got = iterate.global_rank(d, ["v"], "n").orderBy("v").collect()
     assert [r["n"] for r in got] == list(range(1, 1001))
     assert iterate.global_rank(d.limit(0), ["v"], "n").count() == 0
+
+
+def test_labels_spread_to_the_end_of_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "cut", lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1))  # many rounds: no files
+    nodes = spark.createDataFrame([(i, 7 if i == 0 else None) for i in range(52)], "node long, label long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(51)], "a long, b long")
+    got = iterate.spread_labels(nodes.coalesce(1), edges.coalesce(1)).collect()
+    assert {(r["label"], r["state"]) for r in got if r["node"] > 0} == {(7, "spread")}
