@@ -3,9 +3,10 @@
 Every whole text is scanned for parts of a credential: access identifiers, secrets and endpoints.
 Parts that are strong by themselves (the base patterns) are always reported. Weak candidates, which
 alone are mostly false alarms, are reported only when a complementary part lies within their
-scope: both spans, widened by ``reach`` code points, must overlap and sit in one section (sections
-end at a run of blank lines). The overlap is an interval join by a sweep in start order within each document; a weak part needs
-one partner, so no pairs are emitted and a text with n parts costs O(n log n).
+scope: both spans, each widened by ``reach`` code points, must meet (so the gap between them is 2 * ``reach`` at most) and sit in
+one section (sections end at a run of blank lines). A weak part within or across a base span is that span's, not a part of its own.
+The overlap is an interval join by a sweep in start order within each document; a weak part needs
+one partner, so no pairs are emitted and a text with n parts costs O(n log n). Parts may be of any length.
 
 Defined results: a null text is an empty text (no spans); rows repeat as they repeat; a null
 doc_id is carried along; input columns with the name of an output column are replaced; an empty
@@ -15,6 +16,7 @@ table gives an empty table. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,8 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 #: Weak parts: an identifier or secret by its label, a mixed high-entropy word, an endpoint.
-WEAK_ID = re.compile(r"\b(?:client_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login|tenant)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"\b(?:client_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login|tenant)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,}+)", re.ASCII | re.IGNORECASE)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b(?:https?|s3|gs|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|\b(?:host|hostname|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}", re.ASCII | re.IGNORECASE)
 SECTION = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -83,11 +85,11 @@ def linked(base: list[tuple], weak: list[tuple], text: str, reach: int) -> list[
         k = bisect.bisect_right(cuts, s)
         low, high = (gaps[k - 1][1] if k else 0), (cuts[k] if k < len(cuts) else len(text))
         starts, most = tops[side]
-        last = bisect.bisect_right(starts, min(e + reach, high)) - 1
-        first = bisect.bisect_left(most, max(s - reach, low))
+        last = bisect.bisect_right(starts, min(e + 2 * reach, high)) - 1
+        first = bisect.bisect_left(most, max(s - 2 * reach, low))
         for j in range(first, last + 1):  # spans of one side seldom overlap: ends in a step or two
             a, b = sides[side][j]
-            if b >= max(s - reach, low) and (b <= s or a >= e):
+            if b >= max(s - 2 * reach, low) and (b <= s or a >= e):
                 return True
         return False
 
@@ -101,11 +103,11 @@ def scan_text(text: str | None, reach: int = REACH) -> tuple[list[tuple], list[t
     base = base_spans(text)
     weak = weak_spans(text)
     covered = sorted((s, e) for s, e, _ in base)
-    starts = [s for s, _ in covered]
+    starts, ends = [s for s, _ in covered], list(itertools.accumulate((e for _, e in covered), max))
 
     def free(x: tuple) -> bool:
-        j = bisect.bisect_left(starts, x[1]) - 1
-        return not any(e > x[0] for _, e in covered[max(0, j - 3) : j + 1])
+        j = bisect.bisect_left(starts, x[1])
+        return j == 0 or ends[j - 1] <= x[0]
 
     weak = [x for x in weak if free(x)]
     return base, linked(base, weak, text, reach) if weak else []
