@@ -256,28 +256,55 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_without_letters(spark):
-    table = spark.createDataFrame([(1, "123 ++"), (2, None), (3, "")], "doc_id long, text string")
-    for model in (None, op6.fit(*_two_languages(), 8, 1.0)):
+    table = spark.createDataFrame([(1, "123 ++"), (2, None), (3, ""), (4, "½ ² Ⅷ ①")], "doc_id long, text string")
+    known = spark.createDataFrame([(k, *x) for k, x in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4)], "doc_id long, text string, lang string")
+    for model in (None, op6.train_language_model(known)):
         assert {(r["lang_pred"], r["score"]) for r in op6.identify_language(table, model).collect()} == {("und", 0.0)}
 
 
-def _two_languages():
-    import numpy as np
+def spectrum(text):
+    b = text.lower().encode()
+    return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
 
-    texts = [("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4
-    x = np.zeros((len(texts), op6.DIM), np.uint8)
-    for row, (t, _) in zip(x, texts):
-        op6.presence(t, row)
-    return x, [n for _, n in texts]
+def test_presence_kernel_over_whole_documents(docs):
+    texts = [t for t in docs.text if op6.has_letter(t)]
+    marks, some = texts[:12], [*texts[12:90], "abc", "a"]
+    got = op6.Kernel(op6.marks_of([op6.grams(t) for t in marks]))(some)
+    known = [spectrum(t) for t in marks]
+    for row, t in zip(got, some):
+        x = spectrum(t)
+        assert row.tolist() == pytest.approx([len(x & y) / math.sqrt(len(x) * len(y)) for y in known], rel=1e-5)
 
 
-def test_presence_kernel_is_blended_spectrum():
+def test_kernel_ridge_regression_by_its_normal_equations(docs):
+    """One language against the rest in the span of the landmarks: min over f = sum a_j k(., m_j) + b of weighted squares + ridge * (|f|^2 + b^2)."""
     import numpy as np
 
-    x = np.zeros((2, op6.DIM), np.float32)
-    op6.presence("abc", x[0])
-    op6.presence("abd", x[1])
-    assert x[0].sum() == 6 and op6.kernel(x[:1], x[1:])[0, 0] == pytest.approx(3 / 6)  # a, b, ab
+    some = docs[docs.lang.notna() & docs.text.map(op6.has_letter)][:60]
+    kernel = op6.Kernel(op6.marks_of([op6.grams(t) for t in some.text[:10]]))
+    rows, langs = kernel(list(some.text)).astype(float), list(some.lang)
+    model = op6.fit(rows[:10], rows, langs, 1.0)
+    k, names = rows[:10], sorted(set(langs))
+    w = np.array([len(langs) / (len(names) * langs.count(x)) for x in langs])
+    full = np.hstack([rows, np.ones((len(rows), 1))])
+    inner = np.zeros((11, 11))
+    inner[:10, :10], inner[10, 10] = k, 1
+    want = np.linalg.lstsq(full.T @ (w[:, None] * full) + inner, full.T @ (w[:, None] * np.where(np.array(langs)[:, None] == names, 1.0, -1.0)), rcond=None)[0]
+    assert model["names"] == names
+    assert rows @ model["weights"] + model["bias"] == pytest.approx(full @ want, abs=2e-3)
+
+
+def test_more_languages_than_landmarks(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k * 7919 + 10**6))
+    rows = [(k * 10 + j, f"{word(k)} {word(k + 400)} {word(k)}x{'y' * j}", f"l{k:03}") for k in range(300) for j in range(3)]
+    table = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, lang string")
+    model = op6.train_language_model(table)
+    assert len(model["names"]) == 300 and len(model["marks"]["rows"]) >= 300
+    got = op6.identify_language(table, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.9 * len(got)
+    few = op6.train_language_model(table, max_train=100)
+    assert len(few["names"]) == 300
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
