@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,8 +53,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = (files, where)
+    return out
+
+
+#: Where the tables that materialize() returned lie.
+WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def release(written: DataFrame) -> None:
+    """Delete the files of a table that materialize() returned, once nothing is to be read from it again."""
+    files, where = WRITTEN.pop(written)
+    files.delete(where, True)
 
 
 def id_bucket(doc_id: str | Column, modulus: int) -> Column:

@@ -4,22 +4,24 @@ Each permutation of the hashed shingles gives two signature values, its minimum
 evaluations per shingle make 2 * PERMUTATIONS values. They are banded by ROWS; documents that share a
 band are candidates. At a similarity of 0.85 a pair shares no band with probability 2e-10, at 0.8 with 1e-7.
 
-1. One pass over the texts makes, per document, the set size, a 128-bit digest of the set, signature and bands.
-2. Documents of equal sets are one class (partial minimum per task, then per digest); only class representatives go on.
-3. Buckets (band, key) are named by their smallest member; documents of one name form a group. In it, signatures and sizes are compared
+1. One pass over the texts makes, per row, the set size, a 128-bit digest of the set, signature and bands; it is written with the text.
+2. Rows of equal sets are one class (partial minimum per task, then per digest), known by the number of one of its rows, never by its id.
+3. Buckets (band, key) are named by their smallest member; classes of one name form a group. In it, signatures and sizes are compared
    and a spanning forest of the likely pairs comes out: no more rows than members. Its components are the clusters.
-4. Within a cluster the full sets, recomputed from the whole texts, are compared exactly, each set being sent there once. Out comes a
-   spanning forest of the confirmed links, whose components are the result.
+4. Within a cluster the full sets (64-bit hashes of all shingles) are compared exactly. Out comes a
+   spanning forest of the confirmed links, whose components are the result; the least id in each names it.
 
-Forests are grown by search: a member in turn is compared with all that no tree holds yet, so a group of m alike members
-takes about m comparisons and any two members are compared unless links join them already. No link between members is thus lost, and no
-list of pairs is ever made. Groups of more than BLOCK members are dealt into blocks, one task per pair of blocks.
+Forests: every member is first compared with its group's hub, the member that names it, by a join that has one row per group on one side, so a
+group of any size spreads over tasks. Only what the hub does not meet is compared on, with all
+members but the hub, by search: a member in turn is compared with all that no tree holds yet. No link between members is thus lost, and no
+list of pairs is ever made. For that, large groups are dealt into blocks of at most about BLOCK members and SHINGLES shingles, one task per pair of blocks.
 
 Components are found by minimum labels with pointer jumping, each round written to the shared folder.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; a null doc_id is linked with nothing, has a null
-component_id and is kept; rows are judged by their own text, so repeated rows share a component and are alike
-kept or not; fewer words than a shingle count as one shingle; equal smallest ids are ties without effect.
+component_id and is kept; rows are judged by their own text, whether or not other rows have the same id, so repeated rows share a component and are alike
+kept or not; fewer words than a shingle count as one shingle; equal smallest ids are ties without effect; texts of any length are read whole
+(a task holds some of them with their sets); other columns of the input are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, table
+from .common import append_columns, bound_batches, materialize, release, table
 
 PERMUTATIONS, ROWS = 60, 4
-BLOCK = 2000
+BLOCK, SHINGLES = 1000, 1 << 21
 #: A pair is likely if its signatures agree in at least threshold - SLACK, about six standard errors.
 SLACK = 0.2
 
@@ -116,7 +118,7 @@ def text_bytes(t: pa.Scalar) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, low, high (set digest), bands, sig (8 bits of each signature value)."""
+    """row (a number of its own), doc_id, text, n_shingles, low, high (set digest), bands, sig (8 bits of each signature value)."""
     long = T.LongType()
     fields = [T.StructField("n_shingles", long), T.StructField("low", long), T.StructField("high", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sig", T.BinaryType())]
 
@@ -138,16 +140,40 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
         return run
 
-    return append_columns(docs.select("doc_id", "text"), ["text"], fields, make).drop("text")
+    return append_columns(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), ["text"], fields, make)
 
 
-def forest(rows: pd.DataFrame, alike) -> pd.DataFrame:
-    """Edges (a, b) of a spanning forest of the rows' ids. alike(i, rest) tells which of the rows ``rest`` row i meets;
-    the first row that is tried is row 0."""
-    ids = rows["doc_id"].to_numpy()
-    rest, edges = np.arange(len(ids)), []
+def similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+
+
+def signatures(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+
+
+def likely(n: np.ndarray, data: list[bytes], hub_n: np.ndarray, hub: list[bytes], percent: int) -> np.ndarray:
+    """Which rows may meet their hubs, by sizes and signatures."""
+    sig = signatures(data)
+    return similar_sizes(n, hub_n, percent) & ((sig == signatures(hub)).sum(axis=1) >= (percent / 100 - SLACK) * sig.shape[1])
+
+
+def exact(n: np.ndarray, data: list[bytes], hub_n: np.ndarray, hub: list[bytes], percent: int) -> np.ndarray:
+    """Which rows meet their hubs: 100 * |a & b| >= percent * |a | b| on the full sets."""
+    out = similar_sizes(n, hub_n, percent)
+    for i in np.flatnonzero(out):
+        a, b = np.frombuffer(data[i], np.uint64), np.frombuffer(hub[i], np.uint64)
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        out[i] = 100 * both >= percent * (len(a) + len(b) - both)
+    return out
+
+
+def forest(ids: np.ndarray, near: np.ndarray, order: np.ndarray, alike) -> pd.DataFrame:
+    """Edges (a, b) that join the rows to trees. Rows with ``near`` are of one tree already; alike(i, rest) tells which of the rows
+    ``rest`` row i meets; rows are tried in ``order``."""
+    todo, rest, edges = order[near[order]].tolist(), order[~near[order]], []
     while len(rest):
-        todo, rest = [rest[0]], rest[1:]
+        if not todo:
+            todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             i = todo.pop()
             met = alike(i, rest)
@@ -159,98 +185,114 @@ def forest(rows: pd.DataFrame, alike) -> pd.DataFrame:
 
 def likely_forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """By sizes and signatures."""
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    sig = np.frombuffer(b"".join(map(bytes, rows["sig"])), np.uint8).reshape(len(rows), -1)
-    n = rows["n_shingles"].to_numpy()
+    rows = rows.sort_values("cid")
+    sig, n = signatures(list(map(bytes, rows["data"]))), rows["n"].to_numpy()
     least = (percent / 100 - SLACK) * sig.shape[1]
-    return forest(rows, lambda i, rest: (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent) & ((sig[rest] == sig[i]).sum(axis=1) >= least))
+    return forest(rows["cid"].to_numpy(), rows["near"].to_numpy(bool), np.arange(len(rows)), lambda i, rest: similar_sizes(n[rest], n[i], percent) & ((sig[rest] == sig[i]).sum(axis=1) >= least))
 
 
 def exact_forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """By 100 * |a & b| >= percent * |a | b| on the full sets, from the member that shares most with all others on."""
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    sets = [unpacked(x) for x in rows["members"]]
+    """By the full sets, from the member that shares most with all others on."""
+    rows = rows.sort_values("cid")
+    sets = [np.frombuffer(x, np.uint64) for x in rows["data"]]
     sizes = np.array([len(x) for x in sets])
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     shared = np.add.reduceat(np.bincount(code)[code], ends - sizes) / sizes
-    order = np.argsort(-shared, kind="stable")
-    parts = [code[ends[i] - sizes[i] : ends[i]] for i in order]
-    rows, sizes = rows.iloc[order], sizes[order]
+    parts = [code[e - k : e] for e, k in zip(ends, sizes, strict=True)]
     mark = np.zeros(code.max() + 1, bool)
 
     def alike(i: int, rest: np.ndarray) -> np.ndarray:
         mark[parts[i]] = True
-        near = np.minimum(sizes[rest], sizes[i]) * 100 >= np.maximum(sizes[rest], sizes[i]) * percent
-        both = np.array([np.count_nonzero(mark[parts[j]]) if good else 0 for j, good in zip(rest, near, strict=True)])
+        good = similar_sizes(sizes[rest], sizes[i], percent)
+        both = np.array([np.count_nonzero(mark[parts[j]]) if g else 0 for j, g in zip(rest, good, strict=True)], np.int64)
         mark[parts[i]] = False
-        return near & (100 * both >= percent * (sizes[rest] + sizes[i] - both))
-
-    return forest(rows, alike)
-
+        return good & (100 * both >= percent * (sizes[rest] + sizes[i] - both))
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The hashes' upper 40 bits, five bytes each: two of a set's thousands of hashes are equal there one time in a million."""
-    return (shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return forest(rows["cid"].to_numpy(), rows["near"].to_numpy(bool), np.argsort(-shared, kind="stable"), alike)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """docs with members, the full set of a text, instead of the text."""
+def set_rows(rows: DataFrame, words: int) -> DataFrame:
+    """rows with data, the full set of a text, instead of the text."""
 
     def make():
         powers = Powers()
-        return lambda texts: [pa.array([packed(shingle_set(text_bytes(t), words, powers)) for t in texts], pa.binary())]
+        return lambda texts: [pa.array([shingle_set(text_bytes(t), words, powers).tobytes() for t in texts], pa.binary())]
+
+    return append_columns(rows, ["text"], [T.StructField("data", T.BinaryType())], make).drop("text")
 
-    return append_columns(docs, ["text"], [T.StructField("members", T.BinaryType())], make).drop("text")
 
+def links(rows: DataFrame, compare, grow, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of each group. rows: name (the group, known by its hub's cid), cid, n, data."""
+    bound_batches(rows.sparkSession)
 
-def block_forests(rows: DataFrame, group: str, grow) -> DataFrame:
-    """Edges from grow() over each group of rows, or over each pair of blocks of a large one."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> block))")))
-    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("block", "with", "blocks")
-    return dealt.groupBy(group, "i", "j").applyInPandas(grow, "a long, b long")
+    def run(batches):
+        for b in batches:
+            name, cid, n, data, hub_n, hub = b.columns
+            near = compare(n.to_numpy(), data.to_pylist(), hub_n.to_numpy(), hub.to_pylist(), percent) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([name, cid, n, pa.array(near, pa.bool_())], names=["name", "cid", "n", "near"])
+
+    hubs = rows.where("cid = name").select("name", F.col("n").alias("hub_n"), F.col("data").alias("hub"))
+    others = rows.where("cid <> name")
+    tested = materialize(others.join(hubs, "name").select("name", "cid", "n", "data", "hub_n", "hub").mapInArrow(run, "name long, cid long, n long, near boolean"), "tested")
+    near, far = F.col("near"), ~F.col("near")
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / SHINGLES)).cast("int")
+    open_ = tested.groupBy("name").agg(F.count("*").alias("m"), blocks(near).alias("x"), blocks(far).alias("y")).where("y > 0 and m > 1").select("name", "x", "y")
+    # blocks 0 .. x - 1 are the hub's, x .. x + y - 1 are open; each pair with an open block in it is a task
+    mine = F.when(near, F.pmod(F.xxhash64("cid"), F.col("x"))).otherwise(F.col("x") + F.pmod(F.xxhash64("cid"), F.col("y"))).cast("int")
+    dealt = tested.join(open_, "name").withColumn("block", mine)
+    dealt = dealt.withColumn("with", F.explode(F.expr("if(near, sequence(x, x + y - 1), if(x + y = 1, array(0), filter(sequence(0, x + y - 1), k -> k <> block)))")))
+    dealt = dealt.select("name", "cid", "near", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    found = dealt.join(others, ["name", "cid"]).groupBy("name", "i", "j").applyInPandas(lambda g: grow(g, percent), "a long, b long")
+    return tested.where("near").select(F.col("name").alias("a"), F.col("cid").alias("b")).unionByName(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id, label (smallest id reachable) for every id on an edge (a, b)."""
+    """node, label (the smallest node reachable) for every node on an edge (a, b)."""
     both = materialize(edges.unionByName(edges.selectExpr("b a", "a b")).where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
-        told = both.join(labels, both["b"] == labels["doc_id"]).groupBy("a").agg(F.min("label").alias("told"))
-        nearer = labels.join(told, labels["doc_id"] == told["a"]).select("doc_id", F.col("label").alias("was"), F.least("label", "told").alias("label"))
-        jump = labels.select(F.col("doc_id").alias("__at"), F.col("label").alias("__next"))
-        new = nearer.join(jump, nearer["label"] == jump["__at"], "left").select("doc_id", "was", F.least("label", "__next").alias("label"))
+        told = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("told"))
+        nearer = labels.join(told, labels["node"] == told["a"]).select("node", F.col("label").alias("was"), F.least("label", "told").alias("label"))
+        jump = labels.select(F.col("node").alias("__at"), F.col("label").alias("__next"))
+        new = nearer.join(jump, nearer["label"] == jump["__at"], "left").select("node", "was", F.least("label", "__next").alias("label"))
         new = materialize(new, "labels")
-        labels = new.select("doc_id", "label")
+        release(labels)
+        labels = new
         if new.where("label <> was").isEmpty():
-            return labels
+            release(both)
+            return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text). Links: 100 * |a & b| >= percent * |a | b|."""
+def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and low, high, component_id for each class of more than no shingles."""
     base = materialize(sketch(docs, words), "sketch")
     full = base.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("low", "high").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("rep"))
-    classes = materialize(classes.select("low", "high", "rep.*"), "classes")
-    spread = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("name"), F.max("doc_id").alias("last")).where("name < last")
-    groups = spread.join(shared.select("band", "key", "name"), ["band", "key"]).select("name", "doc_id").distinct()
-    likely = groups.join(classes.select("doc_id", "n_shingles", "sig"), "doc_id")
-    clusters = components(block_forests(likely, "name", lambda g: likely_forest(g, percent)))
-    texts = docs.select("doc_id", "text").join(clusters, "doc_id")
-    links = block_forests(set_rows(texts, words), "label", lambda g: exact_forest(g, percent))
-    labels = components(links)
-    placed = classes.select("low", "high", F.col("doc_id").alias("__rep")).join(labels.withColumnRenamed("doc_id", "__rep"), "__rep", "left").select("low", "high", F.coalesce("label", "__rep").alias("label"))
+    classes = full.groupBy("low", "high").agg(F.min(F.struct("doc_id", "row", "n_shingles", "bands", "sig")).alias("rep"))
+    classes = materialize(classes.select("low", "high", F.col("rep.doc_id").alias("least"), F.col("rep.row").alias("cid"), F.col("rep.n_shingles").alias("n"), "rep.bands", "rep.sig"), "classes")
+    spread = classes.select("cid", F.posexplode("bands").alias("band", "key"))
+    shared = spread.groupBy("band", "key").agg(F.min("cid").alias("name"), F.max("cid").alias("last")).where("name < last")
+    groups = spread.join(shared.select("band", "key", "name"), ["band", "key"]).select("name", "cid").distinct()
+    candidates = materialize(groups.join(classes.select("cid", "n", F.col("sig").alias("data")), "cid").select("name", "cid", "n", "data"), "candidates")
+    clusters = components(links(candidates, likely, likely_forest, percent))
+    release(candidates)
+    texts = base.select("row", "n_shingles", "text").join(clusters, F.col("row") == F.col("node"))
+    sets = materialize(set_rows(texts.select(F.col("label").alias("name"), F.col("row").alias("cid"), F.col("n_shingles").alias("n"), "text"), words), "sets")
+    labels = components(links(sets, exact, exact_forest, percent))
+    release(sets)
+    known = classes.select("cid", "least")
+    linked = materialize(labels.join(known, F.col("node") == F.col("cid")).select("cid", "label", "least"), "linked")
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = linked.join(least, "label").select("cid", "component_id")
+    placed = classes.select("low", "high", "cid", "least").join(of, "cid", "left")
+    return base, placed.select("low", "high", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text). Links: 100 * |a & b| >= percent * |a | b|."""
+    base, placed = classify(docs, words, percent)
     out = base.select("doc_id", "n_shingles", "low", "high").join(placed, ["low", "high"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -390,6 +390,38 @@ def test_links_between_members_that_are_not_smallest(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
 
 
+def test_two_texts_under_one_id_are_both_compared(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, b), (3, a), (3, b + " more"), (5, a), (7, a + " more"), (7, "else " + b)]
+    got = op8.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(1, 58, 1, True), (3, 58, 3, True), (3, 59, 1, False), (5, 58, 3, False), (7, 59, 1, False), (7, 59, 3, False)]
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(1000, 1 << 21), (3, 1 << 21), (1000, 500)])
+def test_groups_that_a_hub_does_not_join(spark, monkeypatch, block, shingles):
+    """Three families under one hub, which only the first meets; some rows meet a member of the first alone."""
+    monkeypatch.setattr(op8, "BLOCK", block)
+    monkeypatch.setattr(op8, "SHINGLES", shingles)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        for _ in range(12):
+            x = list(base)
+            for _ in range(rng.randrange(9)):
+                x[rng.randrange(120)] = word()
+            texts.append(x)
+        texts.append(x[:111])
+    rows = list(enumerate(" ".join(t) for t in texts))
+    made = op8.set_rows(spark.createDataFrame(rows, "cid long, text string"), 3).selectExpr("0L name", "cid", "cast(length(data) / 8 as long) n", "data")
+    edges = op8.links(made, op8.exact, op8.exact_forest, 85)
+    found = dict(op8.components(edges).collect())
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+    assert {i: found.get(i, i) for i in want} == want
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     assert dict(op8.components(edges).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
