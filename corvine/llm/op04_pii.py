@@ -1,29 +1,32 @@
 """Operator 4, PII: bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the entities that the base patterns find in every whole text. Candidates are all words with a digit or
-an at sign; a candidate's lexical pattern is the two words before it, digits as 0, lower-cased. The graph between patterns
+an at sign; a candidate's lexical pattern is the two whole words before it, digits as 0, lower-cased. The graph between patterns
 and instances (one edge per distinct pair, with its count) is scored in turn: a pattern's confidence is the mean score of its
 instances, damped by PRIOR; an instance's score is 1 for a seed, else the noisy-or of its patterns. After ROUNDS rounds the
 patterns with at least MIN_INSTANCES distinct instances and a confidence of MIN_CONFIDENCE extract the unseen identifiers in
-their slot (kind ``context``); base spans stay as they are.
+their slot (kind ``context``): candidates with an at sign or at least MIN_DIGITS digits. Base spans stay as they are.
 
-One pass over the texts: what it finds (spans, candidates; no text) is written to the shared folder, and all else reads that.
+One pass over the texts: what it finds (spans, candidates) is written to the shared folder, and all else reads that.
 Edges are summed per task before the shuffle; joins on a pattern have one row per pattern on one side, so hot ones can be
-split by adaptive execution. Matches are placed by the lengths of the matches and of the parts between them,
-which split() and regexp_extract_all() give in code points.
+split by adaptive execution; finds meet their rows by the row's number, never by its text or id. Matches are placed by the lengths of the matches and of the parts between them,
+which split() and regexp_extract_all() give in code points. Sums and maxima along the matches of a text, and the look-up of spans and pieces by
+place, go by blocks of the square root of their number, so a text with n matches costs n ** 1.5 steps at most; a task holds one text with its matches.
 
-Defined results: a null text is an empty text; null or repeated ids do no harm, each row is judged by itself; an empty table
-gives an empty table; input columns named like an output column are replaced.
+Defined results: a null text is an empty text; null or repeated ids do no harm, each row is judged by itself; texts of any length are read whole; an empty table
+gives an empty table; other columns are carried by ``redact`` as they are, whatever their names (names that begin with two underscores are its own), and not looked at otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
-ROUNDS, PRIOR, MIN_INSTANCES, MIN_CONFIDENCE = 3, 1.0, 4, 0.75
+ROUNDS, PRIOR, MIN_INSTANCES, MIN_CONFIDENCE, MIN_DIGITS = 3, 1.0, 4, 0.75, 4
 
 #: The base patterns. A match starts where no match could have started one character
 #: earlier, or where the last one ended, so failing runs are read once; that leaves the matches as they are.
@@ -60,45 +63,74 @@ def match_parts(text: str, pattern: str, hint: str = "") -> tuple[Column, Column
     return F.expr(f"if({some}, regexp_extract_all({text}, {p}, 0), {none})"), F.expr(f"if({some}, split({text}, {p}, -1), {none})")
 
 
-def placed(found: str, parts: str) -> str:
-    """SQL for an array of (s, e, t): start, end and text of each match."""
-    kind = "array<struct<s:int,e:int,t:string>>"
-    return f"""aggregate(zip_with({found}, slice({parts}, 1, size({found})), (f, p) -> struct(length(p) as p, length(f) as f, f as t)),
-        struct(0 as at, cast(array() as {kind}) as o),
-        (a, x) -> struct(a.at + x.p + x.f as at, concat(a.o, array(struct(a.at + x.p as s, a.at + x.p + x.f as e, x.t as t))) as o), a -> a.o)"""
+def blocks(array: str) -> str:
+    """SQL for an array in blocks of the square root of its size."""
+    size = f"greatest(1, cast(ceil(sqrt(size({array}))) as int))"
+    return f"transform(sequence(0, greatest(0, size({array}) - 1) div {size}), i -> slice({array}, i * {size} + 1, {size}))"
+
+
+def with_running(df: DataFrame, arrays: dict[str, str], step: Callable[[str, str], str]) -> DataFrame:
+    """df with a column for each of ``arrays`` (name: SQL of an array of ints): what ``step`` (SQL of two values, associative, 0 neutral) makes
+    of the values before each place."""
+    along = lambda array, value: f"aggregate({array}, array(0), (o, v) -> concat(o, array({step('element_at(o, -1)', value)})))"
+    out = df.withColumns({f"__v_{k}": F.expr(v) for k, v in arrays.items()})
+    out = out.withColumns({f"__b_{k}": F.expr(f"transform({blocks(f'__v_{k}')}, b -> {along('b', 'v')})") for k in arrays})
+    out = out.withColumns({f"__o_{k}": F.expr(along(f"__b_{k}", "element_at(v, -1)")) for k in arrays})
+    whole = {k: F.expr(f"flatten(zip_with(__b_{k}, slice(__o_{k}, 1, size(__b_{k})), (b, o) -> transform(slice(b, 1, size(b) - 1), v -> {step('o', 'v')})))") for k in arrays}
+    return out.withColumns(whole).drop(*[f"__{x}_{k}" for x in "vbo" for k in arrays])
+
+
+def with_places(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """df, which has the matches __f_k and the parts between them __p_k of each kind, with __at_k: array of (s, e, t), start, end and text of each match."""
+    taken = {f"__s_{k}": f"zip_with(__f_{k}, slice(__p_{k}, 1, size(__f_{k})), (f, p) -> length(f) + length(p))" for k in kinds}
+    out = with_running(df, taken, lambda a, x: f"{a} + {x}")
+    each = {f"__at_{k}": F.expr(f"transform(__f_{k}, (f, i) -> struct(__s_{k}[i] + length(__p_{k}[i]) as s, __s_{k}[i] + length(__p_{k}[i]) + length(f) as e, f as t))") for k in kinds}
+    return out.withColumns(each).drop(*taken)
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __base: array of (s, rank, e) by start, then kind; __text is the text, never null."""
+    """docs with __base: array of (s, rank, e, t) by start, then kind; __text is the text, never null."""
     out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for k, p in PATTERNS.items():
         found, parts = match_parts("__text", p, HINT[k])
         out = out.withColumns({f"__f_{k}": found, f"__p_{k}": parts})
-    each = [f"transform(filter({placed(f'__f_{k}', f'__p_{k}')}, x -> {VALID[k]}), x -> struct(x.s as s, {i} as rank, x.e as e))" for i, k in enumerate(PATTERNS)]
+    out = with_places(out, list(PATTERNS))
+    each = [f"transform(filter(__at_{k}, x -> {VALID[k]}), x -> struct(x.s as s, {i} as rank, x.e as e, x.t as t))" for i, k in enumerate(PATTERNS)]
     out = out.withColumn("__base", F.expr(f"array_sort(concat({', '.join(each)}))"))
-    return out.drop(*[f"__{x}_{k}" for x in "fp" for k in PATTERNS])
+    return out.drop(*[f"__{x}_{k}" for x in ("f", "p", "at") for k in PATTERNS])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (with __text, __base) and __seen: array of (s, e, token, pattern, seed)."""
     found, parts = match_parts("__text", CANDIDATE)
-    out = docs.withColumns({"__f": found, "__p": parts}).withColumn("__at", F.expr(placed("__f", "__p")))
-    words = r"filter(split(lower(translate(substring(__text, greatest(1, x.s - 63), least(x.s, 64)), '123456789', '000000000')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
-    pattern = rf"array_join(reverse(slice(reverse({words}), 1, 2)), ' ')"
-    token = r"regexp_replace(x.t, '^[^A-Za-z0-9+@]+|[^A-Za-z0-9@]+$', '')"
-    entity = "filter(__base, b -> b.s < x.e and b.e > x.s)"
-    seen = f"transform(__at, x -> struct(x.s as s, x.e as e, {token} as token, {pattern} as pattern, get({entity}, 0) as b))"
+    out = with_places(docs.withColumns({"__f_word": found, "__p_word": parts}), ["word"])
+    # the last two words of each part, the last one first, spelt backwards; a part before a candidate ends in white space
+    tail = r"slice(filter(slice(split(reverse(p), '[\\x20\\x09-\\x0D]+', 4), 1, 3), w -> w <> ''), 1, 2)"
+    out = out.withColumn("__tails", F.expr(f"transform(__p_word, p -> {tail})"))
+    none = "cast(array() as array<string>)"
+    before = f"slice(concat(__tails[i], if(i > 0, array(reverse(get(__f_word, i - 1))), {none}), if(i > 0, get(__tails, i - 1), {none}), if(i > 1, array(reverse(get(__f_word, i - 2))), {none})), 1, 2)"
+    pattern = f"array_join(transform(reverse({before}), w -> lower(translate(reverse(w), '123456789', '000000000'))), ' ')"
+    token = r"regexp_replace(x.t, '^[^A-Za-z0-9+@]++|(?<![^A-Za-z0-9@])[^A-Za-z0-9@]++$', '')"
+    out = out.withColumn("__slots", F.expr(f"transform(__at_word, (x, i) -> struct(x.s as s, x.e as e, {token} as token, {pattern} as pattern))"))
+    near = "transform({blocks}, c -> struct(c as c, filter(__base, b -> b.s < element_at(c, -1).e and b.e > c[0].s) as b))".format(blocks=blocks("__slots"))
+    out = out.withColumn("__near", F.expr(f"if(size(__slots) = 0, null, {near})"))
     # an entity of several words is one instance, in the slot of its first word
-    each = "transform(filter(__seen, x -> x.b is null or x.b.s >= x.s), x -> struct(x.s, x.e, if(x.b is null, x.token, substring(__text, x.b.s + 1, x.b.e - x.b.s)) as token, x.pattern, x.b is not null as seed))"
-    return out.withColumn("__seen", F.expr(seen)).withColumn("__seen", F.expr(each)).drop("__f", "__p", "__at")
+    meets = "get(filter(g.b, b -> b.s < x.e and b.e > x.s), 0)"
+    out = out.withColumn("__met", F.expr(f"flatten(transform(__near, g -> transform(g.c, x -> struct(x as x, {meets} as b))))"))
+    seen = "transform(filter(__met, m -> m.b is null or m.b.s >= m.x.s), m -> struct(m.x.s as s, m.x.e as e, coalesce(m.b.t, m.x.token) as token, m.x.pattern as pattern, m.b is not null as seed))"
+    return out.withColumn("__seen", F.expr(seen)).drop("__f_word", "__p_word", "__at_word", "__tails", "__slots", "__near", "__met")
 
 
 def pattern_scores(edges: DataFrame) -> DataFrame:
     """edges (pattern, token, seed as 0/1; distinct pattern and token) -> pattern, confidence, instances."""
     scores = edges.groupBy("token").agg(F.max("seed").cast("double").alias("score"))
+    last = None
     for k in range(ROUNDS):
         told = edges.join(scores, "token").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(PRIOR))).alias("confidence"), F.count("*").alias("instances"))
         told = materialize(told, "pii-patterns")
+        if last is not None:
+            release(last)
+        last = told
         if k + 1 < ROUNDS:
             heard = edges.join(told.where(F.col("instances") >= MIN_INSTANCES), "pattern", "left")
             noisy = 1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
@@ -107,17 +139,19 @@ def pattern_scores(edges: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs with base and spans: arrays of (s, rank, e); rank indexes KINDS. One row per row."""
-    seen = candidates(base_spans(docs, text)).select(*keep, F.monotonically_increasing_id().alias("__row"), "__base", "__seen")
+    """The columns ``keep`` of docs with __base and __spans: arrays of (s, rank, e); rank indexes KINDS. One row per row."""
+    base = F.expr("transform(__base, x -> struct(x.s, x.rank, x.e))").alias("__base")
+    seen = candidates(base_spans(docs, text)).select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("__row"), base, F.coalesce("__seen", F.expr("slice(__seen, 1, 0)")).alias("__seen"))
     seen = materialize(seen, "pii-scan")
     each = seen.select("__row", F.explode("__seen").alias("c")).select("__row", "c.*")
     good = each.where("pattern <> '' and token <> ''")
     edges = materialize(good.groupBy("pattern", "token").agg(F.max(F.col("seed").cast("int")).alias("seed")), "pii-edges")
     taken = pattern_scores(edges).where((F.col("instances") >= MIN_INSTANCES) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern")
-    new = good.where("not seed and length(regexp_replace(token, '[^0-9]', '')) >= 4").join(taken, "pattern", "left_semi")
+    release(edges)
+    new = good.where(f"not seed and (contains(token, '@') or length(regexp_replace(token, '[^0-9]', '')) >= {MIN_DIGITS})").join(taken, "pattern", "left_semi")
     new = new.groupBy("__row").agg(F.collect_list(F.struct("s", F.lit(len(PATTERNS)).alias("rank"), "e")).alias("__new"))
     out = seen.join(new, "__row", "left")
-    return out.select(*keep, F.col("__base").alias("base"), F.expr("array_sort(concat(__base, coalesce(__new, slice(__base, 1, 0))))").alias("spans"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "__base", F.expr("array_sort(concat(__base, coalesce(__new, slice(__base, 1, 0))))").alias("__spans"))
 
 
 def span_text(column: str) -> str:
@@ -126,23 +160,22 @@ def span_text(column: str) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the personal data in their texts replaced by <KIND>; all other columns as they are. A null text stays null."""
-    keyed = docs.withColumn("__sha", F.sha2(text, 256))
-    found = find_pii(keyed, ["__sha"], text).where("size(spans) > 0")
-    found = found.groupBy("__sha").agg(F.min("spans").alias("spans"))  # equal texts have equal spans
+    """docs with the personal data in their texts replaced by <KIND>; all other columns as they are. A null text stays null. Of
+    spans that overlap, the first stands for all."""
     names = ", ".join(literal(f"<{k.upper()}>") for k in KINDS)
-    rebuilt = f"""aggregate(spans, struct(0 as at, '' as o),
-        (a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) as at, a.o as o), struct(x.e as at, concat(a.o, substring({text}, a.at + 1, x.s - a.at), element_at(array({names}), x.rank + 1)) as o)),
-        a -> concat(a.o, substring({text}, a.at + 1)))"""
-    out = keyed.join(found, "__sha", "left").withColumn(text, F.expr(f"if(spans is null, {text}, {rebuilt})"))
-    return out.select(*docs.columns)
+    out = with_running(find_pii(docs, docs.columns, text), {"__done": "transform(__spans, x -> x.e)"}, lambda a, x: f"greatest({a}, {x})")
+    out = out.withColumn("__kept", F.expr("filter(zip_with(__spans, __done, (x, d) -> struct(d as d, x.s as s, x.rank as rank)), x -> x.s >= x.d)"))
+    out = out.withColumn("__parts", F.expr(f"if(size(__kept) = 0, null, transform({blocks('__kept')}, c -> struct(c as c, substring(`{text}`, c[0].d + 1, element_at(c, -1).s - c[0].d) as t)))"))
+    pieces = f"flatten(transform(__parts, g -> transform(g.c, x -> concat(substring(g.t, x.d - g.c[0].d + 1, x.s - x.d), element_at(array({names}), x.rank + 1)))))"
+    out = out.withColumn(text, F.expr(f"if(__parts is null, `{text}`, concat(array_join({pieces}, ''), substring(`{text}`, array_max(transform(__spans, x -> x.e)) + 1)))"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind and the digests of the spans for docs (doc_id, text)."""
     found = find_pii(docs, ["doc_id"])
-    counts = [f"cast(size(filter(base, x -> x.rank = {i})) as long) n_{k}" for i, k in enumerate(PATTERNS)]
-    return found.selectExpr("doc_id", *counts, "cast(size(spans) - size(base) as long) n_context", f"sha2({span_text('base')}, 256) base_sha256", f"{span_text('spans')} spans")
+    counts = [f"cast(size(filter(__base, x -> x.rank = {i})) as long) n_{k}" for i, k in enumerate(PATTERNS)]
+    return found.selectExpr("doc_id", *counts, "cast(size(__spans) - size(__base) as long) n_context", f"sha2({span_text('__base')}, 256) base_sha256", f"{span_text('__spans')} spans")
 
 
 def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvine.llm import gif, queries
 from corvine.llm import op01_secrets as op1
@@ -219,6 +220,80 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert got[100] == "context:18:27" and got[101] == "" and all(got[k] == "" for k, _ in licences)
 
 
+def brute_patterns(texts):
+    """Candidates with their patterns, and the spans that sure patterns find, by loops."""
+    edges, slots = defaultdict(int), []
+    for row, t in enumerate(texts):
+        base = sorted((m.start(), i, m.end(), m[0]) for i, (k, p) in enumerate(PII) for m in re.finditer(p, t) if pii_ok(k, m))
+        at = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for n, (s, e, w) in enumerate(at):
+            if not re.search("[0-9@]", w):
+                continue
+            met = [b for b in base if b[0] < e and b[2] > s]
+            if met and met[0][0] < s:
+                continue
+            pattern = " ".join(re.sub("[1-9]", "0", x[2]).lower() for x in at[max(0, n - 2) : n])
+            token = met[0][3] if met else re.sub("^[^A-Za-z0-9+@]+|[^A-Za-z0-9@]+$", "", w)
+            if pattern and token:
+                edges[pattern, token] |= bool(met)
+                slots.append((row, s, e, token, pattern, bool(met)))
+    score = defaultdict(float)
+    for (_, token), seed in edges.items():
+        score[token] = max(score[token], float(seed))
+    sure = {token for (_, token), seed in edges.items() if seed}
+    for _ in range(op4.ROUNDS):
+        by = defaultdict(list)
+        for p, token in edges:
+            by[p].append(score[token])
+        told = {p: (sum(x) / (len(x) + op4.PRIOR), len(x)) for p, x in by.items()}
+        for token in score:
+            heard = [min(told[p][0], 0.999) if told[p][1] >= op4.MIN_INSTANCES else 0.0 for p, x in edges if x == token]
+            score[token] = 1.0 if token in sure else 1 - math.prod(1 - x for x in heard)
+    good = {p for p, (c, n) in told.items() if n >= op4.MIN_INSTANCES and c >= op4.MIN_CONFIDENCE}
+    return sorted((row, s, e) for row, s, e, token, p, seed in slots if not seed and p in good and ("@" in token or len(re.sub("[^0-9]", "", token)) >= op4.MIN_DIGITS))
+
+
+def test_pii_contexts_equal_brute_force(spark):
+    rng = random.Random(6)
+    slot = ["please call me on", "mail", "my\tnumber  is", "under License, version", "an extraordinarilylongwordthatgoesonandonandonandonandonandonandonandon besides"]
+    ident = ["+1 (234) 567-89%02d", "a%d@b.cd", "0049-55%02d", "200%02d", "jane%d@localhost", "4111 1111 1111 1111", "--(77%02d)--", "1.2.3.%d"]
+    texts = []
+    for _ in range(120):
+        x = ""
+        for _ in range(rng.randrange(6)):
+            i = rng.choice(ident)
+            x += rng.choice(["", " ", "\n", "é "]) + rng.choice(slot) + rng.choice([" ", "  ", " 12 "]) + (i % rng.randrange(99) if "%" in i else i) + rng.choice([" today", ",", " "])
+        texts.append(x)
+    found = op4.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    got = sorted((r["doc_id"], x["s"], x["e"]) for r in found for x in r["__spans"] if x["rank"] == len(op4.PATTERNS))
+    want = brute_patterns(texts)
+    assert got == want and len(want) > 20
+
+
+def test_pii_in_a_very_long_text(spark):
+    import time
+
+    text = " ".join(f"call me on {k} or 1.2.3.{k % 256}" for k in range(200_000))
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = op4.pii_digest(table).selectExpr("n_ip", "length(spans) > 0 as some").first()
+    clean = op4.redact(table).select(F.length("text").alias("n"), F.substring("text", 1, 60).alias("t")).first()
+    assert len(text) > 5_000_000 and row["n_ip"] == 200_000 and row["some"]
+    assert clean["t"].startswith("call me on 0 or <IP> call me on 1 or <IP>") and time.time() - began < 240
+
+
+def test_redaction_of_overlapping_spans(spark):
+    texts = ["a.1.2.3.4@b.cd x", "x 4111 1111 1111 1111@a.b.c y +1 (234) 567-8901 z", "+1 234.1.2.3.4.567 8901", "no", "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op4.redact(table).collect():
+        t, at, out = texts[r["doc_id"]], 0, ""
+        for s, i, e in sorted((m.start(), i, m.end()) for i, (k, p) in enumerate(PII) for m in re.finditer(p, t or "") if pii_ok(k, m)):
+            if s >= at:
+                out += t[at:s] + f"<{PII[i][0].upper()}>"
+            at = max(at, e)
+        assert r["text"] == (None if t is None else out + t[at:])
+
+
 def test_redaction(spark):
     table = spark.createDataFrame([(1, "mail a@b.cd now", "k"), (1, None, "k"), (2, "é 1.2.3.4", None)], "doc_id long, text string, other string")
     got = sorted(map(tuple, op4.redact(table).collect()), key=str)
