@@ -181,12 +181,22 @@ def test_mix_meets_its_targets(spark, sf, docs, odd_dir, tmp_path):
     assert all(r["size"] == len(words(texts[r["doc_id"]])) for r in op3.op3_source_mix(spark, sf).collect())
 
 
-def test_mix_rows_keeps_columns_and_whole_documents(spark, odd_dir):
-    table = spark.read.parquet(f"{odd_dir}/documents.parquet")
+def test_targets_of_very_many_sources(spark):
+    rng = random.Random(1)
+    sizes = {f"host{rng.randrange(10**9)}": rng.choice([1, 2, 5, 400, 90_000]) for _ in range(5000)} | {None: 7}
+    got = op3.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets(sizes)
+    assert len(got) == len(sizes) and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
+def test_mix_rows_keeps_the_values_of_all_columns(spark, odd_dir):
+    table = spark.read.parquet(f"{odd_dir}/documents.parquet").withColumn("Target", F.lit("KEEP"))
+    for c in ("taken", "epochs", "source_size", "kept", "target_", "base", "spans", "row"):
+        table = table.withColumn(c, F.concat_ws("-", F.lit(c), "doc_id", "SIZE"))
     rows = op3.mix_rows(table)
     assert rows.columns == table.columns
-    known = {r["text"] for r in table.collect()}
-    assert all(r["text"] in known for r in rows.collect())
+    known = {str(r) for r in table.collect()}
+    assert rows.count() and all(str(r) in known for r in rows.collect())
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
