@@ -9,11 +9,13 @@ digits and punctuation per word, distinct words, ...). An L1 term leaves weight
 so long clean texts gather no noise.
 
 The fit takes at most ``max_labelled`` labelled rows (by hash order of the id, a documented bound; so the list of them
-may be broadcast); every text is scored whole. Grade of a labelled row: 0 toxic, 1 not toxic but of low quality, 2 good;
-rows with neither label are not learned from, a single missing label counts as good.
+may be broadcast); every text is scored whole. Grade of a labelled row: 0 toxic, 1 not toxic but of low quality, 2 not toxic and of
+good quality; a row whose labels do not tell its grade (quality missing, or toxic missing) is not learned from.
 
 Defined results: a null text is an empty text; without labelled rows, or with one grade only, all are kept with
-expected grade and probabilities null; repeated ids in labels: each rating is learned from; a null id matches nothing.
+expected grade and probabilities null; repeated ids in labels: each rating is learned from; of texts that share an id, one is learned from;
+a null id matches nothing; rows repeat as they repeat; texts of any length are read whole, one at a time; an empty table gives an empty table; input columns named like
+an output column (in any case) are replaced, unless ``names`` gives the output columns other names.
 """
 
 from __future__ import annotations
@@ -123,9 +125,8 @@ def tails(model: dict, eta: float) -> list[float]:
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> dict | None:
-    quality, toxic = F.coalesce("quality", F.lit(1)), F.coalesce("toxic", F.lit(0))
-    graded = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
-    graded = graded.select("doc_id", F.when(toxic == 1, 0).when(quality == 0, 1).otherwise(2).alias("grade"))
+    grade = F.when(F.col("toxic") == 1, 0).when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)
+    graded = labels.where("doc_id is not null").select("doc_id", grade.alias("grade")).where("grade is not null")
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id")
     made = append_columns(texts, ["text"], [T.StructField("slots", T.BinaryType())], lambda: lambda t: [[features(x) for x in t.to_pylist()]])
@@ -135,8 +136,11 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, max_labelled: int =
     return fit_ordinal([np.frombuffer(r["slots"], np.int32) for r in rows], [r["grade"] for r in rows])
 
 
-def score_quality(docs: DataFrame, model: dict | None, keep_grade: int = 2, keep_probability: float = 0.5) -> DataFrame:
-    """docs with expected_grade, tail_probabilities (of grade >= 1, 2, ...) and kept."""
+NAMES = ("expected_grade", "tail_probabilities", "kept")
+
+
+def score_quality(docs: DataFrame, model: dict | None, keep_grade: int = 2, keep_probability: float = 0.5, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs with expected_grade, tail_probabilities (of grade >= 1, 2, ...) and kept, or the names given for them."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -169,7 +173,7 @@ def score_quality(docs: DataFrame, model: dict | None, keep_grade: int = 2, keep
 
         return run
 
-    return append_columns(docs, ["text"], [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probabilities", T.ArrayType(T.DoubleType())), T.StructField("kept", T.BooleanType())], make)
+    return append_columns(docs, ["text"], [T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.ArrayType(T.DoubleType()), T.BooleanType()), strict=True)], make)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

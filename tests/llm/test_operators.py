@@ -331,6 +331,54 @@ def test_ordinal_thresholds_are_ordered():
     assert op5.fit_ordinal(rows, [1] * 600) is None and op5.fit_ordinal([], []) is None
 
 
+def test_ordinal_fit_is_at_its_optimum():
+    """Slopes of the penalized likelihood by finite differences, over loops: none along thresholds, l1 along weights in use, less along others."""
+    rng = random.Random(7)
+    rows, grades = [], []
+    for _ in range(120):
+        g = rng.choice([0, 1, 1, 2, 2, 2])
+        rows.append(sorted({rng.randrange(10, 20), *([1] if g == 0 and rng.random() < 0.8 else []), *([2] if g == 2 and rng.random() < 0.6 else []), *([3] if rng.random() < 0.3 else [])}))
+        grades.append(g)
+    model = op5.fit_ordinal(rows, grades, rounds=6000)
+    share = [0.5 / grades.count(g) for g in range(3)]
+    raw = [share[g] for g in grades]
+    weight = [math.sqrt(x * len(rows) / sum(raw)) for x in raw]
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g, x in zip(rows, grades, weight):
+            eta = sum(w.get(c, 0.0) for c in r)
+            total += x * sum(math.log1p(math.exp((theta[k - 1] - eta) * (1 if g >= k else -1))) for k in (1, 2))
+        return total
+
+    def slope(f):
+        return (f(1e-5) - f(-1e-5)) / 2e-5
+
+    w, theta = model["weights"], model["theta"]
+    for k in (0, 1):
+        assert abs(slope(lambda d: loss(w, [t + d * (i == k) for i, t in enumerate(theta)]))) < 0.02
+    for c in {c for r in rows for c in r}:
+        scale = 1 / math.sqrt(max(1, sum(c in r for r in rows) / len(rows) * 50))
+        along = slope(lambda d: loss(w | {c: w.get(c, 0.0) + d}, theta)) * scale
+        assert along == pytest.approx(-math.copysign(1, w[c]), abs=0.02) if c in w else abs(along) < 1.02
+    assert {1, 2} <= set(w)
+
+
+def test_absent_labels_give_no_grade(spark):
+    docs = spark.createDataFrame([(k, ("good text here", "bad words now", "other")[k % 3]) for k in range(30)], "doc_id long, text string")
+    full = [(k, (1, 0, None)[k % 3], 0) for k in range(30)]
+    some = spark.createDataFrame(full, "doc_id long, quality int, toxic int")
+    model = op5.train_quality_model(docs, some)
+    assert model == op5.train_quality_model(docs, some.where("quality is not null")) and model["levels"] == [2]
+    assert op5.train_quality_model(docs, some.where("quality is null or quality = 1")) is None
+
+
+def test_quality_columns_under_other_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "doc_id long, text string, KEPT string")
+    assert [r["KEPT"] for r in op5.score_quality(docs, None, names=("__g", "__t", "__k")).collect()] == ["x", "y"]
+    assert [f.simpleString() for f in op5.score_quality(docs, None).schema][2:] == ["expected_grade:double", "tail_probabilities:array<double>", "kept:boolean"]
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 def test_language_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
