@@ -21,7 +21,7 @@ Components are found by minimum labels with pointer jumping, each round written
 Defined results: an empty or null text has an empty set and is linked with nothing; a null doc_id is linked with nothing, has a null
 component_id and is kept; rows are judged by their own text, whether or not other rows have the same id, so repeated rows share a component and are alike
 kept or not; fewer words than a shingle count as one shingle; equal smallest ids are ties without effect; texts of any length are read whole
-(a task holds some of them with their sets); other columns of the input are not looked at; an empty table gives an empty table.
+(a task holds some of them with their sets); ``without_copies`` carries all other columns as they are, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def text_bytes(t: pa.Scalar) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """row (a number of its own), doc_id, text, n_shingles, low, high (set digest), bands, sig (8 bits of each signature value)."""
+    """row (a number of its own), doc_id, text, others (a struct of all other columns), n_shingles, low, high (set digest), bands, sig (8
+    bits of each signature value)."""
     long = T.LongType()
     fields = [T.StructField("n_shingles", long), T.StructField("low", long), T.StructField("high", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sig", T.BinaryType())]
 
@@ -140,7 +141,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
         return run
 
-    return append_columns(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), ["text"], fields, make)
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    return append_columns(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", others.alias("others")), ["text"], fields, make)
 
 
 def similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -265,8 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The sketch of every row, and low, high, component_id for each class of more than no shingles."""
-    base = materialize(sketch(docs, words), "sketch")
+    """The sketch of every row, and for each class of more than no shingles low, high, component_id and first (the row that stays of the component)."""
+    base = materialize(sketch(docs, words), "sketch")  # with the texts: rows are known by numbers that hold for this copy only
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("low", "high").agg(F.min(F.struct("doc_id", "row", "n_shingles", "bands", "sig")).alias("rep"))
     classes = materialize(classes.select("low", "high", F.col("rep.doc_id").alias("least"), F.col("rep.row").alias("cid"), F.col("rep.n_shingles").alias("n"), "rep.bands", "rep.sig"), "classes")
@@ -282,19 +284,29 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     release(sets)
     known = classes.select("cid", "least")
     linked = materialize(labels.join(known, F.col("node") == F.col("cid")).select("cid", "label", "least"), "linked")
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = linked.join(least, "label").select("cid", "component_id")
-    placed = classes.select("low", "high", "cid", "least").join(of, "cid", "left")
-    return base, placed.select("low", "high", F.coalesce("component_id", "least").alias("component_id"))
+    first = linked.groupBy("label").agg(F.min(F.struct("least", "cid")).alias("first"))
+    of = linked.join(first, "label").select("cid", "first")
+    placed = classes.select("low", "high", "cid", "least").join(of, "cid", "left").withColumn("first", F.coalesce("first", F.struct("least", "cid")))
+    return base, placed.select("low", "high", F.col("first.least").alias("component_id"), F.col("first.cid").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text). Links: 100 * |a & b| >= percent * |a | b|."""
-    base, placed = classify(docs, words, percent)
+    base, placed = classify(docs.select("doc_id", "text"), words, percent)
     out = base.select("doc_id", "n_shingles", "low", "high").join(placed, ["low", "high"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, one with the group's least id, and all its columns as they are. Rows without an id, and rows
+    without a shingle, stay."""
+    base, placed = classify(docs, words, percent)
+    stay = placed.select("first").distinct()
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    kept = base.where(~alone).join(stay, F.col("row") == F.col("first"), "left_semi").unionByName(base.where(alone))
+    return kept.select(*[F.col("others")[c].alias(c) if c not in ("doc_id", "text") else F.col(c) for c in docs.columns])
+
+
 def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
