@@ -736,6 +736,41 @@ def test_pipeline_stages(spark, sf, odd_dir, empty_dir):
         assert pipeline.run(spark, d).columns[:5] == columns
 
 
+def test_stages_keep_the_values_of_all_columns(spark, sf, tmp_path):
+    """Columns named like what the operators make, two texts under one id, repeated rows and nulls."""
+    import corpus_pipeline as pipeline
+    from corvine.llm.common import materialize
+
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    text = " ".join(f"w{k}" for k in range(80))
+    odd = [(9001, text), (9001, text), (9001, text + " more"), (9003, "another text " + " ".join(f"v{k}" for k in range(80))), (9003, text + " x"), (None, text), (9004, None), (9005, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], plain.schema)
+    docs = plain.unionByName(odd)
+    names = ["SIZE", "target", "Taken", "epochs", "source_size", "kept", "expected_grade", "tail_probabilities", "row", "low", "bands", "sig", "others", "base", "spans", "label", "s", "n"]
+    for c in names:
+        docs = docs.withColumn(c, F.concat_ws("|", F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.length("text")))
+    docs = docs.withColumn("was", F.col("text"))
+    of = lambda r: tuple(r[c] for c in ["doc_id", "lang", "source", *names, "was"])
+    known = {of(r) for r in docs.collect()}
+    for name, stage in pipeline.STAGES:
+        if name == "quality":
+            model = op5.train_quality_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert {of(r) for r in op5.score_quality(docs, model, names=("__a", "__b", "__c")).collect()} == known
+            spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+            docs = materialize(stage(spark, docs, str(tmp_path)), "test")  # nothing to learn from: all stay
+            assert {of(r) for r in docs.collect()} == known
+            continue
+        docs = materialize(stage(spark, docs, sf), "test")
+        rows = docs.collect()
+        assert docs.columns[:24] == [*plain.columns, *names, "was"] and {of(r) for r in rows} <= known
+        if name == "near_duplicates":
+            mine = sorted((r["doc_id"] or 0, r["was"]) for r in rows if (r["doc_id"] is None or r["doc_id"] >= 9000) and r["was"])
+            assert mine == [(0, text), (9001, mine[1][1]), (9003, odd.collect()[3]["text"])] and mine[1][1] in (text, text + " more")
+            assert sum(r["doc_id"] in (9004, 9005) for r in rows) == 2
+        if name == "personal_data":
+            assert all((r["text"] is None) == (r["was"] is None) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+
+
 def test_queries_equal_their_sql(spark, sf):
     import duckdb
 
