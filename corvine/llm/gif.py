@@ -1,13 +1,17 @@
-"""GIF87a/89a: a block parser with LZW decoding, a compositor, and an encoder for indexed frames."""
+"""GIF87a/89a: a block parser with LZW decoding, a compositor, and an encoder for indexed frames. Files are read frame by frame."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
-GRAY = bytes(v for i in range(256) for v in (i, i, i))
+#: 256 colours; red alone tells the index.
+COLOURS = bytes(v & 255 for i in range(256) for v in (i, 7 * i, 29 * i))
+#: Pixels of a canvas or frame at most; larger ones are an error. A canvas takes four bytes a pixel.
+PIXELS = 1 << 26
 
 
 @dataclass
@@ -152,17 +156,27 @@ def blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width, height and the frames with their own pixels and the composed canvas (RGBA)."""
+def checked(width: int, height: int, data: bytes) -> tuple[int, int]:
+    """The size of a canvas or frame, if it may be taken into memory: PIXELS at most, and no more than the file could paint (a code of nine
+    bits or more stands for 4096 pixels at most), but for small ones."""
+    if width * height > min(PIXELS, max(1 << 16, len(data) * 8 // 9 * 4096)):
+        raise ValueError(f"{width} x {height} pixels are too many")
+    return height, width
+
+
+def decode(data: bytes) -> Iterator[Frame]:
+    """The frames with their own pixels, each with the composed canvas (RGBA) until the next is asked for; the canvas is one
+    array that all frames are painted on. Broken files raise ValueError, IndexError or struct.error where they break."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    canvas = np.zeros((*checked(width, height, data), 4), np.uint8)
     at, palette = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         palette = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
-    frames, control = [], (0, 0, None)
+    control = (0, 0, None)
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
@@ -171,6 +185,7 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
                 control = (body[0] >> 2 & 7, body[1] | body[2] << 8, body[3] if body[0] & 1 else None)
         elif data[at] == 0x2C:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            shape = checked(w, h, data)
             at += 10
             own = palette
             if flags & 0x80:
@@ -178,48 +193,50 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
                 own = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
                 at += n
             bits = data[at]
+            if not 1 <= bits <= 11:
+                raise ValueError(f"codes of {bits} bits")
             stream, at = blocks(data, at + 1)
-            pixels = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8).reshape(h, w)
+            pixels = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8).reshape(shape)
             if flags & 0x40:
                 rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
                 straight = np.empty_like(pixels)
                 straight[rows] = pixels
                 pixels = straight
-            frames.append(Frame(left, top, w, h, pixels, own, control[1], control[0], control[2]))
+            frame = Frame(left, top, w, h, pixels, own, control[1], control[0], control[2], canvas)
+            region, before = painted(frame)
+            yield frame
+            if frame.disposal in (2, 3):
+                canvas[region] = before
             control = (0, 0, None)
         else:
             raise ValueError(f"unknown block {data[at]:#x}")
     if at >= len(data):
         raise ValueError("the file ends early")
-    compose(width, height, frames)
-    return width, height, frames
 
 
-def compose(width: int, height: int, frames: list[Frame]) -> None:
-    """Fill each frame's canvas by palette, transparency and the disposal of the frame before."""
-    canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
-        before = canvas.copy() if f.disposal == 3 else None
-        rows = slice(f.top, min(height, f.top + f.height))
-        cols = slice(f.left, min(width, f.left + f.width))
-        own = f.indices[: rows.stop - rows.start, : cols.stop - cols.start]
-        colours = np.zeros((256, 4), np.uint8)
-        if f.palette is not None:
-            colours[: len(f.palette), :3] = f.palette
-        colours[:, 3] = 255
-        drawn = colours[own]
-        if f.transparent is None:
-            canvas[rows, cols] = drawn
-        else:
-            canvas[rows, cols] = np.where((own == f.transparent)[..., None], canvas[rows, cols], drawn)
-        f.canvas = canvas.copy()
-        if f.disposal == 2:
-            canvas[rows, cols] = 0
-        elif f.disposal == 3:
-            canvas = before
+def size(data: bytes) -> tuple[int, int]:
+    return struct.unpack_from("<HH", data, 6)
+
+
+def painted(f: Frame) -> tuple:
+    """Paint a frame on its canvas by palette and transparency; its region, and what its disposal puts there afterwards."""
+    region = (slice(f.top, f.top + f.height), slice(f.left, f.left + f.width))
+    under = f.canvas[region]
+    own = f.indices[: under.shape[0], : under.shape[1]]
+    before = under.copy() if f.disposal == 3 else 0
+    colours = np.zeros((256, 4), np.uint8)
+    if f.palette is not None:
+        colours[: len(f.palette), :3] = f.palette
+    colours[:, 3] = 255
+    if f.transparent is None:
+        under[:] = colours[own]
+    else:
+        shown = own != f.transparent
+        under[shown] = colours[own[shown]]
+    return region, before
 
 
-def encode(frames: list[Frame], width: int, height: int, palette: bytes = GRAY) -> bytes:
+def encode(frames: list[Frame], width: int, height: int, palette: bytes = COLOURS) -> bytes:
     """GIF89a with a global palette of 256 colours."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
     for f in frames:

@@ -585,15 +585,50 @@ def test_gif_known_file_disposal_and_broken_files(spark):
     one = lambda v, w=2, h=2: np.full((h, w), v, np.uint8)
     frames = [gif.Frame(0, 0, 2, 2, one(10), None, 5, 1), gif.Frame(0, 0, 1, 1, one(20, 1, 1), None, 6, 2), gif.Frame(1, 1, 1, 1, one(30, 1, 1), None, 7, 3), gif.Frame(0, 0, 2, 2, one(0), None, 8, 0, 0)]
     data = gif.encode(frames, 2, 2)
-    w, h, got = gif.decode(data)
-    red = [f.canvas[..., 0].ravel().tolist() for f in got]
-    assert red == [[10, 10, 10, 10], [20, 10, 10, 10], [0, 10, 10, 30], [0, 10, 10, 10]] and got[2].canvas[0, 0, 3] == 0
+    got = [f.canvas.copy() for f in gif.decode(data)]
+    assert [x[..., 0].ravel().tolist() for x in got] == [[10, 10, 10, 10], [20, 10, 10, 10], [0, 10, 10, 30], [0, 10, 10, 10]] and got[2][0, 0, 3] == 0 and gif.size(data) == (2, 2)
     table = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"GIF89a")), (4, bytearray(data[:-20])), (5, bytearray(b"no"))], "id long, content binary")
     rows = {r["id"]: r["gif"] for r in op9.gif_frames(table).collect()}
     assert rows[1]["duration_cs"] == 26 and [f["delay_cs"] for f in rows[1]["frames"]] == [5, 6, 7, 8] and sum(rows[1]["frames"][0]["histogram"]) == 12
     assert rows[2] is None and all(rows[k]["error"] and rows[k]["frames"] is None for k in (3, 4, 5))
 
 
+def brute_feature(text):
+    """Colours of each frame's canvas, pixel by pixel: 192 columns, the rows of a frame over those of the last."""
+    raw = text.encode()
+    raw += b" " * (-len(raw) % 192 if raw else 192)
+    rows = [raw[i : i + 192] for i in range(0, len(raw), 192)]
+    canvas, counts = {}, [0] * 24
+    for k in range(0, len(rows), 64):
+        for y, row in enumerate(rows[k : k + 64]):
+            canvas[y] = row
+        for row in canvas.values():
+            for v, n in Counter(row).items():
+                for c, times in enumerate((1, 7, 29)):
+                    counts[8 * c + (v * times % 256) // 32] += 4 * n
+    return ":".join(map(str, counts))
+
+
+def test_gif_feature_is_the_timed_histogram_of_frames(spark, docs):
+    texts = [*docs.text[:60], "", "x" * 30000, "é" * 13000 + "z"]
+    table = spark.createDataFrame([(i, bytearray(op9.store_as_gif(t.encode() + b" " * (-len(t.encode()) % 192 or (0 if t else 192))))) for i, t in enumerate(texts)], "id long, content binary")
+    for r in op9.gif_frames(table, pixels=False).collect():
+        want = brute_feature(texts[r["id"]])
+        sums = [sum(f["delay_cs"] * f["histogram"][k] for f in r["gif"]["frames"]) for k in range(24)]
+        assert ":".join(map(str, sums)) == want == op9.text_media_digest(texts[r["id"]])[-1]
+
+
+def test_gif_files_that_claim_huge_canvases(spark):
+    import struct
+
+    good = op9.store_as_gif(b"a" * 192)
+    wide = good[:6] + struct.pack("<HH", 65535, 65535) + good[10:]
+    at = good.index(b"\x2c\0\0\0\0")
+    frame = good[: at + 5] + struct.pack("<HH", 65535, 65535) + good[at + 9 :]
+    rows = op9.gif_frames(spark.createDataFrame([(bytearray(x),) for x in (wide, frame, good)], "content binary")).collect()
+    assert ["too many" in (r["gif"]["error"] or "") for r in rows] == [True, True, False]
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def test_ctw_base_scores(spark, sf, docs):
     got = op10.op10_ctw_scores(spark, sf).toPandas()
