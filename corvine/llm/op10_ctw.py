@@ -75,7 +75,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def streams_of(text: str | None) -> list[bytes]:
     """What is coded of a text; each stream begins after blanks."""
-    return [b"".join(w + b" " for w in words_of(text)) + END]
+    return [b" ".join([*words_of(text), END])]
 
 
 def coded(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +83,19 @@ def coded(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     data = b"".join([b" " * depth + x for x in streams])
     a = np.frombuffer(data, np.uint8).astype(np.int64)
     sizes = np.array([len(x) for x in streams], np.int64)
+    # runs of 1, 2, 4, ... bytes that end at each place (fewer at the very start, where only blanks are), put together by the bits of depth + 1
+    code, have, run, width = np.zeros_like(a), 0, a, 1
+    while have <= depth:
+        if (depth + 1) & width:
+            code[have:] |= run[: len(a) - have] << 8 * have
+            have += width
+        longer = run.copy()
+        longer[width:] |= run[:-width] << 8 * width
+        run, width = longer, 2 * width
+    inside = np.ones(len(a), bool)
     starts = np.cumsum(sizes + depth) - sizes
-    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    code = np.zeros(len(at), np.int64)
-    for k in range(depth, -1, -1):
-        code = code << 8 | a[at - k]
-    return code, np.repeat(np.arange(len(streams)), sizes)
+    inside[(starts[:, None] - np.arange(1, depth + 1)).ravel()] = False
+    return code[inside], np.repeat(np.arange(len(streams)), sizes)
 
 
 def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,10 +322,12 @@ def model_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             size += sum(map(len, mine))
             if size > AT_ONCE or i == texts.num_rows - 1:
                 asked, stream = coded(some, depth)
-                kinds, back = np.unique(asked, return_inverse=True)
-                place = np.searchsorted(code, kinds)
-                assert (code[np.minimum(place, len(code) - 1)] == kinds).all(), "an n-gram has no answer"
-                total += np.bincount(np.array(of)[stream], weights=score[place][back], minlength=len(total))
+                order = np.argsort(asked)
+                asked, row = asked[order], np.array(of)[stream[order]]
+                first = np.flatnonzero(np.diff(asked, prepend=-1))
+                place = np.searchsorted(code, asked[first])
+                assert (code[np.minimum(place, len(code) - 1)] == asked[first]).all(), "an n-gram has no answer"
+                total += np.bincount(row, weights=np.repeat(score[place], np.diff(first, append=len(asked))), minlength=len(total))
                 some, of, size = [], [], 0
         return pa.table([texts["block"], texts["row"], pa.array(total)], names=["block", "row", "score"])
 
