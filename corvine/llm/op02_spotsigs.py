@@ -5,16 +5,20 @@ words; common words in between are passed over. A fingerprint is the set of a te
 fingerprints are compared by Jaccard. A text without any common word has one signature, of all its words; an
 empty text (no letter or digit) has none, and two empty sets are alike (1.0).
 
-``near_duplicates`` is the join: documents of equal sets are one class; sets are partitioned by length so that only sets in
-the same or the next partition can reach the threshold; within those, only signatures in the prefix (rarest first) are joined, and
-lengths and prefix prune pairs before the exact Jaccard. Pairs between class representatives come out, with the membership.
+``near_groups`` is the join: documents of equal sets are one class; sets are partitioned by length so that only sets in
+the same or the next partition can reach the threshold; within those, only sets that share a signature of their prefixes (rarest first) can. Each such
+bucket (signature, partition) first compares its members with its hub, the smallest of them, which joins a family of any size by as many comparisons
+as members; only members of a bucket that are not linked by then meet each other. Lengths prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
+representatives instead, for small inputs.
 
 The query needs each document's successor in descending id order without sorting in one task: ids are cut into ranges at
-approximate quantiles (their number follows the shuffle partitions), each range is one window, and the first document of every
+approximate quantiles and evenly between them (their number follows the size of the texts), ids that hold a range or more by themselves and null ids further by hash
+of the text; each range is one window, and the first document of every
 range is also sent to the range before it as a ghost. Texts are shuffled once.
 
 Defined results: a null text is an empty one; null ids come last; equal ids are ordered by hash of the text, then text; an input of one
-row is its own successor; an empty table gives an empty table.
+row is its own successor; an empty table gives an empty table; rows repeat as they repeat; texts of any length are read whole (a task holds one with its words);
+other columns are not looked at. In groups, a document with an empty set is alone in its class and group, and a null id has neither.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import components, materialize, release, table
 
 CHAIN, REACH = 3, 12
 
@@ -59,24 +63,78 @@ def as_text(column: str) -> str:
     return f"array_join(transform({column}, x -> lpad(lower(hex(cast(x as bigint) & 4294967295)), 8, '0')), '')"
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, similarity) of class representatives with Jaccard >= threshold, and members (doc_id, class_id).
+def with_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("__key", F.sha2(F.array_join("sigs", ","), 256))
+
+
+def partitioned(classes: DataFrame, threshold: float) -> DataFrame:
+    """classes with n and part, the partition by length: sets that reach the threshold are in the same or neighbouring ones."""
+    return classes.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log(F.col("n") + 1e-9) / F.log(F.lit(1 / threshold))).cast("int"))
+
+
+def prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """cid, n, part, sig: the signatures of each class's prefix, rarest first, that another class has too."""
+    each = classes.select("cid", "n", "part", F.explode("sigs").alias("sig"))
+    shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("cid")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "sig"))  # after the ones that no other has
+    ranked = each.join(shared, "sig").withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cid", "n", "part", "sig")
+
+
+def long_enough(a: str, b: str, threshold: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+
+
+def similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, with their similarity."""
+    x, y = (classes.select(F.col("cid").alias(c), F.col("sigs").alias(f"s{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", likeness("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def spot_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_signatures, __key of every row of docs, and the classes: __key, cid, class_id, sigs, n, part."""
+    marked = fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs").select("doc_id", "sigs", F.size("sigs").alias("n_signatures"))
+    marked = materialize(with_key(marked), "spots")
+    classes = marked.where("doc_id is not null and n_signatures > 0").groupBy("__key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
+    return marked.drop("sigs"), materialize(partitioned(classes.withColumn("cid", F.monotonically_increasing_id()), threshold), "spot-classes")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b, similarity) of class representatives with Jaccard >= threshold, and members (doc_id, class_id).
     Empty sets are linked with nothing; null ids belong to no class."""
-    marked = fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs").select("doc_id", "sigs").where("doc_id is not null and size(sigs) > 0")
-    keyed = marked.withColumn("__key", F.sha2(F.expr(as_text("sigs")), 256))
-    classes = keyed.groupBy("__key").agg(F.min("doc_id").alias("class_id"), F.min("sigs").alias("sigs"))
-    members = keyed.select("doc_id", "__key").join(classes.select("__key", "class_id"), "__key").select("doc_id", "class_id")
-    sets = classes.select("class_id", "sigs", F.size("sigs").alias("n")).withColumn("part", F.floor(F.log(F.col("n") + 1e-9) / F.log(F.lit(1 / threshold))).cast("int"))
-    each = sets.select("class_id", "n", "part", F.explode("sigs").alias("sig"))
-    often = each.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "sig").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig")))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-    left = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = prefix.select("sig", "part", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, ["sig", "part"]).where((F.col("pa") < F.col("part")) | (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    met = met.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb"))
-    return met.join(x, "a").join(y, "b").select("a", "b", likeness("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12), members
+    marked, classes = spot_classes(docs, threshold)
+    prefix = materialize(prefixes(classes, threshold), "spot-prefixes")
+    left = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("cid").alias("a"), F.col("n").alias("na"))
+    right = prefix.select("sig", "part", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, ["sig", "part"]).where((F.col("a") != F.col("b")) & long_enough("na", "nb", threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (classes.select(F.col("cid").alias(c), F.col("class_id").alias(f"id_{c}")) for c in "ab")
+    named = similar(met, classes, threshold).join(x, "a").join(y, "b")
+    members = marked.where("doc_id is not null").join(classes.select("__key", "class_id"), "__key").select("doc_id", "class_id")
+    return named.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity"), members
+
+
+def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, n_signatures, class_id (the least id with an equal set) and group_id (the least id reachable by links of Jaccard >= threshold) for every row."""
+    marked, classes = spot_classes(docs, threshold)
+    prefix = materialize(prefixes(classes, threshold).withColumn("bucket", F.explode(F.array("part", F.col("part") + 1))).drop("part"), "spot-buckets")
+    hubs = prefix.groupBy("sig", "bucket").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last").select("sig", "bucket", F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"))
+    tested = prefix.join(hubs, ["sig", "bucket"]).where((F.col("cid") != F.col("a")) & long_enough("na", "n", threshold)).select("a", F.col("cid").alias("b")).distinct()
+    near = materialize(similar(tested, classes, threshold).select("a", "b"), "spot-links")
+    labels = components(near)
+    known = prefix.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "bucket", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    mixed = known.groupBy("sig", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("hub")).where("lo < hi").select("sig", "bucket", "hub")
+    open_ = materialize(known.join(mixed, ["sig", "bucket"]).where("cid <> hub").drop("hub"), "spot-open")
+    other = open_.select("sig", "bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
+    met = open_.join(other, ["sig", "bucket"]).where((F.col("cid") < F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "nb", threshold)).select(F.col("cid").alias("a"), "b").distinct()
+    labels = components(near.unionByName(similar(met, classes, threshold).select("a", "b")))
+    release(open_)
+    release(prefix)
+    placed = classes.select("__key", "class_id", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("__key", "class_id", F.coalesce("label", "cid").alias("label"))
+    named = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("group_id")), "label").drop("label")
+    out = marked.join(named, "__key", "left")
+    alone = F.col("n_signatures") == 0
+    return out.select("doc_id", F.col("n_signatures").cast("long").alias("n_signatures"), *[F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col(c))).alias(c) for c in ("class_id", "group_id")])
 
 
 def range_of(column: Column, edges: list, parts: int) -> Column:
@@ -95,19 +153,27 @@ def range_of(column: Column, edges: list, parts: int) -> Column:
     return F.when(column.isNull(), last).otherwise(pick(0, len(edges) - 1)) if len(edges) > 1 else F.when(column.isNull(), last).otherwise(F.lit(0).cast("long"))
 
 
-#: Quantiles at most, so that the search stays a small expression; further ranges come from cutting evenly between them.
-QUANTILES = 200
+#: Quantiles at most, so that the search stays a small expression; further ranges come from cutting evenly between them, and an id that
+#: holds a range by itself, like the null ids, is cut by hash into so many.
+QUANTILES, BY_HASH = 200, 64
+#: Bytes of text in a range, about.
+RANGE_BYTES = 8 << 20
 
 
 def with_next(docs: DataFrame, add) -> DataFrame:
     """docs (doc_id, text without nulls) with what ``add`` computes per row, and a struct __next of the next row's
     columns in descending order of doc_id, after the last the first."""
     spark = docs.sparkSession
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * RANGE_BYTES))
     n = min(QUANTILES, 4 * shuffled)
     found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    edges = sorted({*(found["q"] or []), *[x for x in (found["a"], found["b"]) if x is not None]}, reverse=True)
-    ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges, -(-4 * shuffled // n)))
+    cuts = list(found["q"] or [])
+    edges = sorted({*cuts, *[x for x in (found["a"], found["b"]) if x is not None]}, reverse=True)
+    heavy = F.col("doc_id").isNull() | F.col("doc_id").isin({x for x in cuts if cuts.count(x) > 1})
+    # a heavy id is the top of its range; in it, its rows come first, by hash, and those of lower ids last
+    of_hash = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * (BY_HASH - 1))
+    ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges, -(-4 * shuffled // n)) * BY_HASH + F.when(heavy, F.least(of_hash, F.lit(BY_HASH - 2))).otherwise(BY_HASH - 1))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     # one row per range, so their number is bounded: its greatest id, and the range before it, for the first one the last
     heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head"))
@@ -134,3 +200,8 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(as_text("sigs")).alias("fingerprint"), F.expr(as_text("edited_sigs")).alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "__next_sigs").alias("near_next"), F.size("sigs").alias("n_signatures"),
     )
+
+
+def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over the whole table."""
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

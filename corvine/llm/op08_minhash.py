@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bound_batches, materialize, release, table
+from .common import append_columns, bound_batches, components, materialize, release, table
 
 PERMUTATIONS, ROWS = 60, 4
 BLOCK, SHINGLES = 1000, 1 << 21
@@ -249,23 +249,6 @@ def links(rows: DataFrame, compare, grow, percent: int) -> DataFrame:
     return tested.where("near").select(F.col("name").alias("a"), F.col("cid").alias("b")).unionByName(found)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) for every node on an edge (a, b)."""
-    both = materialize(edges.unionByName(edges.selectExpr("b a", "a b")).where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        told = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("told"))
-        nearer = labels.join(told, labels["node"] == told["a"]).select("node", F.col("label").alias("was"), F.least("label", "told").alias("label"))
-        jump = labels.select(F.col("node").alias("__at"), F.col("label").alias("__next"))
-        new = nearer.join(jump, nearer["label"] == jump["__at"], "left").select("node", "was", F.least("label", "__next").alias("label"))
-        new = materialize(new, "labels")
-        release(labels)
-        labels = new
-        if new.where("label <> was").isEmpty():
-            release(both)
-            return labels.select("node", "label")
-
-
 def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row, and for each class of more than no shingles low, high, component_id and first (the row that stays of the component)."""
     base = materialize(sketch(docs, words), "sketch")  # with the texts: rows are known by numbers that hold for this copy only

@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_minmax_neardup": op08_minhash.op8_minmax_neardup,
         "op9_gif_media": op09_gif.op9_gif_media,
         "op10_ctw_scores": op10_ctw.op10_ctw_scores,
+        "spotsigs_groups": op02_spotsigs.spotsigs_groups,
     }
 
 
