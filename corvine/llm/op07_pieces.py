@@ -9,12 +9,12 @@ without a piece costs FALLBACK and becomes its UTF-8 bytes, so decoding gives ba
 The public model has merge ranks, not probabilities; the cost of a piece is 1000 * log2(rank + SHIFT), the code length
 a Zipf-Mandelbrot law gives its rank. Codes therefore are the cheapest under that law, not those that merging in order of rank would find.
 
-The lattice runs once per distinct unit for all units that hold a share of UNIT_SHARE (at most 1 / UNIT_SHARE of them, so their table
-may be broadcast). Rarer units, most of which occur once, are folded by the same recurrence where they stand
+Units are counted over all texts. The lattice runs once per distinct unit for all units that hold a share of UNIT_SHARE (at most 1 / UNIT_SHARE of them, so their table
+may be broadcast) and have LONGEST_UNIT characters at most (the fold of an array costs the square of its length). Rarer units, most of which occur once, and longer ones are folded by the same recurrence where they stand
 (``fold``; tests hold it to the lattice): joining their occurrences by unit and regrouping them by text moves more than the input.
-The share decides only where a unit is coded, never its code.
+Share and length decide only where a unit is coded, never its code.
 
-Defined results: a null text has null ids and no tokens; an empty text no ids; rows repeat as they repeat; input
+Defined results: a null text has null ids and no tokens; an empty text no ids; rows repeat as they repeat; texts of any length are read whole (a task holds one batch of them with its codes); input
 columns named like an output column are replaced; an empty table gives an empty table.
 """
 
@@ -39,6 +39,8 @@ UNIT_SHARE = 2.0**-20
 FALLBACK = 60_000
 SHIFT = 300
 LONGEST_UNIT = 48
+#: Distinct units that a task counts before it tells them.
+FLUSH = 400_000
 UNIT = re.compile(r" ?\w+| ?[^\w \n]+| |\n")
 MARK = "▁"
 
@@ -128,28 +130,26 @@ def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def common_units(docs: DataFrame, text: str) -> DataFrame:
-    """Units of a share of UNIT_SHARE. One that has it over all texts has it in some task, so tasks tell only those."""
+    """Units with a share of UNIT_SHARE of all units and LONGEST_UNIT characters at most."""
 
     def run(batches):
         seen: Counter = Counter()
-        total = told = 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], names=["unit", "n"])
+
         for b in batches:
             for t in b.column(0):
                 if t.is_valid:
                     seen.update(UNIT.findall(" " + t.as_py()))
-            if len(seen) > 400_000:  # a long task goes by pieces, each told for itself
-                total = sum(seen.values())
-                kept = {u: n for u, n in seen.items() if n >= UNIT_SHARE * total}
-                yield pa.RecordBatch.from_arrays([pa.array([*kept, ""]), pa.array([*kept.values(), total], pa.int64())], names=["unit", "n"])
-                seen.clear()
-        total = sum(seen.values())
-        kept = {u: n for u, n in seen.items() if n >= UNIT_SHARE * total}
-        yield pa.RecordBatch.from_arrays([pa.array([*kept, ""], pa.string()), pa.array([*kept.values(), total], pa.int64())], names=["unit", "n"])
-
-    told = docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    told = materialize(told, "units")  # at most 1 / UNIT_SHARE rows from each task
-    total = told.where("unit = ''").agg(F.sum("n")).first()[0] or 0
-    return told.where((F.col("unit") != "") & (F.col("n") >= UNIT_SHARE * total) & (F.length("unit") <= LONGEST_UNIT)).select("unit")
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    counted = materialize(docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where((F.col("n") >= UNIT_SHARE * total) & (F.length("unit") <= LONGEST_UNIT)).select("unit")
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
