@@ -136,13 +136,74 @@ def test_spotsigs_join_is_complete(spark, docs):
             w[rng.randrange(len(w))] = "changed"
         texts += [" ".join(w), t]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    pairs, members = op2.near_duplicates(table, 0.8)
+    pairs, members = op2.near_pairs(table, 0.8)
     sets = {r["doc_id"]: set(r["s"]) for r in op2.fingerprint(table, "text", "s").collect()}
     classes = dict(members.toPandas().values.tolist())
     reps = sorted(set(classes.values()))
     want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
     assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
     assert all(sets[i] == sets[c] for i, c in classes.items())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    for r in op2.near_groups(table, 0.8).collect():
+        i = r["doc_id"]
+        assert (r["n_signatures"], r["class_id"], r["group_id"]) == (len(sets[i]), classes.get(i, i), find(i))
+
+
+def spots(text):
+    """The signatures of a text as strings."""
+    import regex
+
+    w = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip().split(" ")
+    common = set(op2.ANCHORS)
+    if w == [""]:
+        return set()
+    found = {(x, *[y for y in w[i + 1 : i + 1 + op2.REACH] if y not in common][: op2.CHAIN]) for i, x in enumerate(w) if x in common}
+    return found or {("", *w)}
+
+
+def test_spotsigs_are_what_the_definition_says(spark, sf, docs, odd_dir):
+    for d in (sf, odd_dir):
+        table = spark.read.parquet(f"{d}/documents.parquet").toPandas()
+        got = defaultdict(list)
+        for r in op2.op2_spotsigs(spark, d).collect():
+            got[r["doc_id"]].append(r)
+        for i, t in zip(table.doc_id, table.text):
+            if i != i or i is None or len(got[i]) > 1:
+                continue
+            t = t or ""
+            r = got[i][0]
+            assert r["n_signatures"] == len(spots(t))
+    rows = docs.sort_values("doc_id", ascending=False)
+    ids, texts = rows.doc_id.tolist(), rows.text.tolist()
+    got = {r["doc_id"]: r for r in op2.op2_spotsigs(spark, sf).collect()}
+    for k, (i, t) in enumerate(zip(ids, texts)):
+        after = texts[(k + 1) % len(ids)]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        for other, near in ((edited, got[i]["near_edited"]), (after, got[i]["near_next"])):
+            a, b = spots(t), spots(other)
+            assert near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_successor_where_one_id_or_none_holds_most_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([7, 7, 7, None, None, rng.randrange(40)]), f"text {rng.randrange(60)}") for _ in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    want = Counter((*r, *order[(k + 1) % len(order)]) for k, r in enumerate(order))
+    got = Counter((r["doc_id"], r["text"], r["__next_doc_id"], r["__next_text"]) for r in op2.with_next(docs, lambda d: d).collect())
+    assert got == want
 
 
 # 3 -------------------------------------------------------------------------------------------------------------------
@@ -452,6 +513,16 @@ def test_pieces_round_trip_and_lattice(spark, sf, docs):
     assert len(made) == len(units) and all(r["ids"] == op7.fold(r["unit"], known) for r in made)
 
 
+def test_common_units_hold_their_share_of_all_units(spark, docs, monkeypatch):
+    """Some tasks see a unit too rarely by themselves."""
+    monkeypatch.setattr(op7, "UNIT_SHARE", 2.0**-9)
+    texts = [*docs.text[:80], None, "", "=" * 300 + " " + "=" * 300] + ["seldom " + t for t in docs.text[:9]]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    n = Counter(u for t in texts if t is not None for u in op7.UNIT.findall(" " + t))
+    want = {u for u, k in n.items() if k >= 2.0**-9 * n.total() and len(u) <= op7.LONGEST_UNIT}
+    assert {r["unit"] for r in op7.common_units(table, "text").collect()} == want and want
+
+
 def test_fold_is_cheapest_by_brute_force():
     costs = {"a": (5, 1), "b": (6, 2), "ab": (9, 3), "ba": (4, 4), "aba": (13, 5), "bab": (9, 6)}
     known = op7.trie(costs)
@@ -711,6 +782,19 @@ def test_ctw_is_a_distribution():
         assert sum(10 ** op10.gram_log10(levels, c | np.arange(256))) == pytest.approx(1, abs=1e-6)
 
 
+def test_ctw_packing_is_lossless():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for depth, root in ((6, 3), (2, 2), (1, 1), (4, 3)):
+        code = np.unique(rng.integers(0, 1 << 8 * (depth + 1), 500))
+        items, order = op10.pack_grams(code, depth, root)
+        assert (op10.unpack_grams(items, depth, root) == code[order]).all()
+    x = rng.random(99).astype(np.float32)
+    assert (op10.unpack_floats(op10.squeeze(x.view(np.uint8).reshape(-1, 4).T.tobytes())) == x).all()
+    assert (op10.unpack(op10.pack(np.array([3, 0, 2**40]))) == [3, 0, 2**40]).all()
+
+
 def ctw_dir(spark, path, texts):
     """texts by doc_id; ids that are held out are told from their crc32."""
     spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
