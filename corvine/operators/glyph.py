@@ -109,40 +109,107 @@ def occupancy_mask(value, size: int = 8) -> int | None:
 
 
 def resample(p: np.ndarray, n: int) -> np.ndarray:
-    """n points along one ring from its top-left corner on, with positive area."""
-    if area(p) < 0:
-        p = p[::-1]
-    start = int((p - p.min(axis=0)).sum(axis=1).argmin())
-    p = np.roll(p, -start, axis=0)
-    q = np.roll(p, -1, axis=0)
-    ends = np.concatenate([[0], np.cumsum(np.hypot(*(q - p).T))])
-    at = np.arange(n) / n * ends[-1]
+    """n points along one ring, with positive area, from the leftmost of the topmost on."""
+    ends = np.concatenate([[0], np.cumsum(np.hypot(*(np.roll(p, -1, axis=0) - p).T))])
     closed = np.vstack([p, p[:1]])
-    return np.stack([np.interp(at, ends, closed[:, k]) for k in range(2)], axis=1)
+    out = np.stack([np.interp(np.arange(n) / n * ends[-1], ends, closed[:, k]) for k in range(2)], axis=1)
+    if area(out) < 0:
+        out = out[::-1]
+    top = np.flatnonzero(out[:, 1] - out[:, 1].min() <= max(1e-5, 1e-4 * np.ptp(out[:, 1])))
+    return np.roll(out, -top[out[top, 0].argmin()], axis=0)
 
 
-def fourier(value, n: int = 128, order: int = 8, most: int = 3) -> list[list[float]]:
-    """Coefficients 1..order of the largest rings, energy-normalized, as re, im, re, im, ..."""
-    rings = sorted(rings_of(value), key=lambda p: -abs(area(p)))[:most]
-    out = []
+def crossings(rings: list[np.ndarray], at: float, axis: int) -> np.ndarray:
+    """Where the outlines cross the line on which coordinate ``axis`` is ``at``, ascending; places that all but agree count once."""
+    found = []
     for p in rings:
-        c = np.fft.fft(resample(p, n) @ np.array([1, 1j]))[1 : order + 1]
-        c = c / max(1e-12, float(np.sqrt((np.abs(c) ** 2).sum())))
-        out.append(np.stack([c.real, c.imag], axis=1).ravel().tolist())
-    return out
-
-
-def fourier_distance(a: list, b: list, phase: bool = True) -> float | None:
-    """The least mean distance over the ways to pair rings; a ring without partner costs 1."""
+        q = np.roll(p, -1, axis=0)
+        cut = (p[:, axis] <= at) != (q[:, axis] <= at)
+        t = (at - p[cut, axis]) / (q[cut, axis] - p[cut, axis])
+        found.append(p[cut, 1 - axis] + t * (q[cut, 1 - axis] - p[cut, 1 - axis]))
+    x = np.sort(np.concatenate(found))
+    near = 1e-6 * max(1.0, float(np.ptp(x))) if len(x) else 0.0
+    kept: list[float] = []
+    for v in x:
+        if not kept or v - kept[-1] > near:
+            kept.append(float(v))
+    return np.array(kept)
+
+
+#: Numbers of a ring: share of all outlines, centre, size, then the coefficients; and of a scan: crossings, span.
+RING_HEAD, SCANS = 5, 9
+
+
+def fourier(value, n: int = 128, order: int = 8, most: int = 3) -> dict | None:
+    """count (distinct rings), rings (the longest: share of the length, centre x, y and width, height in the glyph's size, then coefficients 1..order, energy-normalized, as re, im, ...)
+    and scans (at 0.1 .. 0.9 of the height, then of the width: crossings of the outlines, and from the first to the last over the box)."""
+    kept: dict[str, tuple[float, np.ndarray]] = {}
+    rings = [(float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum()), p) for p in rings_of(value)]
+    for length, p in sorted(rings, key=lambda x: -x[0]):
+        q = resample(p, n)
+        size = max(1e-12, float(np.ptp(q, axis=0).max()))
+        kept.setdefault(",".join(f"{v:.4f}" for v in ((q[:: n // 32] - q.mean(axis=0)) / size).ravel()), (length, q))
+    if not kept:
+        return None
+    every = np.concatenate([q for _, q in kept.values()])
+    low, span = every.min(axis=0), np.maximum(np.ptp(every, axis=0), 1e-9)
+    middle, size, total = low + span / 2, float(span.max()), sum(length for length, _ in kept.values())
+    out = []
+    for length, q in list(kept.values())[:most]:
+        c = np.fft.fft(q @ np.array([1, 1j]))[1 : order + 1]
+        energy = float(np.sqrt((np.abs(c / n) ** 2).sum()))
+        c = c / n / (energy if energy > 1e-12 else 1.0)
+        out.append([length / total, *((q.mean(axis=0) - middle) / size), *(np.ptp(q, axis=0) / size), *np.stack([c.real, c.imag], axis=1).ravel()])
+    scans = []
+    for axis in (1, 0):
+        for k in range(1, SCANS + 1):
+            x = crossings([q for _, q in kept.values()], low[axis] + span[axis] * k / (SCANS + 1), axis)
+            scans.append([float(len(x)), float(np.ptp(x) / span[1 - axis]) if len(x) > 1 else 0.0])
+    return {"count": len(kept), "rings": [[float(v) for v in r] for r in out], "scans": scans}
+
+
+#: Weights of the terms.
+CROSSING, SPAN, FOURIER, LONELY, LONELY_EACH, SHARE, CENTRE, SIZE, RINGS_HINT = 2.5, 4.0, 0.65, 1.25, 0.08, 1.5, 0.6, 0.5, 0.015
+
+
+def fourier_distance(a: dict, b: dict, phase: bool = True) -> float | None:
+    """Root of the scans' squared differences (crossings halved) and of the rings', least over the ways to pair three rings; a ring without a partner costs by its share of the
+    length, and other numbers of rings a little. Without phase coefficients are compared by magnitude."""
     from itertools import permutations
 
-    if not a or not b:
+    if a is None or b is None:
         return None
-    x, y = [np.array(v).reshape(-1, 2) for v in a], [np.array(v).reshape(-1, 2) for v in b]
-    if len(x) > len(y):
-        x, y = y, x
-    gap = (lambda u, v: float(np.hypot(*(u - v).T).mean())) if phase else (lambda u, v: float(np.abs(np.hypot(*u.T) - np.hypot(*v.T)).mean()))
-    return min((sum(gap(u, y[j]) for u, j in zip(x, p)) + (len(y) - len(x))) / len(y) for p in permutations(range(len(y)), len(x)))
+    x, y = (np.array([list(v) for v in d["scans"]], float) for d in (a, b))
+    total = float(CROSSING * (((x - y)[:, 0] / 2) ** 2).sum() + SPAN * ((x - y)[:, 1] ** 2).sum())
+
+    def split(r):
+        r = np.array(r, float)
+        c = r[RING_HEAD:].reshape(-1, 2)
+        return r[:RING_HEAD], c if phase else np.hypot(*c.T)
+
+    def gap(r, s) -> float:
+        if r is None and s is None:
+            return 0.0
+        if r is None or s is None:
+            return FOURIER * (LONELY * (r or s)[0][0] ** 2 + LONELY_EACH)
+        (head, c), (other, e) = r, s
+        weight = np.array([SHARE, CENTRE, CENTRE, SIZE, SIZE])
+        return FOURIER * float((weight * (head - other) ** 2).sum() + ((c - e) ** 2).sum())
+
+    u, v = ([*map(split, d["rings"]), None, None, None][:3] for d in (a, b))
+    total += RINGS_HINT * (min(a["count"], 10) - min(b["count"], 10)) ** 2
+    return float(np.sqrt(total + min(sum(gap(r, v[j]) for r, j in zip(u, p)) for p in permutations(range(3)))))
+
+
+def with_fourier_distance(pairs: DataFrame, a: str, b: str, name: str, phase: bool = True) -> DataFrame:
+    """pairs with the distance of two columns of Fourier descriptors."""
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields], f"{name} double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield t.assign(**{name: [fourier_distance(x, y, phase) for x, y in zip(t[a], t[b], strict=True)]})
+
+    return pairs.mapInPandas(run, schema)
 
 
 def structure(value, size: int = 48) -> dict | None:
@@ -209,7 +276,7 @@ def common_share(a, b, size: int = 100) -> float:
 FEATURES = {
     "sdf": ("array<double>", canonical_sdf),
     "mask": ("long", occupancy_mask),
-    "fourier": ("array<array<double>>", fourier),
+    "fourier": ("struct<count:int,rings:array<array<double>>,scans:array<array<double>>>", fourier),
     "structure": ("struct<rings:int,holes:int,depth:int,fill:double,perimeter_ratio:double>", structure),
     "contour_hash": ("string", contour_hash),
     "geometry_key": ("string", geometry_key),

@@ -121,12 +121,16 @@ def copy_stems(heads: DataFrame, sp: float) -> DataFrame:
     return first_per(big, ["page", "id"], [F.abs(F.col("x") - F.col("a_x")), "anchor"]).select("page", "id", F.col("a_stem").alias("stem_x"), F.col("a_dir").alias("direction"))
 
 
-def cross_staff_chords(heads: DataFrame, lines: DataFrame, sp: float) -> DataFrame:
-    """A line of 8 to 18 sp with heads of two staves at it (.82 sp in the mean) binds them; the stem goes up if its top is farther from the heads than its foot. page, line, heads."""
-    l = lines.where((F.col("bottom") - F.col("top")).between(4.8 * sp, 18 * sp)).select("page", F.col("id").alias("line"), F.col("x").alias("l_x"), F.col("top").alias("l_top"), F.col("bottom").alias("l_bottom"))  # noqa: E741
-    met = heads.select("page", "staff", "id", "x", "y").join(l, "page").where((F.abs(F.col("x") - F.col("l_x")) <= 1.12 * sp) & F.col("y").between(F.col("l_top") - sp, F.col("l_bottom") + sp))
-    g = met.groupBy("page", "line", "l_top", "l_bottom").agg(F.count_distinct("staff").alias("staves"), F.avg(F.abs(F.col("x") - F.col("l_x"))).alias("mean"), F.array_sort(F.collect_list("id")).alias("heads"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return g.where((F.col("staves") >= 2) & (F.col("mean") <= 0.82 * sp)).select("page", "line", "heads", F.when(F.col("y0") - F.col("l_top") >= F.col("l_bottom") - F.col("y1"), "up").otherwise("down").alias("direction"))
+def cross_staff_chords(heads: DataFrame, lines: DataFrame, staves: DataFrame, sp: float) -> DataFrame:
+    """A line of 8 to 18 sp that reaches from the upper of two staves to the lower (1.4 sp) binds the heads of both within .82 sp of it, if the mean of their distances is .82 sp at most and the least
+    .70; the stem goes up if it stands right of their mean x. staves: page, staff (1 above 2), top, bottom. -> page, line, heads, direction."""
+    s = staves.groupBy("page").agg(F.max(F.when(F.col("staff") == 1, F.col("bottom"))).alias("upper"), F.max(F.when(F.col("staff") == 2, F.col("top"))).alias("lower"))
+    l = lines.where((F.col("bottom") - F.col("top")).between(8 * sp, 18 * sp)).join(s, "page").where((F.col("top") <= F.col("upper") + 1.4 * sp) & (F.col("bottom") >= F.col("lower") - 1.4 * sp))  # noqa: E741
+    l = l.select("page", F.col("id").alias("line"), F.col("x").alias("l_x"))  # noqa: E741
+    away = F.abs(F.col("x") - F.col("l_x"))
+    met = heads.select("page", "staff", "id", "x").join(l, "page").where(away <= 0.82 * sp)
+    g = met.groupBy("page", "line", "l_x").agg(F.count_distinct("staff").alias("staves"), F.avg(away).alias("mean"), F.min(away).alias("least"), F.array_sort(F.collect_list("id")).alias("heads"), F.avg("x").alias("x"))
+    return g.where((F.col("staves") >= 2) & (F.col("mean") <= 0.82 * sp) & (F.col("least") <= 0.70 * sp)).select("page", "line", "heads", F.when(F.col("l_x") >= F.col("x"), "up").otherwise("down").alias("direction"))
 
 
 def strip_members(stems: DataFrame, strips: DataFrame, sp: float, margin: float = 0.25, gap: float = 0.50, groups: int = 2) -> DataFrame:

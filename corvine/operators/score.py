@@ -7,6 +7,8 @@ thresholds are in it. Joins have (page, measure) or (page, part, measure) as the
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,45 +27,74 @@ TOP_LINE, BOTTOM_LINE = 0, 8
 STAVES = "page string, system int, staff int, left double, top double, right double, bottom double, bars array<double>, error string"
 
 
+def runs_within(values: np.ndarray, tolerance: float) -> list[slice]:
+    """Ascending values in runs: one joins the open run while it lies within the tolerance of the run's mean."""
+    out, start = [], 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] - values[start:i].mean() > tolerance:
+            out.append(slice(start, i))
+            start = i
+    return out if len(values) else []
+
+
+def merged_uprights(x: np.ndarray, top: np.ndarray, bottom: np.ndarray, x_tolerance: float, join: float) -> list[tuple[float, float, float]]:
+    """(x, top, bottom) of vertical pieces, those at one x joined where the gap between them is ``join`` at most."""
+    order = np.lexsort((top, x))
+    x, top, bottom = x[order], top[order], bottom[order]
+    out = []
+    for run in runs_within(x, x_tolerance):
+        inner = np.argsort(top[run], kind="stable")
+        t, b = top[run][inner], np.maximum.accumulate(bottom[run][inner])
+        starts = [0, *(np.flatnonzero(t[1:] > b[:-1] + join) + 1), len(t)]
+        out += [(float(x[run].mean()), float(t[i]), float(b[j - 1])) for i, j in zip(starts, starts[1:], strict=False)]
+    return out
+
+
+def page_staves(width: float, height: float, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, share: float) -> list[tuple]:
+    """(system, staff, left, top, right, bottom, bars) of a page's lines, or an empty list."""
+    x_tolerance, y_tolerance = 0.001 * width, 0.001 * height
+    long = np.flatnonzero((np.abs(y2 - y1) <= y_tolerance) & (np.abs(x2 - x1) >= share * width))
+    long = long[np.argsort((y1 + y2)[long], kind="stable")]
+    y = (y1 + y2)[long] / 2
+    rows = [(y[r].mean(), long[r][np.abs(x2 - x1)[long[r]].argmax()]) for r in runs_within(y, y_tolerance)]  # the widest line stands for its row
+    centre = np.array([c for c, _ in rows])
+    gaps = np.sort(np.diff(centre)[np.diff(centre) > y_tolerance])
+    if len(long) < 5 or not len(gaps):
+        return []
+    low = gaps[: max(1, len(gaps) // 3)]
+    sp = low[len(low) // 2]
+    staves, i = [], 0
+    while i + 5 <= len(rows):
+        if (np.abs(np.diff(centre[i : i + 5]) - sp) <= 0.3 * sp).all():
+            staves.append((centre[i], centre[i + 4], [k for _, k in rows[i : i + 5]]))
+            i += 5
+        else:
+            i += 1
+    upright = np.abs(x2 - x1) <= x_tolerance
+    pieces = merged_uprights(((x1 + x2) / 2)[upright], np.minimum(y1, y2)[upright], np.maximum(y1, y2)[upright], x_tolerance, max(y_tolerance, 0.10 * sp))
+    out, edge, system = [], max(y_tolerance, 0.25 * sp), 0
+    for (top, upper, a), (lower, bottom, b) in zip(staves[::2], staves[1::2], strict=False):
+        lines = [*a, *b]
+        left, right = float(np.minimum(x1, x2)[lines].mean()), float(np.maximum(x1, x2)[lines].mean())
+        bars: list[float] = []
+        for x in sorted(x for x, t, f in pieces if t <= top + edge and f >= bottom - edge and f - t >= bottom - top - 2 * edge and left - x_tolerance <= x <= right + x_tolerance):
+            if not bars or x - bars[-1] > x_tolerance:
+                bars.append(x)
+        if len(bars) >= 2:
+            out += [(system, k, left, float(t), right, float(f), bars) for k, (t, f) in enumerate(((top, upper), (lower, bottom)))]
+            system += 1
+    return out
+
+
 def detect_staves(lines: DataFrame, share: float = 0.35) -> DataFrame:
-    """lines: page, page_width, x1, y1, x2, y2. Long horizontals cluster by y; five with even gaps are a staff, two staves a system (a last odd one is left
-    out), and verticals that span both are its bars. A page without a system gives a row with an error."""
+    """lines: page, page_width, page_height, x1, y1, x2, y2. Long horizontals cluster by y (0.001 of the page's height); the staff space is the middle of the lower third of the gaps;
+    five lines whose gaps are within 0.3 of it are a staff, two staves a system (a last odd one is left out; left and right are the means of its lines). Its bars are the verticals at one x
+    (0.001 of the width), joined over gaps of 0.1 spaces, that reach to 0.25 spaces of both ends; a system has two at least. A page without a system gives a row with an error."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        page, width = g["page"].iloc[0], float(g["page_width"].iloc[0])
-        x1, y1, x2, y2 = (g[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        level = (np.abs(y2 - y1) <= 0.001 * width) & (np.abs(x2 - x1) >= share * width)
-        y = (y1 + y2) / 2
-        order = np.flatnonzero(level)[np.argsort(y[level], kind="stable")]
-        rows: list[list[int]] = []
-        for i in order:
-            if rows and y[i] - np.mean(y[rows[-1]]) <= 0.0015 * width:
-                rows[-1].append(i)
-            else:
-                rows.append([i])
-        centre = np.array([y[r].mean() for r in rows])
-        staves, i = [], 0
-        while i + 5 <= len(centre):
-            gaps = np.diff(centre[i : i + 5])
-            if gaps.min() > 0 and (np.abs(gaps - gaps.mean()) <= 0.3 * gaps.mean()).all():
-                ends = [k for r in rows[i : i + 5] for k in r]
-                staves.append((min(x1[ends].min(), x2[ends].min()), centre[i], max(x1[ends].max(), x2[ends].max()), centre[i + 4]))
-                i += 5
-            else:
-                i += 1
-        out = []
-        upright = np.abs(x2 - x1) <= 0.001 * width
-        for s in range(len(staves) // 2):
-            a, b = staves[2 * s], staves[2 * s + 1]
-            sp = (a[3] - a[1]) / 4
-            spans = upright & (np.minimum(y1, y2) <= a[1] + 0.5 * sp) & (np.maximum(y1, y2) >= b[3] - 0.5 * sp)
-            bars: list[float] = []
-            for x in sorted((x1 + x2)[spans] / 2):
-                if not bars or x - bars[-1] >= sp:
-                    bars.append(float(x))
-            out += [(page, s, k, *box, bars, None) for k, box in enumerate((a, b))]
-        if not out:
-            out = [(page, None, None, None, None, None, None, None, "no staff system")]
+        page = g["page"].iloc[0]
+        found = page_staves(float(g["page_width"].iloc[0]), float(g["page_height"].iloc[0]), *[g[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")], share)
+        out = [(page, *row, None) for row in found] or [(page, *[None] * 7, "no staff system")]
         return pd.DataFrame(out, columns=[c.split()[0] for c in STAVES.split(", ")]).astype({"system": "Int64", "staff": "Int64"})
 
     return lines.groupBy("page").applyInPandas(run, STAVES)
@@ -230,20 +261,37 @@ def _last_clef(heads: DataFrame, clefs_: DataFrame) -> DataFrame:
     return both.withColumn("clef", F.last("clef", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "at", "cid")
 
 
+def measure_space(grid: DataFrame) -> DataFrame:
+    """page, measure, sp: the mean staff space of a measure's blocks, for what spans staves."""
+    return grid.groupBy("page", "measure").agg(F.avg((F.col("bottom") - F.col("top")) / 4).alias("sp"))
+
+
 def stems(lines: DataFrame, heads: DataFrame, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stems and stem-head links. A line is thin and at least 1.2 sp tall; a head touches an end within 0.20 sp in x and 0.28 sp in y. Up if heads touch the
-    lower end, down if the upper; of both the nearer, up on ties. Heads of two parts make it cross-staff."""
+    """Stems and stem-head links. A line, of a part or of a measure only (part null), is thin and at least 1.2 sp tall; a head touches an end within 0.20 sp in x and 0.28 sp in y. Up if heads touch the
+    lower end alone, down if the upper alone; of both the nearer, up on ties. Heads at that end are attached; a line without a part takes that of the nearest of them. Cross-staff: it meets the
+    height of two parts' blocks."""
     r = geo.Rect.of()
-    l = on_grid(lines, grid).where((r.width <= 0.16 * r.height) & (r.height >= 1.2 * F.col("sp"))).select("page", "measure", F.col("part").alias("stem_part"), F.col("id").alias("stem"), F.col("sp").alias("ssp"), *[F.col(c).alias(f"s_{c}") for c in BOX])  # noqa: E741
-    h = heads.select("page", "measure", "part", F.col("id").alias("head"), *BOX)
-    x, s = (F.col("s_left") + F.col("s_right")) / 2, F.col("ssp")
+    l = lines.join(measure_space(grid), ["page", "measure"]).where((r.height > 1e-9) & (r.width <= 0.16 * r.height) & (r.height >= 1.2 * F.col("sp")))  # noqa: E741
+    l = l.select("page", "measure", F.col("part").alias("own_part"), F.col("id").alias("stem"), "sp", *[F.col(c).alias(f"s_{c}") for c in BOX])  # noqa: E741
+    h = heads.select("page", "measure", F.col("part").alias("head_part"), F.col("id").alias("head"), *BOX)
+    x, s = (F.col("s_left") + F.col("s_right")) / 2, F.col("sp")
     dx = geo.interval_gap(x, x, F.col("left"), F.col("right"))
     low = geo.interval_gap(F.col("s_bottom"), F.col("s_bottom"), F.col("top"), F.col("bottom"))
     high = geo.interval_gap(F.col("s_top"), F.col("s_top"), F.col("top"), F.col("bottom"))
-    met = l.join(h, ["page", "measure"]).where((dx <= 0.20 * s) & (F.least(low, high) <= 0.28 * s)).withColumns({"low": low, "high": high})
-    ends = met.groupBy("page", "measure", "stem", "stem_part", "ssp", *[f"s_{c}" for c in BOX]).agg(F.min("low").alias("low"), F.min("high").alias("high"), F.count_distinct("part").alias("parts"))
-    ends = ends.withColumn("direction", F.when(F.col("low") <= F.col("high"), "up").otherwise("down"))
-    return ends.select("page", "measure", F.col("stem_part").alias("part"), F.col("stem").alias("id"), F.col("ssp").alias("sp"), *[F.col(f"s_{c}").alias(c) for c in BOX], "direction", (F.col("parts") >= 2).alias("cross_staff")), met.select("page", "measure", "stem", "head")
+    far = lambda dy: F.when((dx <= 0.20 * s) & (dy <= 0.28 * s), F.sqrt(dx * dx + dy * dy))
+    met = l.join(h, ["page", "measure"]).withColumns({"low": far(low), "high": far(high)}).where("low is not null or high is not null")
+    key = ["page", "measure", "stem", "own_part", "sp", *[f"s_{c}" for c in BOX]]
+    nearest = lambda d: F.min(F.when(F.col(d).isNotNull(), F.struct(d, "head", "head_part")))
+    ends = met.groupBy(*key).agg(nearest("low").alias("at_low"), nearest("high").alias("at_high"))
+    up = F.col("at_low").isNotNull() & (F.col("at_high").isNull() | (F.col("at_low.low") <= F.col("at_high.high")))
+    ends = ends.withColumn("direction", F.when(up, "up").otherwise("down")).withColumn("part", F.coalesce("own_part", F.when(up, F.col("at_low.head_part")).otherwise(F.col("at_high.head_part"))))
+    b = grid.select("page", "measure", F.col("part").alias("b_part"), F.col("top").alias("b_top"), F.col("bottom").alias("b_bottom"))
+    parts = ends.join(b, ["page", "measure"]).where((F.col("s_bottom") >= F.col("b_top")) & (F.col("s_top") <= F.col("b_bottom"))).groupBy("page", "stem").agg(F.count_distinct("b_part").alias("parts"))
+    ends = ends.join(grid.select(*BLOCK), BLOCK, "left_semi").join(parts, ["page", "stem"], "left")
+    found = ends.select("page", "measure", "part", F.col("stem").alias("id"), "sp", *[F.col(f"s_{c}").alias(c) for c in BOX], "direction", F.coalesce(F.col("parts") >= 2, F.lit(False)).alias("cross_staff"))
+    side = F.when(F.col("direction") == "up", F.col("low")).otherwise(F.col("high"))
+    links = met.join(found.select("page", "measure", F.col("id").alias("stem"), "direction"), ["page", "measure", "stem"]).where(side.isNotNull())
+    return found, links.select("page", "measure", "stem", "head")
 
 
 def free_end(direction: Column = None, prefix: str = "") -> Column:
@@ -264,31 +312,71 @@ def arpeggi(waves: DataFrame, heads: DataFrame, grid: DataFrame) -> DataFrame:
     return met.groupBy("page", "measure", "column", *BOX).agg(F.array_sort(F.collect_list("head")).alias("heads")).where("size(heads) >= 2")
 
 
-def beams(strips: DataFrame, stems_: DataFrame, levels: int = 4) -> DataFrame:
-    """strips: page, measure, id, x0, y0, x1, y1 (centre line). Level 1: both ends at free ends of different stems, and every stem between is touched. Level n: all stems that a strip touches have level n-1,
-    and one of its ends is near a stem. -> page, measure, beam, stem, level."""
+def ends_of_outline(prims: DataFrame, share: float, least: float) -> DataFrame:
+    """prims (points: array of (x, y), box, sp) with low0, high0, n0 and low1, high1, n1: the heights of the outline in a band at its left and at its right end, and the points
+    there. A band is ``share`` of the width, ``least`` sp at least."""
+    band = F.greatest((F.col("right") - F.col("left")) * share, F.col("sp") * least)
+    here = {"0": lambda p: p["x"] <= F.col("left") + band, "1": lambda p: p["x"] >= F.col("right") - band}
+    out = prims
+    for k, inside in here.items():
+        out = out.withColumn(f"__y{k}", F.transform(F.filter("points", inside), lambda p: p["y"]))
+        out = out.withColumns({f"low{k}": F.array_min(f"__y{k}"), f"high{k}": F.array_max(f"__y{k}"), f"n{k}": F.size(f"__y{k}")}).drop(f"__y{k}")
+    return out
+
+
+def space_of(prims: DataFrame, grid: DataFrame) -> DataFrame:
+    """prims with sp: of their own block, or the mean of their measure's."""
+    own = grid.select(*BLOCK, ((F.col("bottom") - F.col("top")) / 4).alias("own_sp"))
+    return prims.join(own, BLOCK, "left").join(measure_space(grid).withColumnRenamed("sp", "mean_sp"), ["page", "measure"]).withColumn("sp", F.coalesce("own_sp", "mean_sp")).drop("own_sp", "mean_sp")
+
+
+def beam_strips(prims: DataFrame, grid: DataFrame) -> DataFrame:
+    """Strips that may be beams, with their centre line (x0, y0, x1, y1) and sp. prims: page, part (or null), measure, id, box, points. An outline of four points or more, 0.75 sp wide, 0.12 to 0.70 sp thick in
+    the mean of its ends, one end at most 2.2 times as thick as the other."""
+    p = ends_of_outline(space_of(prims, grid), 0.14, 0.08)
+    a, b, sp = F.col("high0") - F.col("low0"), F.col("high1") - F.col("low1"), F.col("sp")
+    good = (F.size("points") >= 4) & (F.col("right") - F.col("left") >= F.greatest(0.75 * sp, F.lit(1e-9))) & (F.col("bottom") - F.col("top") > 1e-9) & (F.col("n0") >= 2) & (F.col("n1") >= 2)
+    good = good & ((a + b) / 2).between(0.12 * sp, 0.70 * sp) & (F.greatest(a, b) <= 2.2 * F.greatest(F.least(a, b), F.lit(1e-9)))
+    return p.where(good).select("page", "measure", "id", "sp", F.col("left").alias("x0"), ((F.col("low0") + F.col("high0")) / 2).alias("y0"), F.col("right").alias("x1"), ((F.col("low1") + F.col("high1")) / 2).alias("y1"))
+
+
+def beams(strips: DataFrame, stems_: DataFrame, links: DataFrame, heads: DataFrame, one_by_one: bool = False) -> DataFrame:
+    """strips: page, measure, id, sp, x0, y0, x1, y1 (centre line). A strip touches the stems between its ends that it meets in height (0.28 sp in x, 0.38 sp in y), and must pass all their heads on the free
+    side by 0.08 sp. Level 1: its ends are at the free ends of two different stems. Level n: all stems that it touches have level n - 1, and one of its ends is near a stem.
+    All strips that qualify at once share a level, so those under the first have level 2; with ``one_by_one`` each stem takes only the strip nearest its tip in a turn, which
+    numbers them from the tips on. Goes on until a turn adds nothing. -> page, measure, beam, stem, level."""
+    m = ["page", "measure"]
+    xt, yt = 0.28 * F.col("sp"), 0.38 * F.col("sp")
     sx = (F.col("left") + F.col("right")) / 2
-    s = stems_.select("page", "measure", F.col("id").alias("stem"), "sp", sx.alias("sx"), "top", "bottom", free_end().alias("tip"), "direction")
-    y = geo.line_at(F.col("sx"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    met = strips.withColumnRenamed("id", "beam").join(s, ["page", "measure"]).withColumn("y", y)
-    met = iterate.cut(met.where(F.col("sx").between(F.col("x0") - 0.25 * F.col("sp"), F.col("x1") + 0.25 * F.col("sp")) & F.col("y").between(F.col("top") - 0.3 * F.col("sp"), F.col("bottom") + 0.3 * F.col("sp"))))
-    at_tip = F.abs(F.col("y") - F.col("tip")) <= 0.35 * F.col("sp")
-    first = (F.abs(F.col("sx") - F.col("x0")) <= 0.3 * F.col("sp")) & at_tip
-    last = (F.abs(F.col("sx") - F.col("x1")) <= 0.3 * F.col("sp")) & at_tip
-    ends = met.groupBy("page", "measure", "beam").agg(F.min(F.when(first, F.col("stem"))).alias("a"), F.max(F.when(last, F.col("stem"))).alias("b"))
-    level = ends.where("a is not null and b is not null and a <> b").select("page", "measure", "beam", F.lit(1).alias("level"))
-    known = iterate.cut(met.join(level, ["page", "measure", "beam"]).select("page", "measure", "beam", "stem", "level"))
-    out = known
-    for n in range(2, levels + 1):
-        held = known.select("page", "measure", "stem", F.lit(True).alias("held")).distinct()
-        rest = met.join(out.select("page", "measure", "beam").distinct(), ["page", "measure", "beam"], "left_anti").join(held, ["page", "measure", "stem"], "left")
-        near = (F.abs(F.col("sx") - F.col("x0")) <= 0.3 * F.col("sp")) | (F.abs(F.col("sx") - F.col("x1")) <= 0.3 * F.col("sp"))
-        good = rest.groupBy("page", "measure", "beam").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("all"), F.bool_or(near).alias("end"), F.min(F.abs(F.col("y") - F.col("tip"))).alias("depth")).where("all and end")
-        # the strip nearest the tips is the next level; others wait for their turn
-        pick = rest.join(good.select("page", "measure", "beam", "depth"), ["page", "measure", "beam"]).withColumn("r", F.dense_rank().over(Window.partitionBy("page", "measure", "stem").orderBy("depth", "beam"))).where("r = 1")
-        known = iterate.cut(pick.select("page", "measure", "beam", "stem", F.lit(n).alias("level")))
-        if known.isEmpty():
-            break
+    head = links.join(heads.select(*m, F.col("id").alias("head"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom")), [*m, "head"]).groupBy(*m, "stem").agg(F.min("h_top").alias("h_top"), F.max("h_bottom").alias("h_bottom"))
+    s = stems_.select(*m, F.col("part").alias("s_part"), F.col("id").alias("stem"), sx.alias("sx"), F.col("left").alias("s_left"), "top", "bottom", free_end().alias("tip"), "direction").join(head, [*m, "stem"], "left")
+    both = strips.withColumnRenamed("id", "beam").join(s, m).withColumn("y", geo.line_at(F.col("sx"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    touches = F.col("sx").between(F.col("x0") - xt, F.col("x1") + xt) & F.col("y").between(F.col("top") - yt, F.col("bottom") + yt)
+    at_tip = lambda k: (F.abs(F.col("sx") - F.col(f"x{k}")) <= xt) & (F.abs(F.col("tip") - F.col(f"y{k}")) <= yt)
+    at_any = lambda k: (F.abs(F.col("sx") - F.col(f"x{k}")) <= xt) & F.col(f"y{k}").between(F.col("top") - yt, F.col("bottom") + yt)
+    gap = lambda k: F.sqrt(F.pow(F.col("sx") - F.col(f"x{k}"), 2) + F.pow(F.col("tip") - F.col(f"y{k}"), 2))
+    clear = 0.08 * F.col("sp")
+    passes = F.when(F.col("direction") == "up", F.col("y") < F.col("h_top") - clear).otherwise(F.col("y") > F.col("h_bottom") + clear)
+    both = both.withColumns({"touches": touches, "tip0": at_tip(0), "tip1": at_tip(1), "near": at_any(0) | at_any(1), "passes": F.coalesce(passes, F.lit(True)), "gap0": gap(0), "gap1": gap(1), "depth": F.abs(F.col("y") - F.col("tip"))})
+    met = iterate.cut(both.where("touches or tip0 or tip1").select(*m, "beam", "stem", "s_part", "s_left", "top", "touches", "tip0", "tip1", "near", "passes", "gap0", "gap1", "depth"))
+    order = lambda k: F.struct(f"gap{k}", "s_part", "s_left", "top", "stem")
+    first = met.groupBy(*m, "beam").agg(F.min(F.when(F.col("tip0"), order(0)))["stem"].alias("a"))
+    last = met.join(first.where("a is not null"), [*m, "beam"]).groupBy(*m, "beam", "a").agg(F.min(F.when(F.col("tip1") & (F.col("stem") != F.col("a")), order(1)))["stem"].alias("b")).where("b is not null")
+    of = met.join(last, [*m, "beam"]).where(F.col("touches") | F.col("stem").isin(F.col("a"), F.col("b")))
+    good = of.groupBy(*m, "beam").agg(F.bool_and("passes").alias("ok")).where("ok").drop("ok")
+    known = iterate.cut(of.join(good, [*m, "beam"], "left_semi").select(*m, "beam", "stem", F.lit(1).alias("level")))
+    out, n = known, 1
+    while not known.isEmpty():
+        n += 1
+        held = known.select(*m, "stem", F.lit(True).alias("held")).distinct()
+        rest = met.where("touches").join(out.select(*m, "beam").distinct(), [*m, "beam"], "left_anti").join(held, [*m, "stem"], "left")
+        good = rest.groupBy(*m, "beam").agg(F.bool_and(F.coalesce("held", F.lit(False)) & F.col("passes")).alias("all"), F.bool_or("near").alias("end"), F.min("depth").alias("nearest")).where("all and end")
+        pick = rest.join(good.select(*m, "beam", "nearest"), [*m, "beam"])
+        if one_by_one:
+            turn = F.dense_rank().over(Window.partitionBy(*m, "stem").orderBy("nearest", "beam"))
+            late = pick.withColumn("turn", turn).where("turn > 1").select(*m, "beam").distinct()
+            pick = pick.join(late, [*m, "beam"], "left_anti")
+        known = iterate.cut(pick.select(*m, "beam", "stem", F.lit(n).alias("level")))
         out = out.unionByName(known)
     return out
 
@@ -305,33 +393,103 @@ def flags(symbols: DataFrame, stems_: DataFrame, beamed: DataFrame) -> DataFrame
     return best.select("page", "measure", "stem", F.col("f.id").alias("flag"), "f.denominator", "f.confidence")
 
 
-def arcs(shapes: DataFrame, heads: DataFrame, stems_: DataFrame, sp: float | Column = 1.0) -> DataFrame:
-    """shapes: page, measure, id, x0, y0, x1, y1 (ends). Longer than 2 sp, each end within 2 sp of a head or of a stem's end, of different objects; two heads win over two stems; equal rounded ends keep the widest."""
-    unit = sp if isinstance(sp, Column) else F.lit(float(sp))
-    long = shapes.where(F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)) >= 2 * unit)
-    h = heads.select("page", "measure", F.lit(0).alias("rank"), F.concat(F.lit("note:"), "id").alias("key"), ((F.col("left") + F.col("right")) / 2).alias("px"), ((F.col("top") + F.col("bottom")) / 2).alias("py"))
-    s = stems_.select("page", "measure", F.lit(1).alias("rank"), F.concat(F.lit("stem:"), "id").alias("key"), ((F.col("left") + F.col("right")) / 2).alias("px"), free_end().alias("py"))
-    t = h.unionByName(s)
-    d = lambda a, b: F.sqrt(F.pow(F.col(a) - F.col("px"), 2) + F.pow(F.col(b) - F.col("py"), 2))
-    met = long.join(t, ["page", "measure"]).withColumns({"d0": d("x0", "y0"), "d1": d("x1", "y1")})
-    ends = met.groupBy("page", "measure", "id", "x0", "y0", "x1", "y1", "rank").agg(F.min(F.when(F.col("d0") <= 2 * unit, F.struct("d0", "key")))["key"].alias("a"), F.min(F.when(F.col("d1") <= 2 * unit, F.struct("d1", "key")))["key"].alias("b"))
-    best = ends.where("a is not null and b is not null and a <> b").groupBy("page", "measure", "id", "x0", "y0", "x1", "y1").agg(F.min(F.struct("rank", "a", "b")).alias("e"))
-    key = [fn.half_even(F.col(c), 1).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")]
-    keyed = best.select("page", "measure", "id", "e.*", (F.col("x1") - F.col("x0")).alias("width"), *key)
+def arc_shapes(prims: DataFrame, grid: DataFrame, least_width: float | None = None, most_thickness: float | None = None, least_curvature: float | None = None, most_ratio: float | None = None) -> DataFrame:
+    """Outlines as arcs: their ends (x0, y0, x1, y1), sp, and in sp width, thickness of both ends (t0, t1) and curvature. Outlines have six points or more, two of them in
+    each of the bands at the ends and in the middle. The four gates (customary values 0.90, 0.55, 0.16 and 3) are off unless given."""
+    p = ends_of_outline(space_of(prims, grid), 0.12, 0.06)
+    centre, half = (F.col("left") + F.col("right")) / 2, F.greatest((F.col("right") - F.col("left")) * 0.06, 0.05 * F.col("sp"))
+    p = p.withColumn("__mid", F.transform(F.filter("points", lambda q: F.abs(q["x"] - centre) <= half), lambda q: q["y"]))
+    p = p.where((F.size("points") >= 6) & (F.col("right") - F.col("left") > 1e-9) & (F.col("bottom") - F.col("top") > 1e-9) & (F.col("n0") >= 2) & (F.col("n1") >= 2) & (F.size("__mid") >= 2))
+    y0, y1, mid = (F.col("low0") + F.col("high0")) / 2, (F.col("low1") + F.col("high1")) / 2, (F.array_min("__mid") + F.array_max("__mid")) / 2
+    sp, a, b = F.col("sp"), F.col("high0") - F.col("low0"), F.col("high1") - F.col("low1")
+    p = p.select("page", "measure", "id", "sp", F.col("left").alias("x0"), y0.alias("y0"), F.col("right").alias("x1"), y1.alias("y1"), ((F.col("right") - F.col("left")) / sp).alias("width"), (a / sp).alias("t0"), (b / sp).alias("t1"), (F.abs(mid - (y0 + y1) / 2) / sp).alias("curvature"))
+    gates = [(least_width, F.col("width") >= F.lit(least_width)), (most_thickness, F.greatest("t0", "t1") <= F.lit(most_thickness)), (least_curvature, F.col("curvature") >= F.lit(least_curvature)), (most_ratio, F.greatest("t0", "t1") <= F.greatest(F.least("t0", "t1"), F.lit(1e-9)) * F.lit(most_ratio))]
+    for value, gate in gates:
+        p = p.where(gate) if value is not None else p
+    return p
+
+
+def arcs(shapes: DataFrame, heads: DataFrame, stems_: DataFrame) -> DataFrame:
+    """shapes: page, measure, id, sp, x0, y0, x1, y1 (ends). Longer than 2 sp; each end within 2 sp of a head's box, or of either end of a stem, on the page, of different ones: the nearest at the left with the nearest other at
+    the right, else the next at the left. Two heads win over two stems; of equal rounded ends the widest is kept. -> page, measure, id, start_key, stop_key."""
+    unit = F.col("sp")
+    long = shapes.where(F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)) >= 2 * unit).select("page", "measure", "id", "sp", "x0", "y0", "x1", "y1")
+    h = heads.select("page", F.lit(0).alias("rank"), F.col("id").alias("object"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+    cx = (F.col("left") + F.col("right")) / 2
+    s = stems_.select("page", F.lit(1).alias("rank"), F.col("id").alias("object"), cx.alias("o_left"), F.col("top").alias("o_top"), cx.alias("o_right"), F.col("bottom").alias("o_bottom"))
+    met = long.join(h.unionByName(s), "page")
+
+    def far(x: str, y: str) -> Column:
+        dx, dy = geo.interval_gap(F.col(x), F.col(x), F.col("o_left"), F.col("o_right")), geo.interval_gap(F.col(y), F.col(y), F.col("o_top"), F.col("o_bottom"))
+        return F.sqrt(dx * dx + F.when(F.col("rank") == 0, dy * dy).otherwise(F.pow(F.least(F.abs(F.col(y) - F.col("o_top")), F.abs(F.col(y) - F.col("o_bottom"))), 2)))
+
+    key = ["page", "id", "rank"]
+    end = lambda k: met.withColumn("d", far(f"x{k}", f"y{k}")).where(F.col("d") <= 2 * unit)
+    left = end(0).select(*key, "measure", "x0", "y0", "x1", "y1", F.col("d").alias("d0"), F.col("object").alias("a"))
+    pairs = left.join(end(1).select(*key, F.col("d").alias("d1"), F.col("object").alias("b")), key).where("a <> b")
+    best = pairs.groupBy("page", "id", "measure", "x0", "y0", "x1", "y1").agg(F.min(F.struct("rank", "d0", "a", "d1", "b")).alias("e"))
+    rounded = [fn.half_even(F.col(c), 1).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")]
+    keyed = best.select("page", "measure", "id", "e.*", (F.col("x1") - F.col("x0")).alias("width"), *rounded)
     n = F.row_number().over(Window.partitionBy("page", "k_x0", "k_y0", "k_x1", "k_y1").orderBy(F.desc("width"), "id"))
-    return keyed.withColumn("n", n).where("n = 1").select("page", "measure", "id", F.col("a").alias("start_key"), F.col("b").alias("stop_key"))
+    name = lambda c: F.concat(F.when(F.col("rank") == 0, "note:").otherwise("stem:"), F.col(c))
+    return keyed.withColumn("n", n).where("n = 1").select("page", "measure", "id", name("a").alias("start_key"), name("b").alias("stop_key"))
+
+
+ACCIDENTALS = ("sharp", "flat", "natural", "doubleSharp", "doubleFlat")
+
+
+def meets(a: dict, b: dict) -> bool:
+    """Boxes that touch."""
+    return a["right"] >= b["left"] and a["left"] <= b["right"] and a["bottom"] >= b["top"] and a["top"] <= b["bottom"]
+
+
+def found_accidentals(symbols: list[dict], heads: list[dict], clefs_: list[dict], least: float) -> list[tuple[int, str, int | None]]:
+    """(id, label, head or None) of a block. Boxes are top, bottom, ...; x, y and lt, lb are logical centre, top and bottom."""
+    known: dict[int, dict] = {}
+    sure = lambda s: s["label"] in ACCIDENTALS and s["confidence"] >= least
+    at_clef = lambda s: any(meets(s, c) for c in clefs_)
+    off = lambda s, y: max(s["lt"] - y, y - s["lb"], 0.0)
+    lanes: list[list[dict]] = []
+    for s in sorted(symbols, key=lambda s: (s["y"], s["id"])):
+        lane = next((x for x in lanes if abs(sum(t["y"] for t in x) / len(x) - s["y"]) <= 0.55), None)
+        if lane is None:
+            lanes.append(lane := [])
+        lane.append(s)
+    by_x = lambda s: (s["x"], s["id"])
+    for lane in lanes:
+        known |= {s["id"]: s for s in itertools.takewhile(sure, (s for s in sorted(lane, key=by_x) if not at_clef(s)))}
+    for h in sorted(heads, key=by_x):
+        left = sorted((s for s in symbols if s["x"] < h["x"] and off(s, h["y"]) <= 1.0 and s["id"] not in known), key=by_x, reverse=True)
+        known |= {s["id"]: s for s in itertools.takewhile(lambda s: sure(s) and not at_clef(s), left)}
+    out = []
+    for s in sorted(known.values(), key=by_x):
+        anchor = s["lb"] - 1.0 if s["label"] in ("flat", "doubleFlat") else s["y"]
+        exact = lambda h, anchor=anchor: round(h["y"]) == round(anchor)
+        near = [h for h in heads if 0 < h["x"] - s["x"] <= 8 and (exact(h) or abs(h["y"] - anchor) <= 0.65)]
+        near.sort(key=lambda h: (not exact(h), abs(h["y"] - anchor), h["x"], h["id"]))
+        free = (h for h in near if not any(s["x"] < t["x"] < h["x"] and t["id"] not in known and off(t, h["y"]) <= 0.75 and not meets(t, s) and not meets(t, h) for t in symbols))
+        out.append((s["id"], s["label"], next((h["id"] for h in free), None)))
+    return out
+
+
+def accidentals(symbols: DataFrame, heads: DataFrame, clefs_: DataFrame, grid: DataFrame, least: float = 0.70) -> DataFrame:
+    """Symbols of 1.5 to 7 half spaces are tried in chains only: along each lane of like height (0.55) from the left, clefs passed over, and from each head leftwards within a half space of its row;
+    a chain ends at the first that is no accidental. Each takes the head within 8 units right of it, in its row or within 0.65, own row and nearest row first,
+    unless a symbol that is no accidental stands between them in that row. Flats stand one half space above their lower edge. head is null where none is free. -> page, part, measure, id, label, head."""
+    schema = "page string, part int, measure int, id long, label string, head long"
+    s = on_grid(symbols, grid).where(((F.col("bottom") - F.col("top")) / (F.col("sp") / 2)).between(1.5, 7) & F.col("lx").isNotNull())
+    edge = lambda c: ((F.col(c) - F.col("block_top")) / (F.col("sp") / 2)).alias({"top": "lt", "bottom": "lb"}[c])
+    none = F.lit(None).cast("double")
+    rows = s.select(*BLOCK, F.lit(0).alias("kind"), "id", "label", "confidence", F.col("lx").alias("x"), F.col("ly").alias("y"), edge("top"), edge("bottom"), *BOX)
+    rows = rows.unionByName(heads.select(*BLOCK, F.lit(1).alias("kind"), "id", F.lit("").alias("label"), none.alias("confidence"), F.col("lx").alias("x"), F.col("ly").alias("y"), none.alias("lt"), none.alias("lb"), *BOX).where("x is not null"))
+    rows = rows.unionByName(clefs_.select(*BLOCK, F.lit(2).alias("kind"), "id", F.lit("").alias("label"), none.alias("confidence"), none.alias("x"), none.alias("y"), none.alias("lt"), none.alias("lb"), *BOX))
 
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        of = [g[g["kind"] == k].to_dict("records") for k in range(3)]
+        out = [(*key, *row) for row in found_accidentals(*of, least)]
+        return pd.DataFrame(out, columns=["page", "part", "measure", "id", "label", "head"]).astype({"head": "Int64"})
 
-def accidentals(symbols: DataFrame, heads: DataFrame, grid: DataFrame, least: float = 0.70) -> DataFrame:
-    """The head right of each accidental: 0 < dx <= 8 units, same row or |dy| <= 0.65, no head between; nearest first. Flats stand one half space above their lower edge."""
-    a = on_grid(symbols, grid).where(F.col("label").isin("sharp", "flat", "natural") & (F.col("confidence") >= least))
-    a = a.where(((F.col("bottom") - F.col("top")) / (F.col("sp") / 2)).between(1.5, 7))
-    a = a.withColumn("ly", F.when(F.col("label") == "flat", (F.col("bottom") - F.col("block_top")) / (F.col("sp") / 2) - 1).otherwise(F.col("ly")))
-    h = heads.select(*BLOCK, F.col("id").alias("head"), F.col("lx").alias("hx"), F.col("ly").alias("hy"))
-    dx, dy = F.col("hx") - F.col("lx"), F.abs(F.col("hy") - F.col("ly"))
-    met = a.select(*BLOCK, "id", "label", "lx", "ly").join(h, BLOCK).where((dx > 0) & (dx <= 8) & ((fn.half_even(F.col("hy")) == fn.half_even(F.col("ly"))) | (dy <= 0.65)))
-    near = met.withColumn("n", F.row_number().over(Window.partitionBy("page", "id").orderBy(dx, dy, "head"))).where("n = 1")
-    return near.select(*BLOCK, "id", "label", "head")
+    return rows.groupBy(*BLOCK).applyInPandas(run, schema)
 
 
 def rests(symbols: DataFrame, grid: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -345,20 +503,23 @@ def rests(symbols: DataFrame, grid: DataFrame, claimed: DataFrame) -> DataFrame:
     return placed.join(near, ["page", "id"]).where((F.col("b.gap") <= 2 * F.col("b.sp")) | (F.coalesce("d", F.lit(1e9)) <= 2 * F.col("b.sp"))).select("page", "b.part", "measure", "id", "label", "confidence", *BOX)
 
 
-def dots(small: DataFrame, targets: DataFrame, grid: DataFrame) -> DataFrame:
-    """Round small pieces (0.06-0.55 sp, circularity >= 0.64 where known) matched one to one with a target left of them: 0 < dx < 4 units, dy <= 0.70 to its row or a row beside it, score dx + 1.75 dy."""
+def dots(small: DataFrame, heads: DataFrame, rests_: DataFrame, grid: DataFrame) -> DataFrame:
+    """Round small pieces (0.06 to 0.55 sp, circularity of their points >= 0.64), at most 0.35 of a head's area and 0.72 of its width and height, matched one to one with a head or rest left of
+    them: 0 < dx < 4 units, dy <= 0.70 to its row or a row beside it, score dx + 1.75 dy, then the left one first. small: points, box."""
     r = geo.Rect.of()
-    d = on_grid(small, grid).where((r.width / F.col("sp")).between(0.06, 0.55) & (r.height / F.col("sp")).between(0.06, 0.55) & (r.width / r.height).between(0.55, 1.80))
-    t = targets.select(*BLOCK, F.col("id").alias("target"), F.col("lx").alias("tx"), F.col("ly").alias("ty"))
+    d = on_grid(small, grid).where((r.width / F.col("sp")).between(0.06, 0.55) & (r.height / F.col("sp")).between(0.06, 0.55) & (r.width / r.height).between(0.55, 1.80) & (F.size("points") >= 4) & (geo.circularity(F.col("points")) >= 0.64))
+    d = d.select(*BLOCK, F.col("id").alias("dot"), F.col("left").alias("dot_left"), "lx", "ly", r.width.alias("w"), r.height.alias("h"))
+    of = lambda df, note: on_grid(df.select(*BLOCK, "id", *BOX), grid).select(*BLOCK, F.col("id").alias("target"), F.col("lx").alias("tx"), F.col("ly").alias("ty"), r.width.alias("tw"), r.height.alias("th"), F.lit(note).alias("note"))
     dx = F.col("lx") - F.col("tx")
     dy = F.least(*[F.abs(F.col("ly") - F.col("ty") - k) for k in (-1, 0, 1)])
-    pairs = d.select(*BLOCK, F.col("id").alias("dot"), "lx", "ly").join(t, BLOCK).where((dx > 0) & (dx < 4) & (dy <= 0.70))
-    return iterate.greedy_match(pairs, BLOCK, "dot", "target", dx + 1.75 * dy)
+    smaller = (F.col("w") * F.col("h") <= 0.35 * F.col("tw") * F.col("th")) & (F.col("w") <= 0.72 * F.col("tw")) & (F.col("h") <= 0.72 * F.col("th"))
+    pairs = d.join(of(heads, True).unionByName(of(rests_, False)), BLOCK).where((dx > 0) & (dx < 4) & (dy <= 0.70) & (~F.col("note") | smaller))
+    return iterate.greedy_match(pairs, BLOCK, "dot", "target", F.struct((dx + 1.75 * dy).alias("score"), "dot_left")).withColumn("score", F.col("score.score"))
 
 
 def resolve(symbols: DataFrame, blocks_: DataFrame, supported: list[tuple[int, int]]) -> dict[str, DataFrame]:
-    """The chain over classified symbols in its fixed order: meter, grid, clef, ledger, head, stem, flag, accidental, rest, dot. What a pass recognizes is
-    claimed, and later passes do not see it. symbols: page, id, part, measure, box, label, confidence, hole."""
+    """The chain over classified symbols in its fixed order: meter, grid, clef, ledger, head, stem, beam, flag, arc, accidental, rest, dot. What a pass recognizes is
+    claimed, and later passes do not see it. symbols: page, id, part (null for what spans parts), measure, box, points, label, confidence, hole."""
     out: dict[str, DataFrame] = {}
     no_meter = blocks_.withColumns({"beats": F.lit(None).cast("int"), "beat_value": F.lit(None).cast("int"), "units": F.lit(None).cast("int")})
     out["meters"] = meters(symbols, no_meter, supported)
@@ -377,9 +538,10 @@ def resolve(symbols: DataFrame, blocks_: DataFrame, supported: list[tuple[int, i
     out["heads"] = claim(iterate.cut(noteheads(rest.where("label = 'oval'"), grid, out["clefs"], out["ledgers"])))
     stems_, links = stems(rest.where("label = 'stem'"), out["heads"], grid)
     out["stems"], out["stem_heads"] = claim(iterate.cut(stems_)), links
-    none = links.sparkSession.createDataFrame([], "page string, measure int, stem long")
-    out["flags"] = iterate.cut(flags(rest, out["stems"], none))
-    out["accidentals"] = iterate.cut(accidentals(rest, out["heads"], grid))
+    out["beams"] = beams(beam_strips(rest.where("label = 'strip'"), grid), out["stems"], links, out["heads"])
+    out["flags"] = iterate.cut(flags(rest, out["stems"], out["beams"]))
+    out["arcs"] = iterate.cut(arcs(arc_shapes(rest.where("label = 'arc'"), grid), out["heads"], out["stems"]))
+    out["accidentals"] = iterate.cut(accidentals(rest, out["heads"], out["clefs"], grid))
     out["rests"] = claim(iterate.cut(rests(rest, grid, claimed)))
-    out["dots"] = dots(rest.where("label = 'dot'"), out["heads"], grid)
+    out["dots"] = dots(rest.where("label = 'dot'"), out["heads"], out["rests"], grid)
     return out

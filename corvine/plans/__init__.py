@@ -1,3 +1,3 @@
 """Plans of the registered queries, by family. Importing this package registers them."""
 
-from . import aggregates, fixtures, iterative, joins, legacy, more, relational, windows  # noqa: F401
+from . import aggregates, fixtures, iterative, joins, legacy, more, recognition, relational, windows  # noqa: F401

@@ -90,10 +90,11 @@ def l17(spark, d):
 
 @query("l18_cross_staff_chords", "SELECT * FROM (VALUES (9, '1,2', 'up')) t(line, heads, direction)")
 def l18(spark, d):
-    """Heads at 115 and 165 on two staves with a stem at 52 from 110 to 166 hang together; a bar line far from heads binds none."""
-    h = rows(spark, "page string, staff int, id int, x double, y double", ("p", 1, 1, 49.0, 115.0), ("p", 2, 2, 49.0, 165.0), ("p", 1, 3, 120.0, 115.0))
-    l = rows(spark, LINES, ("p", 9, 52.0, 110.0, 166.0), ("p", 10, 300.0, 80.0, 180.0))  # noqa: E741
-    c = op.cross_staff_chords(h, l, 10.0)
+    """Heads at 49 on two staves with a stem at 52 from 110 to 166 hang together; lines far from heads, short ones and ones of one staff bind none."""
+    h = rows(spark, "page string, staff int, id int, x double, y double", ("p", 1, 1, 49.0, 115.0), ("p", 2, 2, 49.0, 165.0), ("p", 1, 3, 120.0, 115.0), ("p", 1, 4, 80.0, 115.0), ("p", 2, 5, 80.0, 165.0), ("p", 1, 6, 203.0, 115.0), ("p", 2, 7, 203.0, 165.0))
+    l = rows(spark, LINES, ("p", 9, 52.0, 110.0, 166.0), ("p", 10, 300.0, 100.0, 180.0), ("p", 11, 123.0, 110.0, 166.0), ("p", 12, 83.0, 120.0, 158.0), ("p", 13, 200.0, 135.0, 180.0))  # noqa: E741
+    s = rows(spark, "page string, staff int, top double, bottom double", ("p", 1, 100.0, 120.0), ("p", 2, 160.0, 180.0))
+    c = op.cross_staff_chords(h, l, s, 5.0)
     return c.select("line", F.array_join(F.col("heads").cast("array<string>"), ",").alias("heads"), "direction")
 
 
