@@ -37,18 +37,32 @@ def nearest(left: DataFrame, right: DataFrame, keys: list, left_id: str, cost: C
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
 
+#: Cuts of the values, so that one key's rows are sorted in several tasks.
+CUTS = 32
+
+
 def nearest_value(left: DataFrame, right: DataFrame, keys: list, a: str, b: str, left_id: str, right_id: str) -> DataFrame:
     """left with ``match`` and ``gap``: the right row of nearest value per key, the smaller id on ties. Both sides are sorted
-    together once; the neighbours below and above are carried to each left row, so no pairs are formed."""
+    together once; the neighbours below and above are carried to each left row, so no pairs are formed. Each key is cut at quantiles of the
+    values, which are the same for all keys; the edges of the pieces (one row each) are carried over empty ones."""
+    cuts = sorted(set(right.agg(F.percentile_approx(b, [i / CUTS for i in range(1, CUTS)], 1000).alias("q")).first()["q"] or []))
+    piece = F.lit(0)
+    for c in cuts:
+        piece = piece + F.when(F.col("__v") >= F.lit(c), 1).otherwise(0)
     l = left.select(*keys, F.col(a).alias("__v"), F.col(left_id).alias("__l"), F.lit(None).cast(right.schema[right_id].dataType).alias("__r"))  # noqa: E741
     r = right.groupBy(*keys, F.col(b).alias("__v")).agg(F.min(right_id).alias("__r")).withColumn("__l", F.lit(None).cast(left.schema[left_id].dataType))
-    both = l.unionByName(r)
+    both = l.unionByName(r).withColumn("__piece", F.coalesce(piece, F.lit(0)))
     at = F.when(F.col("__r").isNotNull(), F.struct("__v", "__r"))
-    below = F.last(at, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__v", F.col("__r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(at, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__v", F.col("__r").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing))
-    placed = both.withColumns({"__below": below, "__above": above}).where("__l is not null")
-    gap = lambda c: F.struct(F.abs(F.col("__v") - F.col(c)["__v"]).alias("gap"), F.col(c)["__r"].alias("match"))
-    best = F.array_min(F.filter(F.array(gap("__below"), gap("__above")), lambda x: x["match"].isNotNull()))
+    edges = both.groupBy(*keys, "__piece").agg(F.min(at).alias("__first"), F.max(F.when(F.col("__r").isNotNull(), F.struct("__v", "__r"))).alias("__last"))
+    order = Window.partitionBy(*keys).orderBy("__piece")
+    edges = edges.withColumns({"__before": F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "__after": F.first("__first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}).drop("__first", "__last")
+    below = F.last(at, ignorenulls=True).over(Window.partitionBy(*keys, "__piece").orderBy("__v", F.col("__r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(at, ignorenulls=True).over(Window.partitionBy(*keys, "__piece").orderBy("__v", F.col("__r").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing))
+    e = edges.withColumnsRenamed({k: f"__{k}" for k in [*keys, "__piece"]})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "__piece"]]
+    placed = both.withColumns({"__below": below, "__above": above}).where("__l is not null").join(e, on)
+    gap = lambda c, d: F.struct(F.abs(F.col("__v") - F.coalesce(c, d)["__v"]).alias("gap"), F.coalesce(c, d)["__r"].alias("match"))
+    best = F.array_min(F.filter(F.array(gap("__below", "__before"), gap("__above", "__after")), lambda x: x["match"].isNotNull() & x["gap"].isNotNull()))
     return placed.select(*keys, F.col("__l").alias(left_id), best["match"].alias("match"), best["gap"].alias("gap"))
 
 
@@ -63,12 +77,14 @@ def asof(left: DataFrame, right: DataFrame, keys: list, order: list, value: Colu
 
 def with_margin(left: DataFrame, right: DataFrame, keys: list, left_id: str, right_id: str, cost: Column, margin: float, most: float | None = None) -> DataFrame:
     """left_id and match: the nearest right row, null if the runner-up comes within ``margin`` of it (or it is beyond ``most``)."""
-    pairs = left.join(right, keys).select(left_id, F.struct(cost.alias("cost"), F.col(right_id).alias("id")).alias("c"))
-    two = pairs.groupBy(left_id).agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("best"))
-    good = (F.size("best") == 1) | (F.get("best", F.lit(1))["cost"] - F.get("best", F.lit(0))["cost"] >= margin)
+    pairs = left.join(right, keys).select(left_id, cost.alias("cost"), F.col(right_id).alias("id"))
+    two = pairs.withColumn("n", F.row_number().over(Window.partitionBy(left_id).orderBy("cost", "id"))).where("n <= 2")
+    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
+    two = two.groupBy(left_id).agg(at(1, "id").alias("id"), at(1, "cost").alias("first"), at(2, "cost").alias("second"))
+    good = F.col("second").isNull() | (F.col("second") - F.col("first") >= margin)
     if most is not None:
-        good = good & (F.get("best", F.lit(0))["cost"] <= most)
-    return two.select(left_id, F.when(good, F.get("best", F.lit(0))["id"]).alias("match"))
+        good = good & (F.col("first") <= most)
+    return two.select(left_id, F.when(good, F.col("id")).alias("match"))
 
 
 def rank_match(left: DataFrame, right: DataFrame, keys: list, left_order: list, right_order: list) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import aggregates as op
+from ..operators import vectors
 from ..registry import query, table
 
 
@@ -139,29 +140,33 @@ def a22(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.count_if(F.col("text").contains("?")).alias("questions"), F.count_if(F.length("text") < 80).alias("short"), F.max("turn").alias("last_turn"))
 
 
-def vector_distances(spark, d):
-    """Distances between prototype vectors (one in ten), each pair from both sides; they are a fixed model."""
-    p = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", "embedding")
-    q = p.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label"), F.col("embedding").alias("v"))
-    return p.join(F.broadcast(q), F.col("vec_id") != F.col("other")).select("vec_id", "label", "other", "other_label", fn.l2(F.col("embedding"), F.col("v")).alias("dist"))
+def each_class(spark, d):
+    """vec_id, label, class, dist, ref: each vector's nearest other one of every class."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("value"))
+    near = vectors.nearest_of_class(e.select("id", "value"), e.select(F.col("id").alias("ref"), F.col("label").alias("class"), "value"), apart=True)
+    return near.join(e.select("id", "label"), "id").select(F.col("id").alias("vec_id"), "label", "class", "dist", "ref")
 
 
-PAIRS = "p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), x AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS other_label, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id)"
+PAIRS = "p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS other_label, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id)"
+
+
+def same_and_wrong():
+    own = F.col("label") == F.col("class")
+    return F.min(F.when(own, F.col("dist"))), F.min(F.when(~own, F.col("dist")))
 
 
 @query("a23_leave_self_out", f"""WITH {PAIRS} SELECT vec_id, round(min(dist) FILTER (WHERE label = other_label), 5) AS same, round(min(dist) FILTER (WHERE label <> other_label), 5) AS wrong,
 arg_min(other_label, (dist, other)) = any_value(label) AS top1, round(min(dist) FILTER (WHERE label <> other_label) / min(dist) FILTER (WHERE label = other_label), 4) AS separation FROM x GROUP BY 1""")
 def a23(spark, d):
-    own = F.col("label") == F.col("other_label")
-    same, wrong = F.min(F.when(own, F.col("dist"))), F.min(F.when(~own, F.col("dist")))
-    return vector_distances(spark, d).groupBy("vec_id").agg(F.round(same, 5).alias("same"), F.round(wrong, 5).alias("wrong"), (F.min_by("other_label", F.struct("dist", "other")) == F.first("label")).alias("top1"), F.round(wrong / same, 4).alias("separation"))
+    same, wrong = same_and_wrong()
+    return each_class(spark, d).groupBy("vec_id").agg(F.round(same, 5).alias("same"), F.round(wrong, 5).alias("wrong"), (F.min_by("class", F.struct("dist", "ref")) == F.first("label")).alias("top1"), F.round(wrong / same, 4).alias("separation"))
 
 
 @query("a24_calibration", f"""WITH {PAIRS}, m AS (SELECT vec_id, label, min(dist) FILTER (WHERE label = other_label) AS same, min(dist) FILTER (WHERE label <> other_label) AS wrong FROM x GROUP BY 1, 2)
 SELECT label, round(quantile_cont(same, 0.95), 5) AS p95_same, round(max(same), 5) AS max_same, round(quantile_cont(wrong, 0.05), 5) AS p05_wrong, round(greatest(1.25 * max(same), 0.85 * quantile_cont(wrong, 0.05)), 5) AS threshold FROM m GROUP BY 1""")
 def a24(spark, d):
-    own = F.col("label") == F.col("other_label")
-    m = vector_distances(spark, d).groupBy("vec_id", "label").agg(F.min(F.when(own, F.col("dist"))).alias("same"), F.min(F.when(~own, F.col("dist"))).alias("wrong"))
+    same, wrong = same_and_wrong()
+    m = each_class(spark, d).groupBy("vec_id", "label").agg(same.alias("same"), wrong.alias("wrong"))
     p05 = F.percentile("wrong", 0.05)
     return m.groupBy("label").agg(F.round(F.percentile("same", 0.95), 5).alias("p95_same"), F.round(F.max("same"), 5).alias("max_same"), F.round(p05, 5).alias("p05_wrong"), F.round(F.greatest(1.25 * F.max("same"), 0.85 * p05), 5).alias("threshold"))
 
@@ -170,23 +175,23 @@ def a24(spark, d):
 def x_softmax(spark, d):
     from pyspark.sql import Window
 
-    m = vector_distances(spark, d).groupBy("vec_id", F.col("other_label").alias("class")).agg(F.min("dist").alias("dist"))
-    return m.select("vec_id", "class", F.round(fn.softmax_confidence(F.col("dist"), 0.7, Window.partitionBy("vec_id")), 6).alias("p"), F.round(1 / (1 + F.col("dist")), 6).alias("confidence"))
+    return each_class(spark, d).select("vec_id", "class", F.round(fn.softmax_confidence(F.col("dist"), 0.7, Window.partitionBy("vec_id")), 6).alias("p"), F.round(1 / (1 + F.col("dist")), 6).alias("confidence"))
 
 
 @query("d07_open_set", f"""WITH {PAIRS}, m AS (SELECT vec_id, other_label AS class, min(dist) AS dist FROM x GROUP BY 1, 2), r AS (SELECT vec_id, class, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, class) AS n, lead(dist) OVER (PARTITION BY vec_id ORDER BY dist, class) AS nxt FROM m)
 SELECT vec_id, CASE WHEN dist / nxt <= 0.95 AND (nxt - dist) / nxt >= 0.02 THEN class END AS accepted FROM r WHERE n = 1""")
 def d07(spark, d):
-    m = vector_distances(spark, d).groupBy("vec_id", F.col("other_label").alias("class")).agg(F.min("dist").alias("dist"))
-    two = m.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "class"))), 1, 2).alias("t"))
-    a, b = F.col("t")[0], F.col("t")[1]
-    return two.select("vec_id", F.when(fn.open_set(a["dist"], b["dist"], 0.95, 0.02), a["class"]).alias("accepted"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vec_id").orderBy("dist", "class")
+    two = each_class(spark, d).withColumns({"n": F.row_number().over(w), "nxt": F.lead("dist").over(w)}).where("n = 1")
+    return two.select("vec_id", F.when(fn.open_set(F.col("dist"), F.col("nxt"), 0.95, 0.02), F.col("class")).alias("accepted"))
 
 
 @query("d12_gallery", f"WITH {PAIRS} SELECT vec_id, other, place FROM (SELECT vec_id, other, row_number() OVER (PARTITION BY vec_id ORDER BY dist, other) AS place FROM x) WHERE place <= 3")
 def d12(spark, d):
-    top = vector_distances(spark, d).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, 3)["other"].alias("o"))
-    return top.select("vec_id", F.posexplode("o").alias("place", "other")).select("vec_id", "other", (F.col("place") + 1).cast("long").alias("place"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("value"))
+    return vectors.nearest_few(e, e.withColumnRenamed("id", "ref"), 3, apart=True).select(F.col("id").alias("vec_id"), F.col("ref").alias("other"), "place")
 
 
 BASIS = "[{'k': 0, 'b': list_transform(range(64), lambda i: CAST(CASE WHEN i % 2 = 0 THEN 0.125 ELSE -0.125 END AS DOUBLE))}, {'k': 1, 'b': list_transform(range(64), lambda i: CAST(CASE WHEN i < 32 THEN 0.125 ELSE -0.125 END AS DOUBLE))}]"
@@ -205,18 +210,14 @@ def d13(spark, d):
 
 
 @query("l06_filter_refine", """WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS k FROM embeddings),
-c AS (SELECT a.vec_id, b.vec_id AS ref, list_distance(a.v, b.v) AS dist, CASE WHEN bit_count(a.k | b.k) = 0 THEN 0 ELSE bit_count(a.k & b.k) / bit_count(a.k | b.k) END AS iou FROM m a, m b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0),
+c AS (SELECT a.vec_id, b.vec_id AS ref, list_distance(a.v, b.v) AS dist, CASE WHEN bit_count(a.k | b.k) = 0 THEN 0 ELSE bit_count(a.k & b.k) / bit_count(a.k | b.k) END AS iou FROM m a, m b WHERE a.vec_id <> b.vec_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY iou DESC, ref) AS n FROM c) SELECT vec_id, arg_min(ref, (dist, ref)) AS ref, round(min(dist), 5) AS dist FROM t WHERE n <= 5 GROUP BY 1""")
 def l06(spark, d):
-    """Cheap masks pick five finalists of the fixed references, exact distances only for those."""
-    e = table(spark, d, "embeddings").withColumn("mask", fn.sign_mask(F.col("embedding"), 62))
-    refs = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), F.col("mask").alias("rm"))
-    found = e.where("vec_id % 10 <> 0").select("vec_id", "mask").join(F.broadcast(refs), F.lit(True))
-    five = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-fn.mask_iou(F.col("mask"), F.col("rm"))).alias("s"), "ref"))), 1, 5)["ref"].alias("r"))
-    five = five.select("vec_id", F.explode("r").alias("ref"))
-    v = e.select("vec_id", "embedding")
-    proto = F.broadcast(e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("p")))
-    exact = five.join(v, "vec_id").join(proto, "ref").select("vec_id", "ref", fn.l2(F.col("embedding"), F.col("p")).alias("dist"))
+    """Cheap masks pick five finalists among all others, exact distances only for those."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    masks = e.select("id", fn.sign_mask(F.col("embedding"), 62).alias("value"))
+    five = vectors.nearest_few(masks, masks.withColumnRenamed("id", "ref"), 5, apart=True).select("id", "ref")
+    exact = five.join(e, "id").join(e.select(F.col("id").alias("ref"), F.col("embedding").alias("other")), "ref").select(F.col("id").alias("vec_id"), "ref", fn.l2(F.col("embedding"), F.col("other")).alias("dist"))
     return exact.groupBy("vec_id").agg(F.min_by("ref", F.struct("dist", "ref")).alias("ref"), F.round(F.min("dist"), 5).alias("dist"))
 
 
@@ -234,10 +235,10 @@ def d17(spark, d):
     return table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("signature")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.round(F.count("*") / (1 + F.max("p_size") - F.min("p_size")), 4).alias("score"))
 
 
-@query("i05_bfs", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey <= 300), r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT DISTINCT x.b, r.depth + 1 FROM r JOIN (SELECT p.b AS a, q.b AS b FROM e p JOIN e q ON p.a = q.a) x ON r.node = x.a WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+@query("i05_bfs", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem), r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT DISTINCT x.b, r.depth + 1 FROM r JOIN (SELECT p.b AS a, q.b AS b FROM e p JOIN e q ON p.a = q.a) x ON r.node = x.a WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def i05(spark, d):
     """Breadth first with a bound on depth; nodes seen before are not expanded again."""
-    e = table(spark, d, "lineitem").where("l_orderkey <= 300").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
     hop = e.join(e.select("o", F.col("s").alias("t")), "o").where("s <> t").select("s", "t").distinct()
     seen = spark.createDataFrame([(1, 0)], "node long, depth int")
     edge = seen

@@ -377,11 +377,11 @@ def s17(spark, d):
     return sidecar_rows(lines).drop("path")
 
 
-@query("s18_json_rows", "SELECT json_object('oOrderkey', o_orderkey, 'oOrderstatus', o_orderstatus) AS value FROM orders WHERE o_orderkey <= 100", value="VARCHAR")
+@query("s18_json_rows", "SELECT json_object('oOrderkey', o_orderkey, 'oOrderstatus', o_orderstatus) AS value FROM orders", value="VARCHAR")
 def s18(spark, d):
     from ..sources.text import to_json_rows
 
-    return to_json_rows(table(spark, d, "orders").where("o_orderkey <= 100").select("o_orderkey", "o_orderstatus"))
+    return to_json_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
 
 
 @query("s14_json_maps", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import scalar as fn
 from ..operators import joins as op
+from ..operators import vectors
 from ..registry import query, table
 
 
@@ -48,12 +49,12 @@ def rects(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey id", "l_linenumber n", "l_suppkey page", "l_quantity `left`", "l_quantity + 2 `right`", "l_discount * 100 top", "l_discount * 100 + 1 bottom")
 
 
-@query("j05_intersection_count", f"""WITH r AS ({RECTS}), a AS (SELECT * FROM r WHERE n = 1 AND page <= 20), b AS (SELECT * FROM r WHERE n = 2) SELECT a.id, count(DISTINCT b.id) AS blocks, count(DISTINCT b.id) = 1 AS unique_block
+@query("j05_intersection_count", f"""WITH r AS ({RECTS}), a AS (SELECT * FROM r WHERE n = 1), b AS (SELECT * FROM r WHERE n = 2) SELECT a.id, count(DISTINCT b.id) AS blocks, count(DISTINCT b.id) = 1 AS unique_block
 FROM a JOIN b ON a.page = b.page AND a."left" <= b."right" AND b."left" <= a."right" AND a.top <= b.bottom AND b.top <= a.bottom GROUP BY 1""")
 def j05(spark, d):
     """Rectangles that meet on one page, by binned intervals on x."""
     r = rects(spark, d)
-    met = op.interval_join(r.where("n = 1 and page <= 20"), r.where("n = 2"), ["page"], ("left", "right"), ("left", "right"), 4.0)
+    met = op.interval_join(r.where("n = 1"), r.where("n = 2"), ["page"], ("left", "right"), ("left", "right"), 4.0)
     met = met.where(geo.intersects(geo.Rect.of("l_"), geo.Rect.of("r_")))
     return met.groupBy(F.col("l_id").alias("id")).agg(F.count_distinct("r_id").alias("blocks")).withColumn("unique_block", F.col("blocks") == 1)
 
@@ -263,20 +264,21 @@ def j33(spark, d):
     return m.where("in_l and in_r").select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"))
 
 
-def prototypes(spark, d):
-    """One row in ten stands for its class."""
-    return table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), F.col("label").alias("class"), F.col("embedding").alias("proto"))
-
-
-@query("j34_nearest_class", """WITH r AS (SELECT vec_id AS ref, label AS class, embedding::DOUBLE[] AS p FROM embeddings WHERE vec_id % 10 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0),
-m AS (SELECT vec_id, class, min(list_distance(v, p)) AS dist FROM e, r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, class) AS n, lead(dist) OVER (PARTITION BY vec_id ORDER BY dist, class) AS nxt FROM m)
+@query("j34_nearest_class", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT a.vec_id, b.label AS class, min(list_distance(a.v, b.v)) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, class) AS n, lead(dist) OVER (PARTITION BY vec_id ORDER BY dist, class) AS nxt FROM m)
 SELECT vec_id, class, n AS place, round(dist, 6) AS dist, CASE WHEN n = 1 THEN greatest(dist / 1.5, dist / nxt / 0.98) <= 1 END AS accepted FROM k WHERE n <= 5""")
 def j34(spark, d):
-    """Nearest prototype per class, five best classes, open-set decision. The prototypes are a fixed model and go to every task."""
-    e = table(spark, d, "embeddings").where("vec_id % 10 <> 0").select("vec_id", "embedding")
-    met = e.join(F.broadcast(prototypes(spark, d)), F.lit(True)).select("vec_id", "class", fn.l2(F.col("embedding"), F.col("proto")).alias("dist"))
-    best = met.groupBy("vec_id", "class").agg(F.min("dist").alias("dist"))
-    w = Window.partitionBy("vec_id").orderBy("dist", "class")
+    """The nearest other vector of each class, five best classes, open-set decision; all vectors against all."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"), F.col("embedding").alias("value"))
+    best = vectors.nearest_of_class(e.select("id", "value"), e.withColumnRenamed("id", "ref"), apart=True)
+    w = Window.partitionBy("id").orderBy("dist", "class")
     k = best.withColumns({"place": F.row_number().over(w).cast("long"), "nxt": F.lead("dist").over(w)}).where("place <= 5")
     accepted = F.when(F.col("place") == 1, F.greatest(F.col("dist") / 1.5, F.col("dist") / F.col("nxt") / 0.98) <= 1)
-    return k.select("vec_id", "class", "place", F.round("dist", 6).alias("dist"), accepted.alias("accepted"))
+    return k.select(F.col("id").alias("vec_id"), "class", "place", F.round("dist", 6).alias("dist"), accepted.alias("accepted"))
+
+
+@query("j27_class_of_symbol", "SELECT l_orderkey, l_linenumber, l_partkey, p_brand AS class FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
+def j27(spark, d):
+    """The class of each symbol by its id; symbols without one are dropped."""
+    known = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("class"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(known, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "class")

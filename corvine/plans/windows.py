@@ -79,11 +79,11 @@ def w07(spark, d):
     return rows.agg(F.count("*").alias("windows"), F.count_if((F.greatest(*cols) <= 8 * mean) & (F.least(*cols) >= 0.05 * mean)).alias("regular"))
 
 
-@query("w08_gap_clusters", """WITH v AS (SELECT l_suppkey, l_extendedprice AS x, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey <= 20), f AS (SELECT *, CASE WHEN x - lag(x) OVER w > 500 THEN 1 ELSE 0 END AS o FROM v WINDOW w AS (PARTITION BY l_suppkey ORDER BY x, l_orderkey, l_linenumber)),
+@query("w08_gap_clusters", """WITH v AS (SELECT l_suppkey, l_extendedprice AS x, l_orderkey, l_linenumber FROM lineitem), f AS (SELECT *, CASE WHEN x - lag(x) OVER w > 500 THEN 1 ELSE 0 END AS o FROM v WINDOW w AS (PARTITION BY l_suppkey ORDER BY x, l_orderkey, l_linenumber)),
 c AS (SELECT *, sum(o) OVER (PARTITION BY l_suppkey ORDER BY x, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS cl FROM f) SELECT l_suppkey, CAST(cl AS BIGINT) AS cluster, count(*) AS n, min(x) AS low, max(x) AS high FROM c GROUP BY 1, 2""")
 def w08(spark, d):
     """One-dimensional clusters by gap; the running-mean kind is in operators.cluster."""
-    v = table(spark, d, "lineitem").where("l_suppkey <= 20")
+    v = table(spark, d, "lineitem")
     order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
     opens = F.col("l_extendedprice") - F.lag("l_extendedprice").over(op.within(["l_suppkey"], order)) > 500
     c = op.number_runs(v.withColumn("opens", opens), ["l_suppkey"], order, F.col("opens"), "cluster")

@@ -104,3 +104,42 @@ def test_labels_spread_to_the_end_of_a_long_chain(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(51)], "a long, b long")
     got = iterate.spread_labels(nodes.coalesce(1), edges.coalesce(1)).collect()
     assert {(r["label"], r["state"]) for r in got if r["node"] > 0} == {(7, "spread")}
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch, block):
+    import math
+    import random
+
+    from corvine.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = random.Random(block)
+    data = [(i, f"c{i % 3}", [float(rng.randrange(4)) for _ in range(3)], rng.randrange(64)) for i in range(23)]
+    table = spark.createDataFrame(data, "id long, class string, value array<double>, mask long")
+    refs = table.withColumnRenamed("id", "ref")
+    far = lambda a, b: math.dist(a[2], b[2])
+    want = {(a[0], c): min((far(a, b), b[0]) for b in data if b[1] == c and b[0] != a[0]) for a in data for c in ("c0", "c1", "c2")}
+    got = vectors.nearest_of_class(table.select("id", "value"), refs.select("ref", "class", "value"), apart=True).collect()
+    assert {(r["id"], r["class"]): (pytest.approx(r["dist"]), r["ref"]) for r in got} == want
+    less = lambda a, b: 1 - (bin(a[3] & b[3]).count("1") / bin(a[3] | b[3]).count("1") if a[3] | b[3] else 0)
+    few = vectors.nearest_few(table.select("id", F.col("mask").alias("value")), refs.select("ref", F.col("mask").alias("value")), 4).collect()
+    assert {(r["id"], r["place"]): r["ref"] for r in few} == {(a[0], k): b for a in data for k, (_, b) in enumerate(sorted((less(a, b), b[0]) for b in data)[:4], 1)}
+    none = vectors.nearest_few(table.select("id", "value").where("false"), refs.select("ref", "value"), 2)
+    assert none.count() == 0
+
+
+def test_nearest_value_of_one_key_is_cut(spark):
+    import random
+
+    from corvine.operators import joins
+
+    rng = random.Random(2)
+    left = [(1 if i % 5 else i % 3, i, rng.choice([float(rng.randrange(300)), None]) if i % 11 == 0 else float(rng.randrange(300))) for i in range(400)]
+    right = [(1 if i % 7 else i % 4, i, float(rng.randrange(100, 200))) for i in range(90)]
+    got = joins.nearest_value(spark.createDataFrame(left, "k int, l long, a double"), spark.createDataFrame(right, "k int, r long, b double"), ["k"], "a", "b", "l", "r").collect()
+    want = {}
+    for k, i, a in left:
+        near = [(abs(a - b), r) for j, r, b in right if j == k and a is not None]
+        want[i] = min(near)[::-1] if near else (None, None)
+    assert len(got) == len(left) and {r["l"]: (r["match"], r["gap"]) for r in got} == want
