@@ -8,16 +8,16 @@ Krichevsky-Trofimov estimate, and P_w(s) = 1/2 P_e(s) + 1/2 prod P_w(children of
 trees as learned: at each bit the estimates along the context path are mixed by the posterior of stopping there. The
 score is the sum of log10 probabilities; per byte it is a code length (``bits_per_byte``).
 
-Scale: every n-gram of the corpus is counted and kept. Texts are dealt into blocks of about BLOCK bytes by their place in
-the input. Each task packs the distinct n-grams of a block with their counts into one row for each bucket; a bucket
-has whole subtrees (all n-grams whose last ROOT context bytes are the same), so it grows them alone. What
-the trees above need, sums for at most 256^(ROOT - 1) contexts, goes to the driver and is broadcast. Then the buckets score all
-n-grams that any block has asked for, and the answers meet the texts block by block. A task holds a block, or a bucket and at least one subtree.
-Words with a share of at least WORD_SHARE (at most 1 / WORD_SHARE of them) are looked up in a
-broadcast table for the base score; all other words of a document go through a join on the word, which spreads, as no word in it is frequent.
+Scale: every n-gram and every word of the corpus is counted and kept. Texts are dealt into blocks of about BLOCK bytes by their place in
+the input. Each task packs the distinct n-grams of a block with their counts into one row for each bucket, and its words likewise; a bucket
+of n-grams has whole subtrees (all n-grams whose last ROOT context bytes are the same), so it grows them alone. What
+the trees above need, sums for at most 256^(ROOT - 1) contexts, goes to the driver and is broadcast. Then the buckets answer for all
+n-grams and words that any block has asked for, and the answers meet the texts block by block. A task holds a block, or a bucket and at least one subtree;
+buckets are as many as the input needs, and each block asks for an n-gram or word once or a few times, however often it occurs.
 
 Defined results: a null text is an empty one (its end alone); a null doc_id is neither held out nor learned from; rows
-repeat as they repeat; without training rows N = 0 and V = 0 and every bit costs one bit.
+repeat as they repeat; without training rows N = 0 and V = 0 and every bit costs one bit; texts of any length are read whole (one longer than a block is a block of
+its own); other columns are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,41 +37,17 @@ from .common import bound_batches, id_bucket, materialize, table
 
 DEPTH = 6
 ROOT = 3
-WORD_SHARE = 2.0**-20
 END = b"\n"
-FLUSH = 200_000
 BLOCK = 64 << 20
-AT_ONCE, HELD = 1 << 20, 1 << 22
+#: Bytes coded at once, and n-grams and words of a block held before they are told.
+AT_ONCE, HELD, HELD_WORDS = 1 << 20, 1 << 22, 1_000_000
+GRAMS, WORDS = 0, 1
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over docs (text, learn): n counts the rows to learn from, so 0 marks words of the others."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        other: set = set()
-
-        def out():
-            rest = [w for w in other if w not in seen]
-            words = [*seen, *rest]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([*seen.values(), *[0] * len(rest)], pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t, learn in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                (seen if learn else other).update(words_of(t.as_py()))
-                if len(seen) + len(other) > FLUSH:
-                    yield out()
-                    seen.clear()
-                    other.clear()
-        yield out()
-
-    return docs.select("text", "learn").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def streams_of(text: str | None) -> list[bytes]:
     """What is coded of a text; each stream begins after blanks."""
     return [b" ".join([*words_of(text), END])]
@@ -102,13 +77,42 @@ def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return coded([w if w == END else w + b" " for w in words], depth)
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of their differences."""
-    return zlib.compress(np.diff(x, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Whole numbers, byte by byte."""
+    return squeeze(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+    return np.ascontiguousarray(np.frombuffer(expand(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def turned(code: np.ndarray, depth: int, root: int) -> np.ndarray:
+    """n-grams with the last ``root`` context bytes in front of the others, so that a subtree's are neighbours in order."""
+    low, rest = (1 << 8 * root) - 1, 8 * (depth - root)
+    return ((code >> 8 & low) << rest | code >> 8 + 8 * root) << 8 | code & 255
+
+
+def turned_back(x: np.ndarray, depth: int, root: int) -> np.ndarray:
+    return turned(x, depth, depth - root)
+
+
+def pack_grams(code: np.ndarray, depth: int, root: int) -> tuple[bytes, np.ndarray]:
+    """The n-grams in turned order, as differences, and that order."""
+    x = turned(code, depth, root)
+    order = np.argsort(x)
+    return pack(np.diff(x[order], prepend=0)), order
+
+
+def unpack_grams(x: bytes, depth: int, root: int) -> np.ndarray:
+    return turned_back(np.cumsum(unpack(x)), depth, root)
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +129,27 @@ def bucket_of(code: np.ndarray, buckets: int, root: int) -> np.ndarray:
     return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """bucket, block, grams, n (packed): the n-grams in the texts of a block, and how often they are in those learned from. docs: text, learn, block."""
+def unpack_words(x: bytes) -> list[bytes]:
+    return expand(x).split(b" ")
+
+
+REQUEST = "kind int, bucket int, block long, items binary, n binary, total long"
+
+
+def ask(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """The n-grams and words in the texts of a block, how often they are in those learned from (packed), and their sum. docs: text, learn, block."""
     root = min(ROOT, depth)
+    arrow = to_arrow_schema(T._parse_datatype_string(REQUEST))
 
     def run(batches):
         block, parts, texts, size = None, [], ([], []), 0
+        learned: Counter = Counter()
+        others: set[bytes] = set()
+
+        def rows(kind: int, told: list[tuple]):
+            for i in range(0, len(told), 50):
+                where, items, n, total = zip(*told[i : i + 50], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * len(where), where, [block] * len(where), items, n, total), arrow, strict=True)], schema=arrow)
 
         def count():
             for learn in (0, 1):
@@ -141,7 +160,7 @@ def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             if sum(len(x) for x, _ in parts) > HELD:
                 parts[:] = [added(parts)]
 
-        def out():
+        def grams_out():
             count()
             if not parts:
                 return
@@ -151,24 +170,42 @@ def count_grams(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             order = np.argsort(where, kind="stable")
             code, n, where = code[order], n[order], where[order]
             cuts = [*np.flatnonzero(np.diff(where, prepend=-1.0)), len(where)]
-            for i in range(0, len(cuts) - 1, 50):
-                some = list(zip(cuts[i : i + 50], cuts[i + 1 : i + 51], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array([int(where[x]) for x, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(code[x:y]) for x, y in some], pa.binary()), pa.array([pack(n[x:y]) for x, y in some], pa.binary())], names=["bucket", "block", "grams", "n"])
+            told = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                items, order = pack_grams(code[x:y], depth, root)
+                told.append((int(where[x]), items, pack(n[x:y][order]), 0))
+            yield from rows(GRAMS, told)
+
+        def words_out():
+            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+            for some in (learned, others - learned.keys()):
+                for w in some:
+                    dealt[zlib.crc32(w) % buckets].append(w)
+            dealt = [sorted(some) for some in dealt]
+            n = [[learned[w] for w in some] for some in dealt]
+            yield from rows(WORDS, [(k, squeeze(b" ".join(some)), pack(np.array(c)), sum(c)) for k, (some, c) in enumerate(zip(dealt, n, strict=True)) if some])
+            learned.clear()
+            others.clear()
 
         for b in batches:
             for t, learn, at in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if at != block or sum(len(x) for x, _ in parts) > HELD:
-                    yield from out()
-                    block = at
-                for x in streams_of(t.as_py()):
+                    yield from grams_out()
+                if at != block or len(learned) + len(others) > HELD_WORDS:
+                    yield from words_out()
+                block = at
+                t = t.as_py()
+                (learned if learn else others).update(words_of(t))
+                for x in streams_of(t):
                     texts[bool(learn)].append(x)
                     size += len(x)
                 if size > AT_ONCE:
                     count()
                     size = 0
-        yield from out()
+        yield from grams_out()
+        yield from words_out()
 
-    return docs.select("text", "learn", "block").mapInArrow(run, "bucket int, block long, grams binary, n binary")
+    return docs.select("text", "learn", "block").mapInArrow(run, REQUEST)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -270,127 +307,147 @@ def score_words(levels: list[dict], words: list[bytes], depth: int) -> np.ndarra
     return np.bincount(of, weights=gram_log10(levels, kinds)[back], minlength=len(words))
 
 
-def top_trees(requests: DataFrame, depth: int) -> list[dict]:
-    """The trees above depth ROOT."""
+def merged(t: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]:
+    """The words that each row of a bucket asks for, and the counts of all."""
+    asked, known = [], {}
+    get = known.get
+    for x, y in zip(t["items"], t["n"], strict=True):
+        words = unpack_words(x.as_py())
+        for w, n in zip(words, unpack(y.as_py()).tolist(), strict=True):
+            known[w] = get(w, 0) + n
+        asked.append(words)
+    return asked, known
+
+
+def top_trees(requests: DataFrame, depth: int) -> tuple[list[dict], int]:
+    """The trees above depth ROOT, and the number of distinct words that were learned."""
     root = min(ROOT, depth)
 
     def run(t: pa.Table) -> pa.Table:
-        code, n = added([(unpack(x), unpack(y)) for x, y in zip(t["grams"].to_pylist(), t["n"].to_pylist(), strict=True)])
+        if t["kind"][0].as_py() == WORDS:
+            return pa.table({"key": [-1], "a": [float(sum(n > 0 for n in merged(t)[1].values()))], "b": [0.0], "split": [0.0]})
+        code, n = added([(unpack_grams(x, depth, root), unpack(y)) for x, y in zip(t["items"].to_pylist(), t["n"].to_pylist(), strict=True)])
         found = [above(levels[0], root - 1) for _, levels in subtrees(code, n, depth, root)]
         return pa.table({k: np.concatenate(x) for k, x in zip(("key", "a", "b", "split"), zip(*found, strict=True), strict=True)})
 
-    sums = requests.groupBy("bucket").applyInArrow(run, "key long, a double, b double, split double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("split").alias("split")).toPandas().sort_values("key")
+    sums = requests.groupBy("kind", "bucket").applyInArrow(run, "key long, a double, b double, split double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("split").alias("split")).toPandas().sort_values("key")
+    distinct = int(sums["a"][sums["key"] < 0].sum())
+    sums = sums[sums["key"] >= 0]
     levels = [closed(*[sums[k].to_numpy(t) for k, t in (("key", np.int64), ("a", float), ("b", float), ("split", float))])]
     for d in range(root - 2, -1, -1):
         levels.insert(0, closed(*above(levels[0], d)))
-    return slim(levels)
+    return slim(levels), distinct
 
 
-def answers(requests: DataFrame, depth: int) -> DataFrame:
-    """block, grams, scores (packed grams, 32-bit floats): log10 P(byte | context) of all n-grams of the blocks."""
+def answers(requests: DataFrame, trees: list[dict], depth: int) -> DataFrame:
+    """kind, block, items, found: log10 P(byte | context) of all n-grams of the blocks (32-bit floats), and the counts of all words, packed."""
     root = min(ROOT, depth)
-    held = requests.sparkSession.sparkContext.broadcast(top_trees(requests, depth))
+    held = requests.sparkSession.sparkContext.broadcast(trees)
 
     def run(t: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in t["grams"].to_pylist()]
-        code, n = added([(x, unpack(y)) for x, y in zip(asked, t["n"].to_pylist(), strict=True)])
-        score = np.zeros(len(code), np.float32)
-        for some, levels in subtrees(code, n, depth, root):
-            score[some] = gram_log10([*held.value, *slim(levels)], code[some])
-        return pa.table([t["block"], t["grams"], pa.array([score[np.searchsorted(code, x)].tobytes() for x in asked], pa.binary())], names=["block", "grams", "scores"])
+        if t["kind"][0].as_py() == WORDS:
+            asked, known = merged(t)
+            found = [pack(np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for words in asked]
+        else:
+            asked = [unpack_grams(x, depth, root) for x in t["items"].to_pylist()]
+            code, n = added([(x, unpack(y)) for x, y in zip(asked, t["n"].to_pylist(), strict=True)])
+            score = np.zeros(len(code), np.float32)
+            for some, levels in subtrees(code, n, depth, root):
+                score[some] = gram_log10([*held.value, *slim(levels)], code[some])
+            found = [squeeze(score[np.searchsorted(code, x)].view(np.uint8).reshape(-1, 4).T.tobytes()) for x in asked]
+        return pa.table([t["kind"], t["block"], t["items"], pa.array(found, pa.binary())], names=["kind", "block", "items", "found"])
+
+    return requests.select("kind", "bucket", "block", "items", "n").groupBy("kind", "bucket").applyInArrow(run, "kind int, block long, items binary, found binary")
+
+
+def unpack_floats(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(x), np.uint8).reshape(4, -1).T).view(np.float32).ravel()
 
-    return requests.select("bucket", "block", "grams", "n").groupBy("bucket").applyInArrow(run, "block long, grams binary, scores binary")
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """block, rows: the rows of a block (its other columns, compressed), some at a time."""
 
-def model_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """block, row, score. docs: block, row, text, learn."""
+    def run(batches):
+        for b in batches:
+            block = b.column(0).to_numpy()
+            cuts = [*np.flatnonzero(np.diff(block, prepend=block[:1] - 1)), len(block)]
+            rows = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema(list(b.schema)[1:]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([c.slice(x, y - x) for c in b.columns[1:]], schema=pa.schema(list(b.schema)[1:])))
+                rows.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["block", "rows"])
+
+    return texts.mapInArrow(run, "block long, rows binary")
+
+
+def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFrame:
+    """The columns ``keep`` of docs (text, learn, block) with n_tokens, n_known, train_tokens, base_score, score and n_bytes (of what is coded)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    places = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    requests = materialize(count_grams(docs, depth, max(64, places >> 23)), "ctw-grams")
+    root = min(ROOT, depth)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learn").alias("ends")).first()
+    ends = size["ends"]
+    requests = materialize(ask(docs, depth, max(64, (size["bytes"] or 0) >> 23)), "ctw-requests")
+    trees, distinct = top_trees(requests, depth)
+    tokens = (requests.agg(F.sum("total")).first()[0] or 0) + ends
+    least = math.log10(tokens + 0.5 * (distinct + (ends > 0) + 1))
+    made = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("n_bytes", T.LongType())]
+    texts = docs.select("block", "text", *[F.col(c).alias(f"__{c}") for c in keep])
+    schema = T.StructType([*texts.schema.fields[2:], *[T.StructField(n, t) for n, t in made]])
+    arrow = to_arrow_schema(schema)
+
+    def words_known(found: list[tuple]) -> dict[bytes, float]:
+        """log10(count + 0.5) of the words that were learned."""
+        known: dict[bytes, float] = {}
+        for items, n in found:
+            n = unpack(n)
+            known.update((w, x) for w, k, x in zip(unpack_words(items), n.tolist(), np.log10(n + 0.5).tolist(), strict=True) if k)
+        return known
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        known = [(unpack(x), np.frombuffer(y, np.float32)) for x, y in zip(found["grams"].to_pylist(), found["scores"].to_pylist(), strict=True)]
-        code, score = (np.concatenate(x) for x in zip(*known, strict=True))
+        told: dict[int, list[tuple]] = {GRAMS: [], WORDS: []}
+        for kind, items, x in zip(found["kind"].to_pylist(), found["items"].to_pylist(), found["found"].to_pylist(), strict=True):
+            told[kind].append((items, x))
+        code, score = (np.concatenate(x) for x in zip(*[(unpack_grams(x, depth, root), unpack_floats(y)) for x, y in told[GRAMS]], strict=True))
         code, first = np.unique(code, return_index=True)
         score = score[first].astype(float)
-        total, at, some, of, size = np.zeros(texts.num_rows), 0, [], [], 0
-        for i, t in enumerate(texts["text"]):
-            mine = streams_of(t.as_py())
-            some += mine
-            of += [i] * len(mine)
-            size += sum(map(len, mine))
-            if size > AT_ONCE or i == texts.num_rows - 1:
-                asked, stream = coded(some, depth)
-                order = np.argsort(asked)
-                asked, row = asked[order], np.array(of)[stream[order]]
-                first = np.flatnonzero(np.diff(asked, prepend=-1))
-                place = np.searchsorted(code, asked[first])
-                assert (code[np.minimum(place, len(code) - 1)] == asked[first]).all(), "an n-gram has no answer"
-                total += np.bincount(row, weights=np.repeat(score[place], np.diff(first, append=len(asked))), minlength=len(total))
-                some, of, size = [], [], 0
-        return pa.table([texts["block"], texts["row"], pa.array(total)], names=["block", "row", "score"])
-
-    return docs.select("block", "row", "text").groupBy("block").cogroup(answers(requests, depth).groupBy("block")).applyInArrow(run, "block long, row long, score double")
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """The table of all words (word, n, base) and the totals. docs: text, learn."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    ends = docs.where("learn").count()
-    vocabulary = materialize(count_words(docs), "ctw-words")
-    found = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    n, v = (found["n"] or 0) + ends, found["v"] + (ends > 0)
-    base = F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    return vocabulary.select("word", "n", base.alias("base")), {"train_tokens": n, "end": (ends > 0, math.log10((ends + 0.5) / (n + 0.5 * (v + 1))))}
-
-
-def score_texts(docs: DataFrame, words: DataFrame, totals: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs with n_tokens, n_known, base_score and n_bytes (of the coded tokens)."""
-    spark = docs.sparkSession
-    often = words.where(F.col("n") >= totals["train_tokens"] * WORD_SHARE).where("n > 0").toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(often["word"].map(bytes), often["base"], strict=True)))
-    end_known, end_base = totals["end"]
-    work = docs.select(*keep, F.col("text").alias("__text"))
-    fields = [*[T.StructField(f.name, f.dataType) for f in work.schema.fields[:-1]], *[T.StructField(x, T.LongType()) for x in ("__row", "__times", "n_tokens", "n_known", "n_bytes")], T.StructField("__word", T.BinaryType()), T.StructField("base_score", T.DoubleType())]
-    schema = T.StructType(fields)
-    arrow = to_arrow_schema(schema)
+        known = words_known(told[WORDS])
+
+        def sums(streams: list[bytes], n: int) -> np.ndarray:
+            asked, stream = coded(streams, depth)
+            order = np.argsort(asked)
+            asked = asked[order]
+            first = np.flatnonzero(np.diff(asked, prepend=-1))
+            place = np.searchsorted(code, asked[first])
+            assert (code[np.minimum(place, len(code) - 1)] == asked[first]).all(), "an n-gram has no answer"
+            return np.bincount(stream[order], weights=np.repeat(score[place], np.diff(first, append=len(asked))), minlength=n)
+
+        out = []
+        for packed in texts["rows"]:
+            rows = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+            counts, base, total, some, size = [], [], [], [], 0
+            for t in rows["text"]:
+                t = t.as_py()
+                words = words_of(t)
+                hits = [known[w] for w in words if w in known]
+                (stream,) = streams_of(t)
+                counts.append((len(words) + 1, len(hits) + (ends > 0), len(stream)))
+                base.append(sum(hits) + math.log10(0.5) * (len(words) - len(hits)) + math.log10(ends + 0.5) - (len(words) + 1) * least)
+                some.append(stream)
+                size += len(stream)
+                if size > AT_ONCE:
+                    total.append(sums(some, len(some)))
+                    some, size = [], 0
+            if some:
+                total.append(sums(some, len(some)))
+            tokens_, known_, bytes_ = np.array(counts, np.int64).T
+            out.append(pa.Table.from_arrays([*rows.columns[1:], *[pa.array(x) for x in (tokens_, known_, np.array(base), np.concatenate(total), bytes_)]], schema=arrow))
+        return pa.concat_tables(out)
 
-    def run(batches):
-        get, row = known.value.get, TaskContext.get().partitionId() << 40
-        for b in batches:
-            kept = b.columns[:-1]
-            for i in range(0, b.num_rows, 500):
-                at, ids, times, tokens, hits, sizes, names, base = ([] for _ in range(8))
-                for j in range(i, min(i + 500, b.num_rows)):
-                    row += 1
-                    parts = words_of(b.column(len(kept))[j].as_py())
-                    x, k = end_base, int(end_known)
-                    for w, m in Counter(parts).items():
-                        if hit := get(w):
-                            x += m * hit
-                            k += m
-                        else:
-                            at.append(None)
-                            ids.append(row)
-                            times.append(m)
-                            names.append(w)
-                            tokens.append(0), hits.append(0), sizes.append(0), base.append(0.0)
-                    at.append(j)
-                    ids.append(row)
-                    times.append(0)
-                    names.append(b" %d" % row)  # no word has a blank: meets nothing, and these rows spread
-                    tokens.append(len(parts) + 1), hits.append(k), sizes.append(sum(map(len, parts)) + len(parts) + 1), base.append(x)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in kept], *[pa.array(x, pa.int64()) for x in (ids, times, tokens, hits, sizes)], pa.array(names, pa.binary()), pa.array(base)], schema=arrow)
-
-    rows = work.mapInArrow(run, schema)
-    table_ = words.where(F.col("n") < totals["train_tokens"] * WORD_SHARE).select("word", "n", F.col("base").alias("__base"))
-    met = rows.join(table_, F.col("__word") == F.col("word"), "left")
-    times = F.col("__times")
-    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, times).otherwise(0)).alias("n_known"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("base_score") + F.coalesce(times * F.col("__base"), F.lit(0.0))).alias("base_score")]
-    return met.groupBy("__row").agg(*[F.max(c).alias(c) for c in keep], *sums).drop("__row")
+    scored = packed_texts(texts).groupBy("block").cogroup(answers(requests, trees, depth).groupBy("block")).applyInArrow(run, schema)
+    return scored.select(*[F.col(f"__{c}").alias(c) for c in keep], "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 
 def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,10 +455,7 @@ def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = table(spark, sf_dir, "documents")
     found = read.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     rows = max(1, BLOCK * found["n"] // max(1, found["bytes"] or 0)) if found["n"] else 1
-    row = F.col("_metadata.row_index")
-    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(row / rows))
-    docs = read.select("doc_id", "text", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.coalesce(rest != 1, F.lit(False)).alias("learn"), block.alias("block"), row.alias("row"))
-    words, totals = train(docs)
-    based = materialize(score_texts(docs, words, totals, ["doc_id", "held_out", "block", "row"]), "ctw-base")
-    scored = based.join(model_scores(docs), ["block", "row"])
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
+    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    docs = read.select("doc_id", "text", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.coalesce(rest != 1, F.lit(False)).alias("learn"), block.alias("block"))
+    scored = score_texts(docs, ["doc_id", "held_out"])
+    return scored.withColumn("bits_per_byte", F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).drop("n_bytes")
