@@ -16,13 +16,6 @@ def staves(spark):
     return rows(spark, "page string, staff int, left double, right double, centre double, sp double", ("p", 1, 0.0, 600.0, 100.0, 10.0), ("p", 2, 0.0, 600.0, 220.0, 10.0))
 
 
-@query("l05_vertical_edges", "SELECT 1 AS id, 1 AS n")
-def l05(spark, d):
-    s = rows(spark, "page string, id int, n int, x1 double, y1 double, x2 double, y2 double, left double, right double", ("p", 1, 1, 50.0, 0.0, 50.5, 40.0, 50.0, 80.0), ("p", 1, 2, 65.0, 0.0, 65.0, 40.0, 50.0, 80.0), ("p", 1, 3, 50.2, 1.0, 50.4, 41.0, 50.0, 80.0), ("p", 1, 4, 80.0, 0.0, 80.0, 40.0, 50.0, 80.0))
-    known = rows(spark, "page string, x double, top double, bottom double", ("p", 80.5, 1.0, 40.0))
-    return op.vertical_edges(s, known, 10.0).select("id", "n")
-
-
 @query("l07_flip_overlap", """SELECT vec_id, round(CASE WHEN bit_count(a | b) = 0 THEN 0 ELSE bit_count(a & b) / bit_count(a | b) END, 6) <= 1 AS ok FROM (SELECT vec_id, vec_id AS a, vec_id + 1 AS b FROM embeddings)""")
 def l07(spark, d):
     """A mask overlaps its own flips wholly."""
@@ -31,73 +24,9 @@ def l07(spark, d):
     return e.select("vec_id", (whole == 1).alias("ok") | ((F.col("vec_id") == 0) & (whole == 0)).alias("ok")).toDF("vec_id", "ok")
 
 
-@query("l08_correct_kinds", "SELECT * FROM (VALUES (1, 'half'), (2, 'grace-black'), (3, 'black'), (4, 'digit-3'), (5, 'rest')) t(id, kind)")
-def l08(spark, d):
-    s = rows(spark, "id int, kind string, hollow boolean, scale double, filled boolean, has_stem boolean, in_meter_slot boolean, looks_like_three boolean", (1, "black", True, 1.0, False, True, False, False), (2, "unknown", False, 0.6, True, True, False, False), (3, "unknown", False, 1.0, True, True, False, False), (4, "unknown", False, 1.0, False, False, True, True), (5, "rest", True, 1.0, True, True, False, False))
-    return op.correct_kinds(s).select("id", "kind")
-
-
-@query("l10_recover_clefs", "SELECT * FROM (VALUES (2, 11, 'clef-bass')) t(staff, id, kind)")
-def l10(spark, d):
-    events = rows(spark, "page string, staff int, kind string", ("p", 1, "clef-treble"))
-    c = rows(spark, "page string, id int, x double, y double, kind string, score double", ("p", 10, 5.0, 100.0, "clef-bass", 0.9), ("p", 11, 5.0, 220.0, "clef-bass", 0.5), ("p", 12, 6.0, 220.0, "clef-treble", 0.9), ("p", 13, 46.0, 220.0, "clef-treble", 0.9))
-    return op.recover_clefs(staves(spark), events, c).select("staff", "id", "kind")
-
-
-@query("l11_painted_positions", "SELECT * FROM (VALUES (1, 12.0), (2, 90.0)) t(id, x)", x="DOUBLE")
-def l11(spark, d):
-    e = rows(spark, "page string, id int, source string, x double, y double", ("p", 1, "g", 10.0, 10.0), ("p", 2, "g", 90.0, 10.0))
-    i = rows(spark, "page string, id int, source string, x double, y double", ("p", 5, "g", 12.0, 11.0), ("p", 6, "g", 15.0, 10.0), ("p", 7, "h", 90.5, 10.0), ("p", 8, "g", 107.0, 10.0))
-    return op.painted_positions(e, i, 10.0).select("id", "x")
-
-
-@query("l12_quarter_rests", "SELECT 1 AS id")
-def l12(spark, d):
-    c = rows(spark, "page string, id int, points_n int, left double, top double, right double, bottom double", ("p", 1, 300, 100.0, 70.0, 110.0, 95.0), ("p", 2, 100, 140.0, 70.0, 150.0, 95.0), ("p", 3, 300, 200.0, 70.0, 210.0, 95.0), ("p", 4, 300, 300.0, 70.0, 330.0, 95.0))
-    known = rows(spark, "page string, staff int, x double", ("p", 1, 207.0))
-    return op.quarter_rests(c, staves(spark), known).select("id")
-
-
 LINES = "page string, id int, x double, top double, bottom double"
 
 
-@query("l13_long_stems", "SELECT * FROM (VALUES (1, 21, 'up'), (2, 22, 'down')) t(id, line, direction)")
-def l13(spark, d):
-    h = rows(spark, "page string, id int, x double, y double, stem_x double", ("p", 1, 10.0, 100.0, None), ("p", 2, 60.0, 30.0, None), ("p", 3, 10.0, 100.0, 15.0), ("p", 4, 90.0, 50.0, None))
-    l = rows(spark, LINES, ("p", 21, 15.0, 20.0, 98.0), ("p", 22, 55.0, 28.0, 110.0), ("p", 23, 12.0, 70.0, 98.0), ("p", 24, 90.0, 20.0, 100.0))  # noqa: E741
-    return op.long_stems(h, l, 10.0).select("id", "line", "direction")
-
-
-@query("l15_shared_stems", "SELECT * FROM (VALUES (1, 32)) t(id, line)")
-def l15(spark, d):
-    h = rows(spark, "page string, id int, x double, y double", ("p", 1, 10.0, 50.0), ("p", 2, 100.0, 50.0))
-    l = rows(spark, LINES, ("p", 31, 15.0, 0.0, 44.0), ("p", 32, 15.5, 48.0, 90.0), ("p", 33, 104.0, 48.0, 90.0))  # noqa: E741
-    return op.shared_stems(h, l, 10.0).select("id", "line")
-
-
-@query("l16_stemless_hollow", "SELECT * FROM (VALUES (1), (3), (4)) t(id)")
-def l16(spark, d):
-    h = rows(spark, "page string, id int, kind string, stem_x double, x double, y double", ("p", 1, "half", None, 50.0, 100.0), ("p", 2, "half", None, 50.0, 60.0), ("p", 3, "half", 55.0, 50.0, 60.0), ("p", 4, "half", None, 150.0, 60.0))
-    l = rows(spark, "page string, left double, top double, right double, bottom double", ("p", 140.0, 59.5, 160.0, 60.5))  # noqa: E741
-    return op.drop_stemless_hollow(h, staves(spark), l).select("id")
-
-
-@query("l17_copy_stems", "SELECT * FROM (VALUES (2, 15.0, 'up'), (3, 15.0, 'up')) t(id, stem_x, direction)", stem_x="DOUBLE")
-def l17(spark, d):
-    h = rows(spark, "page string, staff int, id int, kind string, x double, y double, stem_x double, direction string", ("p", 1, 1, "half", 10.0, 100.0, 15.0, "up"), ("p", 1, 2, "half", 11.0, 110.0, None, None), ("p", 1, 3, "half", 9.0, 120.0, None, None), ("p", 1, 4, "half", 90.0, 100.0, 95.0, "up"), ("p", 1, 5, "half", 91.0, 110.0, None, None))
-    return op.copy_stems(h, 10.0).select("id", "stem_x", "direction")
-
-
-@query("l18_cross_staff_chords", "SELECT * FROM (VALUES (9, '1,2', 'up')) t(line, heads, direction)")
-def l18(spark, d):
-    """Heads at 49 on two staves with a stem at 52 from 110 to 166 hang together; lines far from heads, short ones and ones of one staff bind none."""
-    h = rows(spark, "page string, staff int, id int, x double, y double", ("p", 1, 1, 49.0, 115.0), ("p", 2, 2, 49.0, 165.0), ("p", 1, 3, 120.0, 115.0), ("p", 1, 4, 80.0, 115.0), ("p", 2, 5, 80.0, 165.0), ("p", 1, 6, 203.0, 115.0), ("p", 2, 7, 203.0, 165.0))
-    l = rows(spark, LINES, ("p", 9, 52.0, 110.0, 166.0), ("p", 10, 300.0, 100.0, 180.0), ("p", 11, 123.0, 110.0, 166.0), ("p", 12, 83.0, 120.0, 158.0), ("p", 13, 200.0, 135.0, 180.0))  # noqa: E741
-    s = rows(spark, "page string, staff int, top double, bottom double", ("p", 1, 100.0, 120.0), ("p", 2, 160.0, 180.0))
-    c = op.cross_staff_chords(h, l, s, 5.0)
-    return c.select("line", F.array_join(F.col("heads").cast("array<string>"), ",").alias("heads"), "direction")
-
-
 @query("l19_l21_strip_members", "SELECT * FROM (VALUES (1, 1, 'begin', 1), (1, 2, 'continue', 2), (1, 3, 'end', 2), (2, 2, 'begin', 2), (2, 3, 'end', 2)) t(strip, id, position, level)")
 def l19(spark, d):
     s = rows(spark, "page string, id int, stem_x double, stem_top double, stem_bottom double", ("p", 1, 20.0, 20.0, 60.0), ("p", 2, 40.0, 22.0, 60.0), ("p", 3, 60.0, 24.0, 60.0), ("p", 4, 80.0, 24.0, 60.0))
@@ -105,19 +34,6 @@ def l19(spark, d):
     return op.strip_members(s, b, 10.0).select("strip", "id", "position", "level")
 
 
-@query("l22_attach_marks", "SELECT * FROM (VALUES (1, 22, 'flat'), (2, 23, 'sharp')) t(id, mark, kind)")
-def l22(spark, d):
-    m = rows(spark, "page string, id int, kind string, x double, y double", ("p", 21, "sharp", 20.0, 100.0), ("p", 22, "flat", 30.0, 101.0), ("p", 23, "sharp", 80.0, 120.0), ("p", 24, "sharp", 95.0, 100.0))
-    n = rows(spark, "page string, staff int, id int, x double, y double", ("p", 1, 1, 50.0, 100.0), ("p", 1, 2, 90.0, 122.0))
-    return op.attach_marks(m, n, staves(spark)).select("id", "mark", "kind")
-
-
-@query("l23_dots", "SELECT * FROM (VALUES (1, 31, 24)) t(id, dot, duration)")
-def l23(spark, d):
-    e = rows(spark, "page string, id int, x double, y double, duration int", ("p", 1, 50.0, 100.0, 16), ("p", 2, 20.0, 100.0, 16))
-    return op.attach_dots(rows(spark, "page string, id int, x double, y double", ("p", 31, 60.0, 101.0), ("p", 32, 65.0, 101.0), ("p", 33, 200.0, 100.0)), e, 10.0).select("id", "dot", "duration")
-
-
 @query("l24_pair_arcs", "SELECT * FROM (VALUES (1, 1, 2, 'tie', NULL), (2, 3, 4, 'slur', 1)) t(arc, a, b, kind, number)")
 def l24(spark, d):
     n = rows(spark, "page string, staff int, id int, x double, y double, pitch string", ("p", 1, 1, 10.0, 100.0, "C4"), ("p", 1, 2, 50.0, 100.0, "C4"), ("p", 1, 3, 90.0, 100.0, "D4"), ("p", 1, 4, 130.0, 95.0, "E4"))
@@ -125,12 +41,6 @@ def l24(spark, d):
     return op.pair_arcs(a, n, 10.0).select("arc", "a", "b", "kind", "number")
 
 
-@query("l25_arched", "SELECT * FROM (VALUES (1, true), (2, false)) t(id, arched)")
-def l25(spark, d):
-    p = rows(spark, "id int, points array<struct<x:double,y:double>>", (1, [(0.0, 10.0), (5.0, 8.0), (10.0, 10.0)]), (2, [(0.0, 10.0), (5.0, 9.0), (10.0, 10.0)]))
-    return p.select("id", op.arched(F.col("points"), 10.0).alias("arched"))
-
-
 @query("l27_chord_rhythm", "SELECT * FROM (VALUES (1, 1, 8), (2, 1, 8), (3, 0, 4)) t(id, dots, denominator)")
 def l27(spark, d):
     n = rows(spark, "page string, staff int, direction string, id int, x double, dots int, denominator int", ("p", 1, "up", 1, 10.0, 0, 8), ("p", 1, "up", 2, 11.0, 1, 4), ("p", 1, "up", 3, 40.0, 0, 4))
@@ -144,50 +54,12 @@ def l29(spark, d):
     return op.standalone_flags(h, f, 10.0).select("id", "flag")
 
 
-@query("l32_cross_system_ties", "SELECT * FROM (VALUES (1, 1, 2)) t(arc, note, \"to\")")
-def l32(spark, d):
-    n = rows(spark, "page string, system int, staff int, id int, pitch string, x double, system_left double", ("p", 1, 1, 1, "C4", 590.0, 0.0), ("p", 2, 1, 2, "C4", 40.0, 0.0), ("p", 2, 1, 3, "D4", 30.0, 0.0), ("p", 2, 2, 4, "C4", 30.0, 0.0))
-    a = rows(spark, "page string, system int, arc int, note int, opens boolean", ("p", 1, 1, 1, True), ("p", 1, 2, 1, False))
-    return op.cross_system_ties(a, n, 10.0).select("arc", "note", "to")
-
-
 @query("l33_dynamics", "SELECT * FROM (VALUES (1, 'mf'), (3, 'crescendo'), (4, 'diminuendo')) t(id, value)")
 def l33(spark, d):
     s = rows(spark, "page string, id int, x double, y double, kind string, width double, height double, tip_left boolean", ("p", 1, 50.0, 160.0, "dynamic-mf", 20.0, 15.0, None), ("p", 2, 52.0, 160.0, "dynamic-mf", 20.0, 15.0, None), ("p", 3, 90.0, 160.0, "wedge", 80.0, 12.0, True), ("p", 4, 200.0, 160.0, "wedge", 80.0, 12.0, False), ("p", 5, 300.0, 100.0, "dynamic-f", 20.0, 15.0, None))
     return op.dynamics(s, staves(spark)).select("id", "value")
 
 
-@query("l34_terminal_dynamics", "SELECT * FROM (VALUES (1, 51)) t(wedge, id)")
-def l34(spark, d):
-    w = rows(spark, "page string, id int, end_x double", ("p", 1, 100.0), ("p", 2, 300.0))
-    s = rows(spark, "page string, id int, x double, width double, height double", ("p", 51, 110.0, 35.0, 15.0), ("p", 52, 105.0, 20.0, 15.0), ("p", 53, 310.0, 35.0, 15.0))
-    return op.terminal_dynamics(w, s, rows(spark, "page string, x double", ("p", 312.0)), 10.0).select("wedge", "id")
-
-
-@query("l36_zip_by_order", "SELECT * FROM (VALUES (1, 11, 'up'), (3, 12, 'down')) t(pos, id, direction)")
-def l36(spark, d):
-    x = rows(spark, "page string, staff int, pos int", ("p", 1, 1), ("p", 1, 3), ("p", 1, 5))
-    e = rows(spark, "page string, staff int, id int, x double, y double, direction string", ("p", 1, 12, 40.0, 1.0, "down"), ("p", 1, 11, 10.0, 1.0, "up"))
-    return op.zip_by_order(x, e, ["page", "staff"]).select("pos", "id", "direction")
-
-
-@query("l37_grace_notes", "SELECT * FROM (VALUES (1, false), (2, false), (3, true)) t(id, grace)")
-def l37(spark, d):
-    return op.grace_notes(rows(spark, "page string, id int, width double, height double", ("p", 1, 12.0, 10.0), ("p", 2, 12.0, 10.0), ("p", 3, 7.0, 6.0))).select("id", "grace")
-
-
-@query("l40_tie_sides", "SELECT * FROM (VALUES (1, 'above'), (2, 'below')) t(id, side)")
-def l40(spark, d):
-    t = rows(spark, "page string, id int, x double, y double", ("p", 1, 10.0, 50.0), ("p", 2, 90.0, 50.0), ("p", 3, 400.0, 50.0))
-    return op.tie_sides(t, rows(spark, "page string, arc int, x0 double, y0 double", ("p", 1, 12.0, 45.0), ("p", 2, 92.0, 56.0)), 10.0).select("id", "side")
-
-
-@query("l42_ornaments", "SELECT * FROM (VALUES (1, 7)) t(ornament, id)")
-def l42(spark, d):
-    c = rows(spark, "page string, id int, points_n int, left double, top double, right double, bottom double", ("p", 1, 150, 40.0, 40.0, 65.0, 50.0), ("p", 2, 50, 140.0, 40.0, 165.0, 50.0))
-    return op.ornaments(c, staves(spark), rows(spark, "page string, staff int, id int, x double", ("p", 1, 7, 55.0), ("p", 1, 8, 90.0))).select("ornament", "id")
-
-
 @query("l43_rename", "SELECT replace(o_orderpriority, '1-URGENT', 'short') AS p, count(*) AS n FROM orders GROUP BY 1")
 def l43(spark, d):
     return op.rename(table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")), "p", {"1-URGENT": "short"}).groupBy("p").agg(F.count("*").alias("n"))
@@ -200,12 +72,6 @@ def lane_notes(spark):
     return rows(spark, NOTES, ("p", "P1", 1, 1, 1, 10.0, 0.0, 2.0, False), ("p", "P1", 1, 2, 1, 60.0, 2.0, 2.0, False), ("p", "P1", 1, 3, 2, 61.0, 0.0, 1.0, False), ("p", "P1", 1, 4, 2, 90.0, 1.0, 1.0, False))
 
 
-@query("l44_lanes", "SELECT * FROM (VALUES (1, 1), (2, 2), (3, 1)) t(pos, lane)")
-def l44(spark, d):
-    n = rows(spark, "page string, part string, measure_pos int, staff int, pos int, direction string", ("p", "P1", 1, 1, 1, "up"), ("p", "P1", 1, 1, 2, "down"), ("p", "P1", 2, 1, 3, "down"))
-    return op.lanes_by_direction(n).select("pos", "lane")
-
-
 @query("l44_rest_lanes", "SELECT * FROM (VALUES (1, 2), (2, 1)) t(id, lane)")
 def l44r(spark, d):
     """The first rest fills lane 2 exactly; then lane 1 is the one with room."""
@@ -215,23 +81,11 @@ def l44r(spark, d):
     return rest_lanes(r, ["m"], "id").select("id", F.col("lane").cast("int"))
 
 
-@query("l46_lane_validity", "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(lane, valid)")
-def l46v(spark, d):
-    n = rows(spark, NOTES, ("p", "P1", 1, 1, 1, 0.0, 0.0, 2.0, False), ("p", "P1", 1, 2, 1, 0.0, 2.0, 2.0, False), ("p", "P1", 1, 3, 2, 0.0, 0.0, 2.0, False), ("p", "P1", 1, 4, 2, 0.0, 1.0, 1.0, False), ("p", "P1", 1, 5, 3, 0.0, 3.0, 2.0, False))
-    return op.lane_validity(n, F.lit(4.0)).select("lane", "valid")
-
-
 @query("l46_predicted_onsets", "SELECT * FROM (VALUES (1, 0.0), (2, 2.0), (3, 2.0), (4, 2.0)) t(pos, predicted)", predicted="DOUBLE")
 def l46p(spark, d):
     return op.predicted_onsets(lane_notes(spark).withColumn("valid", F.col("lane") == 1), 0.5).select("pos", "predicted")
 
 
-@query("l47_full_measure_rests", "SELECT 1 AS \"from\", 2 AS \"to\"")
-def l47(spark, d):
-    l = rows(spark, "page string, part string, measure_pos int, lane int, sounding int, sustained double, rest_total double, total double, x double", ("p", "P1", 1, 1, 1, 4.0, 1.0, 4.0, 10.0), ("p", "P1", 1, 2, 3, 3.0, 0.0, 3.0, 12.0), ("p", "P1", 1, 3, 2, 2.0, 0.0, 2.0, 11.0))  # noqa: E741
-    return op.full_measure_rests(l).select("from", "to")
-
-
 @query("l48_delayed_onsets", "SELECT 2 AS lane, 2.0 AS forward", forward="DOUBLE")
 def l48(spark, d):
     """A bass lane that starts late takes the onset of the note above it."""
@@ -243,77 +97,20 @@ def l49(spark, d):
     return op.lane_offsets(lane_notes(spark)).select("lane", "offset")
 
 
-@query("l50_system_breaks", "SELECT * FROM (VALUES (1, false), (2, false), (3, true)) t(measure_pos, new_system)")
-def l50(spark, d):
-    return op.system_breaks(rows(spark, "page string, part string, measure_pos int, has_clef boolean", ("p", "P1", 1, True), ("p", "P1", 2, False), ("p", "P1", 3, True))).select("measure_pos", "new_system")
-
-
 @query("l51_secondary_beams", "SELECT * FROM (VALUES (1, 2, 'forward hook'), (3, 2, 'begin'), (4, 2, 'end'), (4, 3, 'backward hook')) t(pos, number, mark)")
 def l51(spark, d):
     n = rows(spark, "page string, part string, measure_pos int, voice string, staff int, beam int, pos int, level int", *[("p", "P1", 1, "1", 1, 1, p, v) for p, v in ((1, 2), (2, 1), (3, 2), (4, 3))])
     return op.secondary_beams(n).select("pos", "number", "mark")
 
 
-@query("l52_tuplets", "SELECT * FROM (VALUES (1, 2), (2, 4)) t(run, normal)")
-def l52(spark, d):
-    r = rows(spark, "run int, actual int, written double, required double", (1, 3, 1.5, 1.0), (2, 5, 1.25, 1.0), (3, 4, 1.0, 1.0), (4, 3, 1.5, 1.2), (5, 3, 3.0, 1.0))
-    return op.tuplets(r).select("run", "normal")
-
-
-@query("l53_restore_cross_staff", "SELECT * FROM (VALUES (1, true, 1), (3, false, 1)) t(pos, is_chord, voice)")
-def l53(spark, d):
-    n = rows(spark, "page string, part string, measure_pos int, tag string, source string, staff int, voice int, pitch_index int, pos int", ("p", "P1", 1, "c", "a", 1, 1, 40, 1), ("p", "P1", 1, "c", "a", 1, 1, 40, 2), ("p", "P1", 1, "c", "b", 2, 5, 20, 3), ("p", "P1", 1, "d", "x", 1, 1, 30, 4))
-    return op.restore_cross_staff(n).select("pos", "is_chord", "voice")
-
-
-@query("l54_accidental_state", "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 0), (4, 0), (5, 1)) t(pos, in_force)")
-def l54(spark, d):
-    n = rows(spark, "page string, part string, measure_pos int, staff int, step string, octave int, onset double, pos int, accidental string, alter int, key_alter int", ("p", "P1", 1, 1, "F", 4, 0.0, 1, "sharp", 1, 0), ("p", "P1", 1, 1, "F", 4, 1.0, 2, None, 0, 0), ("p", "P1", 1, 1, "F", 5, 1.0, 3, None, 0, 0), ("p", "P1", 2, 1, "F", 4, 0.0, 4, None, 0, 0), ("p", "P1", 3, 1, "F", 4, 0.0, 5, None, 0, 1))
-    return op.accidental_state(n).select("pos", "in_force")
-
-
-@query("l55_place_marks", "SELECT * FROM (VALUES (1, 1, 16), (2, 2, 0), (3, 2, 32)) t(id, measure_pos, \"offset\")")
-def l55(spark, d):
-    s = rows(spark, "page string, measure_pos int, left double, right double, duration int, is_last boolean", ("p", 1, 0.0, 100.0, 32, False), ("p", 2, 100.0, 200.0, 32, True))
-    return op.place_marks(rows(spark, "page string, id int, x double", ("p", 1, 50.0), ("p", 2, 100.0), ("p", 3, 200.0), ("p", 4, 201.0)), s).select("id", "measure_pos", "offset")
-
-
 @query("l56_sustain", "SELECT 1 AS id")
 def l56(spark, d):
     c = rows(spark, "page string, id int, left double, top double, right double, bottom double, run_share double, hook boolean", ("p", 1, 52.0, 260.0, 152.0, 275.0, 0.8, True), ("p", 2, 53.0, 260.0, 153.0, 275.0, 0.8, True), ("p", 3, 300.0, 260.0, 340.0, 275.0, 0.8, True), ("p", 4, 300.0, 260.0, 360.0, 275.0, 0.8, False))
     return op.sustain_brackets(c, staves(spark)).select("id")
 
 
-@query("l57_final_barlines", "SELECT * FROM (VALUES (1, true), (2, false)) t(system, final)")
-def l57(spark, d):
-    return op.final_barlines(rows(spark, "page string, system int, x double, sp double", ("p", 1, 590.0, 10.0), ("p", 1, 598.0, 10.0), ("p", 1, 300.0, 10.0), ("p", 2, 598.0, 10.0), ("p", 2, 300.0, 10.0))).select("system", "final")
-
-
-@query("l58_trailing_measure", "SELECT * FROM (VALUES (1, NULL), (2, 'light-heavy')) t(measure_pos, right_bar)")
-def l58(spark, d):
-    return op.drop_trailing(rows(spark, "page string, part string, measure_pos int, notes int, others int, right_bar string", ("p", "P1", 1, 3, 0, None), ("p", "P1", 2, 3, 0, None), ("p", "P1", 3, 0, 0, "light-heavy"))).select("measure_pos", "right_bar")
-
-
 @query("l59_join_pages", "SELECT * FROM (VALUES ('page2', 1, 1, '3/4', false), ('page2', 2, 2, '3/4', false), ('page10', 1, 3, '3/4', true)) t(page, measure_pos, number, meter, new_system)")
 def l59(spark, d):
     m = rows(spark, "page string, part string, measure_pos int, meter string, new_system boolean", ("page10", "P1", 1, None, False), ("page2", "P1", 1, "3/4", False), ("page2", "P1", 2, None, False))
     order = rows(spark, "page string, n int", ("page2", 1), ("page10", 2))
     return op.join_pages(m, order).select("page", "measure_pos", "number", "meter", "new_system")
-
-
-@query("l60_repeated_clefs", "SELECT * FROM (VALUES (1, 'G2'), (2, NULL), (3, NULL), (4, 'F4')) t(measure_pos, clef)")
-def l60(spark, d):
-    m = rows(spark, "staff int, measure_pos int, clef string", (1, 1, "G2"), (1, 2, "G2"), (1, 3, None), (1, 4, "F4"))
-    return op.drop_repeated(m, ["staff"], ["measure_pos"], "clef").select("measure_pos", "clef")
-
-
-@query("l61_place_text", "SELECT * FROM (VALUES (1, 'Andante', 'tempo'), (4, 'a very long subtitle that', 'words')) t(measure_pos, text, kind)")
-def l61(spark, d):
-    t = rows(spark, "measure int, staff int, align string, value string", (1, 1, "L", "Andante"), (34, 1, "L", "a very long subtitle that goes on"), (None, None, None, "Title"))
-    return op.place_text(t, rows(spark, "page string, measure_pos int, number int", ("p", 1, 1), ("p", 4, 34))).select("measure_pos", "text", "kind")
-
-
-@query("l64_recover_meter", "SELECT 'P1' AS part, 4.0 AS length", length="DOUBLE")
-def l64(spark, d):
-    m = rows(spark, "page string, part string, filled double", *[("p", "P1", x) for x in (4.0, 4.0, 4.0, 3.0, 2.0)], *[("p", "P2", x) for x in (4.0,)])
-    return op.recover_meter(m).where("part = 'P1'").select("part", "length")
