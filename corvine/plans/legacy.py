@@ -27,39 +27,12 @@ def l07(spark, d):
 LINES = "page string, id int, x double, top double, bottom double"
 
 
-@query("l19_l21_strip_members", "SELECT * FROM (VALUES (1, 1, 'begin', 1), (1, 2, 'continue', 2), (1, 3, 'end', 2), (2, 2, 'begin', 2), (2, 3, 'end', 2)) t(strip, id, position, level)")
-def l19(spark, d):
-    s = rows(spark, "page string, id int, stem_x double, stem_top double, stem_bottom double", ("p", 1, 20.0, 20.0, 60.0), ("p", 2, 40.0, 22.0, 60.0), ("p", 3, 60.0, 24.0, 60.0), ("p", 4, 80.0, 24.0, 60.0))
-    b = rows(spark, "page string, id int, x0 double, y0 double, x1 double, y1 double, points_n int, area double", ("p", 1, 20.0, 20.0, 60.0, 24.0, 4, 160.0), ("p", 2, 40.0, 29.0, 60.0, 31.0, 4, 80.0), ("p", 3, 79.0, 24.0, 91.0, 24.0, 4, 40.0), ("p", 4, 20.0, 20.0, 60.0, 24.0, 4, 900.0))
-    return op.strip_members(s, b, 10.0).select("strip", "id", "position", "level")
-
-
-@query("l24_pair_arcs", "SELECT * FROM (VALUES (1, 1, 2, 'tie', NULL), (2, 3, 4, 'slur', 1)) t(arc, a, b, kind, number)")
-def l24(spark, d):
-    n = rows(spark, "page string, staff int, id int, x double, y double, pitch string", ("p", 1, 1, 10.0, 100.0, "C4"), ("p", 1, 2, 50.0, 100.0, "C4"), ("p", 1, 3, 90.0, 100.0, "D4"), ("p", 1, 4, 130.0, 95.0, "E4"))
-    a = rows(spark, "page string, arc int, x0 double, y0 double, x1 double, y1 double", ("p", 1, 12.0, 105.0, 48.0, 105.0), ("p", 2, 92.0, 90.0, 128.0, 88.0), ("p", 3, 300.0, 90.0, 340.0, 88.0))
-    return op.pair_arcs(a, n, 10.0).select("arc", "a", "b", "kind", "number")
-
-
 @query("l27_chord_rhythm", "SELECT * FROM (VALUES (1, 1, 8), (2, 1, 8), (3, 0, 4)) t(id, dots, denominator)")
 def l27(spark, d):
     n = rows(spark, "page string, staff int, direction string, id int, x double, dots int, denominator int", ("p", 1, "up", 1, 10.0, 0, 8), ("p", 1, "up", 2, 11.0, 1, 4), ("p", 1, "up", 3, 40.0, 0, 4))
     return op.chord_rhythm(n, 5.0).select("id", "dots", "denominator")
 
 
-@query("l29_standalone_flags", "SELECT * FROM (VALUES (1, 41), (2, 42)) t(id, flag)")
-def l29(spark, d):
-    h = rows(spark, "page string, staff int, id int, stem_x double, stem_top double, stem_bottom double, direction string, beamed boolean", ("p", 1, 1, 20.0, 60.0, 100.0, "up", False), ("p", 1, 2, 60.0, 100.0, 140.0, "down", False), ("p", 1, 3, 20.2, 60.0, 110.0, "up", False), ("p", 1, 4, 90.0, 60.0, 100.0, "up", True))
-    f = rows(spark, "page string, id int, x double, y double", ("p", 41, 25.0, 72.0), ("p", 42, 64.0, 130.0), ("p", 43, 94.0, 70.0), ("p", 44, 30.0, 75.0))
-    return op.standalone_flags(h, f, 10.0).select("id", "flag")
-
-
-@query("l33_dynamics", "SELECT * FROM (VALUES (1, 'mf'), (3, 'crescendo'), (4, 'diminuendo')) t(id, value)")
-def l33(spark, d):
-    s = rows(spark, "page string, id int, x double, y double, kind string, width double, height double, tip_left boolean", ("p", 1, 50.0, 160.0, "dynamic-mf", 20.0, 15.0, None), ("p", 2, 52.0, 160.0, "dynamic-mf", 20.0, 15.0, None), ("p", 3, 90.0, 160.0, "wedge", 80.0, 12.0, True), ("p", 4, 200.0, 160.0, "wedge", 80.0, 12.0, False), ("p", 5, 300.0, 100.0, "dynamic-f", 20.0, 15.0, None))
-    return op.dynamics(s, staves(spark)).select("id", "value")
-
-
 @query("l43_rename", "SELECT replace(o_orderpriority, '1-URGENT', 'short') AS p, count(*) AS n FROM orders GROUP BY 1")
 def l43(spark, d):
     return op.rename(table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")), "p", {"1-URGENT": "short"}).groupBy("p").agg(F.count("*").alias("n"))
@@ -84,33 +57,3 @@ def l44r(spark, d):
 @query("l46_predicted_onsets", "SELECT * FROM (VALUES (1, 0.0), (2, 2.0), (3, 2.0), (4, 2.0)) t(pos, predicted)", predicted="DOUBLE")
 def l46p(spark, d):
     return op.predicted_onsets(lane_notes(spark).withColumn("valid", F.col("lane") == 1), 0.5).select("pos", "predicted")
-
-
-@query("l48_delayed_onsets", "SELECT 2 AS lane, 2.0 AS forward", forward="DOUBLE")
-def l48(spark, d):
-    """A bass lane that starts late takes the onset of the note above it."""
-    return op.delayed_onsets(lane_notes(spark)).select("lane", "forward")
-
-
-@query("l49_lane_offsets", "SELECT 2 AS lane, 4.0 AS \"offset\"", offset="DOUBLE")
-def l49(spark, d):
-    return op.lane_offsets(lane_notes(spark)).select("lane", "offset")
-
-
-@query("l51_secondary_beams", "SELECT * FROM (VALUES (1, 2, 'forward hook'), (3, 2, 'begin'), (4, 2, 'end'), (4, 3, 'backward hook')) t(pos, number, mark)")
-def l51(spark, d):
-    n = rows(spark, "page string, part string, measure_pos int, voice string, staff int, beam int, pos int, level int", *[("p", "P1", 1, "1", 1, 1, p, v) for p, v in ((1, 2), (2, 1), (3, 2), (4, 3))])
-    return op.secondary_beams(n).select("pos", "number", "mark")
-
-
-@query("l56_sustain", "SELECT 1 AS id")
-def l56(spark, d):
-    c = rows(spark, "page string, id int, left double, top double, right double, bottom double, run_share double, hook boolean", ("p", 1, 52.0, 260.0, 152.0, 275.0, 0.8, True), ("p", 2, 53.0, 260.0, 153.0, 275.0, 0.8, True), ("p", 3, 300.0, 260.0, 340.0, 275.0, 0.8, True), ("p", 4, 300.0, 260.0, 360.0, 275.0, 0.8, False))
-    return op.sustain_brackets(c, staves(spark)).select("id")
-
-
-@query("l59_join_pages", "SELECT * FROM (VALUES ('page2', 1, 1, '3/4', false), ('page2', 2, 2, '3/4', false), ('page10', 1, 3, '3/4', true)) t(page, measure_pos, number, meter, new_system)")
-def l59(spark, d):
-    m = rows(spark, "page string, part string, measure_pos int, meter string, new_system boolean", ("page10", "P1", 1, None, False), ("page2", "P1", 1, "3/4", False), ("page2", "P1", 2, None, False))
-    order = rows(spark, "page string, n int", ("page2", 1), ("page10", 2))
-    return op.join_pages(m, order).select("page", "measure_pos", "number", "meter", "new_system")

@@ -314,3 +314,176 @@ NUMBERED = "SELECT CAST(c_nationkey AS STRING) AS page, c_custkey AS measure_pos
 @query("l61_place_text", f"""{with_(x=TEXTS, m=NUMBERED)} SELECT m.page, m.measure_pos, x.staff, x.align, x.value[1:25] AS text, CASE WHEN x.measure = 1 AND x.staff = 1 AND x.align = 'L' THEN 'tempo' ELSE 'words' END AS kind FROM x JOIN m ON x.measure = m.number""")
 def l61(spark, d):
     return op.place_text(read(spark, d, TEXTS), read(spark, d, NUMBERED))
+
+
+FAR = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, event_id * 7919 % 7000 / CAST(10 AS DOUBLE) - 50 AS x, CAST(40 + event_id * 31 % 300 AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS stem_x FROM {events}"
+
+
+@query("l09_events_on_staves", f"""{with_(q0=FAR, staves=staves_sql())}, q AS (SELECT *, 0 AS staff FROM q0) SELECT id, staff FROM ({NEAREST.format(t(2.0), t(5.0))})""")
+def l09(spark, d):
+    return op.nearest_staff(read(spark, d, FAR), read(spark, d, STAVES), 2.0, 5.0).select("id", "staff")
+
+
+@query("l14_relations", f"""{with_(h=STEMLESS, l=LINES, staves=staves_sql())}, q AS (SELECT * FROM h), n AS ({NEAREST.format(t(2.0), t(5.0))}), m AS (SELECT h.page, h.id, l.id AS line, abs(h.y - l.top) AS hi, abs(h.y - l.bottom) AS lo, row_number() OVER (PARTITION BY h.page, h.id ORDER BY abs(l.x - h.x), least(abs(h.y - l.top), abs(h.y - l.bottom)), l.id) AS n
+FROM h JOIN l ON h.page = l.page AND h.stem_x IS NULL AND l.bottom - l.top BETWEEN {t(7.0)} AND {t(11.0)} AND abs(l.x - h.x) <= {t(1.12)} AND least(abs(h.y - l.top), abs(h.y - l.bottom)) <= {t(0.9)}) SELECT n.id, n.staff, m.line, CASE WHEN hi < lo THEN 'down' ELSE 'up' END AS direction FROM n JOIN m ON n.page = m.page AND n.id = m.id WHERE m.n = 1""")
+def l14(spark, d):
+    """Heads get their staff and their stem, and the stem its direction."""
+    h = read(spark, d, STEMLESS)
+    on = op.nearest_staff(h, read(spark, d, STAVES), 2.0, 5.0).select("page", "id", "staff")
+    return on.join(op.long_stems(h, read(spark, d, LINES), SP), ["page", "id"]).select("id", "staff", "line", "direction")
+
+
+UPRIGHT = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, event_id * 7919 % 3000 / CAST(10 AS DOUBLE) AS stem_x, CAST(20 + event_id % 40 AS DOUBLE) AS stem_top, CAST(60 + event_id % 40 AS DOUBLE) AS stem_bottom FROM {events} WHERE event_id % 3 = 0"
+STRIPS = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, event_id * 7907 % 3000 / CAST(10 AS DOUBLE) AS x0, CAST(15 + event_id % 60 AS DOUBLE) AS y0, event_id * 7907 % 3000 / CAST(10 AS DOUBLE) + 9 + event_id % 70 AS x1, CAST(15 + event_id % 60 + event_id % 9 - 4 AS DOUBLE) AS y1, CAST(event_id % 17 AS INT) AS points_n, CAST(event_id % 70 * 4 AS DOUBLE) AS area FROM {events} WHERE event_id % 4 = 1"
+
+
+def strip_sql(groups: int) -> str:
+    return f"""{with_(s=UPRIGHT, b=STRIPS)}, g AS (SELECT * FROM b WHERE points_n BETWEEN 3 AND 14 AND x1 - x0 >= {t(1.15)} AND area / sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) BETWEEN {t(0.05)} AND {t(0.62)} AND (x1 - x0) / greatest(abs(y1 - y0), 1e-9) >= 1.45),
+y AS (SELECT g.page, g.id AS strip, s.id, round_even(stem_x / {0.12 * SP!r}::DOUBLE, 0) AS slot, y0 + (y1 - y0) * (stem_x - x0) / (x1 - x0) AS y, stem_top, stem_bottom FROM g JOIN s ON g.page = s.page AND stem_x BETWEEN x0 - {t(0.25)} AND x1 + {t(0.25)}), m AS (SELECT * FROM y WHERE greatest(stem_top - y, y - stem_bottom, 0) <= {t(0.5)}),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY page, strip ORDER BY slot) AS n FROM m), o AS (SELECT *, max(n) OVER (PARTITION BY page, strip) AS k FROM r), p AS (SELECT * FROM o WHERE k >= {groups})
+SELECT page, strip, id, CASE n WHEN 1 THEN 'begin' WHEN k THEN 'end' ELSE 'continue' END AS position, CAST(least(count(*) OVER (PARTITION BY page, id), 4) AS INTEGER) AS level FROM p"""
+
+
+@query("l19_l21_strip_members", strip_sql(2))
+def l19(spark, d):
+    return op.strip_members(read(spark, d, UPRIGHT), read(spark, d, STRIPS), SP)
+
+
+@query("l28_beam_hooks", strip_sql(1))
+def l28(spark, d):
+    """A short strip at one stem counts as a hook: one group is enough."""
+    return op.strip_members(read(spark, d, UPRIGHT), read(spark, d, STRIPS), SP, groups=1)
+
+
+TUNED = f"SELECT page, staff, id, x, y, CAST(id % 5 AS STRING) AS pitch FROM ({HEADS})"
+BOWS = "SELECT CAST(user_id AS STRING) AS page, event_id AS arc, event_id * 7907 % 5000 / CAST(10 AS DOUBLE) AS x0, CAST(100 + event_id % 140 AS DOUBLE) + 0.3 AS y0, event_id * 7907 % 5000 / CAST(10 AS DOUBLE) + 11 + event_id % 90 AS x1, CAST(100 + event_id % 130 AS DOUBLE) + 0.7 AS y1, CAST(event_id % 29 AS INT) AS points_n FROM {events} WHERE event_type = 'purchase'"
+
+
+def arc_sql(arcs: str, dx: float, most: float) -> str:
+    """All pairs in order of score, arc and pair, each taken if both are free."""
+    return f"""{with_(h=TUNED, a0=BOWS).replace("WITH", "WITH RECURSIVE", 1)}, a AS ({arcs}), s AS (SELECT a.page, a.arc, h.id, h.pitch, h.x, abs(h.x - x0) + 0.9 * abs(h.y - y0) AS c FROM a JOIN h ON a.page = h.page AND abs(h.x - x0) <= {dx * SP!r}::DOUBLE), e AS (SELECT a.page, a.arc, h.id, h.pitch, h.x, abs(h.x - x1) + 0.9 * abs(h.y - y1) AS c FROM a JOIN h ON a.page = h.page AND abs(h.x - x1) <= {dx * SP!r}::DOUBLE),
+p AS (SELECT s.page, s.arc, s.id AS a, e.id AS b, s.x, s.pitch = e.pitch AS same, (s.c + e.c) / 10 - CASE WHEN s.pitch = e.pitch THEN 1.65 ELSE 0 END AS score FROM s JOIN e ON s.page = e.page AND s.arc = e.arc AND s.id <> e.id AND s.x < e.x), o AS (SELECT *, a || ':' || b AS pair, row_number() OVER (PARTITION BY page ORDER BY score, arc, a || ':' || b) AS n FROM p WHERE score <= {most}),
+r(page, n, arcs, pairs) AS (SELECT DISTINCT page, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM o UNION ALL SELECT page, k, CASE WHEN free THEN list_append(arcs, arc) ELSE arcs END, CASE WHEN free THEN list_append(pairs, pair) ELSE pairs END FROM (SELECT r.*, o.arc, o.pair, o.n AS k, NOT list_contains(r.arcs, o.arc) AND NOT list_contains(r.pairs, o.pair) AS free FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1)),
+f AS (SELECT page, arg_max(arcs, n) AS arcs, arg_max(pairs, n) AS pairs FROM r GROUP BY 1), u AS (SELECT page, unnest(arcs) AS arc, unnest(pairs) AS pair FROM f) SELECT u.page, u.arc, o.a, o.b, CASE WHEN same THEN 'tie' ELSE 'slur' END AS kind, CASE WHEN NOT same THEN CAST(row_number() OVER (PARTITION BY u.page, same ORDER BY x, u.arc) AS INTEGER) END AS number FROM u JOIN o ON u.page = o.page AND u.arc = o.arc AND u.pair = o.pair"""
+
+
+@query("l24_pair_arcs", arc_sql("SELECT * FROM a0", 2.25, 10.0))
+def l24(spark, d):
+    return op.pair_arcs(read(spark, d, BOWS), read(spark, d, TUNED), SP)
+
+
+@query("l26_long_arcs", arc_sql("SELECT * FROM a0 WHERE x1 - x0 >= 60", 2.6, 7.0))
+def l26(spark, d):
+    """Wider windows for long arcs, a stricter score."""
+    return op.pair_arcs(read(spark, d, BOWS).where("x1 - x0 >= 60"), read(spark, d, TUNED), SP, dx=2.6, most=7.0)
+
+
+@query("l30_compact_arcs", arc_sql("SELECT * FROM a0 WHERE points_n >= 16 AND (x1 - x0) / 10 BETWEEN 1.1 AND 1.55", 1.0, 7.5))
+def l30(spark, d):
+    a = read(spark, d, BOWS).where((F.col("points_n") >= 16) & ((F.col("x1") - F.col("x0")) / 10).between(1.10, 1.55))
+    return op.pair_arcs(a, read(spark, d, TUNED), SP, dx=1.0, most=7.5)
+
+
+STEMMED = f"SELECT page, staff, id, x + 6 AS stem_x, CASE WHEN id % 2 = 0 THEN 'up' ELSE 'down' END AS direction, y - 30 AS stem_top, y + 30 AS stem_bottom, id % 4 = 0 AS beamed FROM ({HEADS})"
+LOOSE = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, event_id * 7907 % 5800 / CAST(10 AS DOUBLE) AS x, CAST(60 + event_id % 210 AS DOUBLE) + 0.4 AS y FROM {events} WHERE event_type = 'purchase'"
+
+
+@query("l29_standalone_flags", f"""{with_(h=STEMMED, f=LOOSE).replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT *, CASE WHEN direction = 'up' THEN stem_top ELSE stem_bottom END AS tip, CASE WHEN direction = 'up' THEN 1 ELSE -1 END AS turn FROM (SELECT *, row_number() OVER (PARTITION BY page, staff, round_even(stem_x / {t(0.2)}, 0) ORDER BY id) AS k FROM h WHERE NOT beamed) WHERE k = 1),
+p AS (SELECT s.page, s.id, f.id AS flag, (f.x - stem_x) / 10 AS dx, (f.y - tip) * turn / 10 AS dy FROM s JOIN f ON s.page = f.page), o AS (SELECT page, id, flag, row_number() OVER (PARTITION BY page ORDER BY 0.7 * abs(dx) + abs(dy), id, flag) AS n FROM p WHERE dx BETWEEN -0.3 AND 1.85 AND dy BETWEEN 0.1 AND 2.55),
+r(page, n, a, b) AS (SELECT DISTINCT page, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM o UNION ALL SELECT r.page, o.n, CASE WHEN list_contains(a, id) OR list_contains(b, flag) THEN a ELSE list_append(a, id) END, CASE WHEN list_contains(a, id) OR list_contains(b, flag) THEN b ELSE list_append(b, flag) END FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1),
+g AS (SELECT page, arg_max(a, n) AS a, arg_max(b, n) AS b FROM r GROUP BY 1) SELECT page, unnest(a) AS id, unnest(b) AS flag FROM g""")
+def l29(spark, d):
+    return op.standalone_flags(read(spark, d, STEMMED), read(spark, d, LOOSE), SP)
+
+
+LOUD = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, event_id * 7919 % 5800 / CAST(10 AS DOUBLE) AS x, CAST(100 + event_id * 31 % 150 AS DOUBLE) AS y, CASE event_id % 6 WHEN 0 THEN 'dynamic-ff' WHEN 1 THEN 'Dynamic_sfz' WHEN 2 THEN 'dynamicmp' WHEN 3 THEN 'dynamic-loud' ELSE 'hairpin' END AS kind, CAST(40 + event_id % 200 AS DOUBLE) AS width, CAST(5 + event_id % 25 AS DOUBLE) AS height, CASE WHEN event_id % 6 >= 4 THEN event_id % 2 = 0 END AS tip_left FROM {events}"
+
+
+@query("l33_dynamics", f"""{with_(s=LOUD)}, v AS (SELECT *, coalesce(CASE WHEN tip_left IS NOT NULL AND width / 10 BETWEEN 5.5 AND 20 AND height / 10 BETWEEN 0.65 AND 2.5 THEN CASE WHEN tip_left THEN 'crescendo' ELSE 'diminuendo' END END, CASE lower(kind) WHEN 'dynamic-ff' THEN 'ff' WHEN 'dynamic_sfz' THEN 'sfz' WHEN 'dynamicmp' THEN 'mp' END) AS value FROM s WHERE y BETWEEN 140 AND 200),
+l AS (SELECT *, x - lag(x) OVER (PARTITION BY page, value ORDER BY x, id) AS gap FROM v WHERE value IS NOT NULL) SELECT page, id, value, x FROM l WHERE gap IS NULL OR gap > 3.5""")
+def l33(spark, d):
+    return op.dynamics(read(spark, d, LOUD), read(spark, d, STAVES)).select("page", "id", "value", "x")
+
+
+PIECES = "SELECT CAST(user_id AS STRING) AS page, CAST(event_id % 3 AS INT) AS x, CAST(event_id * 7919 % 40000 AS DOUBLE) AS top, CAST(event_id * 7919 % 40000 + event_id % 400 AS DOUBLE) AS bottom FROM {events}"
+
+
+@query("l35_barline_chains", f"""{with_(p=PIECES)}, w AS (SELECT *, max(bottom) OVER (PARTITION BY page, x ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM p), g AS (SELECT *, sum(CASE WHEN far IS NULL OR top > far + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY page, x ORDER BY top, bottom ROWS UNBOUNDED PRECEDING) AS chain FROM w) SELECT page, x, CAST(chain AS INTEGER) AS chain, min(top) AS top, max(bottom) AS bottom FROM g GROUP BY ALL""")
+def l35(spark, d):
+    """Pieces at one x that touch within half a space are one bar."""
+    from ..operators import windows as win
+
+    return win.merge_islands(read(spark, d, PIECES), ["page", "x"], "top", "bottom", 5.0, "chain").groupBy("page", "x", F.col("chain").cast("int")).agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+
+
+@query("l38_default_x", f"""{with_(w=WRITTEN, s=SEEN)}, a AS (SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM w), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, id) AS n FROM s) SELECT a.page, a.pos, a.n, 60 + 10 * (b.x - 10) / 10 AS default_x FROM a JOIN b ON a.page = b.page AND a.n = b.n""", n="INTEGER")
+def l38(spark, d):
+    return op.zip_by_order(read(spark, d, WRITTEN), read(spark, d, SEEN), ["page"]).select("page", "pos", "n", (60 + 10 * (F.col("x") - 10.0) / 10).alias("default_x"))
+
+
+@query("l39_rest_y", f"""{with_(w=WRITTEN, s=SEEN)}, a AS (SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM w), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, id) AS n FROM s) SELECT a.page, a.pos, a.n, b.x, -(b.y - 100) AS default_y FROM a JOIN b ON a.page = b.page AND a.n = b.n""", n="INTEGER")
+def l39(spark, d):
+    return op.zip_by_order(read(spark, d, WRITTEN), read(spark, d, SEEN), ["page"]).select("page", "pos", "n", "x", (-(F.col("y") - 100.0)).alias("default_y"))
+
+
+@query("l41_naturals", f"""{with_(h=HEADS, staves=staves_sql(), m0=MARKS)}, q AS (SELECT *, 0 AS staff FROM m0), m AS ({NEAREST.format(t(1.0), t(4.0))}), p AS (SELECT m.page, m.id AS mark, m.kind, m.x AS mx, h.id, h.x - m.x AS dx, abs(h.y - m.y) AS off FROM m JOIN h ON m.page = h.page AND m.staff = h.staff AND h.x - m.x > 0 AND h.x - m.x <= {t(5.25)} AND abs(h.y - m.y) <= {t(1.35)}),
+o AS (SELECT *, row_number() OVER (PARTITION BY page, mark ORDER BY round_even(off / 5, 0), off, dx, id) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY mx DESC, mark DESC) AS k FROM o WHERE n = 1) SELECT h.id, CASE WHEN k.id IS NULL THEN h.id % 3 - 1 END AS alter_by, CASE WHEN k.id IS NOT NULL THEN 'natural' END AS accidental FROM h LEFT JOIN k ON h.id = k.id AND k = 1""", alter_by="BIGINT")
+def l41(spark, d):
+    """A natural is written and takes the alteration away."""
+    h = read(spark, d, HEADS)
+    m = op.attach_marks(read(spark, d, MARKS).withColumn("kind", F.lit("natural")), h, read(spark, d, STAVES)).select("page", "id", F.col("kind").alias("accidental"))
+    return h.join(m, ["page", "id"], "left").select("id", F.when(F.col("accidental").isNull(), F.col("id") % 3 - 1).alias("alter_by"), "accidental")
+
+
+WAITING = "SELECT CAST(l_suppkey AS STRING) AS page, CAST(1 AS INT) AS part, l_partkey AS measure_pos, l_orderkey * 10 + l_linenumber AS pos, l_quantity / 8 AS at FROM {lineitem} WHERE l_linenumber = 7"
+
+
+@query("l45_free_lane", f"""{with_(n=NOTES, r=WAITING)}, m AS (SELECT r.page, r.measure_pos, r.pos, n.lane, bool_or(n.onset <= r."at" AND r."at" < n.onset + n.quarters) AS busy FROM r JOIN n ON r.page = n.page AND r.part = n.part AND r.measure_pos = n.measure_pos GROUP BY ALL) SELECT page, measure_pos, pos, min(lane) AS lane FROM m WHERE NOT busy GROUP BY ALL""".replace("AS at FROM", 'AS "at" FROM'))
+def l45(spark, d):
+    """A rest goes to the first lane that does not sound at its onset."""
+    n, r = read(spark, d, NOTES), read(spark, d, WAITING)
+    met = r.join(n.drop("pos"), op.MEASURE).withColumn("busy", (F.col("onset") <= F.col("at")) & (F.col("at") < F.col("onset") + F.col("quarters")))
+    free = met.groupBy("page", "measure_pos", "pos", "lane").agg(F.bool_or("busy").alias("busy")).where("not busy")
+    return free.groupBy("page", "measure_pos", "pos").agg(F.min("lane").alias("lane"))
+
+
+ONE_NOTE = "SELECT CAST(l_suppkey AS STRING) AS page, CAST(1 AS INT) AS part, l_partkey % 50 AS measure_pos, l_orderkey * 10 + l_linenumber AS pos, CAST(l_linenumber % 3 AS INT) AS lane, min(CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_quantity / 8 END) AS onset, CAST(1 + l_orderkey % 3 AS DOUBLE) / 2 AS quarters, min(l_extendedprice) / 1000 AS x FROM {lineitem} GROUP BY l_suppkey, l_partkey % 50, l_orderkey, l_linenumber"
+
+
+@query("l48_delayed_onsets", f"""{with_(n=ONE_NOTE)}, f AS (SELECT *, row_number() OVER (PARTITION BY page, measure_pos, lane ORDER BY x, pos) AS k, sum(quarters) OVER (PARTITION BY page, measure_pos, lane) AS total FROM n), l AS (SELECT *, min(x) OVER w AS x0, max(total) OVER w AS most FROM f WHERE k = 1 WINDOW w AS (PARTITION BY page, measure_pos)),
+o AS (SELECT l.page, l.measure_pos, l.lane, n.onset AS forward, row_number() OVER (PARTITION BY l.page, l.measure_pos, l.lane ORDER BY abs(n.x - l.x), n.pos) AS k FROM l JOIN n ON l.page = n.page AND l.measure_pos = n.measure_pos AND l.lane <> n.lane AND abs(n.x - l.x) <= 12 WHERE l.onset = 0 AND l.x - l.x0 >= 18 AND l.total < l.most) SELECT page, measure_pos, lane, forward FROM o WHERE k = 1 AND forward > 0""")
+def l48(spark, d):
+    return op.delayed_onsets(read(spark, d, ONE_NOTE)).select("page", "measure_pos", "lane", "forward")
+
+
+@query("l49_lane_offsets", f"""{with_(n=ONE_NOTE)}, l AS (SELECT page, measure_pos, lane, sum(quarters) AS total, min(x) AS x0 FROM n GROUP BY ALL), r AS (SELECT page, measure_pos, lane AS ruler FROM (SELECT *, row_number() OVER (PARTITION BY page, measure_pos ORDER BY total DESC, x0, lane) AS k FROM l) WHERE k = 1)
+SELECT l.page, l.measure_pos, l.lane, sum(CASE WHEN n.x < l.x0 - 1e-6 THEN n.quarters ELSE 0 END) AS "offset" FROM l JOIN r ON l.page = r.page AND l.measure_pos = r.measure_pos AND l.lane <> r.ruler JOIN n ON n.page = l.page AND n.measure_pos = l.measure_pos AND n.lane = r.ruler GROUP BY ALL""")
+def l49(spark, d):
+    return op.lane_offsets(read(spark, d, ONE_NOTE).withColumn("is_chord", F.lit(False))).select("page", "measure_pos", "lane", "offset")
+
+
+BEAMED = "SELECT CAST(o_custkey AS STRING) AS page, CAST(1 AS INT) AS part, CAST(1 AS INT) AS measure_pos, o_orderkey AS pos, CAST(o_orderkey % 2 AS INT) AS voice, CAST(1 AS INT) AS staff, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey % 3 AS INT) END AS beam, CAST(1 + o_orderkey % 4 AS INT) AS level FROM {orders}"
+
+
+@query("l51_secondary_beams", f"""{with_(n=BEAMED)}, b AS (SELECT *, coalesce(lag(level) OVER w, 0) AS l, coalesce(lead(level) OVER w, 0) AS r, row_number() OVER w = 1 AS first FROM n WHERE beam IS NOT NULL WINDOW w AS (PARTITION BY page, measure_pos, voice, staff, beam ORDER BY pos)), u AS (SELECT *, unnest(generate_series(2, level)) AS number FROM b WHERE level >= 2)
+SELECT page, pos, CAST(number AS INTEGER) AS number, CASE WHEN l >= number AND r >= number THEN 'continue' WHEN l >= number THEN 'end' WHEN r >= number THEN 'begin' WHEN first THEN 'forward hook' ELSE 'backward hook' END AS mark FROM u""")
+def l51(spark, d):
+    return op.secondary_beams(read(spark, d, BEAMED)).select("page", "pos", "number", "mark")
+
+
+BRACKETS = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, CAST(event_id * 7919 % 5000 AS DOUBLE) / 10 AS left, CAST(230 + event_id % 130 AS DOUBLE) AS top, CAST(event_id * 7919 % 5000 AS DOUBLE) / 10 + 30 + event_id * 13 % 450 AS right, CAST(240 + event_id % 130 + event_id % 23 AS DOUBLE) AS bottom, CAST(event_id % 10 AS DOUBLE) / 10 AS run_share, event_id % 2 = 0 AS hook FROM {events}"
+
+
+@query("l56_sustain", f"""{with_(c=BRACKETS.replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))}, g AS (SELECT * FROM c WHERE ("right" - "left") / 10 BETWEEN 5 AND 42 AND bottom - top <= {t(2.8)} AND (top - 220 - 20) / 10 BETWEEN 1.2 AND 9 AND run_share >= 0.55 AND (hook OR "right" - "left" >= 80))
+SELECT page, id FROM (SELECT *, row_number() OVER (PARTITION BY page, round_even("left" / 4, 0), round_even("right" / 4, 0) ORDER BY id) AS n FROM g) WHERE n = 1""")
+def l56(spark, d):
+    return op.sustain_brackets(read(spark, d, BRACKETS), read(spark, d, STAVES)).select("page", "id")
+
+
+SHEETS = "SELECT CAST(o_custkey AS STRING) AS page, CAST(o_custkey % 10 AS STRING) AS part, o_orderkey AS measure_pos, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 7 AS STRING) END AS meter, o_orderkey % 11 = 0 AS new_system FROM {orders}"
+SHEET_ORDER = "SELECT CAST(c_custkey AS STRING) AS page, CAST(c_custkey * 7919 % 100003 AS INT) AS n FROM {customer}"
+
+
+@query("l59_join_pages", f"""{with_(m=SHEETS, p=SHEET_ORDER)}, j AS (SELECT m.*, p.n FROM m JOIN p ON m.page = p.page) SELECT part, measure_pos, last_value(meter IGNORE NULLS) OVER (PARTITION BY part ORDER BY n, measure_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS meter, CAST(row_number() OVER (PARTITION BY part ORDER BY n, measure_pos) AS INTEGER) AS number, new_system OR row_number() OVER (PARTITION BY part, n ORDER BY measure_pos) = 1 AND n > 1 AS new_system FROM j""")
+def l59(spark, d):
+    return op.join_pages(read(spark, d, SHEETS), read(spark, d, SHEET_ORDER)).select("part", "measure_pos", "meter", "number", "new_system")

@@ -179,14 +179,6 @@ def l02(spark, d):
     return score.detect_staves(page_lines(spark)).where("error is null").agg(F.count("*").cast("int").alias("staves"))
 
 
-@query("l09_events_on_staves", "SELECT * FROM (VALUES (1, 1), (2, 2)) t(id, staff)")
-def l09(spark, d):
-    from .legacy import staves
-
-    p = rows(spark, "page string, id int, x double, y double", ("p", 1, 50.0, 130.0), ("p", 2, 50.0, 200.0), ("p", 3, 50.0, 400.0), ("p", 4, 700.0, 100.0))
-    return legacy.nearest_staff(p, staves(spark), 2.0, 5.0).select("id", "staff")
-
-
 @query("l20_line_fit", "SELECT o_custkey, round(regr_slope(o_totalprice, o_orderkey), 6) AS slope, round(regr_intercept(o_totalprice, o_orderkey) + regr_slope(o_totalprice, o_orderkey) * 1000, 2) AS at_1000 FROM orders GROUP BY 1 HAVING count(*) >= 5")
 def l20(spark, d):
     """A line through a group's points and its height at a place."""
@@ -194,22 +186,6 @@ def l20(spark, d):
     return o.select("o_custkey", F.round("s", 6).alias("slope"), F.round(F.col("i") + F.col("s") * 1000, 2).alias("at_1000"))
 
 
-@query("l26_long_arcs", "SELECT * FROM (VALUES (1, 'slur')) t(arc, kind)")
-def l26(spark, d):
-    """Wider windows for long arcs, a stricter score."""
-    n = rows(spark, "page string, staff int, id int, x double, y double, pitch string", ("p", 1, 1, 10.0, 100.0, "C4"), ("p", 1, 2, 250.0, 110.0, "E4"))
-    a = rows(spark, "page string, arc int, x0 double, y0 double, x1 double, y1 double", ("p", 1, 32.0, 105.0, 228.0, 105.0), ("p", 2, 60.0, 105.0, 228.0, 105.0))
-    return legacy.pair_arcs(a, n, 10.0, dx=2.6, most=7.0).select("arc", "kind")
-
-
-@query("l28_beam_hooks", "SELECT * FROM (VALUES (1, 1)) t(strip, id)")
-def l28(spark, d):
-    """A short strip at one stem counts as a hook: one group is enough."""
-    s = rows(spark, "page string, id int, stem_x double, stem_top double, stem_bottom double", ("p", 1, 20.0, 20.0, 60.0))
-    b = rows(spark, "page string, id int, x0 double, y0 double, x1 double, y1 double, points_n int, area double", ("p", 1, 20.0, 25.0, 32.0, 25.0, 4, 40.0), ("p", 2, 20.0, 90.0, 32.0, 90.0, 4, 40.0))
-    return legacy.strip_members(s, b, 10.0, groups=1).select("strip", "id")
-
-
 @query("l31_run_ends", """SELECT user_id, run, min(event_id) AS start, max(event_id) AS stop FROM (SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) GROUP BY 1, 2 HAVING count(*) >= 2""", run="BIGINT")
 def l31(spark, d):
     """First and last of a run, for what hangs on its ends."""
@@ -217,23 +193,6 @@ def l31(spark, d):
     return e.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("start"), F.max("event_id").alias("stop")).where("n >= 2").drop("n")
 
 
-@query("l35_barline_chains", "SELECT * FROM (VALUES (50, 1, 100.0, 260.0), (90, 1, 100.0, 140.0), (90, 2, 220.0, 260.0)) t(x, chain, top, bottom)", top="DOUBLE", bottom="DOUBLE")
-def l35(spark, d):
-    """Pieces at one x that touch within half a space are one bar."""
-    p = rows(spark, "page string, x int, top double, bottom double", ("p", 50, 100.0, 140.0), ("p", 50, 143.0, 218.0), ("p", 50, 220.0, 260.0), ("p", 90, 100.0, 140.0), ("p", 90, 220.0, 260.0))
-    return win.merge_islands(p, ["page", "x"], "top", "bottom", 5.0, "chain").groupBy("x", F.col("chain").cast("int")).agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-
-
-@query("l41_naturals", "SELECT * FROM (VALUES (1, NULL, 'natural'), (2, 1, NULL)) t(id, alter_by, accidental)")
-def l41(spark, d):
-    """A natural is written and takes the alteration away."""
-    from .legacy import staves
-
-    n = rows(spark, "page string, staff int, id int, x double, y double, alter_by int", ("p", 1, 1, 50.0, 100.0, 1), ("p", 1, 2, 90.0, 100.0, 1))
-    m = legacy.attach_marks(rows(spark, "page string, id int, kind string, x double, y double", ("p", 7, "natural", 40.0, 100.0)), n, staves(spark)).select("page", "id", F.col("kind").alias("accidental"))
-    return n.join(m, ["page", "id"], "left").select("id", F.when(F.col("accidental").isNull(), F.col("alter_by")).alias("alter_by"), "accidental")
-
-
 @query("q07_visible_state", """SELECT event_id, state FROM (SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state,
 row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 AND state IS NOT NULL""")
 def q07(spark, d):
@@ -333,46 +292,3 @@ def l04(spark, d):
 
     c = svg.parse_column(spark.createDataFrame([("p.svg", SVG)], "path string, content string"), "path", "content")
     return c.groupBy("path").agg(F.count_if("is_use").cast("int").alias("from_use"), F.count_if(~F.col("is_use")).cast("int").alias("direct"))
-
-
-@query("l14_relations", "SELECT * FROM (VALUES (1, 1, 21, 'up'), (2, 2, 22, 'down')) t(id, staff, line, direction)")
-def l14(spark, d):
-    """Heads get their staff and their stem, and the stem its direction."""
-    from .legacy import staves
-
-    h = rows(spark, "page string, id int, x double, y double, stem_x double", ("p", 1, 10.0, 100.0, None), ("p", 2, 60.0, 210.0, None))
-    l = rows(spark, "page string, id int, x double, top double, bottom double", ("p", 21, 15.0, 20.0, 98.0), ("p", 22, 55.0, 208.0, 300.0))  # noqa: E741
-    on = legacy.nearest_staff(h, staves(spark), 2.0, 5.0).select("page", "id", "staff")
-    return on.join(legacy.long_stems(h, l, 10.0), ["page", "id"]).select("id", "staff", "line", "direction")
-
-
-@query("l30_compact_arcs", "SELECT * FROM (VALUES (1, 'tie')) t(arc, kind)")
-def l30(spark, d):
-    n = rows(spark, "page string, staff int, id int, x double, y double, pitch string", ("p", 1, 1, 10.0, 100.0, "C4"), ("p", 1, 2, 24.0, 100.0, "C4"))
-    a = rows(spark, "page string, arc int, x0 double, y0 double, x1 double, y1 double, points_n int", ("p", 1, 12.0, 105.0, 23.0, 105.0, 20), ("p", 2, 12.0, 205.0, 23.0, 205.0, 20))
-    dense = a.where((F.col("points_n") >= 16) & ((F.col("x1") - F.col("x0")) / 10).between(1.10, 1.55))
-    return legacy.pair_arcs(dense, n, 10.0, dx=1.0, most=7.5).select("arc", "kind")
-
-
-@query("l38_default_x", "SELECT * FROM (VALUES (1, 65.0), (3, 90.0)) t(pos, default_x)", default_x="DOUBLE")
-def l38(spark, d):
-    x = rows(spark, "page string, staff int, pos int", ("p", 1, 1), ("p", 1, 3))
-    e = rows(spark, "page string, staff int, id int, x double, y double, direction string", ("p", 1, 12, 40.0, 1.0, None), ("p", 1, 11, 15.0, 1.0, None))
-    return legacy.zip_by_order(x, e, ["page", "staff"]).select("pos", (60 + 10 * (F.col("x") - 10.0) / 10).alias("default_x"))
-
-
-@query("l39_rest_y", "SELECT * FROM (VALUES (2, -20.0)) t(pos, default_y)", default_y="DOUBLE")
-def l39(spark, d):
-    x = rows(spark, "page string, staff int, pos int", ("p", 1, 2))
-    e = rows(spark, "page string, staff int, id int, x double, y double, direction string", ("p", 1, 12, 40.0, 120.0, None))
-    return legacy.zip_by_order(x, e, ["page", "staff"]).select("pos", (-(F.col("y") - 100.0)).alias("default_y"))
-
-
-@query("l45_free_lane", "SELECT * FROM (VALUES (9, 2)) t(pos, lane)")
-def l45(spark, d):
-    """A rest goes to the lane that does not sound at its onset."""
-    n = rows(spark, "page string, part string, measure_pos int, lane int, onset double, quarters double", ("p", "P1", 1, 1, 0.0, 4.0), ("p", "P1", 1, 2, 0.0, 1.0))
-    r = rows(spark, "page string, part string, measure_pos int, pos int, at double", ("p", "P1", 1, 9, 2.0))
-    met = r.join(n, ["page", "part", "measure_pos"]).withColumn("busy", (F.col("onset") <= F.col("at")) & (F.col("at") < F.col("onset") + F.col("quarters")))
-    free = met.groupBy("pos", "lane").agg(F.bool_or("busy").alias("busy")).where("not busy")
-    return free.groupBy("pos").agg(F.min("lane").alias("lane"))
