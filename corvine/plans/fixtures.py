@@ -73,16 +73,6 @@ def grid_of(spark: SparkSession) -> DataFrame:
     return score.logical_grid(page_blocks(spark), meters)
 
 
-@query("g01_staves", """SELECT * FROM (VALUES ('p1', 0, 0, 100.0, 140.0, 4, NULL), ('p1', 0, 1, 220.0, 260.0, 4, NULL), ('p2', NULL, NULL, NULL, NULL, NULL, 'no staff system')) t(page, system, staff, top, bottom, bars, error)""", top="DOUBLE", bottom="DOUBLE")
-def g01(spark, d):
-    return score.detect_staves(page_lines(spark)).select("page", "system", "staff", "top", "bottom", F.when(F.size("bars") >= 0, F.size("bars")).alias("bars"), "error")
-
-
-@query("g02_blocks", """SELECT CAST(p AS INTEGER) AS part, CAST(m AS INTEGER) AS measure, m = 1 AS starts_new_system, 50.0 + 200 * (m - 1) AS "left", 50.0 + 200 * m AS "right" FROM generate_series(1, 2) a(p), generate_series(1, 3) b(m)""", left="DOUBLE", right="DOUBLE")
-def g02(spark, d):
-    return page_blocks(spark).selectExpr("part", "measure", "starts_new_system", "`left`", "`right`")
-
-
 @query("g04_block_assignment", """SELECT * FROM (VALUES (1, 1, 1, 'PartMeasure'), (2, 1, 1, 'PartMeasure'), (3, NULL, 1, 'Measure'), (4, NULL, 3, 'Measure')) t(id, part, measure, scope)""")
 def g04b(spark, d):
     """A piece inside, one beside it, one between two blocks, one far off."""
@@ -91,19 +81,6 @@ def g04b(spark, d):
     return score.assign_blocks(p, page_blocks(spark)).select("id", "part", "measure", "scope")
 
 
-@query("p08_garbage_filter", "SELECT * FROM (VALUES (1), (3)) t(id)")
-def p08g(spark, d):
-    rows = [("p1", 1, 0.0, 0.0, 500.0, 50.0), ("p1", 2, 0.0, 0.0, 500.0, 150.0), ("p1", 3, 0.0, 0.0, 100.0, 150.0)]
-    return score.drop_garbage(spark.createDataFrame(rows, "page string, id int, left double, top double, right double, bottom double"), page_blocks(spark)).select("id")
-
-
-@query("p09_staff_line_filter", "SELECT * FROM (VALUES (2), (3)) t(id)")
-def p09(spark, d):
-    rows = [("p1", 1, 50.0, 109.5, 650.0, 110.5), ("p1", 2, 50.0, 114.5, 650.0, 115.5), ("p1", 3, 60.0, 109.0, 90.0, 111.0)]
-    lines = page_lines(spark).where("y1 = y2").select("page", F.col("y1").alias("y"))
-    return score.drop_staff_lines(spark.createDataFrame(rows, "page string, id int, left double, top double, right double, bottom double"), lines, page_blocks(spark)).select("id")
-
-
 @query("g07_g08_symbols_and_ink", "SELECT * FROM (VALUES (1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 4)) t(id, symbol, child)")
 def g0708(spark, d):
     """The largest takes what overlaps it; its ink falls apart where boxes share under one hundredth."""
@@ -114,16 +91,6 @@ def g0708(spark, d):
     return s.join(score.split_ink(s), ["page", "id"]).select(F.col("id").cast("int"), F.col("symbol").cast("int"), F.col("child").cast("int"))
 
 
-@query("g09_meters", "SELECT * FROM (VALUES (1, 1, 4, 4, 'Left'), (2, 1, 4, 4, 'Left')) t(part, measure, beats, beat_value, side)")
-def g09(spark, d):
-    return resolved(spark)["meters"].select("part", "measure", "beats", "beat_value", "side")
-
-
-@query("g10_grid", "SELECT CAST(p AS INTEGER) AS part, CAST(m AS INTEGER) AS measure, 4 AS beats, 32 AS units FROM generate_series(1, 2) a(p), generate_series(1, 3) b(m)")
-def g10(spark, d):
-    return resolved(spark)["grid"].select("part", "measure", "beats", "units")
-
-
 @query("g11_clefs", "SELECT * FROM (VALUES (1, 'G'), (2, 'F')) t(id, label)")
 def g11c(spark, d):
     return resolved(spark)["clefs"].select(F.col("id").cast("int"), "label")
@@ -140,12 +107,6 @@ def g13(spark, d):
     return resolved(spark)["heads"].select(F.col("id").cast("int"), "position", "step", "octave", "filled")
 
 
-@query("g18_flags", "SELECT * FROM (VALUES (30, 40, 8)) t(stem, flag, denominator)")
-def g18(spark, d):
-    """The wrong way round and names that do not end in th are not flags."""
-    return resolved(spark)["flags"].select(F.col("stem").cast("int"), F.col("flag").cast("int"), "denominator")
-
-
 @query("g22_accidentals", "SELECT * FROM (VALUES (50, 'sharp', 10), (51, 'flat', 11)) t(id, label, head)")
 def g22a(spark, d):
     return resolved(spark)["accidentals"].select(F.col("id").cast("int"), "label", F.col("head").cast("int"))
@@ -280,11 +241,6 @@ def scores(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("a.musicxml", SCORE), ("b.musicxml", SCORE.replace("<step>D", "<step>A")), ("broken.musicxml", "<score-partwise><part>")], "path string, content string")
 
 
-@query("s08_s09_timed_notes", """SELECT * FROM (VALUES ('1', 'C', 0.0, 2.0), ('1', 'E', 0.0, 2.0), ('1', 'D', 2.0, 2.0), ('1', NULL, 0.0, 1.0), ('1', 'F', 2.0, 2.0), ('2', 'G', 0.0, 4.0)) t(measure, step, position, quarters)""", position="DOUBLE", quarters="DOUBLE")
-def s08(spark, d):
-    return musicxml.timed_events(musicxml.parse_column(scores(spark), "path", "content").where("path = 'a.musicxml'")).select("measure", "step", F.col("position").cast("double"), "quarters")
-
-
 @query("s11_attribute_state", "SELECT * FROM (VALUES ('1', 'G2', '1', 4), ('2', 'G2', '1', 4)) t(measure, clef, key, beats)")
 def s11(spark, d):
     return musicxml.attribute_state(musicxml.parse_column(scores(spark), "path", "content").where("path = 'a.musicxml'")).select("measure", "clef", "key", "beats")
@@ -295,14 +251,6 @@ def s24(spark, d):
     return musicxml.parse_column(scores(spark), "path", "content").where("error is not null").select("path", F.lit(True).alias("failed"))
 
 
-@query("s19_q06_round_trip", "SELECT 0 AS changed")
-def s19(spark, d):
-    before = iterate.cut(musicxml.parse_column(scores(spark), "path", "content").where("error is null"))
-    after = musicxml.parse_column(musicxml.write_scores(before), "path", "content")
-    cols = ["kind", "step", "octave", "alter", "duration", "voice", "type", "is_chord", "is_rest"]
-    return quality.round_trip(before, after, ["path", "part", "measure"], ["measure_pos", "pos"], cols).agg(F.count("*").cast("int").alias("changed"))
-
-
 @query("q03_note_diff", "SELECT * FROM (VALUES ('C', 'matched'), ('E', 'matched'), ('F', 'matched'), ('G', 'matched'), ('D', 'missing'), ('A', 'extra')) t(step, verdict)")
 def q03(spark, d):
     n = iterate.cut(musicxml.notes(musicxml.parse_column(scores(spark), "path", "content")).where("not is_rest"))
@@ -341,12 +289,6 @@ def q02(spark, d):
 SVG = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink"><defs><path id="g" d="M0 0h2v2h-2z m1 1 q1 0 1 1"/></defs><g transform="translate(10,20)"><use xlink:href="#g" x="1" y="2"/><line x1="0" y1="0" x2="5" y2="0"/></g><rect x="1" y="1" width="3" height="4"/><path d="M1 1 C 1 2 3 2 3 1 S 5 0 5 1 Z"/></svg>'
 
 
-@query("s04_s05_svg_contours", """SELECT * FROM (VALUES (0, 'path', true, 11.0, 22.0, 13.0, 24.0), (1, 'path', true, 12.0, 23.0, 13.0, 24.0), (2, 'line', false, 10.0, 20.0, 15.0, 20.0), (3, 'rect', false, 1.0, 1.0, 4.0, 5.0), (4, 'path', false, 1.0, 0.25, 5.0, 1.75)) t(id, element, is_use, "left", top, "right", bottom)""", left="DOUBLE", top="DOUBLE", right="DOUBLE", bottom="DOUBLE")
-def s04(spark, d):
-    pages = spark.createDataFrame([("p.svg", SVG)], "path string, content string")
-    return svg.parse_column(pages, "path", "content").selectExpr("id", "element", "is_use", *[f"round(`{c}`, 3) `{c}`" for c in ("left", "top", "right", "bottom")])
-
-
 @query("s06_svg_segments", "SELECT * FROM (VALUES ('line', 1), ('rect', 4)) t(element, n)")
 def s06(spark, d):
     c = svg.parse_column(spark.createDataFrame([("p.svg", SVG)], "path string, content string"), "path", "content")
@@ -360,15 +302,6 @@ def g25(spark, d):
     return svg.with_group_contours(c).where("id < 3").select("id", F.size("group_contours").cast("int").alias("together"))
 
 
-@query("s07_path_grammar", "SELECT * FROM (VALUES ('M0,0L1 0 1 1', '0 0|1 0|1 1'), ('m1 1h2v-1z', '1 1|3 1|3 0|1 1'), ('M0 0 L', '0 0'), ('M0 0 5 5 M1 1', '0 0|5 5/1 1')) t(d, points)")
-def s07(spark, d):
-    @F.pandas_udf("string")
-    def points(s):
-        return s.map(lambda x: "/".join("|".join(f"{a:g} {b:g}" for a, b in c) for c in svg.flatten(x)))
-
-    return spark.createDataFrame([(x,) for x in ("M0,0L1 0 1 1", "m1 1h2v-1z", "M0 0 L", "M0 0 5 5 M1 1")], "d string").select("d", points("d").alias("points"))
-
-
 @query("s17_sidecar", """SELECT * FROM (VALUES ('Title', 'Two: parts', NULL, NULL, NULL), ('Tempo', '96', NULL, NULL, NULL), ('34-1-L', 'dolce', 34, 1, 'L')) t(key, value, measure, staff, align)""")
 def s17(spark, d):
     from ..sources.text import sidecar_rows

@@ -40,14 +40,6 @@ def s03(spark, d):
     return global_rank(p, [fn.natural_key(F.col("name"))], "n").select("page_id", F.col("n").cast("long").alias("n"))
 
 
-@query("s10_note_rows", "SELECT * FROM (VALUES ('1', 4, 1), ('2', 1, 0)) t(measure, notes, chords)")
-def s10(spark, d):
-    from ..sources import musicxml
-
-    n = musicxml.notes(musicxml.parse_column(scores(spark), "path", "content").where("path = 'a.musicxml'")).where("not is_rest")
-    return n.groupBy("measure").agg(F.count("*").cast("int").alias("notes"), F.count_if("is_chord").cast("int").alias("chords"))
-
-
 @query("s13_reference_lookup", "SELECT p_brand, count(*) AS n, min(p_retailprice) AS low FROM part WHERE p_type IN (SELECT DISTINCT p_type FROM part WHERE p_size = 1) GROUP BY 1")
 def s13(spark, d):
     p = table(spark, d, "part")
@@ -172,13 +164,6 @@ def d15(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("count")).select("label", F.to_json(F.struct(F.col("label").alias("class"), "count")).alias("model"))
 
 
-@query("l02_staff_windows", "SELECT 2 AS staves")
-def l02(spark, d):
-    from .fixtures import page_lines
-
-    return score.detect_staves(page_lines(spark)).where("error is null").agg(F.count("*").cast("int").alias("staves"))
-
-
 @query("l20_line_fit", "SELECT o_custkey, round(regr_slope(o_totalprice, o_orderkey), 6) AS slope, round(regr_intercept(o_totalprice, o_orderkey) + regr_slope(o_totalprice, o_orderkey) * 1000, 2) AS at_1000 FROM orders GROUP BY 1 HAVING count(*) >= 5")
 def l20(spark, d):
     """A line through a group's points and its height at a place."""
