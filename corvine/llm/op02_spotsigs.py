@@ -8,7 +8,7 @@ empty text (no letter or digit) has none, and two empty sets are alike (1.0).
 ``near_groups`` is the join: documents of equal sets are one class; sets are partitioned by length so that only sets in
 the same or the next partition can reach the threshold; within those, only sets that share a signature of their prefixes (rarest first) can. Each such
 bucket (signature, partition) first compares its members with its hub, the smallest of them, which joins a family of any size by as many comparisons
-as members; only members of a bucket that are not linked by then meet each other. Lengths prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
+as members; only members of a bucket that are not linked by then meet each other. Lengths and the places of the shared signature prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
 representatives instead, for small inputs.
 
 The query needs each document's successor in descending id order without sorting in one task: ids are cut into ranges at
@@ -73,17 +73,20 @@ def partitioned(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """cid, n, part, sig: the signatures of each class's prefix, rarest first, that another class has too."""
+    """cid, n, part, sig, place: the signatures of each class's prefix, rarest first, that another class has too."""
     each = classes.select("cid", "n", "part", F.explode("sigs").alias("sig"))
     shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     mine = Window.partitionBy("cid")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "sig"))  # after the ones that no other has
     ranked = each.join(shared, "sig").withColumn("place", place)
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cid", "n", "part", "sig")
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cid", "n", "part", "sig", "place")
 
 
-def long_enough(a: str, b: str, threshold: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+def may_reach(a: tuple[str, str], b: tuple[str, str], threshold: float) -> Column:
+    """Whether two sets, each given by its size and the place of a signature that both have, can reach the threshold: by their sizes, and by what follows that
+    signature, if it is the first that they share. (They meet at the first one in any case.)"""
+    (n, i), (m, j) = ((F.col(x) for x in pair) for pair in (a, b))
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (1 + F.least(n - i, m - j) >= (n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -105,9 +108,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     Empty sets are linked with nothing; null ids belong to no class."""
     marked, classes = spot_classes(docs, threshold)
     prefix = materialize(prefixes(classes, threshold), "spot-prefixes")
-    left = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("cid").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("sig", "part", F.col("cid").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, ["sig", "part"]).where((F.col("a") != F.col("b")) & long_enough("na", "nb", threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"))
+    right = prefix.select("sig", "part", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"))
+    met = left.join(right, ["sig", "part"]).where((F.col("a") != F.col("b")) & may_reach(("na", "i"), ("nb", "j"), threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = (classes.select(F.col("cid").alias(c), F.col("class_id").alias(f"id_{c}")) for c in "ab")
     named = similar(met, classes, threshold).join(x, "a").join(y, "b")
     members = marked.where("doc_id is not null").join(classes.select("__key", "class_id"), "__key").select("doc_id", "class_id")
@@ -118,15 +121,15 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_signatures, class_id (the least id with an equal set) and group_id (the least id reachable by links of Jaccard >= threshold) for every row."""
     marked, classes = spot_classes(docs, threshold)
     prefix = materialize(prefixes(classes, threshold).withColumn("bucket", F.explode(F.array("part", F.col("part") + 1))).drop("part"), "spot-buckets")
-    hubs = prefix.groupBy("sig", "bucket").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last").select("sig", "bucket", F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"))
-    tested = prefix.join(hubs, ["sig", "bucket"]).where((F.col("cid") != F.col("a")) & long_enough("na", "n", threshold)).select("a", F.col("cid").alias("b")).distinct()
+    hubs = prefix.groupBy("sig", "bucket").agg(F.min(F.struct("cid", "n", "place")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last").select("sig", "bucket", F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.place").alias("i"))
+    tested = prefix.join(hubs, ["sig", "bucket"]).where((F.col("cid") != F.col("a")) & may_reach(("na", "i"), ("n", "place"), threshold)).select("a", F.col("cid").alias("b")).distinct()
     near = materialize(similar(tested, classes, threshold).select("a", "b"), "spot-links")
     labels = components(near)
-    known = prefix.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "bucket", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    known = prefix.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "bucket", "cid", "n", "place", F.coalesce("label", "cid").alias("label"))
     mixed = known.groupBy("sig", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("hub")).where("lo < hi").select("sig", "bucket", "hub")
     open_ = materialize(known.join(mixed, ["sig", "bucket"]).where("cid <> hub").drop("hub"), "spot-open")
-    other = open_.select("sig", "bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-    met = open_.join(other, ["sig", "bucket"]).where((F.col("cid") < F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "nb", threshold)).select(F.col("cid").alias("a"), "b").distinct()
+    other = open_.select("sig", "bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("label").alias("label_b"))
+    met = open_.join(other, ["sig", "bucket"]).where((F.col("cid") < F.col("b")) & (F.col("label") != F.col("label_b")) & may_reach(("n", "place"), ("nb", "j"), threshold)).select(F.col("cid").alias("a"), "b").distinct()
     labels = components(near.unionByName(similar(met, classes, threshold).select("a", "b")))
     release(open_)
     release(prefix)
