@@ -38,7 +38,7 @@ from .common import bound_batches, id_bucket, materialize, table
 DEPTH = 6
 ROOT = 3
 END = b"\n"
-BLOCK = 64 << 20
+BLOCK = 32 << 20
 #: Bytes coded at once, and n-grams and words of a block held before they are told.
 AT_ONCE, HELD, HELD_WORDS = 1 << 20, 1 << 22, 1_000_000
 GRAMS, WORDS = 0, 1
@@ -399,11 +399,10 @@ def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFra
     arrow = to_arrow_schema(schema)
 
     def words_known(found: list[tuple]) -> dict[bytes, float]:
-        """log10(count + 0.5) of the words that were learned."""
+        """log10(count + 0.5) of a block's words; above 0 for those that were learned."""
         known: dict[bytes, float] = {}
         for items, n in found:
-            n = unpack(n)
-            known.update((w, x) for w, k, x in zip(unpack_words(items), n.tolist(), np.log10(n + 0.5).tolist(), strict=True) if k)
+            known.update(zip(unpack_words(items), np.log10(unpack(n) + 0.5).tolist(), strict=True))
         return known
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -412,7 +411,7 @@ def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFra
             told[kind].append((items, x))
         code, score = (np.concatenate(x) for x in zip(*[(unpack_grams(x, depth, root), unpack_floats(y)) for x, y in told[GRAMS]], strict=True))
         code, first = np.unique(code, return_index=True)
-        score = score[first].astype(float)
+        score = score[first]
         known = words_known(told[WORDS])
 
         def sums(streams: list[bytes], n: int) -> np.ndarray:
@@ -422,7 +421,7 @@ def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFra
             first = np.flatnonzero(np.diff(asked, prepend=-1))
             place = np.searchsorted(code, asked[first])
             assert (code[np.minimum(place, len(code) - 1)] == asked[first]).all(), "an n-gram has no answer"
-            return np.bincount(stream[order], weights=np.repeat(score[place], np.diff(first, append=len(asked))), minlength=n)
+            return np.bincount(stream[order], weights=np.repeat(score[place].astype(float), np.diff(first, append=len(asked))), minlength=n)
 
         out = []
         for packed in texts["rows"]:
@@ -431,10 +430,10 @@ def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFra
             for t in rows["text"]:
                 t = t.as_py()
                 words = words_of(t)
-                hits = [known[w] for w in words if w in known]
+                each = np.fromiter(map(known.__getitem__, words), float, len(words))
                 (stream,) = streams_of(t)
-                counts.append((len(words) + 1, len(hits) + (ends > 0), len(stream)))
-                base.append(sum(hits) + math.log10(0.5) * (len(words) - len(hits)) + math.log10(ends + 0.5) - (len(words) + 1) * least)
+                counts.append((len(words) + 1, int((each > 0).sum()) + (ends > 0), len(stream)))
+                base.append(float(each.sum()) + math.log10(ends + 0.5) - (len(words) + 1) * least)
                 some.append(stream)
                 size += len(stream)
                 if size > AT_ONCE:
