@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.musicxml import tree_diff
 from .aggregates import precision_recall
 from .grouped import match_by_tolerance
+from .iterate import global_rank
 from .joins import full_outer, rank_match
 
 
@@ -34,6 +35,13 @@ def summary(diff: DataFrame, by: list = ()) -> DataFrame:
     return c.select("*", *precision_recall(*[F.col(v) for v in ("matched", "mismatched", "missing", "extra")]))
 
 
+def report(diff: DataFrame, by: list, worst: int) -> DataFrame:
+    """The tables of a report: the summary of each group with its rank, the worst first by F1, then by what is missing, then by its keys; and whether it is among the ``worst``."""
+    s = summary(diff, by)
+    ranked = global_rank(s, ["f1", F.desc("missing"), *by], "rank")
+    return ranked.withColumn("worst", F.col("rank") <= worst)
+
+
 def match_events(expected: DataFrame, actual: DataFrame, keys: list, tolerance: float = 0.5) -> DataFrame:
     """Events (id, position, step, octave, quarters) matched in time per key; a match is wrong if pitch or duration differ."""
     m = match_by_tolerance(expected, actual, keys, "position", "id", tolerance, "step")

@@ -215,18 +215,6 @@ def d0102(spark, d):
     return glyph.with_fourier_distance(found, "fourier", "rf", "d").groupBy("name").agg(F.min_by("ref", F.struct("d", "ref")).alias("nearest"))
 
 
-@query("d05_d06_numbers", "SELECT * FROM (VALUES (0, '12', 0.6), (1, '4', 0.5)) t(number, label, confidence)", confidence="DOUBLE")
-def d0506(spark, d):
-    rows = [("m", 1, 0.0, "1", 0.6, False), ("m", 2, 5.0, "2", 0.6, True), ("m", 3, 20.0, "4", 0.5, False)]
-    p = spark.createDataFrame(rows, "m string, id int, left double, label string, confidence double, gap_after boolean")
-    return glyph.number_candidates(p, ["m"], "id").select(F.col("number").cast("int"), "label", F.round("confidence", 6).alias("confidence"))
-
-
-@query("d11_composed_numbers", "SELECT CAST(i AS VARCHAR) AS label FROM generate_series(0, 16) t(i)")
-def d11(spark, d):
-    return glyph.compose_numbers(spark.createDataFrame([("f", str(i)) for i in range(10)], "source string, label string"), 16).select("label")
-
-
 # Sources and comparison ---------------------------------------------------------------------------------------------
 SCORE = """<?xml version="1.0"?><!DOCTYPE score-partwise><score-partwise version="4.0"><part-list><score-part id="P1"><part-name/></score-part></part-list><part id="P1"><measure number="1">
 <attributes><divisions>4</divisions><key><fifths>1</fifths></key><time><beats>4</beats><beat-type>4</beat-type></time><clef><sign>G</sign><line>2</line></clef></attributes>
@@ -241,22 +229,6 @@ def scores(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("a.musicxml", SCORE), ("b.musicxml", SCORE.replace("<step>D", "<step>A")), ("broken.musicxml", "<score-partwise><part>")], "path string, content string")
 
 
-@query("s11_attribute_state", "SELECT * FROM (VALUES ('1', 'G2', '1', 4), ('2', 'G2', '1', 4)) t(measure, clef, key, beats)")
-def s11(spark, d):
-    return musicxml.attribute_state(musicxml.parse_column(scores(spark), "path", "content").where("path = 'a.musicxml'")).select("measure", "clef", "key", "beats")
-
-
-@query("s24_error_rows", "SELECT 'broken.musicxml' AS path, true AS failed")
-def s24(spark, d):
-    return musicxml.parse_column(scores(spark), "path", "content").where("error is not null").select("path", F.lit(True).alias("failed"))
-
-
-@query("q03_note_diff", "SELECT * FROM (VALUES ('C', 'matched'), ('E', 'matched'), ('F', 'matched'), ('G', 'matched'), ('D', 'missing'), ('A', 'extra')) t(step, verdict)")
-def q03(spark, d):
-    n = iterate.cut(musicxml.notes(musicxml.parse_column(scores(spark), "path", "content")).where("not is_rest"))
-    return quality.multiset_diff(n.where("path = 'a.musicxml'"), n.where("path = 'b.musicxml'"), ["measure", "step", "octave"], ["pos"], ["type", "accidental", "dots"]).select("step", "verdict")
-
-
 @query("q04_event_match_f1", "SELECT 5 AS matched, 1 AS mismatched, 0 AS missing, 0 AS extra, 0.833333 AS f1", f1="DOUBLE")
 def q04(spark, d):
     """The changed note is matched in time and wrong in pitch."""
@@ -289,27 +261,12 @@ def q02(spark, d):
 SVG = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink"><defs><path id="g" d="M0 0h2v2h-2z m1 1 q1 0 1 1"/></defs><g transform="translate(10,20)"><use xlink:href="#g" x="1" y="2"/><line x1="0" y1="0" x2="5" y2="0"/></g><rect x="1" y="1" width="3" height="4"/><path d="M1 1 C 1 2 3 2 3 1 S 5 0 5 1 Z"/></svg>'
 
 
-@query("s06_svg_segments", "SELECT * FROM (VALUES ('line', 1), ('rect', 4)) t(element, n)")
-def s06(spark, d):
-    c = svg.parse_column(spark.createDataFrame([("p.svg", SVG)], "path string, content string"), "path", "content")
-    s = svg.segments(c.where("element in ('line', 'rect')")).join(c.select("id", "element"), "id")
-    return s.groupBy("element").agg(F.count("*").cast("int").alias("n"))
-
-
 @query("g25_instance_groups", "SELECT * FROM (VALUES (0, 2), (1, 2), (2, 1)) t(id, together)")
 def g25(spark, d):
     c = svg.parse_column(spark.createDataFrame([("p.svg", SVG)], "path string, content string"), "path", "content")
     return svg.with_group_contours(c).where("id < 3").select("id", F.size("group_contours").cast("int").alias("together"))
 
 
-@query("s17_sidecar", """SELECT * FROM (VALUES ('Title', 'Two: parts', NULL, NULL, NULL), ('Tempo', '96', NULL, NULL, NULL), ('34-1-L', 'dolce', 34, 1, 'L')) t(key, value, measure, staff, align)""")
-def s17(spark, d):
-    from ..sources.text import sidecar_rows
-
-    lines = spark.createDataFrame([("score.txt", x) for x in ("Title: Two: parts", "", "no pair", " Tempo :96 ", "34-1-L: dolce")], "path string, value string")
-    return sidecar_rows(lines).drop("path")
-
-
 @query("s18_json_rows", "SELECT json_object('oOrderkey', o_orderkey, 'oOrderstatus', o_orderstatus) AS value FROM orders", value="VARCHAR")
 def s18(spark, d):
     from ..sources.text import to_json_rows

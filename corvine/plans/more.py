@@ -64,12 +64,6 @@ def p10(spark, d):
     return turns.select("name", (F.col("turns") >= 2).alias("wavy"))
 
 
-@query("p15_round_gate", "SELECT * FROM (VALUES ('bar', false), ('ell', false), ('ellipse', true), ('ring', true)) t(name, round)")
-def p15(spark, d):
-    """Circularity of the outer outline, by columns."""
-    return glyph_rows(spark, 0.4, 2.0).select("name", (geo.circularity(F.col("rings")[0]) >= 0.64).alias("round"))
-
-
 @query("j21_distance_join", """SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'click'
 AND power((epoch_us(a.ts) - epoch_us(b.ts)) / 3600e6, 2) + power(a.value - b.value, 2) <= 100""")
 def j21(spark, d):
@@ -85,17 +79,6 @@ def j30(spark, d):
     return joins.nearest_value(s, c, ["k"], "s_acctbal", "c_acctbal", "s_suppkey", "c_custkey").where("gap <= 112").select("s_suppkey", F.col("match").alias("c_custkey"))
 
 
-@query("g03_contours_of_paths", "SELECT * FROM (VALUES ('M0 0L1 1', 1), ('M0 0L1 1ZM5 5h1', 2), ('M0 0L1 1Zl2 2', 2), ('', 0)) t(d, contours)")
-def g03(spark, d):
-    from ..sources import svg
-
-    @F.pandas_udf("int")
-    def count(s):
-        return s.map(lambda x: len(svg.flatten(x)))
-
-    return spark.createDataFrame([(x,) for x in ("M0 0L1 1", "M0 0L1 1ZM5 5h1", "M0 0L1 1Zl2 2", "")], "d string").select("d", count("d").alias("contours"))
-
-
 @query("g06_primitive_chain", "SELECT * FROM (VALUES (1, 'PartMeasure')) t(id, scope)")
 def g06(spark, d):
     """Garbage and staff lines out, then blocks."""
@@ -107,12 +90,6 @@ def g06(spark, d):
     return score.assign_blocks(kept, b).select("id", "scope")
 
 
-@query("g21_label_adapter", "SELECT * FROM (VALUES (1, 'G')) t(id, label)")
-def g21(spark, d):
-    m = rows(spark, "id int, class string, place int, accepted boolean, confidence double", (1, "gClef", 1, True, 0.8), (1, "fClef", 2, None, 0.7), (2, "gClef", 1, False, 0.9), (3, "fClef", 1, True, 0.1), (4, "other", 1, True, 0.9))
-    return glyph.labels(m, "id", {"gClef": "G", "fClef": "F"}, 0.2).select("id", "label")
-
-
 @query("g26_outline_points", "SELECT * FROM (VALUES ('bar', 4), ('ell', 6)) t(name, kept)")
 def g26(spark, d):
     """Outlines thinned to the points that matter: of straight sides the corners."""
@@ -187,16 +164,6 @@ def q07(spark, d):
     return e.withColumn("n", n).where("n = 1 and state is not null").select("event_id", "state")
 
 
-@query("q08_quality_report", "SELECT * FROM (VALUES ('1', 4, 0, 1, 1, 0.8), ('2', 1, 0, 0, 0, 1.0)) t(measure, matched, mismatched, missing, extra, f1)", f1="DOUBLE")
-def q08(spark, d):
-    from ..operators.iterate import cut
-    from ..sources import musicxml
-
-    n = cut(musicxml.notes(musicxml.parse_column(scores(spark), "path", "content")))
-    diff = quality.multiset_diff(n.where("path = 'a.musicxml'"), n.where("path = 'b.musicxml'"), ["measure", "step", "octave"], ["pos"], ["type"])
-    return quality.summary(diff, ["measure"]).select("measure", *[F.col(c).cast("int") for c in ("matched", "mismatched", "missing", "extra")], F.round("f1", 6).alias("f1"))
-
-
 @query("x_shape_names", f"SELECT {len(SHAPES)} AS n")
 def shapes(spark, d):
     """Shapes whose descriptors agree after a turn, a scale and a shift."""

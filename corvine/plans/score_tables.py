@@ -168,3 +168,148 @@ def s07(spark, d):
         return d.map(lambda t: "/".join("|".join(f"{a:g} {b:g}" for a, b in c) for c in svg.flatten(t)))
 
     return s.select("e", points("d").alias("points"))
+
+
+DIFF = """a AS (SELECT l_suppkey AS k, l_linenumber AS m, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice) AS n FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_suppkey AS k, l_linenumber AS m, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice) AS n FROM lineitem WHERE l_returnflag = 'N'),
+x AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.m, b.m) AS m, coalesce(a.n, b.n) AS n, CASE WHEN a.n IS NULL OR b.n IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.q <> b.q THEN 'q' END, CASE WHEN a.d <> b.d THEN 'd' END) END AS differs, a.n IS NULL AS extra, b.n IS NULL AS missing FROM a FULL JOIN b ON a.k = b.k AND a.m = b.m AND a.n = b.n),
+v AS (SELECT k, m, n, differs, CASE WHEN extra THEN 'extra' WHEN missing THEN 'missing' WHEN differs <> '' THEN 'mismatched' ELSE 'matched' END AS verdict FROM x)"""
+SCORED = """c AS (SELECT {0}, count(*) FILTER (WHERE verdict = 'matched') AS matched, count(*) FILTER (WHERE verdict = 'mismatched') AS mismatched, count(*) FILTER (WHERE verdict = 'missing') AS missing, count(*) FILTER (WHERE verdict = 'extra') AS extra FROM v GROUP BY ALL),
+p AS (SELECT *, CASE WHEN matched + mismatched + extra > 0 THEN matched / (matched + mismatched + extra) ELSE 0 END AS pr, CASE WHEN matched + mismatched + missing > 0 THEN matched / (matched + mismatched + missing) ELSE 0 END AS re FROM c), f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM p)"""
+
+
+def line_diff(spark: SparkSession, d: str) -> DataFrame:
+    l = read(spark, d, "SELECT l_suppkey AS k, l_linenumber AS m, l_quantity AS q, l_discount AS d, l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM {lineitem}")  # noqa: E741
+    return quality.multiset_diff(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'N'"), ["k", "m"], ["l_orderkey", "l_partkey", "l_extendedprice"], ["q", "d"])
+
+
+@query("q03_note_diff", f"WITH {DIFF} SELECT k, m, CAST(n AS INTEGER) AS n, verdict, differs FROM v")
+def q03(spark, d):
+    return line_diff(spark, d)
+
+
+@query("q08_quality_report", f"WITH {DIFF}, {SCORED.format('m')} SELECT m, matched, mismatched, missing, extra, round(f1, 6) AS f1 FROM f")
+def q08(spark, d):
+    return quality.summary(line_diff(spark, d), ["m"]).select("m", "matched", "mismatched", "missing", "extra", F.round("f1", 6).alias("f1"))
+
+
+@query("s21_report_tables", f"""WITH {DIFF}, {SCORED.format('k')}, r AS (SELECT *, row_number() OVER (ORDER BY f1, missing DESC, k) AS "rank" FROM f) SELECT k, matched, mismatched, missing, extra, round(f1, 6) AS f1, "rank", "rank" <= 10 AS worst FROM r""")
+def s21(spark, d):
+    """The numbers of a report: every group's counts and scores, ranked, the ten worst marked."""
+    return quality.report(line_diff(spark, d), ["k"], 10).select("k", "matched", "mismatched", "missing", "extra", F.round("f1", 6).alias("f1"), F.col("rank").cast("long").alias("rank"), "worst")
+
+
+@query("s15_coverage", "SELECT f.p_brand AS font, g.p_type AS glyph, count(p.p_partkey) AS n, count(p.p_partkey) > 0 AS covered FROM (SELECT DISTINCT p_brand FROM part) f CROSS JOIN (SELECT DISTINCT p_type FROM part) g LEFT JOIN part p ON p.p_brand = f.p_brand AND p.p_type = g.p_type GROUP BY ALL")
+def s15(spark, d):
+    """Which font has which glyph: every font with every glyph's name. The names of fonts are few and go along with each glyph."""
+    p = read(spark, d, "SELECT p_brand AS font, p_type AS glyph FROM {part}")
+    have = p.groupBy("font", "glyph").agg(F.count("*").alias("n"))
+    fonts = p.agg(F.collect_set("font").alias("fonts")).withColumn("one", F.lit(1))
+    every = p.select("glyph").distinct().withColumn("one", F.lit(1)).join(F.broadcast(fonts), "one").select(F.explode("fonts").alias("font"), "glyph")
+    return every.join(have, ["font", "glyph"], "left").select("font", "glyph", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("covered"))
+
+
+@query("s22_svg_dump", f"""{with_(p=quoted(PIECES))} SELECT page, '<svg xmlns="http://www.w3.org/2000/svg">' || string_agg('<rect id="' || id || '" x="' || format('{{:.2f}}', "left") || '" y="' || format('{{:.2f}}', top) || '" width="' || format('{{:.2f}}', "right" - "left") || '" height="' || format('{{:.2f}}', bottom - top) || '"/>', '' ORDER BY id) || '</svg>' AS content FROM p GROUP BY 1""")
+def s22(spark, d):
+    return svg.dump(read(spark, d, PIECES))
+
+
+@query("s06_svg_segments", f"""{with_(s=SHAPE)} SELECT page AS path, CASE kind WHEN 1 THEN 'line' ELSE 'rect' END AS element, sum(CASE kind WHEN 1 THEN 1 ELSE 4 END) AS n FROM s WHERE kind IN (1, 2) GROUP BY ALL""", n="BIGINT")
+def s06(spark, d):
+    """Segments of the lines and rectangles that are drawn."""
+    s = read(spark, d, SHAPE).where("kind in (1, 2)")
+    made = """CASE kind WHEN 1 THEN concat('<line x1="', x, '" y1="', y, '" x2="', x + w, '" y2="', y + h, '"/>') ELSE concat('<rect x="', x, '" y="', y, '" width="', w, '" height="', h, '"/>') END"""
+    pages = s.withColumn("xml", F.expr(made)).groupBy(F.col("page").alias("path")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.collect_list("xml"), ""), F.lit("</svg>")).alias("content"))
+    c = svg.parse_column(pages, "path", "content")
+    return svg.segments(c).join(c.select("path", "id", "element"), ["path", "id"]).groupBy("path", "element").agg(F.count("*").alias("n"))
+
+
+@query("g03_contours_of_paths", f"""{with_(s=SHAPE)} SELECT e, CAST(1 + h % 3 + w % 2 AS INTEGER) AS contours FROM s""")
+def g03(spark, d):
+    """One contour a move, and one where a command follows a close."""
+    s = read(spark, d, SHAPE).select("e", F.expr("concat('M', x, ' ', y, 'h1v1Z', repeat('M5 5 6 6', cast(h % 3 as int)), if(w % 2 = 1, if(h % 3 = 0, 'l2 2', 'Zl2 2'), ''))").alias("d"))
+
+    @F.pandas_udf("int")
+    def count(d):
+        return d.map(lambda x: len(svg.flatten(x)))
+
+    return s.select("e", count("d").alias("contours"))
+
+
+BROKEN = "SELECT DISTINCT l_suppkey AS k, concat('s', CAST(l_suppkey AS STRING)) AS path FROM {lineitem}"
+
+
+@query("s24_error_rows", f"{with_(b=BROKEN)} SELECT path, true AS failed FROM b WHERE k % 7 = 0")
+def s24(spark, d):
+    """Broken files become rows, the others go on."""
+    s = scores(spark, d).join(read(spark, d, BROKEN), "path")
+    s = s.withColumn("content", F.when(F.col("k") % 7 == 0, F.expr("substring(content, 1, length(content) - 20)")).otherwise(F.col("content")))
+    return musicxml.parse_column(s, "path", "content").where("error is not null").select("path", F.lit(True).alias("failed"))
+
+
+STATES = "SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS path, CAST(l_linenumber AS STRING) AS measure, l_linenumber AS n, CASE WHEN (l_suppkey + l_linenumber) % 3 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'G' ELSE 'F' END END AS sign, CASE WHEN l_linenumber * l_suppkey % 4 = 0 THEN CAST(2 + l_linenumber % 3 AS INT) END AS beats, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey % 5 AS INT) END AS fifths FROM {lineitem}"
+
+
+@query("s11_attribute_state", f"""{with_(s=STATES)} SELECT path, measure, last_value(sign || '2' IGNORE NULLS) OVER w AS clef, last_value(CAST(fifths AS VARCHAR) IGNORE NULLS) OVER w AS key, last_value(beats IGNORE NULLS) OVER w AS beats FROM s WINDOW w AS (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def s11(spark, d):
+    """Clef, key and meter in force, from attributes that state some of them in some measures."""
+    part = lambda test, *xml: F.when(F.col(test).isNotNull(), F.concat(*xml)).otherwise("")
+    s = read(spark, d, STATES)
+    xml = F.concat(F.lit('<measure number="'), "measure", F.lit('"><attributes><divisions>4</divisions>'), part("fifths", F.lit("<key><fifths>"), F.col("fifths").cast("string"), F.lit("</fifths></key>")), part("beats", F.lit("<time><beats>"), F.col("beats").cast("string"), F.lit("</beats><beat-type>4</beat-type></time>")), part("sign", F.lit("<clef><sign>"), F.col("sign"), F.lit("</sign><line>2</line></clef>")), F.lit("</attributes></measure>"))
+    whole = s.withColumn("xml", xml).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda x: x["xml"]), "").alias("xml"))
+    files = whole.select("path", F.concat(F.lit('<score-partwise><part-list/><part id="P1">'), "xml", F.lit("</part></score-partwise>")).alias("content"))
+    return musicxml.attribute_state(musicxml.parse_column(files, "path", "content")).select("path", "measure", "clef", "key", "beats")
+
+
+SIDECAR = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN concat('  ', CAST(o_custkey % 90 AS STRING), '-', CAST(o_orderkey % 3 AS STRING), '-L : ', o_orderpriority) WHEN 1 THEN concat('Title', CAST(o_orderkey AS STRING), ': ', o_orderstatus, ': ', o_orderpriority, ' ') WHEN 2 THEN 'no pair' ELSE '' END AS value FROM {orders}"
+
+
+@query("s17_sidecar", """SELECT path, CASE WHEN k % 4 = 0 THEN m || '-' || s || '-L' ELSE 'Title' || k END AS key, CASE WHEN k % 4 = 0 THEN p ELSE t || ': ' || p END AS value, CASE WHEN k % 4 = 0 THEN CAST(m AS INTEGER) END AS measure, CASE WHEN k % 4 = 0 THEN CAST(s AS INTEGER) END AS staff, CASE WHEN k % 4 = 0 THEN 'L' END AS align FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey AS k, o_custkey % 90 AS m, o_orderkey % 3 AS s, o_orderpriority AS p, o_orderstatus AS t FROM orders) WHERE k % 4 < 2""")
+def s17(spark, d):
+    from ..sources.text import sidecar_rows
+
+    return sidecar_rows(read(spark, d, SIDECAR).select(F.col("k").cast("string").alias("path"), "value"))
+
+
+RECTANGLE = "SELECT p_partkey AS id, CAST(1 + p_size AS DOUBLE) AS w, CAST(1 + p_partkey % 40 AS DOUBLE) AS h FROM {part}"
+
+
+@query("p15_round_gate", f"{with_(r=RECTANGLE)} SELECT id, 12.566370614359172 * w * h / power(2 * (w + h), 2) >= 0.64 AS round FROM r")
+def p15(spark, d):
+    """Circularity of outlines, by columns."""
+    from ..functions import geometry as geo
+
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero, w, h = F.lit(0.0), F.col("w"), F.col("h")
+    return read(spark, d, RECTANGLE).select("id", (geo.circularity(F.array(p(zero, zero), p(w, zero), p(w, h), p(zero, h))) >= 0.64).alias("round"))
+
+
+CLASSED = "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 3 WHEN 0 THEN 'gClef' WHEN 1 THEN 'fClef' ELSE 'other' END AS class, CAST(1 + l_suppkey % 2 AS INT) AS place, l_returnflag = 'A' AS accepted, l_discount * 10 AS confidence FROM {lineitem}"
+
+
+@query("g21_label_adapter", f"""{with_(m=CLASSED)} SELECT id, CASE "class" WHEN 'gClef' THEN 'G' ELSE 'F' END AS label, confidence FROM m WHERE place = 1 AND accepted AND confidence >= 0.25 AND "class" <> 'other'""".replace("AS class", 'AS "class"'))
+def g21(spark, d):
+    from ..operators import glyph
+
+    return glyph.labels(read(spark, d, CLASSED), "id", {"gClef": "G", "fClef": "F"}, 0.25)
+
+
+SAMPLES = "SELECT DISTINCT p_brand AS source, CAST(p_size % 10 AS STRING) AS label FROM {part}"
+
+
+@query("d11_composed_numbers", f"""{with_(s=SAMPLES)} SELECT source, label FROM s WHERE CAST(label AS INTEGER) <= 16 UNION SELECT a.source, a.label || b.label FROM s a JOIN s b ON a.source = b.source WHERE a.label <> '0' AND CAST(a.label || b.label AS INTEGER) <= 16""")
+def d11(spark, d):
+    from ..operators import glyph
+
+    return glyph.compose_numbers(read(spark, d, SAMPLES), 16).select("source", "label")
+
+
+INKS = "SELECT l_suppkey AS m, l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS left, CAST(l_partkey % 10 AS STRING) AS label, (1 + l_quantity) / 52 AS confidence, l_partkey % 3 > 0 AS gap_after FROM {lineitem}"
+
+
+@query("d05_d06_numbers", f"""{with_(p=quoted(INKS))}, g AS (SELECT *, lag(gap_after) OVER w AS parted FROM p WINDOW w AS (PARTITION BY m ORDER BY "left", id, label, confidence)), n AS (SELECT *, sum(CASE WHEN parted THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY "left", id, label, confidence ROWS UNBOUNDED PRECEDING) AS number FROM g)
+SELECT m, CAST(number AS BIGINT) AS number, string_agg(label, '' ORDER BY "left", id, label, confidence) AS label, round(exp(sum(ln(confidence)) / count(*)) * exp(-CASE WHEN count(*) = 2 AND arg_min(label, ("left", id, label, confidence)) <> '1' THEN 2.0 ELSE 0 END), 6) AS confidence FROM n GROUP BY m, number""")
+def d0506(spark, d):
+    from ..operators import glyph
+
+    p = read(spark, d, INKS)
+    return glyph.number_candidates(p, ["m"], "id").select("m", F.col("number").cast("long").alias("number"), "label", F.round("confidence", 6).alias("confidence"))
