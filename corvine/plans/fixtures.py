@@ -91,32 +91,16 @@ def g0708(spark, d):
     return s.join(score.split_ink(s), ["page", "id"]).select(F.col("id").cast("int"), F.col("symbol").cast("int"), F.col("child").cast("int"))
 
 
-@query("g11_clefs", "SELECT * FROM (VALUES (1, 'G'), (2, 'F')) t(id, label)")
-def g11c(spark, d):
-    return resolved(spark)["clefs"].select(F.col("id").cast("int"), "label")
-
-
 @query("g12_ledger_ladders", "SELECT * FROM (VALUES (1, 1, 1), (1, 2, 2)) t(part, measure, depth)")
 def g12l(spark, d):
     return resolved(spark)["ledgers"].select("part", "measure", F.col("depth").cast("int").alias("depth"))
 
 
-@query("g13_noteheads", "SELECT * FROM (VALUES (10, 3, 'C', 5, true), (11, 5, 'A', 4, true), (12, 10, 'C', 4, false), (14, 0, 'A', 3, true)) t(id, position, step, octave, filled)")
-def g13(spark, d):
-    """A head three ledger lines below the staff without a ladder there is dropped."""
-    return resolved(spark)["heads"].select(F.col("id").cast("int"), "position", "step", "octave", "filled")
-
-
 @query("g22_accidentals", "SELECT * FROM (VALUES (50, 'sharp', 10), (51, 'flat', 11)) t(id, label, head)")
 def g22a(spark, d):
     return resolved(spark)["accidentals"].select(F.col("id").cast("int"), "label", F.col("head").cast("int"))
 
 
-@query("g23_rests", "SELECT * FROM (VALUES (2, 60)) t(part, id)")
-def g23(spark, d):
-    return resolved(spark)["rests"].select("part", F.col("id").cast("int"))
-
-
 @query("g16_arpeggio", "SELECT * FROM (VALUES ('10,11')) t(heads)")
 def g16(spark, d):
     waves = spark.createDataFrame([("p1", 1, 1, k, 100.0, 100.0 + 12 * k, 104.0, 110.0 + 12 * k, True) for k in range(3)], "page string, part int, measure int, id long, left double, top double, right double, bottom double, wavy boolean")

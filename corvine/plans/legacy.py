@@ -27,12 +27,6 @@ def l07(spark, d):
 LINES = "page string, id int, x double, top double, bottom double"
 
 
-@query("l27_chord_rhythm", "SELECT * FROM (VALUES (1, 1, 8), (2, 1, 8), (3, 0, 4)) t(id, dots, denominator)")
-def l27(spark, d):
-    n = rows(spark, "page string, staff int, direction string, id int, x double, dots int, denominator int", ("p", 1, "up", 1, 10.0, 0, 8), ("p", 1, "up", 2, 11.0, 1, 4), ("p", 1, "up", 3, 40.0, 0, 4))
-    return op.chord_rhythm(n, 5.0).select("id", "dots", "denominator")
-
-
 @query("l43_rename", "SELECT replace(o_orderpriority, '1-URGENT', 'short') AS p, count(*) AS n FROM orders GROUP BY 1")
 def l43(spark, d):
     return op.rename(table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")), "p", {"1-URGENT": "short"}).groupBy("p").agg(F.count("*").alias("n"))

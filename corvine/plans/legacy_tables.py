@@ -487,3 +487,13 @@ SHEET_ORDER = "SELECT CAST(c_custkey AS STRING) AS page, CAST(c_custkey * 7919 %
 @query("l59_join_pages", f"""{with_(m=SHEETS, p=SHEET_ORDER)}, j AS (SELECT m.*, p.n FROM m JOIN p ON m.page = p.page) SELECT part, measure_pos, last_value(meter IGNORE NULLS) OVER (PARTITION BY part ORDER BY n, measure_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS meter, CAST(row_number() OVER (PARTITION BY part ORDER BY n, measure_pos) AS INTEGER) AS number, new_system OR row_number() OVER (PARTITION BY part, n ORDER BY measure_pos) = 1 AND n > 1 AS new_system FROM j""")
 def l59(spark, d):
     return op.join_pages(read(spark, d, SHEETS), read(spark, d, SHEET_ORDER)).select("part", "measure_pos", "meter", "number", "new_system")
+
+
+RHYTHM = f"SELECT page, staff, id, x, CASE WHEN id % 2 = 0 THEN 'up' ELSE 'down' END AS direction, CAST(id % 3 AS INT) AS dots, CAST(4 + id % 5 * 4 AS INT) AS denominator FROM ({HEADS})"
+
+
+@query("l27_chord_rhythm", f"""{with_(h=RHYTHM).replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT page, staff, direction, list({{'x': x, 'id': id, 'dots': dots, 'd': denominator}} ORDER BY x, id) AS v FROM h GROUP BY ALL),
+r(page, staff, direction, v, i, total, n, g, gs) AS (SELECT *, 2, v[1].x, 1, 0, [0] FROM s UNION ALL SELECT page, staff, direction, v, i + 1, CASE WHEN far THEN v[i].x ELSE total + v[i].x END, CASE WHEN far THEN 1 ELSE n + 1 END, CASE WHEN far THEN g + 1 ELSE g END, list_append(gs, CASE WHEN far THEN g + 1 ELSE g END) FROM (SELECT *, v[i].x - total / n > 8.0 AS far FROM r WHERE i <= len(v))),
+u AS (SELECT page, staff, direction, unnest(v) AS e, unnest(gs) AS g FROM r WHERE i > len(v)) SELECT e.id AS id, max(e.dots) OVER w AS dots, max(e.d) OVER w AS denominator FROM u WINDOW w AS (PARTITION BY page, staff, direction, g)""")
+def l27(spark, d):
+    return op.chord_rhythm(read(spark, d, RHYTHM), 8.0).select("id", "dots", "denominator")

@@ -313,3 +313,41 @@ def d0506(spark, d):
 
     p = read(spark, d, INKS)
     return glyph.number_candidates(p, ["m"], "id").select("m", F.col("number").cast("long").alias("number"), "label", F.round("confidence", 6).alias("confidence"))
+
+
+GRID = f"SELECT *, CAST(32 AS INT) AS units FROM ({BLOCKS})"
+OVALS = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, CAST(1 + event_id % 2 AS INT) AS part, CAST(event_id % 3 AS INT) AS measure, CAST(200 * (event_id % 3) AS DOUBLE) + CAST(event_id * 7919 % 1800 AS DOUBLE) / 10 AS left, CAST(100 * (1 + event_id % 2) - 40 + event_id * 31 % 125 AS DOUBLE) AS top, CAST(200 * (event_id % 3) AS DOUBLE) + CAST(event_id * 7919 % 1800 AS DOUBLE) / 10 + 8 + event_id % 8 AS right, CAST(100 * (1 + event_id % 2) - 40 + event_id * 31 % 125 + 4 + event_id % 10 AS DOUBLE) AS bottom, event_id % 4 = 0 AS hole FROM {events} WHERE event_type IN ('view', 'click')"
+SEEN_CLEFS = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, CAST(1 + event_id % 2 AS INT) AS part, CAST(event_id % 3 AS INT) AS measure, CASE event_id % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'F' WHEN 2 THEN 'F' ELSE 'G' END AS label, CAST(event_id % 32 AS DOUBLE) + CAST(1 AS DOUBLE) / 3 AS lx FROM {events} WHERE event_type = 'purchase'"
+RUNGS = "SELECT CAST(user_id AS STRING) AS page, CAST(1 + event_id % 2 AS INT) AS part, CAST(event_id % 3 AS INT) AS measure, CAST(CASE WHEN event_id % 4 < 2 THEN -1 ELSE 1 END * (1 + event_id % 3) AS INT) AS depth, CAST(200 * (event_id % 3) + event_id * 7 % 170 AS DOUBLE) AS left, CAST(200 * (event_id % 3) + event_id * 7 % 170 + 20 AS DOUBLE) AS right FROM {events} WHERE event_type = 'error'"
+
+
+@query("g13_noteheads", f"""{with_(g=quoted(GRID), o0=quoted(OVALS), c=SEEN_CLEFS, r=quoted(RUNGS))}, o AS (SELECT o0.*, ((o0."left" + o0."right") / 2 - g."left") / (g."right" - g."left") * 32 AS lx, ((o0.top + o0.bottom) / 2 - g.top) / 5 AS ly FROM o0 JOIN g ON o0.page = g.page AND o0.part = g.part AND o0.measure = g.measure),
+p AS (SELECT *, CAST(round_even(ly, 0) AS INTEGER) AS position FROM o WHERE (bottom - top) / 10 BETWEEN 0.45 AND 1.35 AND ("right" - "left") / (bottom - top) BETWEEN 1.05 AND 2.4), q AS (SELECT *, CASE WHEN position < -1 THEN ceil((abs(position) - 1) / 2) WHEN position > 9 THEN ceil((position - 9) / 2) ELSE 0 END AS need FROM p WHERE abs(ly - position) <= 0.4),
+l AS (SELECT * FROM q WHERE need = 0 OR EXISTS (SELECT 1 FROM r WHERE r.page = q.page AND r.part = q.part AND r.measure = q.measure AND sign(r.depth) = CASE WHEN q.position < 0 THEN -1 ELSE 1 END AND abs(r.depth) >= q.need AND least(q."right", r."right") - greatest(q."left", r."left") > 0)),
+k AS (SELECT l.page, l.id, arg_max(c.label, (c.measure, c.lx, c.id)) AS clef FROM l JOIN c ON l.page = c.page AND l.part = c.part AND (c.measure < l.measure OR c.measure = l.measure AND c.lx <= l.lx) GROUP BY ALL), i AS (SELECT l.*, k.clef, CASE k.clef WHEN 'G' THEN 38 ELSE 26 END - position AS ix FROM l JOIN k ON l.page = k.page AND l.id = k.id AND k.clef <> 'C')
+SELECT page, part, measure, id, position, clef, ['C', 'D', 'E', 'F', 'G', 'A', 'B'][(ix % 7 + 7) % 7 + 1] AS step, CAST(floor(ix / 7) AS INTEGER) AS octave, NOT hole AS filled FROM i""")
+def g13(spark, d):
+    """Ovals at legal places, by ladders of their own side, with the pitch that the last clef gives them."""
+    h = score.noteheads(read(spark, d, OVALS), read(spark, d, GRID), read(spark, d, SEEN_CLEFS), read(spark, d, RUNGS))
+    return h.select("page", "part", "measure", "id", "position", "clef", "step", F.col("octave").cast("int").alias("octave"), "filled")
+
+
+SIGNS = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, CASE WHEN event_id % 5 > 0 THEN CAST(1 + event_id % 2 AS INT) END AS part, CAST(event_id % 3 AS INT) AS measure, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 AS left, CAST(40 + event_id * 31 % 330 AS DOUBLE) AS top, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 + 9 AS right, CAST(40 + event_id * 31 % 330 + 12 AS DOUBLE) AS bottom, CASE event_id % 4 WHEN 0 THEN 'restQuarter' WHEN 1 THEN 'RestHalf' WHEN 2 THEN 'sharp' ELSE 'rest8th' END AS label, CAST(event_id % 89 AS DOUBLE) / 89 AS confidence FROM {events} WHERE event_type IN ('view', 'click')"
+CLAIMED = "SELECT CAST(user_id AS STRING) AS page, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 - CAST(event_id % 3 AS DOUBLE) / 5 AS left, CAST(40 + event_id * 31 % 330 AS DOUBLE) AS top, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 + 9 AS right, CAST(40 + event_id * 31 % 330 + 12 AS DOUBLE) AS bottom FROM {events} WHERE event_id % 11 = 0"
+
+
+@query("g23_rests", f"""{with_(s=quoted(SIGNS), c=quoted(CLAIMED), g=quoted(GRID))}, f AS (SELECT * FROM s WHERE lower(label) LIKE 'rest%' AND NOT EXISTS (SELECT 1 FROM c WHERE c.page = s.page AND s."left" >= c."left" AND s."right" <= c."right" AND s.top >= c.top AND s.bottom <= c.bottom AND s."left" - c."left" <= (c."right" - c."left") * 0.05::DOUBLE AND c."right" - s."right" <= (c."right" - c."left") * 0.05::DOUBLE AND s.top - c.top <= (c.bottom - c.top) * 0.05::DOUBLE AND c.bottom - s.bottom <= (c.bottom - c.top) * 0.05::DOUBLE)),
+b AS (SELECT f.page, f.id, f.measure, f.label, g.part, greatest(g.top - f.bottom, f.top - g.bottom, 0) AS gap, row_number() OVER (PARTITION BY f.page, f.id ORDER BY g.part IS DISTINCT FROM f.part, greatest(g.top - f.bottom, f.top - g.bottom, 0), g.part) AS n FROM f JOIN g ON g.page = f.page AND g.measure = f.measure),
+d AS (SELECT f.page, f.id, min(sqrt(power(greatest(c."left" - f."right", f."left" - c."right", 0), 2) + power(greatest(c.top - f.bottom, f.top - c.bottom, 0), 2))) AS d FROM f JOIN c ON c.page = f.page GROUP BY ALL) SELECT b.page, b.part, b.measure, b.id, b.label FROM b LEFT JOIN d ON b.page = d.page AND b.id = d.id WHERE n = 1 AND (gap <= 20 OR coalesce(d.d, 1e9) <= 20)""")
+def g23(spark, d):
+    return score.rests(read(spark, d, SIGNS), read(spark, d, GRID), read(spark, d, CLAIMED)).select("page", "part", "measure", "id", "label")
+
+
+CANDIDATES = "SELECT CAST(user_id AS STRING) AS page, event_id AS id, CAST(1 + event_id % 2 AS INT) AS part, CAST(event_id % 3 AS INT) AS measure, CAST(200 * (event_id % 3) + event_id * 7 % 150 AS DOUBLE) AS left, CAST(100 * (1 + event_id % 2) + event_id % 13 - 6 AS DOUBLE) AS top, CAST(200 * (event_id % 3) + event_id * 7 % 150 + 12 + event_id % 40 AS DOUBLE) AS right, CAST(100 * (1 + event_id % 2) + event_id % 13 - 6 + 20 + event_id % 100 AS DOUBLE) AS bottom, CASE event_id % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'F' WHEN 2 THEN 'C' ELSE 'blot' END AS label, CAST(event_id % 97 AS DOUBLE) / 97 AS confidence FROM {events}"
+
+
+@query("g11_clefs", f"""{with_(c=quoted(CANDIDATES)).replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT page, part, measure, label, list({{'id': id, 'l': "left", 'r': "right", 't': top, 'f': bottom}} ORDER BY confidence DESC, id) AS v FROM c WHERE (bottom - top) / 5 BETWEEN 6 AND 22 AND ("right" - "left") / 40 BETWEEN 0.4 AND 1.8 AND label <> 'blot' GROUP BY ALL),
+r(page, part, measure, label, v, i, kept) AS (SELECT *, 1, CAST([] AS STRUCT(id BIGINT, l DOUBLE, r DOUBLE, t DOUBLE, f DOUBLE)[]) FROM s UNION ALL SELECT page, part, measure, label, v, i + 1, CASE WHEN len(list_filter(kept, lambda x: greatest(least(x.r, v[i].r) - greatest(x.l, v[i].l), 0) * greatest(least(x.f, v[i].f) - greatest(x.t, v[i].t), 0) >= 0.45 * least((x.r - x.l) * (x.f - x.t), (v[i].r - v[i].l) * (v[i].f - v[i].t)))) = 0 THEN list_append(kept, v[i]) ELSE kept END FROM r WHERE i <= len(v))
+SELECT page, part, measure, label, unnest(list_transform(kept, lambda x: x.id)) AS id FROM r WHERE i > len(v)""")
+def g11c(spark, d):
+    return score.clefs(read(spark, d, CANDIDATES), read(spark, d, GRID)).select("page", "part", "measure", "label", "id")
