@@ -351,3 +351,44 @@ r(page, part, measure, label, v, i, kept) AS (SELECT *, 1, CAST([] AS STRUCT(id
 SELECT page, part, measure, label, unnest(list_transform(kept, lambda x: x.id)) AS id FROM r WHERE i > len(v)""")
 def g11c(spark, d):
     return score.clefs(read(spark, d, CANDIDATES), read(spark, d, GRID)).select("page", "part", "measure", "label", "id")
+
+
+#: A page for each customer: two staves with three measures, and a head with its stem for each order.
+ORDERED = "SELECT CAST(o_custkey AS STRING) AS page, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r, CAST(1 + o_orderkey % 2 AS INT) AS part, CAST(o_orderkey % 9 AS INT) AS position FROM {orders}"
+DRAWN_NOTES = f"SELECT page, k, part, position, CAST(1 + r % 3 AS INT) AS measure, CAST(90 + 300 * (r % 3) + 22 * ((r - r % 3) / 3) AS INT) AS x, CAST(100 + 110 * (part - 1) + 5 * position AS INT) AS y FROM ({ORDERED})"
+
+
+def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: the pages as SVG: ten staff lines, four bars, a path for each head and a line for each stem."""
+    import math
+
+    line = lambda *at: '<line x1="{}" y1="{}" x2="{}" y2="{}"/>'.format(*at)
+    frame = "".join(line(50, y + 10 * i, 950, y + 10 * i) for y in (100, 210) for i in range(5)) + "".join(line(x, 100, x, 250) for x in (50, 350, 650, 950))
+    n = read(spark, d, DRAWN_NOTES)
+    around = [(6 * math.cos(2 * math.pi * i / 16), 4.5 * math.sin(2 * math.pi * i / 16)) for i in range(16)]
+    points = F.concat(*[F.concat(F.lit("L" if i else "M"), F.format_string("%.6f %.6f", F.col("x") + F.lit(a), F.col("y") + F.lit(b))) for i, (a, b) in enumerate(around)])
+    up = F.col("position") >= 4
+    x, y = F.when(up, F.col("x") + 6).otherwise(F.col("x") - 6), F.when(up, F.col("y") - 35).otherwise(F.col("y") + 35)
+    stem = F.concat(F.lit('<line x1="'), x, F.lit('" y1="'), F.col("y"), F.lit('" x2="'), x, F.lit('" y2="'), y, F.lit('"/>'))
+    n = n.withColumn("xml", F.concat(F.lit('<path d="'), points, F.lit('Z"/>'), stem))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "xml"))), lambda v: v["xml"]), "")
+    return n.groupBy(F.col("page").alias("path")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">' + frame), body, F.lit("</svg>")).alias("content"))
+
+
+@query("x_svg_to_notes", f"""{with_(n=DRAWN_NOTES)}, i AS (SELECT *, CASE part WHEN 1 THEN 38 ELSE 26 END - position AS ix FROM n) SELECT page, part, measure, CAST(x AS DOUBLE) AS x, ['C', 'D', 'E', 'F', 'G', 'A', 'B'][ix % 7 + 1] AS step, CAST(floor(ix / 7) AS INTEGER) AS octave, CASE WHEN position >= 4 THEN 'up' ELSE 'down' END AS direction FROM i""")
+def svg_to_notes(spark, d):
+    """From SVG bytes to notes: contours, staves, blocks, the pieces' measures, heads with pitch, stems with direction. Upper staves have a G clef, lower ones an F clef."""
+    c = iterate.cut(svg.parse_column(drawn_pages(spark, d), "path", "content").where("error is null").withColumnRenamed("path", "page"))
+    two = c.where("size(points) = 2")
+    lines = two.select("page", F.lit(1000.0).alias("page_width"), F.lit(400.0).alias("page_height"), *[F.col("points")[k][v].alias(f"{v}{k + 1}") for k in (0, 1) for v in ("x", "y")])
+    blocks = iterate.cut(score.blocks(score.detect_staves(lines)))
+    pieces = c.where("size(points) > 2 or (right - left < 1 and bottom - top < 100)").select("page", F.col("id").cast("long").alias("id"), "left", "top", "right", "bottom", F.size("points").alias("outline"))
+    placed = iterate.cut(score.assign_blocks(pieces, blocks))
+    meter = blocks.select("page", "part", "measure", F.lit(4).alias("beats"), F.lit(4).alias("beat_value"), F.lit(1.0).alias("confidence"))
+    grid = iterate.cut(score.logical_grid(blocks, meter))
+    clefs = blocks.where("measure = 1").select("page", "part", "measure", F.lit(-1.0).alias("lx"), F.lit(0).cast("long").alias("id"), F.when(F.col("part") == 1, "G").otherwise("F").alias("label"))
+    ledgers = grid.where("false").select("page", "part", "measure", F.lit(0).alias("depth"), "left", "right")
+    heads = iterate.cut(score.noteheads(placed.where("outline > 2").withColumn("hole", F.lit(False)), grid, clefs, ledgers))
+    stems, links = score.stems(placed.where("outline = 2"), heads, grid)
+    way = links.join(stems.select("page", "measure", F.col("id").alias("stem"), "direction"), ["page", "measure", "stem"]).select("page", "measure", F.col("head").alias("id"), "direction")
+    return heads.join(way, ["page", "measure", "id"], "left").select("page", F.col("part").cast("int").alias("part"), F.col("measure").cast("int").alias("measure"), F.round((F.col("left") + F.col("right")) / 2, 3).alias("x"), "step", F.col("octave").cast("int").alias("octave"), "direction")
