@@ -7,8 +7,8 @@ empty text (no letter or digit) has none, and two empty sets are alike (1.0).
 
 ``near_groups`` is the join: documents of equal sets are one class; sets are partitioned by length so that only sets in
 the same or the next partition can reach the threshold; within those, only sets that share a signature of their prefixes (rarest first) can. Each such
-bucket (signature, partition) first compares its members with its hub, the smallest of them, which joins a family of any size by as many comparisons
-as members; only members of a bucket that are not linked by then meet each other. Lengths and the places of the shared signature prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
+bucket (signature, partition) first compares its members with HUBS hubs in turn, the smallest of those not joined yet, which join a family of any size by as many comparisons
+as members; only members of a bucket that are not linked by then meet each other. Lengths, the places of the shared signature and parity masks of the sets prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
 representatives instead, for small inputs.
 
 The query needs each document's successor in descending id order without sorting in one task: ids are cut into ranges at
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, release, table
 
 CHAIN, REACH = 3, 12
+HUBS = 2
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """the of and to in a is that it for on was be with as this by are at from an or not but
@@ -67,26 +68,41 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumn("__key", F.sha2(F.array_join("sigs", ","), 256))
 
 
+#: Longs of a set's parity mask, and the columns that describe a set beside a signature.
+MASKS = 4
+SET = ["cid", "n", "place", *[f"m{k}" for k in range(MASKS)]]
+
+
 def partitioned(classes: DataFrame, threshold: float) -> DataFrame:
-    """classes with n and part, the partition by length: sets that reach the threshold are in the same or neighbouring ones."""
-    return classes.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log(F.col("n") + 1e-9) / F.log(F.lit(1 / threshold))).cast("int"))
+    """classes with n, part, the partition by length (sets that reach the threshold are in the same or neighbouring ones), and the parity mask: of each
+    signature one bit is turned, so two masks differ in no more bits than the sets in signatures."""
+    turn = "if((x & 255) div 64 = {k}, a ^ shiftleft(1L, x & 63), a)"
+    masks = {f"m{k}": F.expr(f"aggregate(sigs, 0L, (a, x) -> {turn.format(k=k)})") for k in range(MASKS)}
+    return classes.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log(F.col("n") + 1e-9) / F.log(F.lit(1 / threshold))).cast("int")).withColumns(masks)
 
 
 def prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """cid, n, part, sig, place: the signatures of each class's prefix, rarest first, that another class has too."""
-    each = classes.select("cid", "n", "part", F.explode("sigs").alias("sig"))
+    """sig, part, and SET: the signatures of each class's prefix, rarest first, that another class has too, with their places."""
+    each = classes.select("part", *[c for c in SET if c != "place"], F.explode("sigs").alias("sig"))
     shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     mine = Window.partitionBy("cid")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "sig"))  # after the ones that no other has
     ranked = each.join(shared, "sig").withColumn("place", place)
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cid", "n", "part", "sig", "place")
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("sig", "part", *SET)
+
+
+def named(df: DataFrame, mark: str) -> DataFrame:
+    """df with the columns of SET under other names."""
+    return df.withColumnsRenamed({c: f"{mark}_{c}" for c in SET})
 
 
-def may_reach(a: tuple[str, str], b: tuple[str, str], threshold: float) -> Column:
-    """Whether two sets, each given by its size and the place of a signature that both have, can reach the threshold: by their sizes, and by what follows that
-    signature, if it is the first that they share. (They meet at the first one in any case.)"""
-    (n, i), (m, j) = ((F.col(x) for x in pair) for pair in (a, b))
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (1 + F.least(n - i, m - j) >= (n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
+def may_reach(a: str, b: str, threshold: float) -> Column:
+    """Whether two sets that share a signature can reach the threshold: by their sizes, by what follows the signature in them, if it is
+    the first that they share (they meet at the first one in any case), and by the bits in which their masks differ."""
+    (n, i), (m, j) = ((F.col(f"{x}_n"), F.col(f"{x}_place")) for x in (a, b))
+    common = (n + m) * F.lit(threshold / (1 + threshold)) - 1e-9
+    apart = sum((F.bit_count(F.col(f"{a}_m{k}").bitwiseXOR(F.col(f"{b}_m{k}"))) for k in range(MASKS)), F.lit(0))
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (1 + F.least(n - i, m - j) >= common) & (apart <= n + m - 2 * common)
 
 
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -108,34 +124,42 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     Empty sets are linked with nothing; null ids belong to no class."""
     marked, classes = spot_classes(docs, threshold)
     prefix = materialize(prefixes(classes, threshold), "spot-prefixes")
-    left = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"))
-    right = prefix.select("sig", "part", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"))
-    met = left.join(right, ["sig", "part"]).where((F.col("a") != F.col("b")) & may_reach(("na", "i"), ("nb", "j"), threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = named(prefix, "a").withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    met = left.join(named(prefix, "b"), ["sig", "part"]).where((F.col("a_cid") != F.col("b_cid")) & may_reach("a", "b", threshold)).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
     x, y = (classes.select(F.col("cid").alias(c), F.col("class_id").alias(f"id_{c}")) for c in "ab")
-    named = similar(met, classes, threshold).join(x, "a").join(y, "b")
+    told = similar(met, classes, threshold).join(x, "a").join(y, "b")
     members = marked.where("doc_id is not null").join(classes.select("__key", "class_id"), "__key").select("doc_id", "class_id")
-    return named.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity"), members
+    return told.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity"), members
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_signatures, class_id (the least id with an equal set) and group_id (the least id reachable by links of Jaccard >= threshold) for every row."""
     marked, classes = spot_classes(docs, threshold)
-    prefix = materialize(prefixes(classes, threshold).withColumn("bucket", F.explode(F.array("part", F.col("part") + 1))).drop("part"), "spot-buckets")
-    hubs = prefix.groupBy("sig", "bucket").agg(F.min(F.struct("cid", "n", "place")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last").select("sig", "bucket", F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.place").alias("i"))
-    tested = prefix.join(hubs, ["sig", "bucket"]).where((F.col("cid") != F.col("a")) & may_reach(("na", "i"), ("n", "place"), threshold)).select("a", F.col("cid").alias("b")).distinct()
-    near = materialize(similar(tested, classes, threshold).select("a", "b"), "spot-links")
-    labels = components(near)
-    known = prefix.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "bucket", "cid", "n", "place", F.coalesce("label", "cid").alias("label"))
-    mixed = known.groupBy("sig", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("hub")).where("lo < hi").select("sig", "bucket", "hub")
-    open_ = materialize(known.join(mixed, ["sig", "bucket"]).where("cid <> hub").drop("hub"), "spot-open")
-    other = open_.select("sig", "bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("label").alias("label_b"))
-    met = open_.join(other, ["sig", "bucket"]).where((F.col("cid") < F.col("b")) & (F.col("label") != F.col("label_b")) & may_reach(("n", "place"), ("nb", "j"), threshold)).select(F.col("cid").alias("a"), "b").distinct()
-    labels = components(near.unionByName(similar(met, classes, threshold).select("a", "b")))
-    release(open_)
-    release(prefix)
+    rows = materialize(prefixes(classes, threshold).withColumn("bucket", F.explode(F.array("part", F.col("part") + 1))).drop("part"), "spot-buckets")
+    key, near, labels = ["sig", "bucket"], None, None
+    for turn in range(HUBS + 1):
+        known = rows.withColumn("label", F.col("cid")) if labels is None else rows.join(labels, F.col("cid") == F.col("node"), "left").select(*key, *SET, F.coalesce("label", "cid").alias("label"))
+        mixed = known.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key, "lo")
+        open_ = materialize(known.join(mixed, key), "spot-open")
+        b = named(open_, "b").drop("lo")
+        if turn < HUBS:  # the smallest, then the smallest outside of the first component
+            hub = (open_ if turn == 0 else open_.where("label <> lo")).groupBy(*key).agg(F.min(F.struct(*SET, "label")).alias("h"))
+            a = named(hub.select(*key, "h.*"), "a").withColumnRenamed("label", "a_label")
+        else:
+            a = named(open_, "a").drop("lo").withColumnRenamed("label", "a_label")
+        apart = (F.col("label") != F.col("a_label")) & ((F.col("a_cid") < F.col("b_cid")) if turn == HUBS else (F.col("a_cid") != F.col("b_cid")))
+        met = b.join(a, key).where(apart & may_reach("a", "b", threshold)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+        found = similar(met, classes, threshold).select("a", "b")
+        both = materialize(found if near is None else near.unionByName(found), "spot-links")
+        release(open_)
+        if near is not None:
+            release(near)
+        near, labels = both, components(both)
+    release(rows)
+    release(near)
     placed = classes.select("__key", "class_id", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("__key", "class_id", F.coalesce("label", "cid").alias("label"))
-    named = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("group_id")), "label").drop("label")
-    out = marked.join(named, "__key", "left")
+    told = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("group_id")), "label").drop("label")
+    out = marked.join(told, "__key", "left")
     alone = F.col("n_signatures") == 0
     return out.select("doc_id", F.col("n_signatures").cast("long").alias("n_signatures"), *[F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col(c))).alias(c) for c in ("class_id", "group_id")])
 
