@@ -190,15 +190,6 @@ def s12(spark, d):
     return text.parse_bundle(spark, held.getvalue())["references"].select("family", "class")
 
 
-@query("j31_unused_pairs", "SELECT * FROM (VALUES (1, '1:2'), (2, '3:4')) t(arc, pair)")
-def j31(spark, d):
-    """Scored start and end pairs, each arc and each pair once, best first."""
-    from ..operators.iterate import greedy_match
-
-    p = rows(spark, "page string, arc int, pair string, score double", ("p", 1, "1:2", 1.0), ("p", 2, "1:2", 0.5 + 1.0), ("p", 2, "3:4", 2.0), ("p", 1, "3:4", 0.5 + 2.0))
-    return greedy_match(p, ["page"], "arc", "pair", F.col("score")).select("arc", "pair")
-
-
 @query("d08_mask_and_area", "SELECT * FROM (VALUES ('bar', 1.0, 1.0), ('ell', 1.0, 1.0), ('ellipse', 1.0, 1.0), ('ring', 1.0, 1.0)) t(name, mask, area)", mask="DOUBLE", area="DOUBLE")
 def d08(spark, d):
     """Cheap overlap of bit masks and overlap of areas by scan conversion; a moved and scaled shape has the same mask, a shape covers itself."""

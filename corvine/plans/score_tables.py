@@ -392,3 +392,13 @@ def svg_to_notes(spark, d):
     stems, links = score.stems(placed.where("outline = 2"), heads, grid)
     way = links.join(stems.select("page", "measure", F.col("id").alias("stem"), "direction"), ["page", "measure", "stem"]).select("page", "measure", F.col("head").alias("id"), "direction")
     return heads.join(way, ["page", "measure", "id"], "left").select("page", F.col("part").cast("int").alias("part"), F.col("measure").cast("int").alias("measure"), F.round((F.col("left") + F.col("right")) / 2, 3).alias("x"), "step", F.col("octave").cast("int").alias("octave"), "direction")
+
+
+PAIRED = "SELECT CAST(o_custkey AS STRING) AS page, CAST(o_orderkey % 5 AS INT) AS arc, CAST(o_orderkey % 7 AS STRING) AS pair, o_totalprice AS score FROM {orders}"
+
+
+@query("j31_unused_pairs", f"""{with_(p=PAIRED).replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score, arc, pair) AS n FROM p), r(page, n, arcs, pairs) AS (SELECT DISTINCT page, CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST([] AS VARCHAR[]) FROM o
+UNION ALL SELECT r.page, o.n, CASE WHEN list_contains(arcs, arc) OR list_contains(pairs, pair) THEN arcs ELSE list_append(arcs, arc) END, CASE WHEN list_contains(arcs, arc) OR list_contains(pairs, pair) THEN pairs ELSE list_append(pairs, pair) END FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1), f AS (SELECT page, arg_max(arcs, n) AS arcs, arg_max(pairs, n) AS pairs FROM r GROUP BY 1) SELECT page, unnest(arcs) AS arc, unnest(pairs) AS pair FROM f""")
+def j31(spark, d):
+    """Scored start and end pairs, each arc and each pair once, best first."""
+    return iterate.greedy_match(read(spark, d, PAIRED), ["page"], "arc", "pair", F.col("score")).select("page", "arc", "pair")
