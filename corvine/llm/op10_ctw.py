@@ -48,9 +48,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def stream_of(words: list[bytes]) -> bytes:
+    """What is coded of a text; it begins after blanks."""
+    return b" ".join([*words, END])
+
+
 def streams_of(text: str | None) -> list[bytes]:
-    """What is coded of a text; each stream begins after blanks."""
-    return [b" ".join([*words_of(text), END])]
+    return [stream_of(words_of(text))]
 
 
 def coded(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +198,11 @@ def ask(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 if at != block or len(learned) + len(others) > HELD_WORDS:
                     yield from words_out()
                 block = at
-                t = t.as_py()
-                (learned if learn else others).update(words_of(t))
-                for x in streams_of(t):
-                    texts[bool(learn)].append(x)
-                    size += len(x)
+                words = words_of(t.as_py())
+                (learned if learn else others).update(words)
+                x = stream_of(words)
+                texts[bool(learn)].append(x)
+                size += len(x)
                 if size > AT_ONCE:
                     count()
                     size = 0
@@ -428,10 +432,9 @@ def score_texts(docs: DataFrame, keep: list[str], depth: int = DEPTH) -> DataFra
             rows = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
             counts, base, total, some, size = [], [], [], [], 0
             for t in rows["text"]:
-                t = t.as_py()
-                words = words_of(t)
+                words = words_of(t.as_py())
                 each = np.fromiter(map(known.__getitem__, words), float, len(words))
-                (stream,) = streams_of(t)
+                stream = stream_of(words)
                 counts.append((len(words) + 1, int((each > 0).sum()) + (ends > 0), len(stream)))
                 base.append(float(each.sum()) + math.log10(ends + 0.5) - (len(words) + 1) * least)
                 some.append(stream)
