@@ -7,8 +7,8 @@ empty text (no letter or digit) has none, and two empty sets are alike (1.0).
 
 ``near_groups`` is the join: documents of equal sets are one class; sets are partitioned by length so that only sets in
 the same or the next partition can reach the threshold; within those, only sets that share a signature of their prefixes (rarest first) can. Each such
-bucket (signature, partition) first compares its members with HUBS hubs in turn, the smallest of those not joined yet, which join a family of any size by as many comparisons
-as members; only members of a bucket that are not linked by then meet each other. Lengths, the places of the shared signature and parity masks of the sets prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
+bucket (signature, partition) compares its members with a few hubs first, drawn by hash, in later turns from those that are not of its first component; they join
+families that make up a good part of a bucket by a bounded number of comparisons for each member; only members of a bucket that are not linked by then meet each other. Lengths, the places of the shared signature and parity masks of the sets prune before the exact Jaccard. ``near_pairs`` lists all pairs of class
 representatives instead, for small inputs.
 
 The query needs each document's successor in descending id order without sorting in one task: ids are cut into ranges at
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize, release, table
 
 CHAIN, REACH = 3, 12
-HUBS = 2
+#: Turns in which a bucket's members are compared with hubs, and hubs in a turn.
+TURNS, HUBS = 4, 2
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """the of and to in a is that it for on was be with as this by are at from an or not but
@@ -136,27 +137,25 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_signatures, class_id (the least id with an equal set) and group_id (the least id reachable by links of Jaccard >= threshold) for every row."""
     marked, classes = spot_classes(docs, threshold)
     rows = materialize(prefixes(classes, threshold).withColumn("bucket", F.explode(F.array("part", F.col("part") + 1))).drop("part"), "spot-buckets")
-    key, near, labels = ["sig", "bucket"], None, None
-    for turn in range(HUBS + 1):
+    key, labels = ["sig", "bucket"], None
+    for turn in range(TURNS + 1):
         known = rows.withColumn("label", F.col("cid")) if labels is None else rows.join(labels, F.col("cid") == F.col("node"), "left").select(*key, *SET, F.coalesce("label", "cid").alias("label"))
         mixed = known.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key, "lo")
         open_ = materialize(known.join(mixed, key), "spot-open")
         b = named(open_, "b").drop("lo")
-        if turn < HUBS:  # the smallest, then the smallest outside of the first component
-            hub = (open_ if turn == 0 else open_.where("label <> lo")).groupBy(*key).agg(F.min(F.struct(*SET, "label")).alias("h"))
-            a = named(hub.select(*key, "h.*"), "a").withColumnRenamed("label", "a_label")
+        if turn < TURNS:
+            order = Window.partitionBy(*key).orderBy(F.xxhash64("cid", F.lit(turn)))
+            hubs = (open_ if turn == 0 else open_.where("label <> lo")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS)
+            a = named(hubs.drop("r", "lo"), "a").withColumnRenamed("label", "a_label")
         else:
             a = named(open_, "a").drop("lo").withColumnRenamed("label", "a_label")
-        apart = (F.col("label") != F.col("a_label")) & ((F.col("a_cid") < F.col("b_cid")) if turn == HUBS else (F.col("a_cid") != F.col("b_cid")))
+        apart = (F.col("label") != F.col("a_label")) & ((F.col("a_cid") < F.col("b_cid")) if turn == TURNS else (F.col("a_cid") != F.col("b_cid")))
         met = b.join(a, key).where(apart & may_reach("a", "b", threshold)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
         found = similar(met, classes, threshold).select("a", "b")
-        both = materialize(found if near is None else near.unionByName(found), "spot-links")
+        # what is joined already goes on as one link a class
+        labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         release(open_)
-        if near is not None:
-            release(near)
-        near, labels = both, components(both)
     release(rows)
-    release(near)
     placed = classes.select("__key", "class_id", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("__key", "class_id", F.coalesce("label", "cid").alias("label"))
     told = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("group_id")), "label").drop("label")
     out = marked.join(told, "__key", "left")
