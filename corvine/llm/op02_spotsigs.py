@@ -30,7 +30,7 @@ from .common import components, materialize, release, table
 
 CHAIN, REACH = 3, 12
 #: Turns in which a bucket's members are compared with hubs, and hubs in a turn.
-TURNS, HUBS = 4, 2
+TURNS, HUBS = 3, 2
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """the of and to in a is that it for on was be with as this by are at from an or not but
@@ -109,7 +109,7 @@ def may_reach(a: str, b: str, threshold: float) -> Column:
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold, with their similarity."""
     x, y = (classes.select(F.col("cid").alias(c), F.col("sigs").alias(f"s{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", likeness("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    return pairs.join(x, "a").join(y, "b").select(*pairs.columns, likeness("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def spot_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -150,10 +150,13 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         else:
             a = named(open_, "a").drop("lo").withColumnRenamed("label", "a_label")
         apart = (F.col("label") != F.col("a_label")) & ((F.col("a_cid") < F.col("b_cid")) if turn == TURNS else (F.col("a_cid") != F.col("b_cid")))
-        met = b.join(a, key).where(apart & may_reach("a", "b", threshold)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
-        found = similar(met, classes, threshold).select("a", "b")
-        # what is joined already goes on as one link a class
-        labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        met = b.join(a, key).where(apart & may_reach("a", "b", threshold)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"), F.col("a_label").alias("x"), F.col("label").alias("y")).distinct()
+        # new links join what is joined already, so the graph has the labels for nodes
+        new = components(similar(met, classes, threshold).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if labels is not None:
+            moved = labels.join(new.select(F.col("node").alias("at"), F.col("label").alias("to")), F.col("label") == F.col("at"), "left").select("node", F.coalesce("to", "label").alias("label"))
+            new = materialize(moved.unionByName(new.join(labels, "node", "left_anti")), "spot-labels")
+        labels = new
         release(open_)
     release(rows)
     placed = classes.select("__key", "class_id", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("__key", "class_id", F.coalesce("label", "cid").alias("label"))
