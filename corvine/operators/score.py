@@ -11,8 +11,11 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as geo
 from ..functions import scalar as fn
@@ -91,13 +94,15 @@ def detect_staves(lines: DataFrame, share: float = 0.35) -> DataFrame:
     five lines whose gaps are within 0.3 of it are a staff, two staves a system (a last odd one is left out; left and right are the means of its lines). Its bars are the verticals at one x
     (0.001 of the width), joined over gaps of 0.1 spaces, that reach to 0.25 spaces of both ends; a system has two at least. A page without a system gives a row with an error."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        page = g["page"].iloc[0]
-        found = page_staves(float(g["page_width"].iloc[0]), float(g["page_height"].iloc[0]), *[g[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")], share)
-        out = [(page, *row, None) for row in found] or [(page, *[None] * 7, "no staff system")]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STAVES.split(", ")]).astype({"system": "Int64", "staff": "Int64"})
+    arrow = to_arrow_schema(T.StructType.fromDDL(STAVES))
 
-    return lines.groupBy("page").applyInPandas(run, STAVES)
+    def run(g: pa.Table) -> pa.Table:
+        page = g["page"][0].as_py()
+        found = page_staves(*[g[c][0].as_py() for c in ("page_width", "page_height")], *[g[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], share)
+        rows = [(page, *row, None) for row in found] or [(page, *[None] * 7, "no staff system")]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return lines.groupBy("page").applyInArrow(run, STAVES)
 
 
 def blocks(staves: DataFrame) -> DataFrame:
