@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_secrets, op02_spotsigs, op03_mixing, op04_pii, op05_quality, op06_language, op07_pieces, op08_minhash, op09_gif, op10_ctw
+from . import op01_secrets, op02_spotsigs, op03_mixing, op04_pii, op05_quality, op06_language, op07_pieces, op08_minhash, op09_gif, op10_ctw, op13_merkle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_minmax_neardup": op08_minhash.op8_minmax_neardup,
         "op9_gif_media": op09_gif.op9_gif_media,
         "op10_ctw_scores": op10_ctw.op10_ctw_scores,
+        "op13_merkle_manifest": op13_merkle.op13_merkle_manifest,
         "spotsigs_groups": op02_spotsigs.spotsigs_groups,
     }
 
@@ -35,5 +36,34 @@ l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (total - c)), u AS (SELECT a, b F
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept FROM s JOIN (SELECT a, min(b) AS m FROM r GROUP BY 1) c ON c.a = s.doc_id"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def leaf_sql(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def runs_sql(levels: str, key: str) -> str:
+    return f"SELECT level, {key}pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {levels} WHERE n > 1 GROUP BY ALL"
+
+
+#: What a step upwards makes of a node x at a place of the run hs: its hash, and the proof with the others.
+STEP = "sha256(array_to_string(list_transform(hs, lambda h, i: CASE WHEN i = f.pos % 8 + 1 THEN x ELSE h END), '')), f.proof || array_to_string(list_filter(hs, lambda h, i: i <> f.pos % 8 + 1), '')"
+CRC = "xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)), lambda c, x: list_reduce(range(8), lambda a, u: xor(a >> 1, (a & 1) * 3988292384), xor(c, x)), CAST(4294967295 AS BIGINT)), 4294967295)"
+OP13_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, lang, {leaf_sql("text")} AS leaf, {leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} AS lowered, coalesce({CRC} % 3 = 0, FALSE) AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+a AS (SELECT 0 AS level, lang, pos, n, leaf AS h FROM p UNION ALL SELECT level + 1, lang, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY level, lang, pos // 8),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS level, pos, n, h FROM s UNION ALL SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY level, pos // 8),
+ra AS ({runs_sql("a", "lang, ")}), rb AS ({runs_sql("b", "")}),
+f AS (SELECT id, 0 AS level, lang, pos, n, CASE WHEN tampered THEN lowered ELSE leaf END AS x, '' AS proof FROM p
+UNION ALL SELECT f.id, f.level + 1, f.lang, f.pos // 8, (f.n + 7) // 8, {STEP} FROM f JOIN ra ON ra.level = f.level AND ra.lang IS NOT DISTINCT FROM f.lang AND ra.run = f.pos // 8 WHERE f.n > 1),
+g AS (SELECT f.id, 0 AS level, s.pos, s.n, f.x, f.proof FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+UNION ALL SELECT f.id, f.level + 1, f.pos // 8, (f.n + 7) // 8, {STEP} FROM g AS f JOIN rb ON rb.level = f.level AND rb.run = f.pos // 8 WHERE f.n > 1)
+SELECT d.doc_id, d.leaf, s.h AS subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.x AS folded_root, g.x = r.h AS verified
+FROM d JOIN g ON g.id = d.id AND g.n = 1 JOIN s ON s.lang IS NOT DISTINCT FROM d.lang JOIN b r ON r.n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minmax_neardup": OP8_SQL}
+    return {"op8_minmax_neardup": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
