@@ -75,18 +75,6 @@ def asof(left: DataFrame, right: DataFrame, keys: list, order: list, value: Colu
     return both.withColumn(name, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
 
 
-def with_margin(left: DataFrame, right: DataFrame, keys: list, left_id: str, right_id: str, cost: Column, margin: float, most: float | None = None) -> DataFrame:
-    """left_id and match: the nearest right row, null if the runner-up comes within ``margin`` of it (or it is beyond ``most``)."""
-    pairs = left.join(right, keys).select(left_id, cost.alias("cost"), F.col(right_id).alias("id"))
-    two = pairs.withColumn("n", F.row_number().over(Window.partitionBy(left_id).orderBy("cost", "id"))).where("n <= 2")
-    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    two = two.groupBy(left_id).agg(at(1, "id").alias("id"), at(1, "cost").alias("first"), at(2, "cost").alias("second"))
-    good = F.col("second").isNull() | (F.col("second") - F.col("first") >= margin)
-    if most is not None:
-        good = good & (F.col("first") <= most)
-    return two.select(left_id, F.when(good, F.col("id")).alias("match"))
-
-
 def rank_match(left: DataFrame, right: DataFrame, keys: list, left_order: list, right_order: list) -> DataFrame:
     """Multiset full outer join: the n-th of a key on the left meets the n-th on the right. Columns of left get l_, of right r_."""
 

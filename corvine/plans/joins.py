@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import scalar as fn
 from ..operators import joins as op
-from ..operators import vectors
+from ..operators import neighbours, vectors
 from ..registry import query, table
 
 
@@ -38,7 +38,7 @@ def j03(spark, d):
 
 @query("j04_key_lists", """WITH k AS (SELECT l_suppkey, unnest(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY 1) SELECT l_suppkey, count(*) AS parts, max(p_size) AS largest FROM k JOIN part ON p = p_partkey GROUP BY 1""")
 def j04(spark, d):
-    k = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("ps")).select("l_suppkey", F.explode("ps").alias("p_partkey"))
+    k = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct()
     return k.join(table(spark, d, "part"), "p_partkey").groupBy("l_suppkey").agg(F.count("*").alias("parts"), F.max("p_size").alias("largest"))
 
 
@@ -52,10 +52,9 @@ def rects(spark, d):
 @query("j05_intersection_count", f"""WITH r AS ({RECTS}), a AS (SELECT * FROM r WHERE n = 1), b AS (SELECT * FROM r WHERE n = 2) SELECT a.id, count(DISTINCT b.id) AS blocks, count(DISTINCT b.id) = 1 AS unique_block
 FROM a JOIN b ON a.page = b.page AND a."left" <= b."right" AND b."left" <= a."right" AND a.top <= b.bottom AND b.top <= a.bottom GROUP BY 1""")
 def j05(spark, d):
-    """Rectangles that meet on one page, by binned intervals on x."""
+    """Rectangles that meet on one page, by cells of both axes."""
     r = rects(spark, d)
-    met = op.interval_join(r.where("n = 1"), r.where("n = 2"), ["page"], ("left", "right"), ("left", "right"), 4.0)
-    met = met.where(geo.intersects(geo.Rect.of("l_"), geo.Rect.of("r_")))
+    met = neighbours.rect_join(r.where("n = 1"), r.where("n = 2"), ["page"])
     return met.groupBy(F.col("l_id").alias("id")).agg(F.count_distinct("r_id").alias("blocks")).withColumn("unique_block", F.col("blocks") == 1)
 
 
@@ -104,16 +103,14 @@ def j10(spark, d):
 @query("j11_nearest_k", """SELECT s_suppkey, p, place FROM (SELECT s_suppkey, c_custkey AS p, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c_acctbal - s_acctbal), c_custkey) AS place FROM supplier JOIN customer ON c_nationkey = s_nationkey) WHERE place <= 2""")
 def j11(spark, d):
     s, c = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "k"), table(spark, d, "customer").withColumnRenamed("c_nationkey", "k")
-    return op.nearest(s, c, ["k"], "s_suppkey", F.abs(F.col("c_acctbal") - F.col("s_acctbal")), ["c_custkey"], 2).select("s_suppkey", F.col("c_custkey").alias("p"), F.col("place").cast("long").alias("place"))
+    return neighbours.nearest_k(s, c, ["k"], "s_acctbal", "c_acctbal", "s_suppkey", "c_custkey", 2).select("s_suppkey", F.col("match").alias("p"), F.col("place").cast("long").alias("place"))
 
 
 @query("j12_nearest_prefers_containing", """SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY NOT (s_acctbal BETWEEN c_acctbal - 100 AND c_acctbal + 100), greatest(abs(s_acctbal - c_acctbal) - 100, 0), c_custkey) AS n
 FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE n = 1""")
 def j12(spark, d):
     s, c = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "k"), table(spark, d, "customer").withColumnRenamed("c_nationkey", "k")
-    outside = ~F.col("s_acctbal").between(F.col("c_acctbal") - 100, F.col("c_acctbal") + 100)
-    cost = F.struct(outside.alias("o"), F.greatest(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) - 100, F.lit(0.0)).alias("d"))
-    return op.nearest(s, c, ["k"], "s_suppkey", cost, ["c_custkey"]).select("s_suppkey", "c_custkey")
+    return neighbours.nearest_containing(s, c, ["k"], "s_acctbal", "c_acctbal", "s_suppkey", "c_custkey", 100.0).select("s_suppkey", F.col("match").alias("c_custkey"))
 
 
 @query("j13_nearest_after_equi", """SELECT o_orderkey, near FROM (SELECT a.o_orderkey, b.o_orderkey AS near, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.o_totalprice - b.o_totalprice), b.o_orderkey) AS n
@@ -140,7 +137,7 @@ def j15(spark, d):
     lines = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
     keyed = lines.join(s, F.col("l_suppkey") == F.col("own"), "left")
     lost = keyed.where("own is null").select("l_suppkey").distinct().withColumn("one", F.lit(1))
-    near = op.nearest_value(lost, s.withColumn("one", F.lit(1)), ["one"], "l_suppkey", "own", "l_suppkey", "own").select("l_suppkey", "match")
+    near = neighbours.nearest_k(lost, s.withColumn("one", F.lit(1)), ["one"], "l_suppkey", "own", "l_suppkey", "own").select("l_suppkey", "match")
     return keyed.join(near, "l_suppkey", "left").select("l_orderkey", F.coalesce("own", "match").alias("block"))
 
 
@@ -219,7 +216,7 @@ def j23(spark, d):
 SELECT c_custkey, CASE WHEN count(*) FILTER (WHERE n = 2) = 0 OR max(dist) FILTER (WHERE n = 2) - max(dist) FILTER (WHERE n = 1) >= 500 THEN max(s_suppkey) FILTER (WHERE n = 1) END AS match FROM r GROUP BY 1""")
 def j24(spark, d):
     c, s = table(spark, d, "customer").withColumnRenamed("c_nationkey", "k"), table(spark, d, "supplier").withColumnRenamed("s_nationkey", "k")
-    return op.with_margin(c, s, ["k"], "c_custkey", "s_suppkey", F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 500.0)
+    return neighbours.with_margin(c, s, ["k"], "c_acctbal", "s_acctbal", "c_custkey", "s_suppkey", 500.0)
 
 
 @query("j25_rank_match", """WITH a AS (SELECT l_suppkey AS k, l_orderkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'A'),
