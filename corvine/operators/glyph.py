@@ -11,9 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import overlay
 from ..functions.scalar import l2
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -262,15 +266,51 @@ def simplify(p: np.ndarray, tolerance: float) -> np.ndarray:
     return p[sorted(keep)]
 
 
-def common_share(a, b, size: int = 100) -> float:
-    """Common area over the smaller one of two glyphs in one frame, by even-odd scan conversion at size x size points."""
-    x, y = rings_of(a), rings_of(b)
-    every = np.concatenate([*x, *y])
-    low, span = every.min(axis=0), np.maximum(np.ptp(every, axis=0), 1e-12)
-    side = (np.arange(size) + 0.5) / size
-    grid = np.stack(np.meshgrid(side, side), axis=-1).reshape(-1, 2) * span + low
-    p, q = inside(grid, x), inside(grid, y)
-    return float((p & q).sum() / max(1, min(p.sum(), q.sum())))
+def column_rings(column: pa.ListArray) -> list[list[np.ndarray]]:
+    """rings_of() for a whole Arrow column."""
+    rings, points = column.values, column.values.values
+    xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    outer, inner = column.offsets.to_numpy(), rings.offsets.to_numpy()
+    each = [xy[i:j] for i, j in zip(inner, inner[1:], strict=False)]
+    each = [p[:-1] if len(p) > 1 and np.allclose(p[0], p[-1]) else p for p in each]
+    return [[p for p in each[i:j] if len(p) > 2] for i, j in zip(outer, outer[1:], strict=False)]
+
+
+def common_share(x: list[np.ndarray], y: list[np.ndarray]) -> float:
+    """Common ink over the smaller one of two glyphs in one frame; 0 where one has none."""
+    both, a, b = overlay.areas(x, y)
+    return both / min(a, b) if min(a, b) > 0 else 0.0
+
+
+def normalized(paths: list, box: tuple | None = None, tolerance: float = 0.0) -> tuple[float, list[np.ndarray]]:
+    """Area and outlines of what the paths of a glyph (each a value of rings, filled even-odd) cover together, within the visible box, without corners that change nothing."""
+    strips = overlay.united([rings_of(p) for p in paths], box)
+    return strips.area, overlay.outlines(strips, tolerance)
+
+
+def normalize(paths: DataFrame, keys: list[str], rings: str, box: tuple | None = None, tolerance: float = 0.0) -> DataFrame:
+    """keys, area, rings: the paths of each glyph (a row each) united, clipped and thinned. A glyph of no visible ink has an empty list. A glyph is the unit of distribution."""
+    schema = T.StructType([*[paths.schema[k] for k in keys], T.StructField("area", T.DoubleType()), T.StructField("rings", T._parse_datatype_string(RINGS))])
+    arrow = to_arrow_schema(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        area, found = normalized(t[rings].to_pylist(), box, tolerance)
+        row = {k: t[k][:1].to_pylist() for k in keys} | {"area": [area], "rings": [[[{"x": x, "y": y} for x, y in p.tolist()] for p in found]]}
+        return pa.table(row, schema=arrow)
+
+    return paths.select(*keys, rings).groupBy(*keys).applyInArrow(run, schema)
+
+
+def with_share_of_ink(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """pairs with the common share of two columns of rings, dealt anew, since an overlay costs far more than its row."""
+    spread = pairs.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            shares = [common_share(x, y) for x, y in zip(*[column_rings(t.column(t.schema.get_field_index(c))) for c in (a, b)], strict=True)]
+            yield t.append_column(name, pa.array(shares, pa.float64()))
+
+    return spread.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 FEATURES = {

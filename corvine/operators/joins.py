@@ -18,11 +18,29 @@ def band_semi(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: floa
     return binned.alias("l").join(bins.alias("r"), on, "left_semi").drop("__bin")
 
 
+#: Sizes from one level to the next.
+LEVEL = 1.25
+
+
 def claimed_anti(candidates: DataFrame, claimed: DataFrame, keys: list, share: float = 0.05) -> DataFrame:
-    """Candidates that no claimed rectangle of the same key covers with all four edges within a share of its size."""
+    """Candidates that no claimed rectangle of the same key covers with all four edges within a share (0.09 at most) of its size. What it covers is
+    nearly of its size, so both meet by levels of size and, on a grid of that size, by the place of the corner: claimed rectangles go to the few cells that may be
+    asked for, candidates stay as they are."""
     rect = list(geo.Rect._fields)
     c = claimed.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(x).alias(f"__{x}") for x in rect])
+
+    def level(low: str, high: str) -> Column:
+        size = F.col(high) - F.col(low)
+        return F.when(size > 0, F.floor(F.log(size) / F.log(F.lit(LEVEL)))).otherwise(-(1 << 20)).cast("int")
+
+    step = lambda at: F.when(at > -(1 << 20), F.pow(F.lit(LEVEL), at + 1)).otherwise(1.0)
     on = geo.same_region(geo.Rect.of(), geo.Rect.of("__"), share)
+    for low, high, name in (("left", "right", "x"), ("top", "bottom", "y")):
+        own = level(f"__{low}", f"__{high}")
+        c = c.withColumn(f"__{name}", F.explode(F.when(own > -(1 << 20), F.array(own - 1, own)).otherwise(F.array(own))))
+        edge, most = F.col(f"__{low}"), F.col(f"__{low}") + (share + 1e-6) * (F.col(f"__{high}") - F.col(f"__{low}"))
+        c = c.withColumn(f"__{name}_cell", F.explode(F.sequence(F.floor(edge / step(F.col(f"__{name}"))), F.floor(most / step(F.col(f"__{name}"))))))
+        on = on & (level(low, high) == F.col(f"__{name}")) & (F.floor(F.col(low) / step(level(low, high))) == F.col(f"__{name}_cell"))
     for k in keys:
         on = (F.col(k) == F.col(f"__{k}")) & on
     return candidates.join(c, on, "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as geo
 from ..functions import scalar as fn
-from . import grouped, iterate, joins
+from . import glyph, grouped, iterate, joins, neighbours
 from . import windows as win
 
 BLOCK = ["page", "part", "measure"]
@@ -149,16 +149,16 @@ def assign_blocks(prims: DataFrame, blocks_: DataFrame, reach: float = 1.5) -> D
     """prims with part, measure and scope. Pieces that meet exactly one block are seeds; labels spread to pieces within ``reach``
     spaces, several at once leave a piece ambiguous, which then takes the measure of the nearest block, containing ones first."""
     keyed = blocks_.select("page", "part", "measure", *[F.col(c).alias(f"b_{c}") for c in BOX])
-    met = prims.join(keyed, "page").where(geo.intersects(geo.Rect.of(), geo.Rect.of("b_")))
-    hits = met.groupBy("page", "id").agg(F.count("*").alias("n"), F.min(F.struct("part", "measure")).alias("b"))
+    met = neighbours.rect_join(prims.select("page", "id", *BOX), blocks_.select("page", "part", "measure", *BOX), ["page"])
+    hits = met.groupBy("page", F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("r_part").alias("part"), F.col("r_measure").alias("measure"))).alias("b"))
     label = F.when(F.col("n") == 1, F.concat_ws(":", "page", "b.part", "b.measure"))
     node = F.concat_ws(":", "page", "id")
     nodes = prims.join(hits, ["page", "id"], "left").select(node.alias("node"), label.alias("label"))
     sp = blocks_.groupBy("page").agg(F.percentile((F.col("bottom") - F.col("top")) / 4, 0.5).alias("sp"))
     p = prims.join(sp, "page").select("page", "id", "sp", *BOX)
-    q = p.select("page", F.col("id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in BOX])
-    near = p.join(q, "page").where((F.col("id") < F.col("o")) & (geo.rect_distance(geo.Rect.of(), geo.Rect.of("o_")) <= reach * F.col("sp")))
-    spread = iterate.spread_labels(nodes, near.select(F.concat_ws(":", "page", "id").alias("a"), F.concat_ws(":", "page", "o").alias("b")))
+    near = neighbours.rect_join(p, p.drop("sp"), ["page"], reach * F.col("sp"))
+    near = near.where((F.col("l_id") < F.col("r_id")) & (geo.rect_distance(geo.Rect.of("l_"), geo.Rect.of("r_")) <= reach * F.col("l_sp")))
+    spread = iterate.spread_labels(nodes, near.select(F.concat_ws(":", "page", "l_id").alias("a"), F.concat_ws(":", "page", "r_id").alias("b")))
     placed = prims.withColumn("node", node).join(spread, "node").drop("node")
     parts = F.split("label", ":")
     placed = placed.withColumns({"part": F.element_at(parts, -2).cast("int"), "measure": F.element_at(parts, -1).cast("int")})
@@ -177,15 +177,21 @@ def group_symbols(prims: DataFrame) -> DataFrame:
 
 
 def split_ink(prims: DataFrame, share: float = 0.01) -> DataFrame:
-    """page, id, child: within a symbol, pieces whose common box is more than ``share`` of the smaller hang together."""
-    a = prims.select("page", "symbol", "id", *BOX)
-    b = a.select("page", "symbol", F.col("id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in BOX])
-    w = F.least("right", "o_right") - F.greatest("left", "o_left")
-    h = F.least("bottom", "o_bottom") - F.greatest("top", "o_top")
-    small = F.least(geo.Rect.of().area, geo.Rect.of("o_").area)
-    pairs = a.join(b, ["page", "symbol"]).where((F.col("id") <= F.col("o")) & ((F.col("id") == F.col("o")) | ((w > 0) & (h > 0) & (w * h > share * small))))
-    key = lambda c: F.concat_ws(":", "page", F.lpad(F.col(c).cast("string"), 12, "0"))
-    found = iterate.components(pairs.select(key("id").alias("a"), key("o").alias("b")))
+    """page, id, child: within a symbol, pieces whose common ink is more than ``share`` of the smaller one's hang together. The ink is in the column ``rings``, if
+    there is one, else it is the box. Only pieces whose boxes have an area in common are overlaid."""
+    boxes = prims.select("page", "symbol", "id", *BOX)
+    met = neighbours.rect_join(boxes, boxes, ["page", "symbol"]).where((F.col("l_id") < F.col("r_id")) & geo.overlaps(geo.Rect.of("l_"), geo.Rect.of("r_"), 0.0))
+    a, b = geo.Rect.of("l_"), geo.Rect.of("r_")
+    if "rings" in prims.columns:
+        ink = lambda mark: prims.select("page", F.col("id").alias(f"{mark}_id"), F.col("rings").alias(f"{mark}_rings"))
+        met = met.select("page", "l_id", "r_id").join(ink("l"), ["page", "l_id"]).join(ink("r"), ["page", "r_id"])
+        met = iterate.cut(glyph.with_share_of_ink(met, "l_rings", "r_rings", "share").where(F.col("share") > share).select("page", "l_id", "r_id"))
+    else:
+        both = (F.least(a.right, b.right) - F.greatest(a.left, b.left)) * (F.least(a.bottom, b.bottom) - F.greatest(a.top, b.top))
+        met = met.where(both > share * F.least(a.area, b.area))
+    key = lambda c: F.concat_ws(":", "page", F.lpad(F.col(c).cast("string"), 20, "0"))
+    edges = met.select(key("l_id").alias("a"), key("r_id").alias("b")).unionByName(prims.select(key("id").alias("a"), key("id").alias("b")))
+    found = iterate.components(edges)
     part = lambda c: F.element_at(F.split(c, ":"), -1).cast("long")
     return found.select(F.regexp_replace("node", ":[0-9]+$", "").alias("page"), part("node").alias("id"), part("label").alias("child"))
 

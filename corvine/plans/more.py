@@ -190,32 +190,6 @@ def s12(spark, d):
     return text.parse_bundle(spark, held.getvalue())["references"].select("family", "class")
 
 
-@query("d08_mask_and_area", "SELECT * FROM (VALUES ('bar', 1.0, 1.0), ('ell', 1.0, 1.0), ('ellipse', 1.0, 1.0), ('ring', 1.0, 1.0)) t(name, mask, area)", mask="DOUBLE", area="DOUBLE")
-def d08(spark, d):
-    """Cheap overlap of bit masks and overlap of areas by scan conversion; a moved and scaled shape has the same mask, a shape covers itself."""
-    a = glyph.describe(glyph_rows(spark, 0.0, 1.0), "rings", ["mask"]).select("name", "mask", "rings")
-    b = glyph.describe(glyph_rows(spark, 0.0, 3.0), "rings", ["mask"]).select("name", F.col("mask").alias("other"))
-    share = F.pandas_udf(lambda x: x.map(lambda r: glyph.common_share(r, r)), "double")
-    return a.join(b, "name").select("name", fn.mask_iou(F.col("mask"), F.col("other")).alias("mask"), share("rings").alias("area"))
-
-
-@query("d09_normalized_shapes", "SELECT 4 AS shapes")
-def d09(spark, d):
-    """An outline thinned within a tolerance changes its area by no more than the tolerance times its length."""
-    import numpy as np
-
-    @F.pandas_udf("boolean")
-    def same(rings):
-        def one(value):
-            r = glyph.rings_of(value)
-            length = lambda p: float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum())
-            return all(abs(abs(glyph.area(glyph.simplify(np.vstack([p, p[:1]]), 0.02)[:-1])) - abs(glyph.area(p))) <= 0.02 * length(p) for p in r)
-
-        return rings.map(one)
-
-    return glyph_rows(spark, 0.3, 1.0).where(same("rings")).agg(F.count("*").cast("int").alias("shapes"))
-
-
 @query("l01_pass_order", "SELECT * FROM (VALUES (1, 'meters'), (2, 'grid'), (3, 'clefs'), (4, 'ledgers'), (5, 'heads'), (6, 'stems'), (7, 'stem_heads'), (8, 'beams'), (9, 'flags'), (10, 'arcs'), (11, 'accidentals'), (12, 'rests'), (13, 'dots')) t(n, pass)")
 def l01(spark, d):
     """The passes in the order in which they claim."""
