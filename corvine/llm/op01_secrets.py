@@ -33,7 +33,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 #: Weak parts: an identifier or secret by its label, a mixed high-entropy word, an endpoint.
 WEAK_ID = re.compile(r"\b(?:client_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login|tenant)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,}+)", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"\b(?:https?|s3|gs|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|\b(?:host|hostname|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}", re.ASCII | re.IGNORECASE)
 SECTION = re.compile(r"\n[\x20\t\r]*\n")
 

@@ -271,11 +271,12 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, most:
     inside = inside.select("lang", F.expr(f"array_join(slice({words}, at, m), ' ')").alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     stays = scored.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < COVER * F.col("a")))
     best = stays.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    # the first ones of each part of a language, then of the language: no task sorts a whole language
+    # the first ones of small parts of a language, then of larger ones, then of all: no task sorts more than 64 times ``most`` rows but at first
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    first = best.withColumn("__part", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__part").orderBy(*order))).where(F.col("rank") <= most)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    ranked = best
+    for parts in (4096, 64, 1):
+        within = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(within).cast("long")).where(F.col("rank") <= most)
     total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
