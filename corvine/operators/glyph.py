@@ -205,6 +205,35 @@ def fourier_distance(a: dict, b: dict, phase: bool = True) -> float | None:
     return float(np.sqrt(total + min(sum(gap(r, v[j]) for r, j in zip(u, p)) for p in permutations(range(3)))))
 
 
+def stacked(known: list[dict]) -> dict[str, np.ndarray]:
+    """Fourier descriptors side by side: scans, and of three rings each their heads, coefficients and whether they are there."""
+    rings = [[np.array(v, float) for v in d["rings"]][:3] for d in known]
+    width = max((len(v) for r in rings for v in r), default=RING_HEAD + 2)
+    full = np.zeros((len(known), 3, width))
+    for i, r in enumerate(rings):
+        for j, v in enumerate(r):
+            full[i, j] = v
+    there = np.array([[j < len(r) for j in range(3)] for r in rings]).reshape(-1, 3)
+    return {"scans": np.array([d["scans"] for d in known], float), "head": full[:, :, :RING_HEAD], "turns": full[:, :, RING_HEAD:].reshape(len(known), 3, -1, 2), "there": there, "count": np.array([min(d["count"], 10) for d in known], float)}
+
+
+def fourier_distances(a: dict, known: dict[str, np.ndarray], phase: bool = True) -> np.ndarray:
+    """fourier_distance() of one descriptor to each of stacked() ones."""
+    from itertools import permutations
+
+    own = stacked([a])
+    gap = own["scans"] - known["scans"]
+    total = CROSSING * ((gap[:, :, 0] / 2) ** 2).sum(axis=1) + SPAN * (gap[:, :, 1] ** 2).sum(axis=1) + RINGS_HINT * (own["count"] - known["count"]) ** 2
+    form = lambda d: d["turns"] if phase else np.hypot(d["turns"][..., 0], d["turns"][..., 1])[..., None]
+    weight = np.array([SHARE, CENTRE, CENTRE, SIZE, SIZE])
+    head = (weight * (own["head"][0][None, :, None] - known["head"][:, None]) ** 2).sum(axis=-1)
+    both = head + ((form(own)[0][None, :, None] - form(known)[:, None]) ** 2).sum(axis=(-1, -2))
+    x, y = own["there"][0][None, :, None], known["there"][:, None]
+    alone = LONELY * np.where(x, own["head"][0, :, 0][None, :, None], known["head"][:, None, :, 0]) ** 2 + LONELY_EACH
+    cost = FOURIER * np.where(x & y, both, np.where(x | y, alone, 0.0))
+    return np.sqrt(total + np.min([sum(cost[:, i, j] for i, j in enumerate(p)) for p in permutations(range(3))], axis=0))
+
+
 def with_fourier_distance(pairs: DataFrame, a: str, b: str, name: str, phase: bool = True) -> DataFrame:
     """pairs with the distance of two columns of Fourier descriptors."""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields], f"{name} double"])
@@ -216,12 +245,23 @@ def with_fourier_distance(pairs: DataFrame, a: str, b: str, name: str, phase: bo
     return pairs.mapInPandas(run, schema)
 
 
+def depths(rings: list[np.ndarray]) -> list[int]:
+    """In how many other rings each lies."""
+    return [sum(bool(inside(p[:1], [q])[0]) for j, q in enumerate(rings) if j != i) for i, p in enumerate(rings)]
+
+
+def centroid(p: np.ndarray) -> np.ndarray:
+    q = np.roll(p, -1, axis=0)
+    cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+    return ((p + q) * cross[:, None]).sum(axis=0) / (3 * cross.sum()) if abs(cross.sum()) > 1e-12 else p.mean(axis=0)
+
+
 def structure(value, size: int = 48) -> dict | None:
     """Nesting and fill: rings, holes (rings at odd depth), greatest depth, filled share of the box, outline over box perimeter."""
     rings = rings_of(value)
     if not rings:
         return None
-    depth = [sum(bool(inside(p[:1], [q])[0]) for j, q in enumerate(rings) if j != i) for i, p in enumerate(rings)]
+    depth = depths(rings)
     every = np.concatenate(rings)
     w, h = np.maximum(np.ptp(every, axis=0), 1e-12)
     filled = abs(sum(abs(area(p)) * (1 if d % 2 == 0 else -1) for p, d in zip(rings, depth)))
@@ -301,16 +341,20 @@ def normalize(paths: DataFrame, keys: list[str], rings: str, box: tuple | None =
     return paths.select(*keys, rings).groupBy(*keys).applyInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over all cores, for rows that are few and dear."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def with_share_of_ink(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """pairs with the common share of two columns of rings, dealt anew, since an overlay costs far more than its row."""
-    spread = pairs.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism))
+    """pairs with the common share of two columns of rings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             shares = [common_share(x, y) for x, y in zip(*[column_rings(t.column(t.schema.get_field_index(c))) for c in (a, b)], strict=True)]
             yield t.append_column(name, pa.array(shares, pa.float64()))
 
-    return spread.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return spread(pairs).mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 FEATURES = {

@@ -1,8 +1,11 @@
-"""Nearest references by exact distance or mask overlap, in blocks.
+"""Nearest references by exact distance or mask overlap.
 
-Both sides are dealt by hash into blocks of about BLOCK rows; a task compares one block of rows with one block of references and returns partial
-minima only (per row and class, or the k best), which a shuffle on the row reduces. So no pairs are emitted, nothing is broadcast and
-a task's memory is two blocks, however many references there are; with references of a fixed number each row is sent once for every BLOCK of them."""
+Vectors: references are dealt to balls around pivots. A row is compared with the ball next to it first, which bounds how far its nearest can be; then only with the
+balls that may hold something as near, by the triangle inequality (the row's distance to a pivot less the ball's radius). What is left out can not be among the
+nearest, so the result is exact. Pivots and radii are a table of fixed size. Masks go by blocks of all rows and all references.
+
+Balls and rows are cut into blocks of about BLOCK rows; a task compares one block of rows with one of references and returns partial minima only (per row and class,
+or the k best), which a shuffle on the row reduces. So no pairs are emitted and a task's memory is two blocks, however many rows a ball or a group holds."""
 
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .iterate import cut
+
 BLOCK = 2048
 #: Cells of differences at once.
 CELLS = 1 << 21
@@ -34,67 +39,174 @@ def less_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either > 0, 1 - both / np.maximum(either, 1), 1.0)
 
 
-def scan(rows: DataFrame, references: DataFrame, apart: bool, best, schema: T.StructType) -> DataFrame:
-    """Partial results of best(cost, rows' ids, references' ids, references' classes) over all pairs of blocks. rows: id, value; references: ref, class, value; a value is an array of numbers or a
-    mask. apart: a row is not compared with the reference of its own id."""
-    m, n = rows.count(), references.count()
-    x, y = max(1, -(-m // BLOCK)), max(1, -(-n // BLOCK))
+def scan(rows: DataFrame, references: DataFrame, best, schema: T.StructType) -> DataFrame:
+    """Partial results of best() over all pairs of blocks. rows: id, value; references: ref, value; values are masks."""
+    x, y = (max(1, -(-df.count() // BLOCK)) for df in (rows, references))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     a = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(x)).cast("int")).withColumn("j", every(y))
-    b = references.withColumn("j", F.pmod(F.xxhash64("ref"), F.lit(y)).cast("int")).withColumn("i", every(x))
+    b = references.select("ref", F.col("value").alias("target"), F.pmod(F.xxhash64("ref"), F.lit(y)).cast("int").alias("j")).withColumn("i", every(x))
     arrow = to_arrow_schema(schema)
 
-    def values(c: pa.ChunkedArray) -> np.ndarray:
-        c = c.combine_chunks()
-        return c.flatten().to_numpy().astype(float).reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy()
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        u, v = values(left["value"]), values(right["value"])
-        cost = distances(u, v) if u.ndim == 2 else less_overlap(u, v)
-        ids, refs = left["id"].to_numpy(), right["ref"].to_numpy()
-        if apart:
-            cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
-        return pa.table(best(cost, ids, refs, right["class"].combine_chunks() if "class" in right.column_names else None), schema=arrow)
+        cost = less_overlap(left["value"].to_numpy(), right["target"].to_numpy())
+        return pa.table(best(cost, left["id"].to_numpy(), right["ref"].to_numpy(), None), schema=arrow)
 
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, schema)
 
 
-def nearest_of_class(rows: DataFrame, references: DataFrame, apart: bool = False) -> DataFrame:
-    """id, class, dist, ref: the nearest reference of each class for every row, the smaller ref on ties."""
+#: Pivots at most, references that they are chosen from, and balls (pivots times classes) at most.
+PIVOTS, SAMPLE, BALLS = 1024, 4096, 1 << 16
+#: What rounding may take off a bound.
+SLACK = 1e-9
+
+
+def matrix(c: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy().astype(float).reshape(len(c), -1)
+
+
+def far_apart(points: np.ndarray, most: int) -> np.ndarray:
+    """Of some points one after the other the one farthest from those chosen, until all are as one of them."""
+    chosen = [0]
+    far = distances(points, points[:1])[:, 0]
+    while len(chosen) < most and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, distances(points, points[chosen[-1:]])[:, 0])
+    return points[chosen]
+
+
+def compared(rows: DataFrame, references: DataFrame, best, schema: T.StructType, told=None) -> DataFrame:
+    """Partial results of best(cost, ids, refs, classes) for rows (id, value, ball: one or more each) against the references (ref, value, class, ball) of their balls."""
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    many = references.groupBy("ball").agg(F.count("*").alias("m"))
+    asked = rows.groupBy("ball").agg(F.count("*").alias("n"))
+    size = many.join(asked, "ball").select("ball", blocks(F.col("m")).alias("y"), blocks(F.col("n")).alias("x"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = rows.join(size, "ball").withColumn("i", F.pmod(F.xxhash64("id"), F.col("x")).cast("int")).withColumn("j", every("y")).drop("x", "y")
+    b = references.join(size, "ball").withColumn("j", F.pmod(F.xxhash64("ref"), F.col("y")).cast("int")).withColumn("i", every("x")).drop("x", "y")
+    arrow = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        if told is not None:
+            told.add(left.num_rows * right.num_rows)
+        cost = distances(matrix(left["value"]), matrix(right["value"]))
+        return pa.table(best(cost, left["id"].to_numpy(), right["ref"].to_numpy(), right["class"].combine_chunks()), schema=arrow)
+
+    return a.groupBy("ball", "i", "j").cogroup(b.groupBy("ball", "i", "j")).applyInArrow(run, schema)
+
+
+def by_balls(rows: DataFrame, references: DataFrame, apart: bool, k: int, by_class: bool, best, schema: T.StructType, told=None) -> DataFrame:
+    """Partial results of best() that hold the k nearest references of every row, of each class if by_class. rows: id, value; references: ref, class, value."""
+    spark = rows.sparkSession
+    known = cut(references.select("ref", F.col("class") if by_class else F.lit(0).alias("class"), F.col("value").cast("array<double>").alias("value")))
+    classes = [r["class"] for r in known.select("class").distinct().limit(BALLS + 1).collect()]
+    if len(classes) > BALLS:
+        raise ValueError(f"more than {BALLS} classes")
+    most = max(1, min(PIVOTS, BALLS // max(1, len(classes)), int(4 * known.count() ** 0.5)))
+    some = np.array([list(r["value"]) for r in known.orderBy(F.xxhash64("ref"), "ref").limit(SAMPLE).select("value").collect()], float)
+    if not len(some):
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(far_apart(some, most))
+
+    def nearest_pivot(batches):
+        for b in batches:
+            d = distances(matrix(b.column(b.schema.get_field_index("value"))), held.value)
+            yield b.append_column("pivot", pa.array(d.argmin(axis=1), pa.int32())).append_column("off", pa.array(d.min(axis=1)))
+
+    placed = cut(known.mapInArrow(nearest_pivot, T.StructType([*known.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("off", T.DoubleType())])))
+    found = placed.groupBy("class", "pivot").agg(F.max("off").alias("radius"), F.count("*").alias("n")).collect()
+    number = {c: i for i, c in enumerate(classes)}
+    balls = spark.sparkContext.broadcast((np.array([number[r["class"]] for r in found]), np.array([r["pivot"] for r in found]), np.array([r["radius"] for r in found]), np.array([r["n"] for r in found])))
+    table = spark.createDataFrame([(i, r["class"], r["pivot"]) for i, r in enumerate(found)], T.StructType([T.StructField("ball", T.IntegerType()), known.schema["class"], T.StructField("pivot", T.IntegerType())]))
+    refs = cut(placed.join(F.broadcast(table), ["class", "pivot"]).select("ref", "class", "value", "ball"))
+    asked = rows.select("id", F.col("value").cast("array<double>").alias("value"))
+    visit = T.StructType([*asked.schema.fields, T.StructField("ball", T.IntegerType())])
+    wanted = k + bool(apart)  # one of a ball may be the row itself
+
+    def first_balls(batches):
+        """Of each class the balls next to a row, until they hold enough."""
+        of, pivot, _, n = balls.value
+        for b in batches:
+            d = distances(matrix(b.column(1)), held.value)[:, pivot]
+            at, to = [], []
+            for c in np.unique(of):
+                mine = np.flatnonzero(of == c)
+                order = mine[np.argsort(d[:, mine], axis=1, kind="stable")]
+                before = np.cumsum(n[order], axis=1) - n[order]
+                row, place = np.nonzero(before < wanted)
+                at.append(row)
+                to.append(order[row, place])
+            at, to = np.concatenate(at), np.concatenate(to)
+            yield b.take(pa.array(at)).append_column("ball", pa.array(to, pa.int32()))
+
+    first = cut(compared(asked.mapInArrow(first_balls, visit), refs, best, schema, told))
+    place = F.row_number().over(Window.partitionBy("id", "class").orderBy("dist", "ref"))
+    bound = first.withColumn("place", place).where(F.col("place") <= k).groupBy("id", "class").agg(F.max("dist").alias("dist"), F.count("*").alias("n"))
+    bound = bound.groupBy("id").agg(F.collect_list(F.struct("class", F.when(F.col("n") >= k, F.col("dist")).alias("dist"))).alias("bounds"))
+    both = asked.join(bound, "id", "left")
+
+    def other_balls(batches):
+        """The balls that may hold something as near as what was found, but for those of the first visit."""
+        of, pivot, radius, n = balls.value
+        for b in batches:
+            d = distances(matrix(b.column(1)), held.value)[:, pivot]
+            u = np.full((b.num_rows, len(number)), np.inf)
+            for i, some in enumerate(b.column(2).to_pylist()):
+                for x in some or []:
+                    if x["dist"] is not None:
+                        u[i, number[x["class"]]] = x["dist"]
+            near = d - radius <= u[:, of] * (1 + SLACK) + SLACK
+            for c in np.unique(of):
+                mine = np.flatnonzero(of == c)
+                order = mine[np.argsort(d[:, mine], axis=1, kind="stable")]
+                seen = np.cumsum(n[order], axis=1) - n[order] < wanted
+                near[np.arange(b.num_rows)[:, None].repeat(len(mine), axis=1)[seen], order[seen]] = False
+            row, to = np.nonzero(near)
+            yield b.select([0, 1]).take(pa.array(row)).append_column("ball", pa.array(to, pa.int32()))
+
+    return first.unionByName(compared(both.mapInArrow(other_balls, visit), refs, best, schema, told))
+
+
+def nearest_of_class(rows: DataFrame, references: DataFrame, apart: bool = False, told=None) -> DataFrame:
+    """id, class, dist, ref: the nearest reference of each class for every row, the smaller ref on ties. told: an accumulator for the number of distances between rows and references."""
     kind = references.schema["class"].dataType
 
     def best(cost, ids, refs, classes):
-        names, code = np.unique(np.array(classes.to_pylist(), object), return_inverse=True)
-        order = np.lexsort((refs, code))
-        cost, refs, code = cost[:, order], refs[order], code[order]
-        out = [[], [], [], []]
-        for k, name in enumerate(names):
-            mine = code == k
-            at = cost[:, mine].argmin(axis=1)
-            dist = cost[:, mine][np.arange(len(ids)), at]
-            some = np.isfinite(dist)
-            for column, x in zip(out, (ids[some], [name] * int(some.sum()), dist[some], refs[mine][at][some]), strict=True):
-                column.append(x)
-        return {"id": np.concatenate(out[0]), "class": [x for part in out[1] for x in part], "dist": np.concatenate(out[2]), "ref": np.concatenate(out[3])}
+        if apart:
+            cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
+        name = classes[0].as_py()  # a ball is of one class
+        order = np.argsort(refs, kind="stable")
+        cost, refs = cost[:, order], refs[order]
+        at = cost.argmin(axis=1)
+        dist = cost[np.arange(len(ids)), at]
+        some = np.isfinite(dist)
+        return {"id": ids[some], "class": [name] * int(some.sum()), "dist": dist[some], "ref": refs[at][some]}
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", kind), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
-    met = scan(rows, references, apart, best, schema)
+    met = by_balls(rows, references, apart, 1, True, best, schema, told)
     return met.groupBy("id", "class").agg(F.min(F.struct("dist", "ref")).alias("m")).select("id", "class", "m.dist", "m.ref")
 
 
-def nearest_few(rows: DataFrame, references: DataFrame, k: int, apart: bool = False) -> DataFrame:
-    """id, ref, cost, place (1 to k): the k nearest references of every row, the smaller ref on ties."""
+def nearest_few(rows: DataFrame, references: DataFrame, k: int, apart: bool = False, told=None) -> DataFrame:
+    """id, ref, cost, place (1 to k): the k nearest references of every row, the smaller ref on ties; values are vectors or masks."""
 
     def best(cost, ids, refs, _):
+        if apart:
+            cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
         order = np.argsort(refs, kind="stable")
         cost, refs = cost[:, order], refs[order]
         at = np.argsort(cost, axis=1, kind="stable")[:, :k]
         few = np.take_along_axis(cost, at, axis=1)
         some = np.isfinite(few)
-        return {"id": np.repeat(ids, some.sum(axis=1)), "ref": refs[at][some], "cost": few[some]}
+        n = int(some.sum())
+        return {"id": np.repeat(ids, some.sum(axis=1)), "class": np.zeros(n, np.int32), "dist": few[some], "ref": refs[at][some]}
 
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ref", references.schema["ref"].dataType), T.StructField("cost", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
     place = F.row_number().over(Window.partitionBy("id").orderBy("cost", "ref"))
-    return scan(rows, references, apart, best, schema).withColumn("place", place.cast("long")).where(F.col("place") <= k)
+    vectors = isinstance(rows.schema["value"].dataType, T.ArrayType)
+    met = by_balls(rows, references.withColumn("class", F.lit(0)), apart, k, False, best, schema, told) if vectors else scan(rows, references, best, schema)
+    return met.select("id", "ref", F.col("dist").alias("cost")).withColumn("place", place.cast("long")).where(F.col("place") <= k)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvine.operators import neighbours as op
+from corvine.operators import vectors
 
 
 def sides(spark, seed, n=120, values=40):
@@ -80,3 +81,29 @@ def test_one_page_of_very_many_pieces(spark):
     near = cell.withColumn("cx", F.explode(F.expr("array(cx - 1, cx, cx + 1)"))).withColumn("cy", F.explode(F.expr("array(cy - 1, cy, cy + 1)"))).selectExpr("id o", "`left` ol", "top ot", "cx", "cy")
     want = cell.join(near, ["cx", "cy"]).where("id < o and abs(`left` - ol) <= 0.5 and abs(top - ot) <= 0.5").count()
     assert n == want > 1000
+
+
+def test_balls_leave_out_most_distances_and_nothing_near(spark):
+    """Four hundred clusters: the nearest are those of all pairs, by less than a tenth of the distances."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 12)) * 10
+    points = np.concatenate([centres[rng.integers(0, 400, 5000)] + rng.normal(size=(5000, 12)) * 0.1, np.repeat(centres[:1], 200, axis=0)])
+    names = ["a" if i % 2 else "b" for i in range(len(points))]
+    df = spark.createDataFrame([(i, c, p.tolist()) for i, (c, p) in enumerate(zip(names, points))], "id long, class string, value array<double>").repartition(4)
+    refs = df.withColumnRenamed("id", "ref")
+    gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gap, np.inf)
+    told = spark.sparkContext.accumulator(0)
+    got = vectors.nearest_few(df.select("id", "value"), refs.select("ref", "value"), 3, apart=True, told=told).collect()
+    assert 0 < told.value < 0.1 * len(points) ** 2
+    want = np.argsort(gap, axis=1, kind="stable")[:, :3]
+    assert len(got) == want.size and all(want[r["id"], r["place"] - 1] == r["ref"] for r in got)
+    told = spark.sparkContext.accumulator(0)
+    best = {(r["id"], r["class"]): (r["dist"], r["ref"]) for r in vectors.nearest_of_class(df.select("id", "value"), refs, apart=True, told=told).collect()}
+    assert 0 < told.value < 0.1 * len(points) ** 2 and len(best) == 2 * len(points)
+    for c in "ab":
+        mine = np.array([x == c for x in names])
+        of = np.where(mine[None], gap, np.inf)
+        assert all(best[i, c][1] == of[i].argmin() for i in range(len(points)))
