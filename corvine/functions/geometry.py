@@ -94,3 +94,14 @@ def circularity(points: Column) -> Column:
     """4 pi area / perimeter^2: 1 for a circle."""
     around = perimeter(points)
     return F.when(around > 0, F.abs(shoelace(points)) * 12.566370614359172 / (around * around)).otherwise(0.0)
+
+
+def radial_variation(points: Column, box: Rect) -> Column:
+    """Coefficient of variation of the points' radii from the box's centre, in units of its half width and half height; 0 for an ellipse in its box."""
+    rx, ry = F.greatest(box.width / 2, F.lit(1e-9)), F.greatest(box.height / 2, F.lit(1e-9))
+    cx, cy = (box.left + box.right) / 2, (box.top + box.bottom) / 2
+    radii = F.transform(points, lambda p: F.sqrt(F.pow((p["x"] - cx) / rx, 2) + F.pow((p["y"] - cy) / ry, 2)))
+    total = lambda of: F.aggregate(radii, F.lit(0.0), lambda s, x: s + of(x))
+    mean = total(lambda x: x) / F.size(points)
+    variance = F.aggregate(radii, F.lit(0.0), lambda s, x: s + F.pow(x - mean, 2)) / F.size(points)
+    return F.when(mean > 1e-9, F.sqrt(variance) / mean)

@@ -215,9 +215,53 @@ def meters(digits: DataFrame, grid: DataFrame, supported: list[tuple[int, int]])
     return found.select(*BLOCK, F.col("value").alias("beats"), F.col("o_value").alias("beat_value"), "side", "confidence", F.least("left", "o_left").alias("left"), "top", F.greatest("right", "o_right").alias("right"), F.col("o_bottom").alias("bottom"))
 
 
+def compound_meters(symbols: DataFrame, grid: DataFrame, supported: list[tuple[int, int]]) -> DataFrame:
+    """The best meter of each block, whose numbers may have two figures that came as two symbols. Figures (labels that are numbers) fit a row by their size; in each half of the
+    block a row is one figure or two neighbours (gap of -0.10 to 0.32 staff heights, common height of 0.55 of the lower). An upper and a lower row of like size, one above the other, are a candidate,
+    scored by how well they agree; the eight best of a block are read, and of those that are supported the most certain (its agreement has a vote of 0.18) is the meter."""
+    d = on_grid(symbols, grid).where(F.col("label").rlike("^[0-9]{1,2}$"))
+    staff, r = 4 * F.col("sp"), geo.Rect.of()
+    d = d.where(r.height.between(0.22 * staff, 0.72 * staff) & r.width.between(0.10 * staff, 1.15 * staff) & (r.width >= 0.20 * r.height))
+    one = d.select(*BLOCK, "id", "label", "confidence", *BOX, "sp", *[f"block_{c}" for c in BOX], (F.col("ly") < 4).alias("upper"))
+    after = Window.partitionBy(*BLOCK, "upper").orderBy("left", "id")
+    two = one.withColumn("b", F.lead(F.struct("label", "confidence", *BOX)).over(after))
+    gap = (F.col("b.left") - F.col("right")) / staff
+    shared = (F.least("bottom", "b.bottom") - F.greatest("top", "b.top")) / F.least(r.height, F.col("b.bottom") - F.col("b.top"))
+    two = two.where(gap.between(-0.10, 0.32) & (shared >= 0.55)).select(
+        *BLOCK, "id", F.concat("label", "b.label").alias("label"), F.sqrt(F.col("confidence") * F.col("b.confidence")).alias("confidence"), F.least("left", "b.left").alias("left"), F.least("top", "b.top").alias("top"),
+        F.greatest("right", "b.right").alias("right"), F.greatest("bottom", "b.bottom").alias("bottom"), "sp", *[f"block_{c}" for c in BOX], "upper",
+    )
+    rows = one.unionByName(two).withColumns({"value": F.col("label").cast("int"), "figures": F.length("label")})
+    top = rows.where("upper").drop("upper", "label")
+    low = rows.where("not upper").select(*BLOCK, F.col("id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("value", "figures", "confidence", *BOX)])
+    a, b = geo.Rect.of(), geo.Rect.of("o_")
+    ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
+    overlap, off, wide, high = geo.overlap_share(a.left, a.right, b.left, b.right), F.abs(a.left + a.right - b.left - b.right) / 2 / staff, ratio(a.width, b.width), ratio(a.height, b.height)
+    over = (b.top - a.bottom) / staff
+    cover = (F.greatest("bottom", "o_bottom") - F.least("top", "o_top")) / staff
+    fits = (overlap >= 0.58) & (off <= 0.22) & (wide >= 0.48) & (high >= 0.52) & ((a.width + b.width) / 2 >= 0.14 * staff) & over.between(-0.18, 0.24) & cover.between(0.72, 1.35)
+    agree = 1.8 * overlap + 0.65 * wide + 0.35 * high + 0.35 * F.least(cover, F.lit(1.05)) - 0.55 * off
+    found = top.join(low, BLOCK).where(fits).withColumn("agree", agree)
+    ties = ["id", "figures", "o", "o_figures"]
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy(*BLOCK).orderBy(F.desc("agree"), *ties))).where("n <= 8")
+    known = symbols.sparkSession.createDataFrame(supported, "value int, o_value int")
+    found = found.join(F.broadcast(known), ["value", "o_value"], "left_semi").withColumn("confidence", F.sqrt(F.col("confidence") * F.col("o_confidence")))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy(*BLOCK).orderBy(F.desc(F.col("confidence") + 0.18 * F.col("agree")), *ties))).where("n = 1")
+    place = ((F.least("left", "o_left") + F.greatest("right", "o_right")) / 2 - F.col("block_left")) / (F.col("block_right") - F.col("block_left"))
+    side = F.when(place <= 0.48, "Left").when(place >= 0.72, "Right").otherwise("Middle")
+    return best.select(*BLOCK, F.col("value").alias("beats"), F.col("o_value").alias("beat_value"), side.alias("side"), "confidence", F.least("left", "o_left").alias("left"), F.least("top", "o_top").alias("top"), F.greatest("right", "o_right").alias("right"), F.greatest("bottom", "o_bottom").alias("bottom"))
+
+
 def clefs(symbols: DataFrame, grid: DataFrame) -> DataFrame:
-    """Size gate, then non-maximum suppression per kind. kind is the label."""
+    """Size gate; of candidates in one place (centre and size to 0.01) the one that is not derived and has the most paths, where symbols tell (columns derived, paths); then non-maximum suppression per
+    kind. kind is the label."""
     s = on_grid(symbols, grid)
+    if {"derived", "paths"} <= set(s.columns):
+        box = geo.Rect.of()
+        bucket = [fn.half_even(x * 100) for x in ((box.left + box.right) / 2, (box.top + box.bottom) / 2, box.width, box.height)]
+        named = s.withColumns({f"__b{i}": x for i, x in enumerate(bucket)})
+        first = F.row_number().over(Window.partitionBy(*BLOCK, *[f"__b{i}" for i in range(4)]).orderBy("derived", F.desc("paths"), "id"))
+        s = named.withColumn("__n", first).where("__n = 1").drop("__n", *[f"__b{i}" for i in range(4)])
     r = geo.Rect.of()
     gated = s.where((r.height / (F.col("sp") / 2)).between(6, 22) & (r.width / (4 * F.col("sp"))).between(0.40, 1.80) & F.col("label").isin("G", "F", "C"))
     return grouped.suppress(gated.select("page", "part", "measure", "id", "label", "confidence", "lx", *BOX), [*BLOCK, "label"], "confidence", "id", 0.45).where("kept").drop("kept")
@@ -242,9 +286,12 @@ def ledgers(prims: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def noteheads(ovals: DataFrame, grid: DataFrame, clefs_: DataFrame, ledgers_: DataFrame) -> DataFrame:
-    """Ovals at a legal staff position with their pitch. ovals: points and radial_cv may gate before; hole marks ovals that hold a nested one. Positions from -1 to 9 are
-    legal; others need a ladder that is deep enough and covers the head in x. The clef is the last at or left of the head."""
+    """Ovals at a legal staff position with their pitch. Positions from -1 to 9 are legal; others need a ladder that is deep enough and covers the head in x. The clef is
+    the last at or left of the head. Where ovals have points, there are 12 or more, whose radii vary little. An oval within a larger one of its measure is no head; with a
+    column source (what it was drawn by) the outer one of the two is hollow, if the inner is centred and of a fitting width. hole marks ovals that are known to be hollow."""
     r = geo.Rect.of()
+    if "points" in ovals.columns:
+        ovals = ovals.where((F.size("points") >= 12) & (geo.radial_variation(F.col("points"), r) <= 0.34))
     o = on_grid(ovals, grid).withColumn("position", fn.half_even(F.col("ly")).cast("int"))
     o = o.where((r.height / F.col("sp")).between(0.45, 1.35) & (r.width / r.height).between(1.05, 2.40) & (F.abs(F.col("ly") - F.col("position")) <= 0.40))
     p = F.col("position")
@@ -253,7 +300,7 @@ def noteheads(ovals: DataFrame, grid: DataFrame, clefs_: DataFrame, ledgers_: Da
     covered = o.withColumn("need", need).join(l, BLOCK, "left")
     reach = (F.col("need") == 0) | ((F.signum("depth") == F.when(p < 0, -1).otherwise(1)) & (F.abs("depth") >= F.col("need")) & (F.least("right", "l_right") - F.greatest("left", "l_left") > 0))
     legal = covered.withColumn("ok", reach).groupBy("page", "id").agg(F.bool_or("ok").alias("ok")).where("ok").drop("ok")
-    o = o.join(legal, ["page", "id"], "left_semi")
+    o = nested(o.join(legal, ["page", "id"], "left_semi"), ovals)
     c = clefs_.select("page", "part", "measure", F.coalesce("lx", F.lit(-1e9)).alias("at"), F.col("id").alias("cid"), F.col("label").alias("clef"))
     keyed = o.withColumns({"at": F.coalesce("lx", F.lit(1e9)), "cid": F.lit(None).cast("long")})
     placed = _last_clef(keyed, c)
@@ -264,6 +311,25 @@ def noteheads(ovals: DataFrame, grid: DataFrame, clefs_: DataFrame, ledgers_: Da
     return known.select(*BLOCK, "id", *BOX, "sp", "lx", "ly", "position", "clef", F.when(is_g, step_g).otherwise(step_f).alias("step"), F.when(is_g, octave_g).otherwise(octave_f).alias("octave"), (~F.coalesce("hole", F.lit(False))).alias("filled"))
 
 
+def nested(heads: DataFrame, ovals: DataFrame) -> DataFrame:
+    """heads without those that lie in a larger one of their block, and with hole for those that hold a smaller oval of their own source: centred within 0.35 of the
+    height, 0.25 to 0.90 of the width, less than 0.95 of the area."""
+    known = [c for c in ("source",) if c in ovals.columns]
+    h = iterate.cut(heads)
+    met = neighbours.rect_join(h.select(*BLOCK, "id", *BOX, *known), ovals.select(*BLOCK, "id", *BOX, *known), BLOCK)
+    a, b = geo.Rect.of("l_"), geo.Rect.of("r_")
+    met = met.where((F.col("l_id") != F.col("r_id")) & (b.left >= a.left) & (b.right <= a.right) & (b.top >= a.top) & (b.bottom <= a.bottom) & (b.area < a.area))
+    within = met.select("page", F.col("r_id").alias("id")).distinct()
+    out = h.join(within, ["page", "id"], "left_anti")
+    if known:
+        off = F.sqrt(F.pow((a.left + a.right - b.left - b.right) / 2, 2) + F.pow((a.top + a.bottom - b.top - b.bottom) / 2, 2))
+        fits = (F.col("l_source") == F.col("r_source")) & (b.area < 0.95 * a.area) & (off <= 0.35 * a.height) & (b.width / a.width).between(0.25, 0.90)
+        hollow = met.where(fits).select("page", F.col("l_id").alias("id")).distinct().withColumn("__hollow", F.lit(True))
+        hole = F.coalesce(F.col("__hollow"), F.col("hole") if "hole" in h.columns else F.lit(None), F.lit(False))
+        return out.join(hollow, ["page", "id"], "left").withColumn("hole", hole).drop("__hollow")
+    return out if "hole" in out.columns else out.withColumn("hole", F.lit(False))
+
+
 def _last_clef(heads: DataFrame, clefs_: DataFrame) -> DataFrame:
     """As-of on (measure, x): clefs come before heads at the same place."""
     c = clefs_.withColumn("__side", F.lit(0))
@@ -311,16 +377,17 @@ def free_end(direction: Column = None, prefix: str = "") -> Column:
 
 
 def arpeggi(waves: DataFrame, heads: DataFrame, grid: DataFrame) -> DataFrame:
-    """Columns of narrow tall wavy pieces (dx <= 0.55 sp, gap <= 1 sp) of at least 2 sp, with two or more heads right of them within 3 units. waves: wavy boolean."""
+    """Columns of narrow tall wavy pieces (dx <= 0.55 sp, gap <= 1 sp) of at least 2 sp, with two or more heads right of them within 3 units. waves: wavy boolean.
+    -> page, measure, column, box, pieces (their ids), heads."""
     w = on_grid(waves, grid).where("wavy").withColumn("node", F.concat_ws(":", "page", "measure", F.lpad(F.col("id").cast("string"), 12, "0")))
     o = w.select("page", "measure", F.col("node").alias("o"), *[F.col(c).alias(f"o_{c}") for c in BOX])
     near = (F.abs(F.col("left") + F.col("right") - F.col("o_left") - F.col("o_right")) / 2 <= 0.55 * F.col("sp")) & (geo.interval_gap(F.col("top"), F.col("bottom"), F.col("o_top"), F.col("o_bottom")) <= F.col("sp"))
     pairs = w.join(o, ["page", "measure"]).where((F.col("node") == F.col("o")) | ((F.col("node") < F.col("o")) & near))
     columns = w.join(iterate.components(pairs.select(F.col("node").alias("a"), F.col("o").alias("b"))).withColumnRenamed("label", "column"), "node")
-    columns = columns.groupBy("page", "measure", "column").agg(F.first("sp").alias("sp"), F.avg("lx").alias("x"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")).where("bottom - top >= 2 * sp")
+    columns = columns.groupBy("page", "measure", "column").agg(F.first("sp").alias("sp"), F.avg("lx").alias("x"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list("id")).alias("pieces")).where("bottom - top >= 2 * sp")
     h = heads.select("page", "measure", F.col("id").alias("head"), F.col("lx").alias("hx"), F.col("ly").alias("hy"))
     met = columns.join(h, ["page", "measure"]).where((F.col("hx") - F.col("x")).between(-0.45, 3.0))
-    return met.groupBy("page", "measure", "column", *BOX).agg(F.array_sort(F.collect_list("head")).alias("heads")).where("size(heads) >= 2")
+    return met.groupBy("page", "measure", "column", *BOX, "pieces").agg(F.array_sort(F.collect_list("head")).alias("heads")).where("size(heads) >= 2")
 
 
 def ends_of_outline(prims: DataFrame, share: float, least: float) -> DataFrame:
@@ -529,30 +596,39 @@ def dots(small: DataFrame, heads: DataFrame, rests_: DataFrame, grid: DataFrame)
 
 
 def resolve(symbols: DataFrame, blocks_: DataFrame, supported: list[tuple[int, int]]) -> dict[str, DataFrame]:
-    """The chain over classified symbols in its fixed order: meter, grid, clef, ledger, head, stem, beam, flag, arc, accidental, rest, dot. What a pass recognizes is
-    claimed, and later passes do not see it. symbols: page, id, part (null for what spans parts), measure, box, points, label, confidence, hole."""
+    """The chain over classified symbols in its fixed order: meter, grid, clef, ledger, head, stem, arpeggio, beam, flag, arc, accidental, rest, dot. What a pass recognizes is
+    claimed: later passes do not see it, and a rest counts as near it. symbols: page, id, part (null for what spans parts), measure, box, points, label, confidence, hole."""
     out: dict[str, DataFrame] = {}
     no_meter = blocks_.withColumns({"beats": F.lit(None).cast("int"), "beat_value": F.lit(None).cast("int"), "units": F.lit(None).cast("int")})
-    out["meters"] = meters(symbols, no_meter, supported)
+    out["meters"] = compound_meters(symbols, no_meter, supported)
     grid = out["grid"] = logical_grid(blocks_, out["meters"])
-    claimed = out["meters"].select("page", *BOX)
-    rest = iterate.cut(exclude_claimed(symbols, claimed))
+    claimed = symbols.where("false").select("page", *BOX)
+    rest = symbols
 
     def claim(found: DataFrame) -> DataFrame:
+        """found, whose boxes are taken."""
         nonlocal claimed, rest
-        claimed = claimed.unionByName(found.select("page", *BOX))
+        claimed = iterate.cut(claimed.unionByName(found.select("page", *BOX)))
         rest = iterate.cut(exclude_claimed(rest, found.select("page", *BOX)))
         return found
 
+    def claim_pieces(found: DataFrame, piece: str) -> DataFrame:
+        """found, which takes the symbols of the ids ``piece``."""
+        claim(rest.join(found.select("page", F.col(piece).alias("id")).distinct(), ["page", "id"], "left_semi"))
+        return found
+
+    claim(out["meters"])
     out["clefs"] = claim(iterate.cut(clefs(rest, grid)))
-    out["ledgers"] = iterate.cut(ledgers(rest.where("label = 'line'").drop("label"), grid))
+    out["ledgers"] = claim(iterate.cut(ledgers(rest.where("label = 'line'").drop("label"), grid)))
     out["heads"] = claim(iterate.cut(noteheads(rest.where("label = 'oval'"), grid, out["clefs"], out["ledgers"])))
     stems_, links = stems(rest.where("label = 'stem'"), out["heads"], grid)
     out["stems"], out["stem_heads"] = claim(iterate.cut(stems_)), links
-    out["beams"] = beams(beam_strips(rest.where("label = 'strip'"), grid), out["stems"], links, out["heads"])
-    out["flags"] = iterate.cut(flags(rest, out["stems"], out["beams"]))
-    out["arcs"] = iterate.cut(arcs(arc_shapes(rest.where("label = 'arc'"), grid), out["heads"], out["stems"]))
-    out["accidentals"] = iterate.cut(accidentals(rest, out["heads"], out["clefs"], grid))
+    out["arpeggi"] = iterate.cut(arpeggi(rest.where("label = 'wave'").withColumn("wavy", F.lit(True)), out["heads"], grid))
+    claim_pieces(out["arpeggi"].select("page", F.explode("pieces").alias("piece")), "piece")
+    out["beams"] = claim_pieces(beams(beam_strips(rest.where("label = 'strip'"), grid), out["stems"], links, out["heads"]), "beam")
+    out["flags"] = claim_pieces(iterate.cut(flags(rest, out["stems"], out["beams"])), "flag")
+    out["arcs"] = claim_pieces(iterate.cut(arcs(arc_shapes(rest.where("label = 'arc'"), grid), out["heads"], out["stems"])), "id")
+    out["accidentals"] = claim_pieces(iterate.cut(accidentals(rest, out["heads"], out["clefs"], grid)), "id")
     out["rests"] = claim(iterate.cut(rests(rest, grid, claimed)))
     out["dots"] = dots(rest.where("label = 'dot'"), out["heads"], out["rests"], grid)
     return out

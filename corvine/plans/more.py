@@ -102,7 +102,7 @@ def g26(spark, d):
     return glyph_rows(spark, 0.0, 2.0).where("name in ('bar', 'ell')").select("name", kept("rings").alias("kept"))
 
 
-@query("g27_chain_counts", "SELECT * FROM (VALUES ('accidentals', 2), ('arcs', 0), ('beams', 0), ('clefs', 2), ('dots', 2), ('flags', 1), ('grid', 6), ('heads', 4), ('ledgers', 2), ('meters', 2), ('rests', 1), ('stem_heads', 3), ('stems', 3)) t(pass, n)")
+@query("g27_chain_counts", "SELECT * FROM (VALUES ('accidentals', 2), ('arpeggi', 0), ('arcs', 0), ('beams', 0), ('clefs', 2), ('dots', 2), ('flags', 1), ('grid', 6), ('heads', 4), ('ledgers', 2), ('meters', 2), ('rests', 1), ('stem_heads', 3), ('stems', 3)) t(pass, n)")
 def g27(spark, d):
     """All passes in order with what they claim."""
     out = None
@@ -190,7 +190,7 @@ def s12(spark, d):
     return text.parse_bundle(spark, held.getvalue())["references"].select("family", "class")
 
 
-@query("l01_pass_order", "SELECT * FROM (VALUES (1, 'meters'), (2, 'grid'), (3, 'clefs'), (4, 'ledgers'), (5, 'heads'), (6, 'stems'), (7, 'stem_heads'), (8, 'beams'), (9, 'flags'), (10, 'arcs'), (11, 'accidentals'), (12, 'rests'), (13, 'dots')) t(n, pass)")
+@query("l01_pass_order", "SELECT * FROM (VALUES (1, 'meters'), (2, 'grid'), (3, 'clefs'), (4, 'ledgers'), (5, 'heads'), (6, 'stems'), (7, 'stem_heads'), (8, 'arpeggi'), (9, 'beams'), (10, 'flags'), (11, 'arcs'), (12, 'accidentals'), (13, 'rests'), (14, 'dots')) t(n, pass)")
 def l01(spark, d):
     """The passes in the order in which they claim."""
     return spark.createDataFrame(list(enumerate(resolved(spark), 1)), "n int, pass string")

@@ -91,6 +91,31 @@ def g09(spark, d):
     return score.meters(read(spark, d, DIGITS), none, SUPPORTED).select("page", "part", "measure", "beats", "beat_value", "side", F.round("confidence", 9).alias("confidence"))
 
 
+#: A block for each order, 40 high: its lines are a figure above, a second one that is near enough or not, one below, another below, and blots.
+METER_BLOCKS = "SELECT CAST(o_orderkey AS STRING) AS page, CAST(1 AS INT) AS part, CAST(1 AS INT) AS measure, CAST(0 AS DOUBLE) AS left, CAST(0 AS DOUBLE) AS top, CAST(200 AS DOUBLE) AS right, CAST(40 AS DOUBLE) AS bottom FROM {orders}"
+FIGURES = (
+    "SELECT CAST(l_orderkey AS STRING) AS page, CAST(1 AS INT) AS part, CAST(1 AS INT) AS measure, CAST(l_linenumber AS BIGINT) AS id, CASE l_linenumber WHEN 1 THEN CASE WHEN p % 4 = 0 THEN '6' ELSE '1' END WHEN 2 THEN CASE p % 3 WHEN 0 THEN '2' WHEN 1 THEN '6' ELSE '9' END WHEN 3 THEN CASE q % 3 WHEN 0 THEN '4' ELSE '8' END WHEN 4 THEN '8' ELSE 'blot' END AS label, "
+    "(1 + q) / CAST(64 AS DOUBLE) AS confidence, x AS left, t AS top, x + w AS right, t + 16 AS bottom FROM (SELECT l_orderkey, l_linenumber, p, q, CAST(CASE l_linenumber WHEN 1 THEN 20 WHEN 2 THEN 30 + q % 16 WHEN 3 THEN 22 + p % 7 ELSE 60 + p % 50 END AS DOUBLE) AS x, CAST(CASE WHEN l_linenumber <= 2 THEN 3 ELSE 21 END AS DOUBLE) AS t, "
+    "CAST(CASE l_linenumber WHEN 1 THEN 8 WHEN 2 THEN 10 ELSE 11 END AS DOUBLE) AS w FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, CAST(min(l_quantity) AS BIGINT) AS q FROM {lineitem} GROUP BY 1, 2) u) v"
+)
+COMPOUND = [(6, 8), (9, 8), (12, 8), (1, 8), (2, 4), (6, 4)]
+
+
+@query("g09_compound_meters", f"""{with_(f=quoted(FIGURES))}, k(v, w) AS (VALUES {", ".join(map(str, COMPOUND))}), o AS (SELECT page, id, label, confidence, "left" AS l, "right" AS r FROM f WHERE label <> 'blot'),
+u AS (SELECT page, id, 1 AS figures, label, confidence, l, r FROM o WHERE id <= 2 UNION ALL SELECT a.page, a.id, 2, a.label || b.label, sqrt(a.confidence * b.confidence), a.l, b.r FROM o a JOIN o b ON a.page = b.page AND a.id = 1 AND b.id = 2 AND (b.l - a.r) / 40 BETWEEN -0.1 AND 0.32),
+d AS (SELECT page, id, 1 AS figures, label, confidence, l, r FROM o WHERE id > 2 UNION ALL SELECT page, id, 2, label || nl, sqrt(confidence * nc), l, nr FROM (SELECT *, lead(l) OVER w AS n, lead(label) OVER w AS nl, lead(confidence) OVER w AS nc, lead(r) OVER w AS nr FROM o WHERE id > 2 WINDOW w AS (PARTITION BY page ORDER BY l, id)) WHERE (n - r) / 40 BETWEEN -0.1 AND 0.32),
+p AS (SELECT u.page, u.id, u.figures, d.id AS low, d.figures AS low_figures, CAST(u.label AS INTEGER) AS beats, CAST(d.label AS INTEGER) AS beat_value, u.confidence AS uc, d.confidence AS dc, least(u.l, d.l) AS l, greatest(u.r, d.r) AS r, (least(u.r, d.r) - greatest(u.l, d.l)) / least(u.r - u.l, d.r - d.l) AS share, abs(u.l + u.r - d.l - d.r) / 80 AS away, least(u.r - u.l, d.r - d.l) / greatest(u.r - u.l, d.r - d.l) AS wide FROM u JOIN d ON u.page = d.page),
+e AS (SELECT *, 1.8 * share + 0.65 * wide + 0.35 + 0.35 * 0.85 - 0.55 * away AS agree FROM p WHERE share >= 0.58 AND away <= 0.22 AND wide >= 0.48),
+n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY page ORDER BY agree DESC, id, figures, low, low_figures) <= 8),
+s AS (SELECT n.*, sqrt(uc * dc) AS confidence FROM n JOIN k ON k.v = n.beats AND k.w = n.beat_value)
+SELECT page, beats, beat_value, CASE WHEN (l + r) / 400 <= 0.48 THEN 'Left' WHEN (l + r) / 400 >= 0.72 THEN 'Right' ELSE 'Middle' END AS side, round(confidence, 9) AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY confidence + 0.18 * agree DESC, id, figures, low, low_figures) = 1""")
+def g09c(spark, d):
+    """12/8, 16/8 and 9/8 from figures one by one, where they stand near enough; what is not supported is no meter."""
+    blocks = read(spark, d, METER_BLOCKS).withColumn("units", F.lit(None).cast("int"))
+    found = score.compound_meters(read(spark, d, FIGURES), blocks, COMPOUND)
+    return found.select("page", "beats", "beat_value", "side", F.round("confidence", 9).alias("confidence"))
+
+
 STEMS = "SELECT CAST(user_id AS STRING) AS page, CAST(event_id % 3 AS INT) AS measure, event_id AS id, CAST(10 AS DOUBLE) AS sp, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 AS left, CAST(100 + event_id % 90 AS DOUBLE) AS top, CAST(event_id * 7919 % 6000 AS DOUBLE) / 10 + 1 AS right, CAST(130 + event_id % 90 AS DOUBLE) AS bottom, CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction FROM {events} WHERE event_type = 'click'"
 BEAMED = "SELECT CAST(user_id AS STRING) AS page, CAST(event_id % 3 AS INT) AS measure, event_id AS stem FROM {events} WHERE event_type = 'click' AND event_id % 7 = 0"
 MARKS = "SELECT CAST(user_id AS STRING) AS page, CAST(event_id % 3 AS INT) AS measure, event_id AS id, CAST(event_id * 7907 % 6000 AS DOUBLE) / 10 AS left, CAST(80 + event_id % 150 AS DOUBLE) AS top, CAST(event_id * 7907 % 6000 AS DOUBLE) / 10 + event_id % 9 AS right, CAST(80 + event_id % 150 + event_id % 8 AS DOUBLE) AS bottom, CASE event_id % 5 WHEN 0 THEN 'flag8thUp' WHEN 1 THEN 'flag16thDown' WHEN 2 THEN 'flag32ndUp' WHEN 3 THEN 'flag8thDown' ELSE 'sharp' END AS label, CAST(event_id % 89 AS DOUBLE) / 89 AS confidence FROM {events} WHERE event_type IN ('view', 'purchase')"
@@ -359,39 +384,40 @@ DRAWN_NOTES = f"SELECT page, k, part, position, CAST(1 + r % 3 AS INT) AS measur
 
 
 def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
-    """path, content: the pages as SVG: ten staff lines, four bars, a path for each head and a line for each stem."""
+    """path, content: the pages as SVG: ten staff lines, four bars, a path for each head (every third with a white hole) and a line for each stem."""
     import math
 
     line = lambda *at: '<line x1="{}" y1="{}" x2="{}" y2="{}"/>'.format(*at)
     frame = "".join(line(50, y + 10 * i, 950, y + 10 * i) for y in (100, 210) for i in range(5)) + "".join(line(x, 100, x, 250) for x in (50, 350, 650, 950))
     n = read(spark, d, DRAWN_NOTES)
     around = [(6 * math.cos(2 * math.pi * i / 16), 4.5 * math.sin(2 * math.pi * i / 16)) for i in range(16)]
-    points = F.concat(*[F.concat(F.lit("L" if i else "M"), F.format_string("%.6f %.6f", F.col("x") + F.lit(a), F.col("y") + F.lit(b))) for i, (a, b) in enumerate(around)])
+    outline = lambda size: F.concat(*[F.concat(F.lit("L" if i else "M"), F.format_string("%.6f %.6f", F.col("x") + F.lit(a * size), F.col("y") + F.lit(b * size))) for i, (a, b) in enumerate(around)], F.lit("Z"))
+    points = F.concat(outline(1.0), F.when(F.col("k") % 3 == 0, outline(0.6)).otherwise(""))
     up = F.col("position") >= 4
     x, y = F.when(up, F.col("x") + 6).otherwise(F.col("x") - 6), F.when(up, F.col("y") - 35).otherwise(F.col("y") + 35)
     stem = F.concat(F.lit('<line x1="'), x, F.lit('" y1="'), F.col("y"), F.lit('" x2="'), x, F.lit('" y2="'), y, F.lit('"/>'))
-    n = n.withColumn("xml", F.concat(F.lit('<path d="'), points, F.lit('Z"/>'), stem))
+    n = n.withColumn("xml", F.concat(F.lit('<path d="'), points, F.lit('"/>'), stem))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "xml"))), lambda v: v["xml"]), "")
     return n.groupBy(F.col("page").alias("path")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">' + frame), body, F.lit("</svg>")).alias("content"))
 
 
-@query("x_svg_to_notes", f"""{with_(n=DRAWN_NOTES)}, i AS (SELECT *, CASE part WHEN 1 THEN 38 ELSE 26 END - position AS ix FROM n) SELECT page, part, measure, CAST(x AS DOUBLE) AS x, ['C', 'D', 'E', 'F', 'G', 'A', 'B'][ix % 7 + 1] AS step, CAST(floor(ix / 7) AS INTEGER) AS octave, CASE WHEN position >= 4 THEN 'up' ELSE 'down' END AS direction FROM i""")
+@query("x_svg_to_notes", f"""{with_(n=DRAWN_NOTES)}, i AS (SELECT *, CASE part WHEN 1 THEN 38 ELSE 26 END - position AS ix FROM n) SELECT page, part, measure, CAST(x AS DOUBLE) AS x, ['C', 'D', 'E', 'F', 'G', 'A', 'B'][ix % 7 + 1] AS step, CAST(floor(ix / 7) AS INTEGER) AS octave, CASE WHEN position >= 4 THEN 'up' ELSE 'down' END AS direction, k % 3 > 0 AS filled FROM i""")
 def svg_to_notes(spark, d):
-    """From SVG bytes to notes: contours, staves, blocks, the pieces' measures, heads with pitch, stems with direction. Upper staves have a G clef, lower ones an F clef."""
+    """From SVG bytes to notes: contours, staves, blocks, the pieces' measures, heads with pitch and fill, stems with direction. Upper staves have a G clef, lower ones an F clef."""
     c = iterate.cut(svg.parse_column(drawn_pages(spark, d), "path", "content").where("error is null").withColumnRenamed("path", "page"))
     two = c.where("size(points) = 2")
     lines = two.select("page", F.lit(1000.0).alias("page_width"), F.lit(400.0).alias("page_height"), *[F.col("points")[k][v].alias(f"{v}{k + 1}") for k in (0, 1) for v in ("x", "y")])
     blocks = iterate.cut(score.blocks(score.detect_staves(lines)))
-    pieces = c.where("size(points) > 2 or (right - left < 1 and bottom - top < 100)").select("page", F.col("id").cast("long").alias("id"), "left", "top", "right", "bottom", F.size("points").alias("outline"))
+    pieces = c.where("size(points) > 2 or (right - left < 1 and bottom - top < 100)").select("page", F.col("id").cast("long").alias("id"), "left", "top", "right", "bottom", "points", F.col("anchor").alias("source"))
     placed = iterate.cut(score.assign_blocks(pieces, blocks))
     meter = blocks.select("page", "part", "measure", F.lit(4).alias("beats"), F.lit(4).alias("beat_value"), F.lit(1.0).alias("confidence"))
     grid = iterate.cut(score.logical_grid(blocks, meter))
     clefs = blocks.where("measure = 1").select("page", "part", "measure", F.lit(-1.0).alias("lx"), F.lit(0).cast("long").alias("id"), F.when(F.col("part") == 1, "G").otherwise("F").alias("label"))
     ledgers = grid.where("false").select("page", "part", "measure", F.lit(0).alias("depth"), "left", "right")
-    heads = iterate.cut(score.noteheads(placed.where("outline > 2").withColumn("hole", F.lit(False)), grid, clefs, ledgers))
-    stems, links = score.stems(placed.where("outline = 2"), heads, grid)
+    heads = iterate.cut(score.noteheads(placed.where("size(points) > 2"), grid, clefs, ledgers))
+    stems, links = score.stems(placed.where("size(points) = 2"), heads, grid)
     way = links.join(stems.select("page", "measure", F.col("id").alias("stem"), "direction"), ["page", "measure", "stem"]).select("page", "measure", F.col("head").alias("id"), "direction")
-    return heads.join(way, ["page", "measure", "id"], "left").select("page", F.col("part").cast("int").alias("part"), F.col("measure").cast("int").alias("measure"), F.round((F.col("left") + F.col("right")) / 2, 3).alias("x"), "step", F.col("octave").cast("int").alias("octave"), "direction")
+    return heads.join(way, ["page", "measure", "id"], "left").select("page", F.col("part").cast("int").alias("part"), F.col("measure").cast("int").alias("measure"), F.round((F.col("left") + F.col("right")) / 2, 3).alias("x"), "step", F.col("octave").cast("int").alias("octave"), "direction", "filled")
 
 
 PAIRED = "SELECT CAST(o_custkey AS STRING) AS page, CAST(o_orderkey % 5 AS INT) AS arc, CAST(o_orderkey % 7 AS STRING) AS pair, o_totalprice AS score FROM {orders}"
