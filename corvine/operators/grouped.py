@@ -1,14 +1,16 @@
 """Order-dependent greedy operators. They work on one group at a time (a page or a measure, 10^2 to 10^4 rows), which is the
-unit of distribution; every order ends in an id, which makes the result a function of the rows."""
+unit of distribution, or, along an axis, on the pieces of a group between gaps that nothing reaches over; every order ends in an id, which makes the result a function of the rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import iterate
+
 
 def per_group(df: DataFrame, keys: list, order: list, name: str, kind: T.DataType, fn) -> DataFrame:
     """df with column ``name`` that fn makes from each group, sorted by ``order``."""
@@ -21,8 +23,31 @@ def per_group(df: DataFrame, keys: list, order: list, name: str, kind: T.DataTyp
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def between_gaps(df: DataFrame, keys: list, order: list, value: str, gap: float, name: str, fn) -> DataFrame:
+    """per_group() of fn, whose numbers from 0 on count what it finds in ascending order of ``value`` (first in the order) and which joins no rows across more than ``gap``: each
+    group is cut there, and the numbers of the pieces before are added. Gaps show between bins as wide as they are, so only the ends of bins meet in a window. Null values are a piece of their own, after the others."""
+    bin_ = F.coalesce(F.floor(F.col(value) / gap), F.lit((1 << 63) - 1)).cast("long")
+    binned = df.withColumn("__bin", bin_)
+    along = Window.partitionBy(*keys)
+    bins = binned.groupBy(*keys, "__bin").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    apart = F.coalesce(F.col("lo") - F.lag("hi").over(along.orderBy("__bin")) > gap, F.col("lo").isNull())
+    bins = bins.withColumn("__cut", apart.cast("long")).withColumn("__piece", F.sum("__cut").over(along.orderBy("__bin"))).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bin").alias("__of"), "__piece")
+    on = F.col("__bin") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    cut_ = iterate.cut(per_group(binned.join(bins, on).select(*df.columns, "__piece"), [*keys, "__piece"], order, name, T.LongType(), fn))
+    found = cut_.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__piece").alias("__of")).agg((F.max(name) + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("__before", F.coalesce(before, F.lit(0))).drop("n")
+    on = F.col("__piece") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return cut_.join(found, on).withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def running_mean_clusters(df: DataFrame, keys: list, value: str, tolerance: float, id_: str, name: str = "cluster") -> DataFrame:
-    """In ascending order a value joins the open cluster if it lies within the tolerance of its running mean."""
+    """In ascending order a value joins the open cluster if it lies within the tolerance of its running mean. A mean is no more than the last value, so a gap above
+    the tolerance always parts clusters."""
 
     def fn(g: pd.DataFrame) -> np.ndarray:
         out, total, n, k = [], 0.0, 0, -1
@@ -33,7 +58,7 @@ def running_mean_clusters(df: DataFrame, keys: list, value: str, tolerance: floa
             out.append(k)
         return np.array(out)
 
-    return per_group(df, keys, [value, id_], name, T.LongType(), fn)
+    return between_gaps(df, keys, [value, id_], value, tolerance, name, fn)
 
 
 def anchor_groups(df: DataFrame, keys: list, id_: str, name: str = "anchor") -> DataFrame:
@@ -75,20 +100,32 @@ def suppress(df: DataFrame, keys: list, score: str, id_: str, share: float, name
 
 
 def complete_link(df: DataFrame, keys: list, order: list, value: str, most: float, name: str = "link") -> DataFrame:
-    """In order, a free row opens a group and takes every later free row within ``most`` of all its members."""
+    """In order, a free row opens a group and takes every later free row within ``most`` of all its members. No group reaches over a gap above ``most``."""
 
     def fn(g: pd.DataFrame) -> np.ndarray:
         v, out, k = g[value].to_numpy(float), np.full(len(g), -1, np.int64), 0
-        for i in range(len(v)):
-            if out[i] < 0:
+        rising = bool((np.diff(v) >= 0).all())
+        i = 0
+        while i < len(v):
+            if out[i] < 0 and rising:  # a group is a run
+                end = int(np.searchsorted(v, v[i] + most, "right"))
+                while end > i + 1 and v[end - 1] - v[i] > most:
+                    end -= 1
+                while end < len(v) and v[end] - v[i] <= most:
+                    end += 1
+                out[i : max(end, i + 1)], k, i = k, k + 1, max(end, i + 1) - 1
+            elif out[i] < 0:
                 low = high = v[i]
                 out[i] = k
                 for j in range(i + 1, len(v)):
                     if out[j] < 0 and max(high, v[j]) - min(low, v[j]) <= most:
                         out[j], low, high = k, min(low, v[j]), max(high, v[j])
                 k += 1
+            i += 1
         return out
 
+    if order[0] == value:
+        return between_gaps(df, keys, order, value, most, name, fn)
     return per_group(df, keys, order, name, T.LongType(), fn)
 
 

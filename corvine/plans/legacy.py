@@ -16,12 +16,18 @@ def staves(spark):
     return rows(spark, "page string, staff int, left double, right double, centre double, sp double", ("p", 1, 0.0, 600.0, 100.0, 10.0), ("p", 2, 0.0, 600.0, 220.0, 10.0))
 
 
-@query("l07_flip_overlap", """SELECT vec_id, round(CASE WHEN bit_count(a | b) = 0 THEN 0 ELSE bit_count(a & b) / bit_count(a | b) END, 6) <= 1 AS ok FROM (SELECT vec_id, vec_id AS a, vec_id + 1 AS b FROM embeddings)""")
+#: Bit i of an 8 x 8 mask is place i of the list; the four ways to turn it over, as the place that comes to each.
+TURNS = ["i", "8 * (i // 8) + 7 - i % 8", "8 * (7 - i // 8) + i % 8", "8 * (7 - i // 8) + 7 - i % 8"]
+
+
+@query("l07_flip_overlap", f"""WITH m AS (SELECT vec_id, list_transform(range(64), lambda i: i < 62 AND embedding[i + 1] > 0) AS a FROM embeddings), p AS (SELECT x.vec_id, x.a, y.a AS b FROM m x JOIN m y ON y.vec_id = x.vec_id + 1),
+t AS (SELECT vec_id, unnest([{", ".join(f"list_transform(range(64), lambda i: CASE WHEN a[i + 1] AND b[{t} + 1] THEN 2 WHEN a[i + 1] OR b[{t} + 1] THEN 1 ELSE 0 END)" for t in TURNS)}]) AS c FROM p)
+SELECT vec_id, round(max(CASE WHEN len(list_filter(c, lambda x: x > 0)) = 0 THEN 0 ELSE len(list_filter(c, lambda x: x = 2)) / len(list_filter(c, lambda x: x > 0)) END), 6) AS overlap FROM t GROUP BY 1""")
 def l07(spark, d):
-    """A mask overlaps its own flips wholly."""
-    e = table(spark, d, "embeddings").select("vec_id")
-    whole = op.four_flips_iou(F.col("vec_id"), op.fn.flip_byte_rows(F.col("vec_id")))
-    return e.select("vec_id", (whole == 1).alias("ok") | ((F.col("vec_id") == 0) & (whole == 0)).alias("ok")).toDF("vec_id", "ok")
+    """Masks of the signs of each vector and the next one: their overlap, however one of them is turned over."""
+    e = table(spark, d, "embeddings").select("vec_id", op.fn.sign_mask(F.col("embedding"), 62).alias("a"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return both.select("vec_id", F.round(op.four_flips_iou(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 LINES = "page string, id int, x double, top double, bottom double"
