@@ -275,6 +275,34 @@ def test_mix_meets_its_targets(spark, sf, docs, odd_dir, tmp_path):
     assert all(r["size"] == len(words(texts[r["doc_id"]])) for r in op3.op3_source_mix(spark, sf).collect())
 
 
+@pytest.mark.parametrize("bits", [1, 6, 12])
+def test_mix_takes_documents_in_order_of_their_keys(spark, sf, monkeypatch, bits):
+    """What is taken of each row, from the keys alone: whole epochs, then rows by key until the budget is spent; rows of one key share the rest."""
+    monkeypatch.setattr(op3, "BUCKET_BITS", bits)
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    docs = base.unionByName(base.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "a b c", None), (None, "a b c", None), (9, None, "src0"), (10, "", "zz")], base.schema))
+    keyed = op3.keys(docs, "doc_id", "text", 7).select("doc_id", "text", "source", "__size", "__key").collect()
+    sizes = Counter()
+    for r in keyed:
+        assert r["__size"] == len(words(r["text"]))
+        sizes[r["source"]] += r["__size"]
+    goal, want = targets(dict(sizes)), Counter()
+    for source in sizes:
+        own = sorted((r for r in keyed if r["source"] == source), key=lambda r: r["__key"])
+        epochs, rest = divmod(round(goal[source]), sizes[source]) if sizes[source] else (0, 0)
+        i = 0
+        while i < len(own):
+            same = [r for r in own[i:] if r["__key"] == own[i]["__key"]]
+            all_ = sum(r["__size"] for r in same)
+            for r in same:
+                part = r["__size"] if all_ <= rest else min(r["__size"], max(rest, 0) // len(same))
+                want[r["doc_id"], r["text"], source, epochs * r["__size"] + part] += 1
+            rest = rest - all_ if all_ <= rest else 0
+            i += len(same)
+    got = Counter((r["doc_id"], r["text"], r["source"], r["taken"]) for r in op3.mix_sources(docs).collect())
+    assert got == want
+
+
 def test_targets_of_very_many_sources(spark):
     rng = random.Random(1)
     sizes = {f"host{rng.randrange(10**9)}": rng.choice([1, 2, 5, 400, 90_000]) for _ in range(5000)} | {None: 7}
@@ -413,6 +441,19 @@ def test_quality_learns_the_grades(spark, sf):
     assert (got.expected_grade - got.p_grade_1 - got.p_grade_2).abs().max() < 1e-9
 
 
+def test_quality_of_rows_that_are_not_learned_from(spark):
+    """Half of the labels at sf0.1 are learned from, the others are judged."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = op5.train_quality_model(docs.join(labels.where(half), "doc_id", "left_semi"), labels.where(half))
+    held = op5.score_quality(docs.join(labels.where(~half), "doc_id"), model).select("quality", "toxic", "kept", "expected_grade").toPandas()
+    good = (held.quality == 1) & (held.toxic == 0)
+    assert len(held) > 1500 and (held.kept == good).mean() > 0.97
+    assert held[good].kept.mean() > 0.97 and held[~good].kept.mean() < 0.1
+    assert held[good].expected_grade.mean() > held[~good].expected_grade.mean() + 0.8
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = random.Random(5)
     rows, grades = [], []
