@@ -144,3 +144,29 @@ def test_nearest_value_of_one_key_is_cut(spark):
         near = [(abs(a - b), r) for j, r, b in right if j == k and a is not None]
         want[i] = min(near)[::-1] if near else (None, None)
     assert len(got) == len(left) and {r["l"]: (r["match"], r["gap"]) for r in got} == want
+
+
+def test_one_key_is_clustered_in_pieces_between_gaps(spark):
+    """Clusters and complete links of a single key, many pieces, ties, nulls, negative values and gaps of exactly the tolerance, against loops."""
+    import random
+
+    from corvine.operators import grouped
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, None]), i, rng.choice([None, *[rng.randrange(-300, 300) / 4 for _ in range(12)]])) for i in range(260)]
+    df = spark.createDataFrame(rows, "k int, id long, v double").repartition(3)
+    clusters = {r["id"]: r["cluster"] for r in grouped.running_mean_clusters(df.where("v is not null"), ["k"], "v", 1.25, "id").collect()}
+    links = {r["id"]: r["link"] for r in grouped.complete_link(df.where("v is not null"), ["k"], ["v", "id"], "v", 2.0).collect()}
+    for key in (1, None):
+        own = sorted((v, i) for k, i, v in rows if k == key and v is not None)
+        total, n, c, low, g = 0.0, 0, -1, None, -1
+        for v, i in own:
+            if n == 0 or v - total / n > 1.25:
+                total, n, c = 0.0, 0, c + 1
+            total, n = total + v, n + 1
+            if low is None or v - low > 2.0:
+                low, g = v, g + 1
+            assert clusters.pop(i) == c and links.pop(i) == g
+    assert not clusters and not links
+    pieces = grouped.between_gaps(df.where("v is not null"), ["k"], ["v", "id"], "v", 1.25, "n", lambda g: [0] * len(g)).groupBy("k").agg(F.count_distinct("n").alias("n"))
+    assert all(r["n"] > 5 for r in pieces.collect())
