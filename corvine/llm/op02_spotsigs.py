@@ -185,8 +185,8 @@ def range_of(column: Column, edges: list, parts: int) -> Column:
 #: Quantiles at most, so that the search stays a small expression; further ranges come from cutting evenly between them, and an id that
 #: holds a range by itself, like the null ids, is cut by hash into so many.
 QUANTILES, BY_HASH = 200, 64
-#: Bytes of text in a range, about.
-RANGE_BYTES = 8 << 20
+#: Bytes of text in a range, about, and ranges whose table is broadcast at most (2 MB).
+RANGE_BYTES, FEW_RANGES = 8 << 20, 1 << 16
 
 
 def with_next(docs: DataFrame, add) -> DataFrame:
@@ -204,11 +204,18 @@ def with_next(docs: DataFrame, add) -> DataFrame:
     of_hash = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * (BY_HASH - 1))
     ranged = docs.withColumn("__range", range_of(F.col("doc_id"), edges, -(-4 * shuffled // n)) * BY_HASH + F.when(heavy, F.least(of_hash, F.lit(BY_HASH - 2))).otherwise(BY_HASH - 1))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    # one row per range, so their number is bounded: its greatest id, and the range before it, for the first one the last
-    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head"))
-    to = F.coalesce(F.lag("__range").over(Window.orderBy("__range")), F.max("__range").over(Window.partitionBy()))
+    # a row per range: its greatest id, and the range before it, for the first one the last; ranges are put in order within their quantile, and of those there are few
+    quantile = F.floor(F.col("__range") / (-(-4 * shuffled // n) * BY_HASH))
+    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head")).withColumn("__quantile", quantile)
+    heads = materialize(heads, "spot-heads")
+    last = {r["__quantile"]: r["last"] for r in heads.groupBy("__quantile").agg(F.max("__range").alias("last")).collect()}
+    order_ = sorted(last)
+    before = F.create_map(*[F.lit(x) for q, p in zip(order_, order_[-1:] + order_[:-1], strict=True) for x in (q, last[p])]) if last else F.lit(None)
+    to = F.coalesce(F.lag("__range").over(Window.partitionBy("__quantile").orderBy("__range")), before[F.col("__quantile")] if last else F.lit(0))
     heads = heads.select(F.col("__range").alias("__at"), "__head", to.alias("__to"))
-    first = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__head")))
+    if heads.count() <= FEW_RANGES:  # beyond that the rows meet them by a shuffle
+        heads = F.broadcast(heads)
+    first = ranged.join(heads, (F.col("__range") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__head")))
     first = first.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__k = 1")
     ghosts = first.select(*docs.columns, F.col("__to").alias("__range"), F.lit(True).alias("__ghost"))
     both = ranged.withColumn("__ghost", F.lit(False)).unionByName(ghosts).repartition(shuffled, "__range")

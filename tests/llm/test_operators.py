@@ -228,7 +228,9 @@ def test_spotsigs_are_what_the_definition_says(spark, sf, docs, odd_dir):
             assert near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
 
 
-def test_successor_where_one_id_or_none_holds_most_rows(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_successor_where_one_id_or_none_holds_most_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(op2, "FEW_RANGES", few)
     rng = random.Random(5)
     rows = [(rng.choice([7, 7, 7, None, None, rng.randrange(40)]), f"text {rng.randrange(60)}") for _ in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
