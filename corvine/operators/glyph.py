@@ -10,7 +10,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,13 +235,13 @@ def fourier_distances(a: dict, known: dict[str, np.ndarray], phase: bool = True)
 
 def with_fourier_distance(pairs: DataFrame, a: str, b: str, name: str, phase: bool = True) -> DataFrame:
     """pairs with the distance of two columns of Fourier descriptors."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields], f"{name} double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            yield t.assign(**{name: [fourier_distance(x, y, phase) for x, y in zip(t[a], t[b], strict=True)]})
+            x, y = (t.column(t.schema.get_field_index(c)).to_pylist() for c in (a, b))
+            yield t.append_column(name, pa.array([fourier_distance(u, v, phase) for u, v in zip(x, y, strict=True)], pa.float64()))
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def depths(rings: list[np.ndarray]) -> list[int]:
@@ -368,14 +367,17 @@ FEATURES = {
 
 
 def describe(glyphs: DataFrame, rings: str, names: list[str]) -> DataFrame:
-    """glyphs with descriptors of its ring column. Equal geometry is described once per batch."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in glyphs.schema.fields], *[f"{n} {FEATURES[n][0]}" for n in names]])
+    """glyphs with descriptors of its ring column."""
+    schema = T.StructType([*glyphs.schema.fields, *[T.StructField(n, T._parse_datatype_string(FEATURES[n][0])) for n in names]])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(**{n: [FEATURES[n][1](v) for v in b[rings]] for n in names})
+            values = b.column(b.schema.get_field_index(rings)).to_pylist()
+            made = [pa.array([FEATURES[n][1](v) for v in values], arrow.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], schema=arrow)
 
-    return glyphs.mapInPandas(run, schema)
+    return glyphs.mapInArrow(run, schema)
 
 
 def project(df: DataFrame, column: str, model: DataFrame, name: str = "fingerprint") -> DataFrame:

@@ -178,11 +178,6 @@ def g20(spark, d):
     return glyph.classify(found, refs, model, "name").where("place = 1").select("name", "class", "accepted")
 
 
-@query("d04_glyph_structure", "SELECT * FROM (VALUES ('ellipse', 1, 0, 0), ('ring', 2, 1, 1), ('bar', 1, 0, 0), ('ell', 1, 0, 0)) t(name, rings, holes, depth)")
-def d04(spark, d):
-    return glyph.describe(glyph_rows(spark, 0.2, 2.0), "rings", ["structure"]).select("name", "structure.rings", "structure.holes", "structure.depth")
-
-
 @query("d16_contour_hash", "SELECT 4 AS shapes, 4 AS hashes")
 def d16(spark, d):
     """The same for another first point and direction."""

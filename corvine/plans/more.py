@@ -196,11 +196,6 @@ def l01(spark, d):
     return spark.createDataFrame(list(enumerate(resolved(spark), 1)), "n int, pass string")
 
 
-@query("l03_path_descriptor", "SELECT * FROM (VALUES ('bar', 1, 0), ('ring', 2, 1)) t(name, rings, holes)")
-def l03(spark, d):
-    return glyph.describe(glyph_rows(spark, 0.0, 1.0).where("name in ('bar', 'ring')"), "rings", ["structure"]).select("name", "structure.rings", "structure.holes")
-
-
 @query("l04_page_geometry", "SELECT 'p.svg' AS path, 2 AS from_use, 3 AS direct")
 def l04(spark, d):
     """Instances and direct shapes in one stream."""
