@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import append_columns, table
 
 WINDOW = 5
-MIN_WORDS, MAX_REPEAT, MAX_LOST, SHORT = 10, 20, 50, 40
+MIN_WORDS, MAX_REPEAT, MAX_LOST, SHORT = 10, 20, 60, 40
 #: Symbols of the contract, and what the rules look for.
 SYMBOLS = "#*$%&|<>"
 ENDS = [".", "!", "?", "…", '"', "'", "”", "’", ")", "]", "»", "。", "！", "？"]
