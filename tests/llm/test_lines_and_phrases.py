@@ -67,12 +67,13 @@ def test_repeated_windows_of_small_and_large_vocabularies(distinct):
 
 def test_rules_and_cleaned_text(spark):
     good = "This is a sentence of quite some words that says something."
-    text = f"Home | About | Contact\n{good}\n\nAll rights reserved.\nno end here\n{good}\n{good[:-1]}!"
+    other = "Another one stands here for itself and goes on for long!"
+    text = f"Home | About | Contact\n{good}\n\nAll rights reserved.\nno end here\nA short one.\nA short one.\n{other}"
     rows = spark.createDataFrame([(1, text, "x"), (2, good, "x"), (2, None, "x"), (3, "Home | About\n" * 9 + good, "x")], "doc_id int, text string, KEPT string")
     got = {(r["doc_id"], r["text"]): r for r in op11.clean_lines(rows).collect()}
     r = got[1, text]
     assert (r["n_punctuation"], r["n_navigation"], r["n_boilerplate"], r["kept"]) == (2, 0, 2, True)
-    assert r["cleaned"] == f"{good}\n\n{good[:-1]}!"
+    assert r["cleaned"] == f"{good}\n\nA short one.\n{other}"
     assert got[2, good]["kept"] and got[2, good]["cleaned"] == good and not got[2, None]["kept"] and got[2, None]["cleaned"] is None
     assert not got[3, "Home | About\n" * 9 + good]["kept"] and got[3, "Home | About\n" * 9 + good]["cleaned"] == good
     assert op11.judge("a | b | c | d.")[0][7] == 1 and op11.judge("Next page.")[0][7] == 1
