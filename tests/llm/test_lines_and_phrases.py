@@ -76,7 +76,7 @@ def test_rules_and_cleaned_text(spark):
     assert r["cleaned"] == f"{good}\n\nA short one.\n{other}"
     assert got[2, good]["kept"] and got[2, good]["cleaned"] == good and not got[2, None]["kept"] and got[2, None]["cleaned"] is None
     assert not got[3, "Home | About\n" * 9 + good]["kept"] and got[3, "Home | About\n" * 9 + good]["cleaned"] == good
-    assert op11.judge("a | b | c | d.")[0][7] == 1 and op11.judge("Next page.")[0][7] == 1
+    assert op11.judge("a » b » c » d.")[0][7] == 1 and op11.judge("Next page.")[0][7] == 1
 
 
 def test_clean_documents_stay(spark, sf):
