@@ -577,7 +577,7 @@ def rests(symbols: DataFrame, grid: DataFrame, claimed: DataFrame) -> DataFrame:
     gap = geo.interval_gap(F.col("top"), F.col("bottom"), F.col("b_top"), F.col("b_bottom"))
     placed = s.join(g, ["page", "measure"]).groupBy("page", "measure", "id", "label", "confidence", *BOX).agg(F.min_by(F.struct(F.col("g_part").alias("part"), gap.alias("gap"), ((F.col("b_bottom") - F.col("b_top")) / 4).alias("sp")), F.struct((~F.col("g_part").eqNullSafe(F.col("part"))).alias("o"), gap.alias("g"), "g_part")).alias("b"))
     c = claimed.select("page", *[F.col(x).alias(f"c_{x}") for x in BOX])
-    near = placed.join(c, "page", "left").groupBy("page", "id").agg(F.min(geo.rect_distance(geo.Rect.of(), geo.Rect.of("c_"))).alias("d"))
+    near = placed.join(c, "page", "left").groupBy("page", "id").agg(F.min(F.when(F.col("c_left").isNotNull(), geo.rect_distance(geo.Rect.of(), geo.Rect.of("c_")))).alias("d"))
     return placed.join(near, ["page", "id"]).where((F.col("b.gap") <= 2 * F.col("b.sp")) | (F.coalesce("d", F.lit(1e9)) <= 2 * F.col("b.sp"))).select("page", "b.part", "measure", "id", "label", "confidence", *BOX)
 
 
