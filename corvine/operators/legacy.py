@@ -123,13 +123,15 @@ def copy_stems(heads: DataFrame, sp: float) -> DataFrame:
 
 def cross_staff_chords(heads: DataFrame, lines: DataFrame, staves: DataFrame, sp: float) -> DataFrame:
     """A line of 8 to 18 sp that reaches from the upper of two staves to the lower (1.4 sp) binds the heads of both within .82 sp of it, if the mean of their distances is .82 sp at most and the least
-    .70; the stem goes up if it stands right of their mean x. staves: page, staff (1 above 2), top, bottom. -> page, line, heads, direction."""
+    .70; the stem goes up if it stands right of their mean x (summed in order of id, since lines stand at a mean and sums differ in their last digit). staves: page, staff (1 above 2), top, bottom. -> page, line, heads, direction."""
     s = staves.groupBy("page").agg(F.max(F.when(F.col("staff") == 1, F.col("bottom"))).alias("upper"), F.max(F.when(F.col("staff") == 2, F.col("top"))).alias("lower"))
     l = lines.where((F.col("bottom") - F.col("top")).between(8 * sp, 18 * sp)).join(s, "page").where((F.col("top") <= F.col("upper") + 1.4 * sp) & (F.col("bottom") >= F.col("lower") - 1.4 * sp))  # noqa: E741
     l = l.select("page", F.col("id").alias("line"), F.col("x").alias("l_x"))  # noqa: E741
     away = F.abs(F.col("x") - F.col("l_x"))
     met = heads.select("page", "staff", "id", "x").join(l, "page").where(away <= 0.82 * sp)
-    g = met.groupBy("page", "line", "l_x").agg(F.count_distinct("staff").alias("staves"), F.avg(away).alias("mean"), F.min(away).alias("least"), F.array_sort(F.collect_list("id")).alias("heads"), F.avg("x").alias("x"))
+    g = met.groupBy("page", "line", "l_x").agg(F.count_distinct("staff").alias("staves"), F.avg(away).alias("mean"), F.min(away).alias("least"), F.array_sort(F.collect_list(F.struct("id", "x"))).alias("met"))
+    total = F.aggregate("met", F.lit(0.0), lambda s, h: s + h["x"])
+    g = g.withColumns({"heads": F.transform("met", lambda h: h["id"]), "x": total / F.size("met")})
     return g.where((F.col("staves") >= 2) & (F.col("mean") <= 0.82 * sp) & (F.col("least") <= 0.70 * sp)).select("page", "line", "heads", F.when(F.col("l_x") >= F.col("x"), "up").otherwise("down").alias("direction"))
 
 
