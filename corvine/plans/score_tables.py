@@ -238,13 +238,16 @@ def s22(spark, d):
     return svg.dump(read(spark, d, PIECES))
 
 
+def segment_pages(s: DataFrame) -> DataFrame:
+    """path, content: the lines and rectangles of s as SVG, in order of their ids: a text that is read twice must number them alike."""
+    made = """CASE kind WHEN 1 THEN concat('<line x1="', x, '" y1="', y, '" x2="', x + w, '" y2="', y + h, '"/>') ELSE concat('<rect x="', x, '" y="', y, '" width="', w, '" height="', h, '"/>') END"""
+    return s.withColumn("xml", F.expr(made)).groupBy(F.col("page").alias("path")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "xml"))), lambda x: x["xml"]), ""), F.lit("</svg>")).alias("content"))
+
+
 @query("s06_svg_segments", f"""{with_(s=SHAPE)} SELECT page AS path, CASE kind WHEN 1 THEN 'line' ELSE 'rect' END AS element, sum(CASE kind WHEN 1 THEN 1 ELSE 4 END) AS n FROM s WHERE kind IN (1, 2) GROUP BY ALL""", n="BIGINT")
 def s06(spark, d):
     """Segments of the lines and rectangles that are drawn."""
-    s = read(spark, d, SHAPE).where("kind in (1, 2)")
-    made = """CASE kind WHEN 1 THEN concat('<line x1="', x, '" y1="', y, '" x2="', x + w, '" y2="', y + h, '"/>') ELSE concat('<rect x="', x, '" y="', y, '" width="', w, '" height="', h, '"/>') END"""
-    pages = s.withColumn("xml", F.expr(made)).groupBy(F.col("page").alias("path")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.collect_list("xml"), ""), F.lit("</svg>")).alias("content"))
-    c = svg.parse_column(pages, "path", "content")
+    c = svg.parse_column(segment_pages(read(spark, d, SHAPE).where("kind in (1, 2)")), "path", "content")
     return svg.segments(c).join(c.select("path", "id", "element"), ["path", "id"]).groupBy("path", "element").agg(F.count("*").alias("n"))
 
 
