@@ -1,14 +1,17 @@
 """Nearest references by exact distance or mask overlap.
 
-Vectors: references are dealt to balls around pivots. A row is compared with the ball next to it first, which bounds how far its nearest can be; then only with the
-balls that may hold something as near, by the triangle inequality (the row's distance to a pivot less the ball's radius). What is left out can not be among the
+Vectors: references are dealt to balls around pivots, and lie in blocks in the order of the balls. In a block a row is compared with the balls next to it first, which bounds how far its nearest
+can be; then only with the balls that may hold something as near, by the triangle inequality (the row's distance to a pivot less the ball's radius). What is left out can not be among the
 nearest, so the result is exact. Pivots and radii are a table of fixed size. Masks go by blocks of all rows and all references.
 
-Balls and rows are cut into blocks of about BLOCK rows; a task compares one block of rows with one of references and returns partial minima only (per row and class,
-or the k best), which a shuffle on the row reduces. So no pairs are emitted and a task's memory is two blocks, however many rows a ball or a group holds."""
+A task compares a block of rows with one of references (WIDE * BLOCK vectors, BLOCK masks), some CELLS pairs at a time, so its memory is two blocks, however many rows a ball or a group holds. A matrix product
+tells which pairs may be among the nearest, and only their distances are taken from the differences themselves. It returns partial minima only (per row and class, or the k best), which a
+shuffle on the row reduces, so no pairs are emitted. Where no ball can be left out (many dimensions) all pairs are compared: time grows with their number, what is shuffled with their number by the block."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,8 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .iterate import cut
 
 BLOCK = 2048
+#: Rows and references of a task over balls, in blocks.
+WIDE = 8
 #: Cells of differences at once.
 CELLS = 1 << 21
+#: Share of a block's pairs from which on all of them are compared at once.
+DENSE = 0.2
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,36 +84,112 @@ def far_apart(points: np.ndarray, most: int) -> np.ndarray:
     return points[chosen]
 
 
-def compared(rows: DataFrame, references: DataFrame, best, schema: T.StructType, told=None) -> DataFrame:
-    """Partial results of best(cost, ids, refs, classes) for rows (id, value, ball: one or more each) against the references (ref, value, class, ball) of their balls."""
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    many = references.groupBy("ball").agg(F.count("*").alias("m"))
-    asked = rows.groupBy("ball").agg(F.count("*").alias("n"))
-    size = many.join(asked, "ball").select("ball", blocks(F.col("m")).alias("y"), blocks(F.col("n")).alias("x"))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    a = rows.join(size, "ball").withColumn("i", F.pmod(F.xxhash64("id"), F.col("x")).cast("int")).withColumn("j", every("y")).drop("x", "y")
-    b = references.join(size, "ball").withColumn("j", F.pmod(F.xxhash64("ref"), F.col("y")).cast("int")).withColumn("i", every("x")).drop("x", "y")
-    arrow = to_arrow_schema(schema)
+def dealt(n: int, width: int) -> list[slice]:
+    """n rows in pieces, so that each with ``width`` columns has CELLS cells."""
+    step = max(1, CELLS // max(1, width))
+    return [slice(i, i + step) for i in range(0, n, step)]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        if told is not None:
-            told.add(left.num_rows * right.num_rows)
-        cost = distances(matrix(left["value"]), matrix(right["value"]))
-        return pa.table(best(cost, left["id"].to_numpy(), right["ref"].to_numpy(), right["class"].combine_chunks()), schema=arrow)
 
-    return a.groupBy("ball", "i", "j").cogroup(b.groupBy("ball", "i", "j")).applyInArrow(run, schema)
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product; the last digits are lost."""
+    out = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return out if np.isfinite(out).all() else distances(a, b) ** 2
+
+
+def lowest(cost: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all finite cells that are among the k least of their row, or no more than ``slack`` above them."""
+    if cost.shape[1] <= k:
+        return np.nonzero(np.isfinite(cost))
+    least = cost.min(axis=1) if k == 1 else np.partition(cost, k - 1, axis=1)[:, k - 1]
+    return np.nonzero((cost <= (least + slack)[:, None]) & np.isfinite(cost))
+
+
+def first_of_each(row: np.ndarray, dist: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each row, the smaller ref on ties."""
+    order = np.lexsort((ref, dist, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+
+class Balls(NamedTuple):
+    """Of each ball its class (as a number), pivot and radius."""
+
+    of: np.ndarray
+    pivot: np.ndarray
+    radius: np.ndarray
+
 
+def closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, refs: np.ndarray, own: np.ndarray, balls: Balls, pivots: np.ndarray, k: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, references and distances: for each row of a the k nearest of b of each class, and how many pairs were compared. own: the balls of b, ascending."""
+    size = lambda x: float((x * x).sum(axis=1).max(initial=0.0))
+    slack = 16 * a.shape[1] * np.finfo(float).eps * (size(a) + size(b))
+    some, begin, n = np.unique(own, return_index=True, return_counts=True)
+    columns = np.split(np.arange(len(own)), begin[1:])
+    kind, of = np.unique(balls.of[some], return_inverse=True)
+    ends = [*begin[np.flatnonzero(np.diff(of, prepend=-1))].tolist(), len(own)]
+    use, back = np.unique(balls.pivot[some], return_inverse=True)
+    out, told = [], 0
 
-def by_balls(rows: DataFrame, references: DataFrame, apart: bool, k: int, by_class: bool, best, schema: T.StructType, told=None) -> DataFrame:
-    """Partial results of best() that hold the k nearest references of every row, of each class if by_class. rows: id, value; references: ref, class, value."""
+    def costs(rows: np.ndarray, columns_: np.ndarray | slice) -> np.ndarray:
+        cost = squares(a[rows], b[columns_])
+        if apart:
+            cost[ids[rows][:, None] == refs[columns_][None, :]] = np.inf
+        return cost
+
+    for part in dealt(len(a), max(len(some), len(use) * a.shape[1] // 8)):
+        rows = np.arange(len(a))[part]
+        away = distances(a[rows], pivots[use])[:, back]
+        # of each class the balls next to a row; each holds one at least, and one may be the row itself
+        first = np.zeros(away.shape, bool)
+        for c in range(len(kind)):
+            mine = np.flatnonzero(of == c)
+            few = min(k + bool(apart), len(mine))
+            np.put_along_axis(first[:, mine[0] : mine[-1] + 1], np.argpartition(away[:, mine], few - 1, axis=1)[:, :few], True, axis=1)
+        met = []
+        for j in np.flatnonzero(first.any(axis=0)):
+            r = np.flatnonzero(first[:, j])
+            cost = costs(rows[r], columns[j])
+            told += cost.size
+            x, y = lowest(cost, k)
+            met.append((r[x] * len(kind) + of[j], cost[x, y]))
+        at, cost = (np.concatenate(v) for v in zip(*met, strict=True))
+        order = np.lexsort((cost, at))
+        at, cost = at[order], cost[order]
+        last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+        bound = np.full(len(rows) * len(kind), np.inf)
+        bound[at[last]] = np.sqrt(np.maximum(cost[last], 0) + slack)
+        near = away - balls.radius[some] <= bound.reshape(len(rows), -1)[:, of] * (1 + SLACK) + SLACK
+        dense = (near @ n).sum() > DENSE * len(rows) * len(b)
+        for piece in dealt(len(rows), len(b)):
+            r = rows[piece]
+            if dense:
+                cost = costs(r, slice(None))
+                told += cost.size
+            else:
+                cost = np.full((len(r), len(b)), np.inf)
+                for j in np.flatnonzero(near[piece].any(axis=0)):
+                    asks = np.flatnonzero(near[piece, j])
+                    cost[asks, begin[j] : begin[j] + n[j]] = costs(r[asks], columns[j])
+                    told += len(asks) * int(n[j])
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                x, y = lowest(cost[:, lo:hi], k, slack)
+                y = y + lo
+                dist = np.concatenate([np.sqrt(np.einsum("ij,ij->i", g, g)) for s in dealt(len(x), a.shape[1]) for g in [a[r[x[s]]] - b[y[s]]]] or [np.zeros(0)])
+                best = first_of_each(x, dist, refs[y], k)
+                out.append((r[x[best]], y[best], dist[best]))
+    at, to, far = (np.concatenate(v) for v in zip(*out, strict=True))
+    return at, to, far, told
+
+
+def by_balls(rows: DataFrame, references: DataFrame, apart: bool, k: int, by_class: bool, schema: T.StructType, told=None) -> DataFrame:
+    """Partial results that hold the k nearest references of every row, of each class if by_class. rows: id, value; references: ref, class, value."""
     spark = rows.sparkSession
-    known = cut(references.select("ref", F.col("class") if by_class else F.lit(0).alias("class"), F.col("value").cast("array<double>").alias("value")))
+    wide = WIDE * BLOCK
+    known = cut(references.select("ref", F.col("class") if by_class else F.lit(0).alias("class"), "value"))
     classes = [r["class"] for r in known.select("class").distinct().limit(BALLS + 1).collect()]
     if len(classes) > BALLS:
         raise ValueError(f"more than {BALLS} classes")
-    most = max(1, min(PIVOTS, BALLS // max(1, len(classes)), int(4 * known.count() ** 0.5)))
+    most = max(1, min(PIVOTS, BALLS // max(1, len(classes)), int(4 * (known.count() / max(1, len(classes))) ** 0.5)))
     some = np.array([list(r["value"]) for r in known.orderBy(F.xxhash64("ref"), "ref").limit(SAMPLE).select("value").collect()], float)
     if not len(some):
         return spark.createDataFrame([], schema)
@@ -114,80 +197,47 @@ def by_balls(rows: DataFrame, references: DataFrame, apart: bool, k: int, by_cla
 
     def nearest_pivot(batches):
         for b in batches:
-            d = distances(matrix(b.column(b.schema.get_field_index("value"))), held.value)
-            yield b.append_column("pivot", pa.array(d.argmin(axis=1), pa.int32())).append_column("off", pa.array(d.min(axis=1)))
+            x = matrix(b.column(b.schema.get_field_index("value")))
+            d = [distances(x[part], held.value) for part in dealt(len(x), len(held.value))]
+            pivot, off = (np.concatenate([f(v) for v in d] or [np.zeros(0)]) for f in (lambda v: v.argmin(axis=1), lambda v: v.min(axis=1)))
+            yield b.append_column("pivot", pa.array(pivot, pa.int32())).append_column("off", pa.array(off, pa.float64()))
 
     placed = cut(known.mapInArrow(nearest_pivot, T.StructType([*known.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("off", T.DoubleType())])))
-    found = placed.groupBy("class", "pivot").agg(F.max("off").alias("radius"), F.count("*").alias("n")).collect()
     number = {c: i for i, c in enumerate(classes)}
-    balls = spark.sparkContext.broadcast((np.array([number[r["class"]] for r in found]), np.array([r["pivot"] for r in found]), np.array([r["radius"] for r in found]), np.array([r["n"] for r in found])))
-    table = spark.createDataFrame([(i, r["class"], r["pivot"]) for i, r in enumerate(found)], T.StructType([T.StructField("ball", T.IntegerType()), known.schema["class"], T.StructField("pivot", T.IntegerType())]))
-    refs = cut(placed.join(F.broadcast(table), ["class", "pivot"]).select("ref", "class", "value", "ball"))
-    asked = rows.select("id", F.col("value").cast("array<double>").alias("value"))
-    visit = T.StructType([*asked.schema.fields, T.StructField("ball", T.IntegerType())])
-    wanted = k + bool(apart)  # one of a ball may be the row itself
-
-    def first_balls(batches):
-        """Of each class the balls next to a row, until they hold enough."""
-        of, pivot, _, n = balls.value
-        for b in batches:
-            d = distances(matrix(b.column(1)), held.value)[:, pivot]
-            at, to = [], []
-            for c in np.unique(of):
-                mine = np.flatnonzero(of == c)
-                order = mine[np.argsort(d[:, mine], axis=1, kind="stable")]
-                before = np.cumsum(n[order], axis=1) - n[order]
-                row, place = np.nonzero(before < wanted)
-                at.append(row)
-                to.append(order[row, place])
-            at, to = np.concatenate(at), np.concatenate(to)
-            yield b.take(pa.array(at)).append_column("ball", pa.array(to, pa.int32()))
-
-    first = cut(compared(asked.mapInArrow(first_balls, visit), refs, best, schema, told))
-    place = F.row_number().over(Window.partitionBy("id", "class").orderBy("dist", "ref"))
-    bound = first.withColumn("place", place).where(F.col("place") <= k).groupBy("id", "class").agg(F.max("dist").alias("dist"), F.count("*").alias("n"))
-    bound = bound.groupBy("id").agg(F.collect_list(F.struct("class", F.when(F.col("n") >= k, F.col("dist")).alias("dist"))).alias("bounds"))
-    both = asked.join(bound, "id", "left")
-
-    def other_balls(batches):
-        """The balls that may hold something as near as what was found, but for those of the first visit."""
-        of, pivot, radius, n = balls.value
-        for b in batches:
-            d = distances(matrix(b.column(1)), held.value)[:, pivot]
-            u = np.full((b.num_rows, len(number)), np.inf)
-            for i, some in enumerate(b.column(2).to_pylist()):
-                for x in some or []:
-                    if x["dist"] is not None:
-                        u[i, number[x["class"]]] = x["dist"]
-            near = d - radius <= u[:, of] * (1 + SLACK) + SLACK
-            for c in np.unique(of):
-                mine = np.flatnonzero(of == c)
-                order = mine[np.argsort(d[:, mine], axis=1, kind="stable")]
-                seen = np.cumsum(n[order], axis=1) - n[order] < wanted
-                near[np.arange(b.num_rows)[:, None].repeat(len(mine), axis=1)[seen], order[seen]] = False
-            row, to = np.nonzero(near)
-            yield b.select([0, 1]).take(pa.array(row)).append_column("ball", pa.array(to, pa.int32()))
-
-    return first.unionByName(compared(both.mapInArrow(other_balls, visit), refs, best, schema, told))
+    found = sorted(placed.groupBy("class", "pivot").agg(F.max("off").alias("radius"), F.count("*").alias("n")).collect(), key=lambda r: (number[r["class"]], r["pivot"]))
+    # blocks in order of the balls; a ball that is more than a block has blocks of its own
+    begin, count, at, room = [], [], -1, 0
+    for r in found:
+        if r["n"] > room:
+            at, room = at + 1, wide
+        begin.append(at)
+        count.append(-(-r["n"] // wide))
+        at, room = at + count[-1] - 1, room - r["n"] if count[-1] == 1 else 0
+    balls = spark.sparkContext.broadcast(Balls(np.array([number[r["class"]] for r in found]), np.array([r["pivot"] for r in found]), np.array([r["radius"] for r in found])))
+    table = spark.createDataFrame([(i, r["class"], r["pivot"], b, c) for i, (r, b, c) in enumerate(zip(found, begin, count, strict=True))], T.StructType([T.StructField("ball", T.IntegerType()), known.schema["class"], *[T.StructField(n, T.IntegerType()) for n in ("pivot", "begin", "count")]]))
+    refs = placed.join(F.broadcast(table), ["class", "pivot"]).select("ref", "class", F.col("value").alias("target"), "ball", (F.col("begin") + F.pmod(F.xxhash64("ref"), F.col("count"))).cast("int").alias("j"))
+    x, every = max(1, -(-rows.count() // wide)), lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.select("id", "value", F.pmod(F.xxhash64("id"), F.lit(x)).cast("int").alias("i")).withColumn("j", every(at + 1))
+    right = refs.withColumn("i", every(x))
+    arrow = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        right = right.sort_by([("ball", "ascending")])
+        ids, refs = left["id"].to_numpy(), right["ref"].to_numpy()
+        at, to, far, n = closest(matrix(left["value"]), ids, matrix(right["target"]), refs, right["ball"].to_numpy(), balls.value, held.value, k, apart)
+        if told is not None:
+            told.add(n)
+        return pa.table({"id": ids[at], "class": right["class"].combine_chunks().take(pa.array(to)), "dist": far, "ref": refs[to]}, schema=arrow)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
 
 
 def nearest_of_class(rows: DataFrame, references: DataFrame, apart: bool = False, told=None) -> DataFrame:
     """id, class, dist, ref: the nearest reference of each class for every row, the smaller ref on ties. told: an accumulator for the number of distances between rows and references."""
-    kind = references.schema["class"].dataType
-
-    def best(cost, ids, refs, classes):
-        if apart:
-            cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
-        name = classes[0].as_py()  # a ball is of one class
-        order = np.argsort(refs, kind="stable")
-        cost, refs = cost[:, order], refs[order]
-        at = cost.argmin(axis=1)
-        dist = cost[np.arange(len(ids)), at]
-        some = np.isfinite(dist)
-        return {"id": ids[some], "class": [name] * int(some.sum()), "dist": dist[some], "ref": refs[at][some]}
-
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", kind), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
-    met = by_balls(rows, references, apart, 1, True, best, schema, told)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", references.schema["class"].dataType), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
+    met = by_balls(rows, references, apart, 1, True, schema, told)
     return met.groupBy("id", "class").agg(F.min(F.struct("dist", "ref")).alias("m")).select("id", "class", "m.dist", "m.ref")
 
 
@@ -197,16 +247,13 @@ def nearest_few(rows: DataFrame, references: DataFrame, k: int, apart: bool = Fa
     def best(cost, ids, refs, _):
         if apart:
             cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
-        order = np.argsort(refs, kind="stable")
-        cost, refs = cost[:, order], refs[order]
-        at = np.argsort(cost, axis=1, kind="stable")[:, :k]
-        few = np.take_along_axis(cost, at, axis=1)
-        some = np.isfinite(few)
-        n = int(some.sum())
-        return {"id": np.repeat(ids, some.sum(axis=1)), "class": np.zeros(n, np.int32), "dist": few[some], "ref": refs[at][some]}
+        row, to = lowest(cost, k)
+        dist = cost[row, to]
+        few = first_of_each(row, dist, refs[to], k)
+        return {"id": ids[row[few]], "class": np.zeros(len(few), np.int32), "dist": dist[few], "ref": refs[to[few]]}
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
     place = F.row_number().over(Window.partitionBy("id").orderBy("cost", "ref"))
     vectors = isinstance(rows.schema["value"].dataType, T.ArrayType)
-    met = by_balls(rows, references.withColumn("class", F.lit(0)), apart, k, False, best, schema, told) if vectors else scan(rows, references, best, schema)
+    met = by_balls(rows, references, apart, k, False, schema, told) if vectors else scan(rows, references, best, schema)
     return met.select("id", "ref", F.col("dist").alias("cost")).withColumn("place", place.cast("long")).where(F.col("place") <= k)
