@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators import windows
+from .batches import in_batches
 
 ELEMENTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("path", "error", "part", "measure")]
@@ -70,14 +71,15 @@ def elements(path: str, data: bytes) -> Iterator[dict]:
 
 
 def parse(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in files:
-        rows = []
-        for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-            try:
-                rows += list(elements(path, data.as_py() or b""))
-            except (ET.ParseError, ValueError) as e:
-                rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(ELEMENTS))
+    schema = to_arrow_schema(ELEMENTS)
+
+    def rows(path: str, data: bytes | None) -> list[dict]:
+        try:
+            return list(elements(path, data or b""))
+        except (ET.ParseError, ValueError) as e:
+            return [{"path": path, "error": f"{type(e).__name__}: {e}"}]
+
+    yield from in_batches((rows(path, data.as_py()) for b in files for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True)), schema)
 
 
 def read_elements(spark: SparkSession, path: str, pattern: str = "*.musicxml", recursive: bool = True) -> DataFrame:
