@@ -3,14 +3,23 @@ unit of distribution, or, along an axis, on the pieces of a group between gaps t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import iterate
 
+#: Rows of an Arrow batch that a task returns.
+ROWS = 4096
+
 
 def per_group(df: DataFrame, keys: list, order: list, name: str, kind: T.DataType, fn) -> DataFrame:
     """df with column ``name`` that fn makes from each group, sorted by ``order``."""
@@ -194,28 +203,44 @@ def rest_lanes(rests: DataFrame, keys: list, id_: str) -> DataFrame:
 
 def match_by_tolerance(expected: DataFrame, actual: DataFrame, keys: list, value: str, id_: str, tolerance: float, penalty: str | None = None) -> DataFrame:
     """Each expected row, in order of (value, id), takes the free actual row of least distance (plus 0.1 for another ``penalty``
-    value) within the tolerance. keys, expected id, actual id; an id is null on the side that is missing."""
+    value) within the tolerance. keys, expected id, actual id; an id is null on the side that is missing. A task goes through its sorted groups, of which it holds one; a row
+    looks at those within the tolerance alone."""
     kind = expected.schema[id_].dataType
     schema = T.StructType([*[expected.schema[k] for k in keys], T.StructField("expected", kind), T.StructField("actual", kind), T.StructField("distance", T.DoubleType())])
-
-    cols = list(dict.fromkeys([*keys, id_, value, *([penalty] if penalty else [])]))
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([value, id_], kind="stable")
-        e, a = g[g["__side"] == 0], g[g["__side"] == 1]
-        v, free, rows = a[value].to_numpy(float), np.ones(len(a), bool), []
-        for r in e.to_dict("records"):
-            d = np.abs(v - r[value])
-            cost = d + (0.1 * (a[penalty].to_numpy() != r[penalty]) if penalty else 0)
-            cost = np.where(free & (d <= tolerance), cost, np.inf)
-            j = int(cost.argmin()) if len(cost) else 0
-            if len(cost) and np.isfinite(cost[j]):
-                free[j] = False
-                rows.append((*key, r[id_], a[id_].iloc[j], d[j]))
-            else:
-                rows.append((*key, r[id_], None, None))
-        rows += [(*key, None, x, None) for x in a[id_].to_numpy()[free]]
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"expected": "Int64", "actual": "Int64"})
-
-    both = expected.select(*cols, F.lit(0).alias("__side")).unionByName(actual.select(*cols, F.lit(1).alias("__side")))
-    return both.groupBy(*keys).applyInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+
+    def matched(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        e, a = ([r for r in rows if r[0] == side] for side in (0, 1))
+        known = [r for r in a if r[1] is not None and r[1] == r[1]]
+        values, free = [r[1] for r in known], [True] * len(known)
+        for _, v, i, p in e:
+            best = None
+            if v is not None and v == v:
+                reach = tolerance + 1e-9 * (tolerance + abs(v))
+                for j in range(bisect_left(values, v - reach), bisect_right(values, v + reach)):
+                    d = abs(values[j] - v)
+                    if free[j] and d <= tolerance:
+                        cost = d + (0.1 * (known[j][3] != p) if penalty else 0)
+                        if best is None or cost < best[0]:
+                            best = (cost, j, d)
+            if best:
+                free[best[1]] = False
+            yield (*key, i, known[best[1]][2] if best else None, best[2] if best else None)
+        taken = {id(r) for r, f in zip(known, free, strict=True) if not f}
+        yield from ((*key, None, r[2], None) for r in a if id(r) not in taken)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        out: list[tuple] = []
+        rows = ((r[: len(keys)], r[len(keys) :]) for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for key, group in groupby(rows, lambda r: r[0]):
+            out += matched(key, [r for _, r in group])
+            if len(out) >= ROWS:
+                yield as_batch(out)
+                out = []
+        if out:
+            yield as_batch(out)
+
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("__side"), F.col(value).cast("double").alias("__value"), F.col(id_).alias("__id"), (F.col(penalty) if penalty else F.lit(None).cast("int")).alias("__penalty"))
+    both = side(expected, 0).unionByName(side(actual, 1))
+    return both.repartition(*keys).sortWithinPartitions(*keys, "__side", "__value", "__id").mapInArrow(run, schema)
