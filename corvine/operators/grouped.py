@@ -17,19 +17,72 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import iterate
 
+BOX = ["left", "top", "right", "bottom"]
 #: Rows of an Arrow batch that a task returns.
 ROWS = 4096
 
 
-def per_group(df: DataFrame, keys: list, order: list, name: str, kind: T.DataType, fn) -> DataFrame:
-    """df with column ``name`` that fn makes from each group, sorted by ``order``."""
+def starts(b: pa.RecordBatch, keys: list) -> np.ndarray:
+    """Where the groups of a batch begin; null keys are equal."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        codes = b.column(b.schema.get_field_index(k)).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*[p.columns for p in parts], strict=True)], schema=parts[0].schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list) -> Iterator[tuple[pa.RecordBatch, list[slice]]]:
+    """Batches of rows that are sorted by their keys, cut anew so that each has whole groups, and where they lie. One group and one batch are held."""
+    held: list[pa.RecordBatch] = []
+
+    def told(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[slice]]:
+        b = joined(parts)
+        at = starts(b, keys).tolist()
+        return b, [slice(i, j) for i, j in zip(at, [*at[1:], b.num_rows], strict=True)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = int(starts(b, keys)[-1])
+        if last:
+            yield told([*held, b.slice(0, last)])
+            held = []
+        elif held and len(starts(joined([held[0].slice(0, 1), b.slice(0, 1)]), keys)) > 1:
+            yield told(held)
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield told(held)
+
+
+def by_groups(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """df in sorted groups, each in one task, for whole_groups()."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order])
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """A column as it is, if it has whole numbers without nulls, else as floats, null as nan."""
+    x = column.to_numpy(zero_copy_only=False)
+    return x if x.dtype.kind in "iu" else x.astype(float)
+
+
+def per_group(df: DataFrame, keys: list, order: list, name: str, kind: T.DataType, fn, needs: list) -> DataFrame:
+    """df with column ``name`` that fn makes from the columns ``needs`` (arrays of numbers) of each group, sorted by ``order``. A task goes through its sorted groups, many in a batch."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    arrow = to_arrow_schema(schema)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable").reset_index(drop=True)
-        return g.assign(**{name: fn(g)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, groups in whole_groups(batches, keys):
+            columns = [numbers(b.column(b.schema.get_field_index(c))) for c in needs]
+            made = pa.concat_arrays([pa.array(fn(*[c[g] for c in columns]), arrow.field(name).type) for g in groups])
+            yield pa.RecordBatch.from_arrays([*b.columns, made], schema=arrow)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df, keys, order).mapInArrow(run, schema)
 
 
 def between_gaps(df: DataFrame, keys: list, order: list, value: str, gap: float, name: str, fn) -> DataFrame:
@@ -44,7 +97,7 @@ def between_gaps(df: DataFrame, keys: list, order: list, value: str, gap: float,
     on = F.col("__bin") == F.col("__of")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    cut_ = iterate.cut(per_group(binned.join(bins, on).select(*df.columns, "__piece"), [*keys, "__piece"], order, name, T.LongType(), fn))
+    cut_ = iterate.cut(per_group(binned.join(bins, on).select(*df.columns, "__piece"), [*keys, "__piece"], order, name, T.LongType(), fn, [value]))
     found = cut_.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__piece").alias("__of")).agg((F.max(name) + 1).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("__before", F.coalesce(before, F.lit(0))).drop("n")
@@ -58,9 +111,9 @@ def running_mean_clusters(df: DataFrame, keys: list, value: str, tolerance: floa
     """In ascending order a value joins the open cluster if it lies within the tolerance of its running mean. A mean is no more than the last value, so a gap above
     the tolerance always parts clusters."""
 
-    def fn(g: pd.DataFrame) -> np.ndarray:
+    def fn(values: np.ndarray) -> np.ndarray:
         out, total, n, k = [], 0.0, 0, -1
-        for v in g[value].to_numpy(float):
+        for v in values.tolist():
             if n == 0 or v - total / n > tolerance:
                 total, n, k = 0.0, 0, k + 1
             total, n = total + v, n + 1
@@ -73,46 +126,49 @@ def running_mean_clusters(df: DataFrame, keys: list, value: str, tolerance: floa
 def anchor_groups(df: DataFrame, keys: list, id_: str, name: str = "anchor") -> DataFrame:
     """Largest rectangle first: it takes all free ones that overlap it, it alone, not what overlaps those."""
 
-    def fn(g: pd.DataFrame) -> np.ndarray:
-        box = g[["left", "top", "right", "bottom"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]).clip(0) * (box[:, 3] - box[:, 1]).clip(0)
-        ids, out = g[id_].to_numpy(), np.full(len(g), -1, np.int64)
-        free = np.ones(len(g), bool)
-        for i in np.lexsort((np.arange(len(g)), -area)):
+    def fn(ids: np.ndarray, *box: np.ndarray) -> np.ndarray:
+        left, top, right, bottom = (c.astype(float) for c in box)
+        area = (right - left).clip(0) * (bottom - top).clip(0)
+        out = np.full(len(ids), -1, np.int64)
+        free = np.ones(len(ids), bool)
+        for i in np.lexsort((np.arange(len(ids)), -area)).tolist():
             if free[i]:
-                w = np.minimum(box[:, 2], box[i, 2]) - np.maximum(box[:, 0], box[i, 0])
-                h = np.minimum(box[:, 3], box[i, 3]) - np.maximum(box[:, 1], box[i, 1])
+                w = np.minimum(right, right[i]) - np.maximum(left, left[i])
+                h = np.minimum(bottom, bottom[i]) - np.maximum(top, top[i])
                 took = free & (w > 1e-6) & (h > 1e-6)
                 took[i] = True
                 out[took], free[took] = ids[i], False
         return out
 
-    return per_group(df, keys, [id_], name, T.LongType(), fn)
+    return per_group(df, keys, [id_], name, T.LongType(), fn, [id_, *BOX])
 
 
 def suppress(df: DataFrame, keys: list, score: str, id_: str, share: float, name: str = "kept") -> DataFrame:
     """Non-maximum suppression: best score first, a rectangle goes if it overlaps a kept one by ``share`` of the smaller area."""
 
-    def fn(g: pd.DataFrame) -> np.ndarray:
-        box = g[["left", "top", "right", "bottom"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]).clip(0) * (box[:, 3] - box[:, 1]).clip(0)
-        kept: list[int] = []
-        for i in np.lexsort((np.arange(len(g)), -g[score].to_numpy(float))):
-            w = np.minimum(box[kept, 2], box[i, 2]) - np.maximum(box[kept, 0], box[i, 0])
-            h = np.minimum(box[kept, 3], box[i, 3]) - np.maximum(box[kept, 1], box[i, 1])
-            both = w.clip(0) * h.clip(0)
-            if not (both >= share * np.minimum(area[kept], area[i]).clip(1e-12)).any():
-                kept.append(i)
-        return np.isin(np.arange(len(g)), kept)
+    def fn(scores: np.ndarray, *box: np.ndarray) -> np.ndarray:
+        order = np.lexsort((np.arange(len(scores)), -scores.astype(float)))
+        left, top, right, bottom = (c[order].astype(float) for c in box)
+        area = (right - left).clip(0) * (bottom - top).clip(0)
+        kept = np.ones(len(order), bool)
+        for i in range(len(order)):
+            if kept[i]:  # takes those after it
+                after = slice(i + 1, None)
+                w = np.minimum(right[after], right[i]) - np.maximum(left[after], left[i])
+                h = np.minimum(bottom[after], bottom[i]) - np.maximum(top[after], top[i])
+                kept[after] &= ~(w.clip(0) * h.clip(0) >= share * np.minimum(area[after], area[i]).clip(1e-12))
+        out = np.empty(len(order), bool)
+        out[order] = kept
+        return out
 
-    return per_group(df, keys, [id_], name, T.BooleanType(), fn)
+    return per_group(df, keys, [id_], name, T.BooleanType(), fn, [score, *BOX])
 
 
 def complete_link(df: DataFrame, keys: list, order: list, value: str, most: float, name: str = "link") -> DataFrame:
     """In order, a free row opens a group and takes every later free row within ``most`` of all its members. No group reaches over a gap above ``most``."""
 
-    def fn(g: pd.DataFrame) -> np.ndarray:
-        v, out, k = g[value].to_numpy(float), np.full(len(g), -1, np.int64), 0
+    def fn(values: np.ndarray) -> np.ndarray:
+        v, out, k = values.astype(float), np.full(len(values), -1, np.int64), 0
         rising = bool((np.diff(v) >= 0).all())
         i = 0
         while i < len(v):
@@ -135,18 +191,18 @@ def complete_link(df: DataFrame, keys: list, order: list, value: str, most: floa
 
     if order[0] == value:
         return between_gaps(df, keys, order, value, most, name, fn)
-    return per_group(df, keys, order, name, T.LongType(), fn)
+    return per_group(df, keys, order, name, T.LongType(), fn, [value])
 
 
 def colour_intervals(df: DataFrame, keys: list, start: str, end: str, id_: str, name: str = "lane") -> DataFrame:
     """Lanes for intervals: by start, each goes to the lowest lane that is free by then. As many lanes as overlap at most."""
     import heapq
 
-    def fn(g: pd.DataFrame) -> np.ndarray:
+    def fn(begin: np.ndarray, until: np.ndarray) -> np.ndarray:
         busy: list[tuple[float, int]] = []
         free: list[int] = []
         out, lanes = [], 0
-        for s, e in zip(g[start].to_numpy(float), g[end].to_numpy(float), strict=True):
+        for s, e in zip(begin.astype(float).tolist(), until.astype(float).tolist(), strict=True):
             while busy and busy[0][0] <= s:
                 heapq.heappush(free, heapq.heappop(busy)[1])
             if free:
@@ -157,15 +213,15 @@ def colour_intervals(df: DataFrame, keys: list, start: str, end: str, id_: str,
             out.append(lane)
         return np.array(out, np.int64)
 
-    return per_group(df, keys, [start, end, id_], name, T.LongType(), fn)
+    return per_group(df, keys, [start, end, id_], name, T.LongType(), fn, [start, end])
 
 
 def lane_windows(df: DataFrame, keys: list, value: str, size: int, spread: float, id_: str, name: str = "window") -> DataFrame:
     """Left to right, a run of ``size`` values whose gaps all lie within ``spread`` of their mean is a window; the scan goes on after it.
     Rows outside of windows have null."""
 
-    def fn(g: pd.DataFrame) -> list:
-        v, out, i, k = g[value].to_numpy(float), [None] * len(g), 0, 0
+    def fn(values: np.ndarray) -> list:
+        v, out, i, k = values.astype(float), [None] * len(values), 0, 0
         while i + size <= len(v):
             gaps = np.diff(v[i : i + size])
             mean = gaps.mean()
@@ -174,9 +230,9 @@ def lane_windows(df: DataFrame, keys: list, value: str, size: int, spread: float
                 i, k = i + size, k + 1
             else:
                 i += 1
-        return pd.array(out, dtype="Int64")
+        return out
 
-    return per_group(df, keys, [value, id_], name, T.LongType(), fn)
+    return per_group(df, keys, [value, id_], name, T.LongType(), fn, [value])
 
 
 def rest_lanes(rests: DataFrame, keys: list, id_: str) -> DataFrame:
