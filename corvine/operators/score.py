@@ -8,6 +8,7 @@ thresholds are in it. Joins have (page, measure) or (page, part, measure) as the
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,15 @@ STAVES = "page string, system int, staff int, left double, top double, right dou
 
 def runs_within(values: np.ndarray, tolerance: float) -> list[slice]:
     """Ascending values in runs: one joins the open run while it lies within the tolerance of the run's mean."""
-    out, start = [], 0
-    for i in range(1, len(values) + 1):
-        if i == len(values) or values[i] - values[start:i].mean() > tolerance:
+    out, start, v = [], 0, values.tolist()
+    for i in range(1, len(v) + 1):
+        # the mean lies between the run's ends, and is needed only where these do not tell
+        if i < len(v) and v[i] - v[start] < tolerance * (1 - 1e-9):
+            continue
+        if i == len(v) or v[i] - v[i - 1] > tolerance * (1 + 1e-9) or v[i] - values[start:i].mean() > tolerance:
             out.append(slice(start, i))
             start = i
-    return out if len(values) else []
+    return out if v else []
 
 
 def merged_uprights(x: np.ndarray, top: np.ndarray, bottom: np.ndarray, x_tolerance: float, join: float) -> list[tuple[float, float, float]]:
@@ -96,13 +100,18 @@ def detect_staves(lines: DataFrame, share: float = 0.35) -> DataFrame:
 
     arrow = to_arrow_schema(T.StructType.fromDDL(STAVES))
 
-    def run(g: pa.Table) -> pa.Table:
-        page = g["page"][0].as_py()
-        found = page_staves(*[g[c][0].as_py() for c in ("page_width", "page_height")], *[g[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], share)
-        rows = [(page, *row, None) for row in found] or [(page, *[None] * 7, "no staff system")]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return lines.groupBy("page").applyInArrow(run, STAVES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pages in grouped.whole_groups(batches, ["page"]):
+            page, width, height, *ends = (b.column(b.schema.get_field_index(c)) for c in ("page", "page_width", "page_height", "x1", "y1", "x2", "y2"))
+            ends, rows = [grouped.numbers(c) for c in ends], []
+            for g in pages:
+                name = page[g.start].as_py()
+                found = page_staves(width[g.start].as_py(), height[g.start].as_py(), *[c[g] for c in ends], share)
+                rows += [(name, *row, None) for row in found] or [(name, *[None] * 7, "no staff system")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    # lines of one height are told apart by their order
+    return grouped.by_groups(lines, ["page"], ["y1", "x1", "y2", "x2"]).mapInArrow(run, STAVES)
 
 
 def blocks(staves: DataFrame) -> DataFrame:
