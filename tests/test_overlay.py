@@ -83,3 +83,29 @@ def test_claimed_rectangles_against_all_pairs(spark, share):
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], names + ", n int")
     got = joins.claimed_anti(df, spark.createDataFrame(valid, names), ["page"], share)
     assert sorted(tuple(r)[:5] for r in got.select("page", *score.BOX).collect()) == want
+
+
+@pytest.mark.parametrize("rule", ["evenodd", "nonzero"])
+def test_many_at_once_are_as_one_by_one(rule, monkeypatch):
+    monkeypatch.setattr(op, "TOGETHER", 1 << 10)  # so that some have more edges than are looked at together
+    rng = np.random.default_rng(8)
+    items = [[[rng.random((n, 2))] for n in rng.integers(3, 12, k % 4)] for k in range(200)] + [[[np.rint(rng.random((6, 2)) * 4)], []], [[rng.random((60, 2))], [rng.random((4, 2))]]]
+    least = lambda x: x[0]
+    assert np.abs(op.areas_of_many(items, [least], rule)[0] - [op.own_area(x[0], rule) if x else 0 for x in items]).max() < 1e-9
+    for box in (None, (0.2, 0.3, 0.8, 0.7)):
+        for a, b in zip(op.united_of_many(items, box, rule), (op.united(x, box, rule) if x else op.NOTHING for x in items), strict=True):
+            assert abs(a.area - b.area) < 1e-9
+
+
+def test_masks_and_rings_of_many_are_as_one_by_one():
+    rng = np.random.default_rng(4)
+    values = [[rng.random((n, 2)) for n in rng.integers(3, 9, k % 4)] for k in range(300)] + [[np.rint(rng.random((5, 2)) * 3)] for _ in range(100)] + [[rng.random((600, 2))]]
+    assert glyph.occupancy_masks(values) == [glyph.occupancy_mask(v) for v in values]
+    back = glyph.column_rings(glyph.as_rings(values[:300]))
+    assert all(np.array_equal(p, q) for v, w in zip(values, back) for p, q in zip(v, w, strict=True)) and len(back) == 300
+
+
+def test_glyphs_are_united_without_a_call_for_each(spark, sf):
+    from corvine import catalog
+
+    assert "FlatMapGroupsIn" not in catalog.queries()["d09_normalized_shapes"](spark, sf)._jdf.queryExecution().toString()
