@@ -109,3 +109,15 @@ def test_glyphs_are_united_without_a_call_for_each(spark, sf):
     from corvine import catalog
 
     assert "FlatMapGroupsIn" not in catalog.queries()["d09_normalized_shapes"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_a_piece_that_meets_none_takes_no_part_in_the_search(spark, monkeypatch):
+    from corvine.operators import iterate
+
+    seen = []
+    search = iterate.components
+    monkeypatch.setattr(iterate, "components", lambda edges: search(seen.append(edges) or edges))
+    rows = [("p", 1, i, *map(float, box)) for i, box in enumerate([(0, 0, 2, 2), (1, 1, 3, 3), (8, 8, 9, 9), (20, 0, 21, 1)])] + [(None, 1, 7, 0.0, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "page string, symbol long, id long, left double, top double, right double, bottom double")
+    assert sorted(((r["page"] or "", r["id"], r["child"]) for r in score.split_ink(df).collect())) == [("", 7, 7), ("p", 0, 0), ("p", 1, 0), ("p", 2, 2), ("p", 3, 3)]
+    assert seen[0].count() == 1
