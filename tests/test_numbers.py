@@ -67,3 +67,35 @@ def test_one_figure_or_two(spark):
     assert got.groupBy("id").count().where("count > 5").count() == 0 and got.where("confidence > 1 or confidence < 0").count() == 0
     few = numbers.classify(found.where("id = 3"), model.where("value <> 3"), "id").where("place = 1").first()
     assert few["value"] != 3
+
+
+def test_distances_in_arrays_are_those_of_pairs(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corvine.operators import glyph, numbers
+
+    rng = np.random.default_rng(2)
+    square = lambda x, y, s: np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s)])
+    shapes = [[square(0, 0, 9), *[square(1 + 3 * j, 1 + rng.random(), 1 + rng.random()) for j in range(k % 3)], *([square(12, rng.random(), 2)] if k % 4 == 0 else [])] for k in range(12)]
+    forms, waves = [numbers.form(r) for r in shapes], [glyph.fourier(r) for r in shapes]
+    for phase in (True, False):
+        many = glyph.fourier_distances_of_many(glyph.stacked(waves), glyph.stacked(waves), phase)
+        assert np.abs(many - [[glyph.fourier_distance(a, b, phase) for b in waves] for a in waves]).max() < 1e-6
+    both = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(forms) for j, b in enumerate(forms)], f"i int, j int, a {numbers.FORM}, b {numbers.FORM}")
+    want = {(r["i"], r["j"]): r["d"] for r in both.select("i", "j", numbers.form_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    stack = numbers.stacked_forms(forms)
+    assert all(abs(x - want[i, j]) < 1e-9 for i, a in enumerate(forms) for j, x in enumerate(numbers.form_distances(a, stack)))
+
+
+def test_thin_threes_are_read_in_a_large_table(spark, tmp_path):
+    """The first threes are drawn in wide strokes; a three in a thin one is nearer to a two in a thin stroke than to these."""
+    from pyspark.sql import functions as F
+
+    from corvine import catalog
+
+    first = spark.read.parquet("/root/testdata/sf0.1/part.parquet").where("p_size % 17 in (2, 3) and p_partkey < 4000")
+    first.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["d05_d06_read_numbers"](spark, str(tmp_path)).join(first.select("p_partkey", (F.col("p_size") % 17).alias("want")), "p_partkey")
+    assert got.count() == first.count()
+    assert got.where("value <> want").count() == 0
