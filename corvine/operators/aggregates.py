@@ -21,6 +21,40 @@ def median(x: Column, default: float | None = None) -> Column:
     return m if default is None else F.coalesce(m, F.lit(default))
 
 
+#: Accuracy of the quantiles that close in on a median, and rows among which it is looked up.
+ACCURACY, FEW_VALUES = 10_000, 1 << 16
+
+
+def table_median(df: DataFrame, column: str, few: int = FEW_VALUES) -> float | None:
+    """median() of a column over a whole table, exact, without a task that holds all its values: approximate quantiles on both sides of the middle close in on it, and what lies below, on and
+    between them is counted. The middle is one of these two, or each pass leaves the rows strictly between them, until few are left."""
+    x = F.col("x")
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    left = rows.count()
+    if not left:
+        return None
+    at, found = [(left - 1) // 2, left // 2], [None, None]
+    while left > few and None in found:
+        slack = 2 / ACCURACY
+        while True:
+            low, high = rows.agg(F.percentile_approx("x", [max(0.0, at[0] / left - slack), min(1.0, (at[1] + 1) / left + slack)], ACCURACY)).first()[0]
+            inner = (x > low) & (x < high)
+            under, on_low, between, upto = rows.agg(*[F.count(F.when(c, 1)) for c in (x < low, x == low, inner, x <= high)]).first()
+            if under <= at[0] and at[1] < upto:
+                break
+            slack *= 4
+        rows, left, at = rows.where(inner), between, [r - under - on_low for r in at]
+        found = [low if r < 0 else high if r >= between else None for r in at]
+        if found[0] is None and found[1] is not None:  # the last before the upper end
+            found[0] = rows.agg(F.max("x")).first()[0]
+        elif found[1] is None and found[0] is not None:
+            found[1] = rows.agg(F.min("x")).first()[0]
+    if None in found:
+        values = sorted((r["x"] for r in rows.collect()), key=lambda v: (v != v, v))
+        found = [values[r] for r in at]
+    return found[0] if found[0] == found[1] else 0.5 * found[0] + 0.5 * found[1]
+
+
 def low_third_middle(x: Column) -> Column:
     """Middle of the lowest third of the sorted values."""
     s = F.array_sort(F.collect_list(x))

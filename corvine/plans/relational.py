@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import scalar as fn
+from ..operators import aggregates
 from ..operators.iterate import global_rank
 from ..registry import query, table
 
@@ -51,8 +52,8 @@ SELECT l_orderkey, l_linenumber FROM lineitem, m WHERE NOT (l_quantity > 1.8 * m
 def p08(spark, d):
     """Too large in both measures against the median; one row of medians reaches every task."""
     rows = table(spark, d, "lineitem")
-    m = rows.agg(F.percentile("l_quantity", 0.5).alias("mq"), F.percentile("l_extendedprice", 0.5).alias("mp")).first()
-    return rows.where(~((F.col("l_quantity") > 1.8 * m["mq"]) & (F.col("l_extendedprice") > 1.5 * m["mp"]))).select("l_orderkey", "l_linenumber")
+    quantity, price = (F.lit(aggregates.table_median(rows, c)) for c in ("l_quantity", "l_extendedprice"))
+    return rows.where(~((F.col("l_quantity") > 1.8 * quantity) & (F.col("l_extendedprice") > 1.5 * price))).select("l_orderkey", "l_linenumber")
 
 
 @query("p11_size_gates", "SELECT p_partkey FROM part WHERE p_size BETWEEN 6 AND 22 AND p_retailprice / 1000 BETWEEN 0.4 AND 1.8")
