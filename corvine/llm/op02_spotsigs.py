@@ -83,13 +83,13 @@ def partitioned(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """sig, part, and SET: the signatures of each class's prefix, rarest first, that another class has too, with their places."""
-    each = classes.select("part", *[c for c in SET if c != "place"], F.explode("sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    """sig, part, and SET: the signatures of each class's prefix, rarest first, that another class has too, with their places. Until the prefix is known a signature goes with its class's id and size alone."""
+    each = classes.select("cid", "n", F.explode("sigs").alias("sig"))
+    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("sig"))).where("df > 1")
     mine = Window.partitionBy("cid")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "sig"))  # after the ones that no other has
-    ranked = each.join(shared, "sig").withColumn("place", place)
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("sig", "part", *SET)
+    ranked = shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cid", "sig", "place")
+    return ranked.join(classes.select("cid", "part", *[c for c in SET if c not in ("cid", "place")]), "cid").select("sig", "part", *SET)
 
 
 def named(df: DataFrame, mark: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_a_walk_makes_no_pairs_of_nodes(spark, sf):
 def test_lanes_are_judged_by_one_sort(spark, sf):
     plan = catalog.queries()["l46_lane_validity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Window" in plan
+
+
+def test_signatures_are_sent_once_and_without_masks(spark):
+    from corvine.llm import op02_spotsigs as op
+
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [9])], "cid long, sigs array<int>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = op.prefixes(op.partitioned(sets, 0.8), 0.8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(sig") == 1
+        # of each class the first that another has too: 1 and 4 stand alone, and come before
+        assert sorted((r["cid"], r["sig"], r["place"]) for r in found.collect()) == []
+        half = op.prefixes(op.partitioned(sets, 0.5), 0.5)
+        assert sorted((r["cid"], r["sig"], r["place"]) for r in half.collect()) == [(1, 2, 2), (2, 2, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
