@@ -56,3 +56,21 @@ def test_signatures_are_sent_once_and_without_masks(spark):
         assert sorted((r["cid"], r["sig"], r["place"]) for r in half.collect()) == [(1, 2, 2), (2, 2, 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_equal_lines_meet_measures_once_and_lie_in_runs(spark, monkeypatch):
+    """All texts come with all measures of their number, the equal ones of a measure one after the other."""
+    from collections import Counter
+    from itertools import groupby
+
+    from corvine.operators import legacy
+
+    monkeypatch.setattr(legacy, "COPIES", 7)
+    texts = [(None if i % 11 == 0 else i % 20, None if i % 9 == 0 else 1 + i % 2, [None, "L", "R"][i % 3], None if i % 13 == 0 else f"{'abc'[i % 3]} in a longer line of text {i}") for i in range(4000)]
+    measures = [(f"p{k % 25}", k * 7919 % 100_003, None if k % 50 == 49 else k % 21) for k in range(1000)]
+    df = spark.createDataFrame(texts, "measure int, staff int, align string, value string")
+    got = legacy.place_text(df, spark.createDataFrame(measures, "page string, measure_pos long, number int"))
+    want = Counter((p, k, s, a, v and v[:25], "tempo" if (m, s, a) == (1, 1, "L") else "words") for m, s, a, v in texts if m is not None for p, k, n in measures if n == m)
+    rows = [tuple(r) for r in got.collect()]
+    assert Counter(rows) == want and max(want.values()) > 14
+    assert len(list(groupby(rows))) == len(want)
