@@ -4,7 +4,7 @@ Vectors: references are dealt to balls around pivots, and lie in blocks in the o
 can be; then only with the balls that may hold something as near, by the triangle inequality (the row's distance to a pivot less the ball's radius). What is left out can not be among the
 nearest, so the result is exact. Pivots and radii are a table of fixed size. Masks go by blocks of all rows and all references.
 
-A task compares a block of rows with one of references (WIDE * BLOCK vectors, BLOCK masks), some CELLS pairs at a time, so its memory is two blocks, however many rows a ball or a group holds. A matrix product
+A task compares a block of rows with one of references (WIDE * BLOCK vectors or masks, MANY times as many references where they are masks), some CELLS pairs at a time, so its memory is two blocks, however many rows a ball or a group holds. A matrix product
 tells which pairs may be among the nearest, and only their distances are taken from the differences themselves. It returns partial minima only (per row and class, or the k best), which a
 shuffle on the row reduces, so no pairs are emitted. Where no ball can be left out (many dimensions) all pairs are compared: time grows with their number, what is shuffled with their number by the block."""
 
@@ -24,6 +24,8 @@ from .iterate import cut
 BLOCK = 2048
 #: Rows and references of a task over balls, in blocks.
 WIDE = 8
+#: References of a task over masks, in blocks of rows; blocks that rows are dealt to while they are few.
+MANY, SPREAD = 16, 64
 #: Cells of differences at once.
 CELLS = 1 << 21
 #: Share of a block's pairs from which on all of them are compared at once.
@@ -40,15 +42,57 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def less_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 - intersection over union of bit masks; 1 where both are empty."""
-    both, either = np.bitwise_count(a[:, None] & b[None, :]).astype(float), np.bitwise_count(a[:, None] | b[None, :]).astype(float)
-    return np.where(either > 0, 1 - both / np.maximum(either, 1), 1.0)
-
-
-def scan(rows: DataFrame, references: DataFrame, best, schema: T.StructType) -> DataFrame:
-    """Partial results of best() over all pairs of blocks. rows: id, value; references: ref, value; values are masks."""
-    x, y = (max(1, -(-df.count() // BLOCK)) for df in (rows, references))
+def bits(masks: np.ndarray) -> np.ndarray:
+    """The 64 bits of each mask as columns."""
+    return np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+
+
+def most_overlap(a: np.ndarray, ids: np.ndarray, b: np.ndarray, refs: np.ndarray, k: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, references and costs: for each mask of a the k of b with the most overlap, the smaller ref on ties, and of how many pairs the cost was taken. It is 1 - intersection over union,
+    1 where both are empty.
+
+    References come in order, so a later one has to be better than the k-th so far, n / d: intersection * (n + d) - n * size(b) > n * size(a), in whole numbers that a float holds exactly. One
+    matrix product tells that of all pairs of a piece, and the cost is taken of the few for which it holds. Pieces are short at first, as all of the first k are taken."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    order = np.argsort(refs, kind="stable")
+    b, refs = b[order], refs[order]
+    size_a, bits_a = np.bitwise_count(a).astype(np.float32), bits(a)
+    wide = int(CELLS**0.5) // 2
+    parts = [slice(i, i + wide) for i in range(0, len(a), wide)]
+    none = np.zeros(0, np.int64)
+    held = [(none, none, np.zeros(0)) for _ in parts]
+    n, d, least = np.zeros(len(a), np.float32), np.zeros(len(a), np.float32), np.full(len(a), -1, np.float32)
+    begin = told = 0
+    while begin < len(b):
+        end = min(len(b), begin + min(4 * wide, max(64, begin)))
+        piece = np.column_stack([bits(b[begin:end]), np.bitwise_count(b[begin:end]).astype(np.float32)]).T
+        for i, part in enumerate(parts):
+            better = np.column_stack([bits_a[part] * (n + d)[part, None], -n[part]]) @ piece > least[part, None]
+            x, y = np.divmod(np.flatnonzero(better), end - begin)
+            x, y = x + part.start, y + begin
+            if apart:
+                other = ids[x] != refs[y]
+                x, y = x[other], y[other]
+            if not len(x):
+                continue
+            told += len(x)
+            both, either = np.bitwise_count(a[x] & b[y]).astype(float), np.bitwise_count(a[x] | b[y]).astype(float)
+            x, y, cost = (np.concatenate(v) for v in zip(held[i], (x, y, np.where(either > 0, 1 - both / np.maximum(either, 1), 1.0)), strict=True))
+            best = first_of_each(x, cost, y, k)
+            held[i] = x, y, cost = x[best], y[best], cost[best]
+            last = np.flatnonzero(np.arange(len(x)) - np.searchsorted(x, x) == k - 1)
+            row, to = x[last], y[last]
+            n[row], d[row] = np.bitwise_count(a[row] & b[to]), np.maximum(np.bitwise_count(a[row] | b[to]), 1)
+            least[row] = n[row] * size_a[row]
+        begin = end
+    x, y, cost = (np.concatenate(v) for v in zip(*held, strict=True)) if held else (none, none, np.zeros(0))
+    return x, order[y], cost, told
+
+
+def scan(rows: DataFrame, references: DataFrame, k: int, apart: bool, schema: T.StructType, told=None) -> DataFrame:
+    """Partial results that hold the k references of most overlap of every row. rows: id, value; references: ref, value; values are masks."""
+    of_rows, of_references = rows.count(), references.count()
+    x, y = max(-(-of_rows // (WIDE * BLOCK)), min(SPREAD, -(-of_rows // BLOCK)), 1), max(1, -(-of_references // (MANY * WIDE * BLOCK)))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     a = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(x)).cast("int")).withColumn("j", every(y))
     b = references.select("ref", F.col("value").alias("target"), F.pmod(F.xxhash64("ref"), F.lit(y)).cast("int").alias("j")).withColumn("i", every(x))
@@ -57,8 +101,11 @@ def scan(rows: DataFrame, references: DataFrame, best, schema: T.StructType) ->
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        cost = less_overlap(left["value"].to_numpy(), right["target"].to_numpy())
-        return pa.table(best(cost, left["id"].to_numpy(), right["ref"].to_numpy(), None), schema=arrow)
+        ids, refs = left["id"].to_numpy(), right["ref"].to_numpy()
+        at, to, cost, n = most_overlap(left["value"].to_numpy(), ids, right["target"].to_numpy(), refs, k, apart)
+        if told is not None:
+            told.add(n)
+        return pa.table({"id": ids[at], "class": np.zeros(len(at), np.int32), "dist": cost, "ref": refs[to]}, schema=arrow)
 
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, schema)
 
@@ -243,17 +290,8 @@ def nearest_of_class(rows: DataFrame, references: DataFrame, apart: bool = False
 
 def nearest_few(rows: DataFrame, references: DataFrame, k: int, apart: bool = False, told=None) -> DataFrame:
     """id, ref, cost, place (1 to k): the k nearest references of every row, the smaller ref on ties; values are vectors or masks."""
-
-    def best(cost, ids, refs, _):
-        if apart:
-            cost = np.where(ids[:, None] == refs[None, :], np.inf, cost)
-        row, to = lowest(cost, k)
-        dist = cost[row, to]
-        few = first_of_each(row, dist, refs[to], k)
-        return {"id": ids[row[few]], "class": np.zeros(len(few), np.int32), "dist": dist[few], "ref": refs[to[few]]}
-
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("class", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("ref", references.schema["ref"].dataType)])
     place = F.row_number().over(Window.partitionBy("id").orderBy("cost", "ref"))
     vectors = isinstance(rows.schema["value"].dataType, T.ArrayType)
-    met = by_balls(rows, references, apart, k, False, schema, told) if vectors else scan(rows, references, best, schema)
+    met = by_balls(rows, references, apart, k, False, schema, told) if vectors else scan(rows, references, k, apart, schema, told)
     return met.select("id", "ref", F.col("dist").alias("cost")).withColumn("place", place.cast("long")).where(F.col("place") <= k)

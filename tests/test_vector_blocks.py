@@ -31,3 +31,35 @@ def test_blocks_of_many_dimensions_in_bounded_pieces(monkeypatch, k, apart, kind
     want = sorted((i, c, gap[i, j], int(ids[j])) for i in range(len(points)) for c in range(kinds) for mine in [np.flatnonzero(kind == c)] for j in mine[np.argsort(gap[i, mine], kind="stable")[:k]])
     assert [(x[0], x[1], x[3]) for x in got] == [(x[0], x[1], x[3]) for x in want]
     assert np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+@pytest.mark.parametrize("size, k, apart", [(62, 5, True), (62, 1, False), (8, 3, True), (1, 2, False)])
+def test_masks_in_bounded_pieces(monkeypatch, size, k, apart):
+    """The same as all pairs, with groups of copies and empty masks; the cost is taken of few of them."""
+    rng = np.random.default_rng(size)
+    masks = np.concatenate([rng.integers(0, 1 << size, 1500), np.repeat(rng.integers(0, 1 << size, 1), 200), np.zeros(20, np.int64)])
+    ids = rng.permutation(len(masks)) * 3
+    monkeypatch.setattr(vectors, "CELLS", 1 << 16)
+    at, to, cost, told = vectors.most_overlap(masks, ids, masks, ids, k, apart)
+    both, either = np.bitwise_count(masks[:, None] & masks[None]).astype(float), np.bitwise_count(masks[:, None] | masks[None]).astype(float)
+    gap = np.where(either > 0, 1 - both / np.maximum(either, 1), 1.0)
+    if apart:
+        np.fill_diagonal(gap, np.inf)
+    want = [(i, int(ids[j]), gap[i, j]) for i in range(len(masks)) for j in np.lexsort((ids, gap[i]))[:k]]
+    assert sorted(zip(at.tolist(), cost.tolist(), ids[to].tolist(), strict=True)) == sorted((i, c, r) for i, r, c in want)
+    assert told < 0.15 * len(masks) ** 2
+
+
+def test_masks_in_many_blocks(spark, monkeypatch):
+    """Each row meets each reference once, whatever blocks they lie in."""
+    from pyspark.sql import functions as F
+
+    for name, few in (("BLOCK", 4), ("WIDE", 2), ("MANY", 3), ("SPREAD", 3)):
+        monkeypatch.setattr(vectors, name, few)
+    masks = [(i, i * 7919 % 61) for i in range(90)]
+    df = spark.createDataFrame(masks, "id long, value long")
+    told = spark.sparkContext.accumulator(0)
+    got = vectors.nearest_few(df, df.select(F.col("id").alias("ref"), "value"), 3, apart=True, told=told).collect()
+    less = lambda a, b: 1 - (bin(a & b).count("1") / bin(a | b).count("1") if a | b else 0)
+    assert {(r["id"], r["place"]): r["ref"] for r in got} == {(i, n): j for i, a in masks for n, (_, j) in enumerate(sorted((less(a, b), j) for j, b in masks if j != i)[:3], 1)}
+    assert told.value == 90 * 89  # fewer than a piece in each block
