@@ -74,3 +74,16 @@ def test_equal_lines_meet_measures_once_and_lie_in_runs(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert Counter(rows) == want and max(want.values()) > 14
     assert len(list(groupby(rows))) == len(want)
+
+
+def test_figures_of_a_block_are_sorted_once(spark, sf):
+    """Figures and their blocks meet in one join, and are dealt to as many tasks as the session has, however few bytes they are."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["g09_compound_meters"](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("REPARTITION_BY_NUM") == 2
+        assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
