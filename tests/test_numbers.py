@@ -99,3 +99,11 @@ def test_thin_threes_are_read_in_a_large_table(spark, tmp_path):
     got = catalog.queries()["d05_d06_read_numbers"](spark, str(tmp_path)).join(first.select("p_partkey", (F.col("p_size") % 17).alias("want")), "p_partkey")
     assert got.count() == first.count()
     assert got.where("value <> want").count() == 0
+
+
+def test_outlines_are_not_broadcast(spark):
+    """The table of parts is small by its estimate, and so are outlines that are made of it: as sides of a join they went to the driver."""
+    from corvine.plans.numbers import drawn_numbers
+
+    plan = drawn_numbers(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
