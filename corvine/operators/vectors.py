@@ -143,12 +143,42 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out if np.isfinite(out).all() else distances(a, b) ** 2
 
 
+def same(ids: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids and refs that are equal, in order of ids."""
+    if ids.dtype == object or refs.dtype == object:
+        met = [(x + part.start, y) for part in dealt(len(ids), len(refs)) for x, y in [np.nonzero(ids[part, None] == refs[None, :])]]
+        return tuple(np.concatenate(v) for v in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(refs, kind="stable")
+    lo, hi = (np.searchsorted(refs, ids, side, sorter=order) for side in ("left", "right"))
+    n = hi - lo
+    at = np.repeat(np.arange(len(ids)), n)
+    to = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(at))]
+    equal = ids[at] == refs[to]
+    return at[equal], to[equal]
+
+
+class Rough:
+    """What squared distances of a to b are, less the row's own square, by one product of single floats; slack: what they can be wrong by, twice."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, size: float):
+        self.a = np.column_stack([-2 * a, np.ones(len(a))]).astype(np.float32)
+        self.b = np.ascontiguousarray(np.column_stack([b, (b * b).sum(axis=1)]).astype(np.float32).T)
+        self.slack = np.float32(4 * (a.shape[1] + 4) * np.finfo(np.float32).eps * size)
+
+    @staticmethod
+    def holds(size: float) -> bool:
+        """Whether single floats hold squares of this size, and the digits below them."""
+        return 1e-20 < size < 1e30
+
+
 def lowest(cost: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of all finite cells that are among the k least of their row, or no more than ``slack`` above them."""
     if cost.shape[1] <= k:
         return np.nonzero(np.isfinite(cost))
     least = cost.min(axis=1) if k == 1 else np.partition(cost, k - 1, axis=1)[:, k - 1]
-    return np.nonzero((cost <= (least + slack)[:, None]) & np.isfinite(cost))
+    x, y = np.divmod(np.flatnonzero(cost <= (least + slack)[:, None]), cost.shape[1])
+    finite = np.isfinite(cost[x, y])
+    return x[finite], y[finite]
 
 
 def first_of_each(row: np.ndarray, dist: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
@@ -169,7 +199,9 @@ class Balls(NamedTuple):
 def closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, refs: np.ndarray, own: np.ndarray, balls: Balls, pivots: np.ndarray, k: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Rows, references and distances: for each row of a the k nearest of b of each class, and how many pairs were compared. own: the balls of b, ascending."""
     size = lambda x: float((x * x).sum(axis=1).max(initial=0.0))
-    slack = 16 * a.shape[1] * np.finfo(float).eps * (size(a) + size(b))
+    sizes = size(a) + size(b)
+    slack = 16 * a.shape[1] * np.finfo(float).eps * sizes
+    rough = None
     some, begin, n = np.unique(own, return_index=True, return_counts=True)
     columns = np.split(np.arange(len(own)), begin[1:])
     kind, of = np.unique(balls.of[some], return_inverse=True)
@@ -207,10 +239,19 @@ def closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, refs: np.ndarray, own
         bound[at[last]] = np.sqrt(np.maximum(cost[last], 0) + slack)
         near = away - balls.radius[some] <= bound.reshape(len(rows), -1)[:, of] * (1 + SLACK) + SLACK
         dense = (near @ n).sum() > DENSE * len(rows) * len(b)
+        if dense and rough is None and Rough.holds(sizes):
+            rough = Rough(a, b, sizes)
+            own_at, own_to = same(ids, refs) if apart else (np.zeros(0, np.int64),) * 2
+        about = slack if rough is None or not dense else rough.slack
         for piece in dealt(len(rows), len(b)):
             r = rows[piece]
             if dense:
-                cost = costs(r, slice(None))
+                if rough is None:
+                    cost = costs(r, slice(None))
+                else:
+                    cost = rough.a[r] @ rough.b
+                    one = slice(*np.searchsorted(own_at, [r[0], r[-1] + 1]))
+                    cost[own_at[one] - r[0], own_to[one]] = np.inf
                 told += cost.size
             else:
                 cost = np.full((len(r), len(b)), np.inf)
@@ -219,7 +260,7 @@ def closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, refs: np.ndarray, own
                     cost[asks, begin[j] : begin[j] + n[j]] = costs(r[asks], columns[j])
                     told += len(asks) * int(n[j])
             for lo, hi in zip(ends, ends[1:], strict=False):
-                x, y = lowest(cost[:, lo:hi], k, slack)
+                x, y = lowest(cost[:, lo:hi], k, about)
                 y = y + lo
                 dist = np.concatenate([np.sqrt(np.einsum("ij,ij->i", g, g)) for s in dealt(len(x), a.shape[1]) for g in [a[r[x[s]]] - b[y[s]]]] or [np.zeros(0)])
                 best = first_of_each(x, dist, refs[y], k)

@@ -63,3 +63,28 @@ def test_masks_in_many_blocks(spark, monkeypatch):
     less = lambda a, b: 1 - (bin(a & b).count("1") / bin(a | b).count("1") if a | b else 0)
     assert {(r["id"], r["place"]): r["ref"] for r in got} == {(i, n): j for i, a in masks for n, (_, j) in enumerate(sorted((less(a, b), j) for j, b in masks if j != i)[:3], 1)}
     assert told.value == 90 * 89  # fewer than a piece in each block
+
+
+@pytest.mark.parametrize("scale", [1e-14, 1.0, 1e18])
+@pytest.mark.parametrize("k", [1, 3])
+def test_all_pairs_by_single_floats_keep_the_digits(monkeypatch, k, scale):
+    """Neighbours that single floats can not tell apart are told by their differences; few pairs go through double ones. Ids repeat, and text is an id too."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(600, 48))
+    points = np.concatenate([points, points[:100] + 1e-9 * rng.normal(size=(100, 48)), points[:100] + 1e-9 * rng.normal(size=(100, 48))]) * scale
+    ids = np.arange(len(points)) // 2
+    balls = vectors.Balls(np.zeros(2, int), np.arange(2), np.full(2, 100.0 * scale))
+    own = np.arange(len(points)) * 2 // len(points)
+    plain, made = vectors.squares, []
+    monkeypatch.setattr(vectors, "squares", lambda a, b: made.append(len(a) * len(b)) or plain(a, b))
+    gap = np.array([[np.sqrt(np.einsum("i,i", x - y, x - y)) for y in points] for x in points[::20]])
+    gap[ids[::20, None] == ids[None, :]] = np.inf
+    want = [sorted(zip(g.tolist(), ids.tolist(), strict=True))[:k] for g in gap]
+    for names in (ids, np.array([f"{i:04}" for i in ids], object)):
+        made.clear()
+        at, to, far, _ = vectors.closest(points, names, points, names, own, balls, points[[0, 599]], k, True)
+        if scale == 1.0:
+            assert sum(made) <= len(points) ** 2  # those of the next balls alone
+        found = [sorted(zip(far[at == i].tolist(), ids[to[at == i]].tolist(), strict=True)) for i in range(0, len(points), 20)]
+        assert [[j for _, j in f] for f in found] == [[j for _, j in w] for w in want]
+        assert np.allclose([d for f in found for d, _ in f], [d for w in want for d, _ in w], rtol=1e-12, atol=0)
