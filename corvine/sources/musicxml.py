@@ -7,6 +7,7 @@ with its error instead of failing the job. DTDs are allowed; entities are not re
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -44,6 +45,50 @@ def whole(text: str | None) -> int | None:
     return int(x) if x is not None and x == int(x) else None
 
 
+ESCAPED = re.compile("[&<>]")
+SPECIAL = re.compile(r'[&<>"\r\n\t{]')
+
+
+class Odd(Exception):
+    """There is a namespace or something to escape."""
+
+
+def plain(e: ET.Element) -> str:
+    """The XML of an element without its tail; texts have nothing to escape."""
+    tag, head, text = e.tag, e.tag, e.text or ""
+    if "{" in tag:
+        raise Odd
+    if e.attrib:
+        if SPECIAL.search("".join([k + v for k, v in e.attrib.items()])):
+            raise Odd
+        head += "".join([f' {k}="{v}"' for k, v in e.attrib.items()])
+    if len(e):
+        text += "".join([plain(c) + c.tail if c.tail else plain(c) for c in e])
+        return f"<{head}>{text}</{tag}>"
+    return f"<{head}>{text}</{tag}>" if text else f"<{head} />"
+
+
+def written(e: ET.Element) -> str:
+    """ET.tostring(e) without outer blanks; short for elements in which there is nothing to escape."""
+    if not ESCAPED.search("".join(e.itertext())) and not (e.tail and e.tail.strip()):
+        try:
+            return plain(e)
+        except Odd:
+            pass
+    return ET.tostring(e, encoding="unicode").strip()
+
+
+def texts(e: ET.Element) -> dict[str, str]:
+    """What findtext() gives for each child and each child's child."""
+    first: dict[str, str] = {}
+    for c in e:
+        if c.tag not in first:
+            first[c.tag] = c.text or ""
+        for g in c:
+            first.setdefault(f"{c.tag}/{g.tag}", g.text or "")
+    return first
+
+
 def elements(path: str, data: bytes) -> Iterator[dict]:
     """One dict per child of a measure, in document order. A missing part id is P1, P2, ...; a missing number counts from 1."""
     root = ET.fromstring(data)
@@ -58,12 +103,13 @@ def elements(path: str, data: bytes) -> Iterator[dict]:
             for k, e in enumerate(measure):
                 if e.tag not in KINDS:
                     continue
-                text = lambda q, e=e: e.findtext(q)
+                first = texts(e)
+                text = first.get
                 divisions = number(text("divisions")) or divisions
-                row = at | {"pos": k, "kind": e.tag, "divisions": divisions, "duration": number(text("duration")), "staff": whole(text("staff")), "voice": text("voice"), "xml": ET.tostring(e, encoding="unicode").strip()}
+                row = at | {"pos": k, "kind": e.tag, "divisions": divisions, "duration": number(text("duration")), "staff": whole(text("staff")), "voice": text("voice"), "xml": written(e)}
                 if e.tag == "note":
-                    row |= {"default_x": number(e.get("default-x")), "default_y": number(e.get("default-y")), "alter": number(text("pitch/alter")), "step": text("pitch/step"), "octave": whole(text("pitch/octave")), "type": text("type"), "accidental": text("accidental"), "stem": text("stem"), "dots": len(e.findall("dot"))}
-                    row |= {"is_chord": e.find("chord") is not None, "is_rest": e.find("rest") is not None, "is_grace": e.find("grace") is not None}
+                    row |= {"default_x": number(e.get("default-x")), "default_y": number(e.get("default-y")), "alter": number(text("pitch/alter")), "step": text("pitch/step"), "octave": whole(text("pitch/octave")), "type": text("type"), "accidental": text("accidental"), "stem": text("stem"), "dots": len(e.findall("dot")) if "dot" in first else 0}
+                    row |= {"is_chord": "chord" in first, "is_rest": "rest" in first, "is_grace": "grace" in first}
                 elif e.tag == "attributes":
                     sign, line = text("clef/sign"), text("clef/line")
                     row |= {"beats": whole(text("time/beats")), "beat_type": whole(text("time/beat-type")), "clef": f"{sign}{line or ''}" if sign else None, "key": text("key/fifths")}

@@ -65,3 +65,26 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{name}.musicxml").write_text(SCORE)
         pages.append_to(pages.stream_scores(spark, str(tmp_path / "in")), out, mark).awaitTermination()
     assert spark.read.parquet(out).where("kind = 'note'").count() == 12
+
+
+def test_elements_are_read_as_by_findtext_and_written_as_by_tostring(monkeypatch):
+    """Also where there is something to escape, an attribute, a name space or a text after an element; plain ones don't go through tostring."""
+    import xml.etree.ElementTree as ET
+
+    from corvine.sources import musicxml
+
+    notes = [
+        "<note><pitch><step>C</step><octave>4</octave></pitch><duration>2</duration><voice/></note>", "<note default-x='3.5' id='a&amp;b'><rest/><type> half </type></note>", "<note><a>1 &lt; 2</a></note>",
+        "<note><chord/><pitch/><pitch><alter>-1</alter><step>A</step></pitch><dot/><dot/></note> tail &amp; more", "<note><lyric xml:lang='de' x='\"&#10;'>ä<b/>c</lyric></note>\n", "<note/>", "<note><n:x xmlns:n='u'>1</n:x></note>",
+        "<attributes><clef><sign>G</sign></clef><clef><line>2</line></clef><time><beats>3</beats><beat-type>4</beat-type></time></attributes>",
+    ]
+    text = f"<score-partwise><part><measure>{''.join(notes)}</measure></part></score-partwise>"
+    measure = ET.fromstring(text).find("part/measure")
+    got = list(musicxml.elements("p", text.encode()))
+    assert [r["xml"] for r in got] == [ET.tostring(e, encoding="unicode").strip() for e in measure]
+    for r, e in zip(got, measure, strict=True):
+        for name, path in (("step", "pitch/step"), ("voice", "voice"), ("type", "type")):
+            assert r["kind"] != "note" or r[name] == e.findtext(path)
+    assert got[0]["voice"] == "" and (got[3]["alter"], got[3]["dots"], got[3]["is_chord"]) == (-1.0, 2, True) and (got[7]["clef"], got[7]["beats"]) == ("G2", 3)
+    monkeypatch.setattr(musicxml.ET, "tostring", lambda *a, **k: 1 / 0)
+    assert len(list(musicxml.elements("p", f"<score-partwise><part><measure>{notes[0]}</measure></part></score-partwise>".encode()))) == 1
